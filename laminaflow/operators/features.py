@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from laminaflow.functions.scalars import finite, first_match, seconds_between
 from laminaflow.model import KG_PER_LAYER
-from laminaflow.operators.ordered import Series, group_quantiles
+from laminaflow.operators.ordered import Series, group_quantiles, null_safe_join
 from laminaflow.operators.robust import robust_z, stride_slope, theil_sen
 
 
@@ -248,11 +248,8 @@ def dedup_provenance(events: DataFrame, order: Sequence[str], bucket_seconds: fl
     """One row per original event of a group with copies, tagged with the surviving event's position."""
     keyed = events.select("*", *[c for c in dedup_key(bucket_seconds) if not isinstance(c, str)])
     key = [*scope, "bucket", "event_type", "layer", "_subsystem", "_raw"]
-    place = F.struct(*order)
-    heads = keyed.groupBy(*key).agg(F.min(place).alias("kept"), F.count(F.lit(1)).alias("copies")).where("copies > 1")
-    cond = [keyed[k].eqNullSafe(heads[k]) for k in key]
-    joined = keyed.join(heads, cond)
-    return joined.select(*[keyed[c] for c in (*scope, *order) if c in events.columns], "kept", "copies")
+    heads = keyed.groupBy(*key).agg(F.min(F.struct(*order)).alias("kept"), F.count(F.lit(1)).alias("copies"))
+    return null_safe_join(keyed, heads.where("copies > 1"), key, "inner").select(*scope, *order, "kept", "copies")
 
 
 def dedup_diagnostics(deduplicated: DataFrame) -> DataFrame:

@@ -195,18 +195,23 @@ def params_ready(columns: Sequence[str] = tuple(REQUIRED_PARAMS)) -> Column:
     return out
 
 
-def batch_report(batches: DataFrame, cycles: DataFrame) -> DataFrame:
+def history_rows(cycles: DataFrame) -> DataFrame:
+    """Stored history arrays (array<struct<event, kg>>) as rows: batch_id, cycle_id, event, kg."""
+    return cycles.select("batch_id", "cycle_id", F.explode("history").alias("_h")).select(
+        "batch_id", "cycle_id", "_h.event", F.col("_h.kg").cast("double").alias("kg"))
+
+
+def batch_report(batches: DataFrame, cycles: DataFrame, history: DataFrame) -> DataFrame:
     """Powder per batch: consumed, left, reuse and quality grade.
 
     batches(batch_id, material, batch_code, initial_kg, created_at), cycles(cycle_id, batch_id, reuse_count,
-    started_at, history array<struct<event, kg>>). Each cycle sums its own history before the shuffle.
+    started_at), history(batch_id, event, kg) in long form, summed map-side.
     """
-    own = cycles.select("*", F.aggregate(
-        F.filter(F.coalesce("history", F.array().cast(cycles.schema["history"].dataType)), lambda h: h["event"] == "consumed"),
-        F.lit(0.0), lambda a, h: a + F.coalesce(h["kg"].cast("double"), F.lit(0.0))).alias("_kg"))
-    per = own.groupBy("batch_id").agg(
-        F.sum("_kg").alias("_kg"), F.max("reuse_count").alias("_reuse"),
+    used = history.where("event = 'consumed'").groupBy("batch_id").agg(F.sum("kg").alias("_kg"))
+    per = cycles.groupBy("batch_id").agg(
+        F.max("reuse_count").alias("_reuse"),
         F.max_by(F.struct("cycle_id", "reuse_count"), F.struct("started_at", "cycle_id")).alias("_last"))
+    per = per.join(used, "batch_id", "full")
     df = batches.join(per, "batch_id", "left")
     used, initial = F.coalesce("_kg", F.lit(0.0)), F.coalesce("initial_kg", F.lit(0.0))
     reuse = F.coalesce("_reuse", F.lit(0))

@@ -1,0 +1,6 @@
+"""Registered queries over the given tables."""
+
+from laminaflow.plans.catalog import QUERIES, SQL
+from laminaflow.plans import entity_queries, link_queries, session_queries, signal_queries  # noqa: F401  (registers)
+
+__all__ = ["QUERIES", "SQL"]
