@@ -89,7 +89,7 @@ class RiskModel:
     trees: Any = None
 
 
-def train(labelled: DataFrame) -> RiskModel | None:
+def train(labelled: DataFrame, allow_trees: bool = True) -> RiskModel | None:
     """Boosted trees with enough labels, else logistic regression, else None. ``labelled``: features + label.
 
     Only features that every labelled row has are used. The sizes and moments come from one aggregate row.
@@ -106,7 +106,7 @@ def train(labelled: DataFrame) -> RiskModel | None:
     used = [f for f in names if facts[f"c_{f}"] == n]
     if n < MIN_LABELS or defects in (0, n) or not used:
         return None
-    if n >= MIN_LABELS_TREES and min(defects, n - defects) >= MIN_MINORITY_TREES:
+    if allow_trees and n >= MIN_LABELS_TREES and min(defects, n - defects) >= MIN_MINORITY_TREES:
         data = VectorAssembler(inputCols=used, outputCol="_x").transform(
             labelled.select(*used, F.col("label").cast("double").alias("label")))
         fit = GBTClassifier(featuresCol="_x", labelCol="label", maxDepth=3, maxIter=60, stepSize=0.1,

@@ -312,8 +312,8 @@ def calibration_overall(spark, d):
     return calibration.overall_factor(_accuracy(spark, d))
 
 
-@query(f"""WITH {_CF}, j AS (SELECT material, n_pairs, round(f, 3) AS nf, 1.0 AS old FROM cf), s AS (SELECT *, CASE WHEN nf IS NULL THEN 'too_few_pairs' WHEN nf NOT BETWEEN 0.5 AND 2.0 THEN 'out_of_range' WHEN nf = old THEN 'unchanged' ELSE 'applied' END AS status FROM j)
-SELECT material, n_pairs, {num('nf')} AS new_factor, {num('old')} AS old_factor, status, {num("CASE WHEN status = 'applied' THEN nf ELSE old END")} AS factor FROM s""")
+@query(f"""WITH {_CF}, j AS (SELECT material, n_pairs, round(f, 3) AS nf, 1.0 AS old FROM cf), st AS (SELECT *, CASE WHEN nf IS NULL THEN 'too_few_pairs' WHEN nf NOT BETWEEN 0.5 AND 2.0 THEN 'out_of_range' WHEN nf = old THEN 'unchanged' ELSE 'applied' END AS status FROM j)
+SELECT material, n_pairs, {num('nf')} AS new_factor, {num('old')} AS old_factor, status, {num("CASE WHEN status = 'applied' THEN nf ELSE old END")} AS factor FROM st""")
 def recalibrate(spark, d):
     f = calibration.calibration_factors(_accuracy(spark, d))
     current = a.table(spark, d, "customer").select(F.col("c_mktsegment").alias("material")).distinct().withColumn("factor", F.lit(1.0))
@@ -423,9 +423,7 @@ def _day_features(spark, d):
 @query()
 def risk_logreg(spark, d):
     rows = _day_features(spark, d)
-    few = rows.where("label = 1 and duration_min > 400").limit(4).unionByName(rows.where("label = 0 and duration_min > 400").limit(15))
-    model = risk.train(few)
-    return risk.score(rows.drop("label"), model).select("session_id", "risk", "grade", "method")
+    return risk.score(rows.drop("label"), risk.train(rows, allow_trees=False)).select("session_id", "risk", "grade", "method")
 
 
 @query()

@@ -35,14 +35,14 @@ def hint_link(spark, d):
 
 @query(f"""WITH {a.PAIRS}, s7 AS (SELECT * FROM s WHERE session_id IN (SELECT event_id FROM ev WHERE k = 7)), d AS (SELECT date_trunc('day', start_ts) AS day, count(*) AS n, min(session_id) AS session_id FROM s7 GROUP BY 1),
 h AS (SELECT record_id, session_id FROM r JOIN d ON date_trunc('day', anchor_ts) = d.day WHERE n = 1),
-p AS (SELECT record_id, session_id, epoch_us(start_ts) - epoch_us(anchor_ts) AS gap FROM r JOIN s7 ON start_ts BETWEEN anchor_ts - INTERVAL 40 MINUTE AND anchor_ts + INTERVAL 40 MINUTE
+p AS (SELECT record_id, session_id, epoch_us(start_ts) - epoch_us(anchor_ts) AS gap FROM r JOIN s7 ON start_ts BETWEEN anchor_ts - INTERVAL 6 MINUTE AND anchor_ts + INTERVAL 6 MINUTE
   WHERE record_id NOT IN (SELECT record_id FROM h) AND session_id NOT IN (SELECT session_id FROM h)),
 c AS (SELECT *, count(*) OVER (PARTITION BY record_id) AS cr, count(*) OVER (PARTITION BY session_id) AS cs FROM p)
 SELECT record_id, session_id, 'hint' AS method, NULL AS delta_sec FROM h UNION ALL SELECT record_id, session_id, 'time', {num('gap / 1e6')} FROM c WHERE cr = 1 AND cs = 1""")
 def auto_link(spark, d):
     seven = a.events(spark, d).where("k = 7").select(F.col("event_id").alias("session_id"))
     rec = a.records(spark, d).withColumn("hint_date", F.date_format("created_at", "yyyy-MM-dd"))
-    return linking.auto_link(rec, a.print_sessions(spark, d).join(seven, "session_id", "left_semi"), 40 / 60)
+    return linking.auto_link(rec, a.print_sessions(spark, d).join(seven, "session_id", "left_semi"), 0.1)
 
 
 @query()

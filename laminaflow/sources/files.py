@@ -13,7 +13,8 @@ from laminaflow.functions.scalars import first_match, stable_id
 from laminaflow.model import FILE_FAMILIES, SKIPPED_NAMES, STATE_LOG_MAX_BYTES
 from laminaflow.operators.ordered import Series
 
-FILE_ID = F.substring(F.sha2(F.col("path"), 256), 1, 16)
+def file_id() -> Column:
+    return F.substring(F.sha2(F.col("path"), 256), 1, 16)
 
 
 def _glob(pattern: str) -> str:
@@ -85,7 +86,7 @@ def inspect_files(spark: SparkSession, root: str, *, large_state_logs: bool = Fa
     binary = looks_binary(F.col("content"))
     status = first_match([(F.col("size_bytes") == 0, "zero_byte"), (binary, "binary_or_unknown")], "ok")
     return df.where(keep).select(
-        FILE_ID.alias("file_id"), "path", "relative_path", "name", "family", "role",
+        file_id().alias("file_id"), "path", "relative_path", "name", "family", "role",
         "classification_confidence", "size_bytes", "mtime", "name_date",
         F.sha2("content", 256).alias("checksum"), status.alias("quality_status"),
         F.when(status == "ok", guess_encoding(F.col("content"))).alias("encoding"))
@@ -120,7 +121,7 @@ def read_lines(spark: SparkSession, path: str | list[str], encodings: DataFrame
         numbered = numbered.join(encodings.select("path", "encoding"), "path", "left")
         encoding = F.col("encoding")
     return numbered.select(
-        FILE_ID.alias("source_file_id"), "path", "name", name_date(F.col("name")).alias("day"), "mtime",
+        file_id().alias("source_file_id"), "path", "name", name_date(F.col("name")).alias("day"), "mtime",
         "line_no", (F.col("_end") - F.col("_bytes")).alias("offset"),
         decode_line(F.col("value"), encoding).alias("line"))
 

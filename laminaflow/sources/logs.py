@@ -84,11 +84,10 @@ def parse_monitor_log(lines: DataFrame, subsystem: str = "monitor100") -> DataFr
     """Monitor log -> events, glued entries recovered."""
     df = lines.select("*", F.posexplode(split_glued(F.col("line"))).alias("entry_no", "entry"))
     df = df.withColumn("_s", stamp(F.col("entry"), _day(lines)))
-    body = F.coalesce(
-        F.concat(F.substring_index("entry", F.col("_s.raw"), 1),
-                 F.substring(F.col("entry"), F.instr("entry", F.col("_s.raw")) + F.length("_s.raw"),
-                             F.length("entry"))),
-        F.col("entry"))
+    # the entry without its own stamp: digits of the stamp must not read as a CODE:value pair
+    at, rest = F.instr("entry", F.col("_s.raw")), F.col("entry")
+    body = F.coalesce(F.concat(F.substring(rest, F.lit(1), at - 1),
+                               F.substring(rest, at + F.length("_s.raw"), F.length(rest))), rest)
     df = df.withColumn("_body", body)
     body = F.col("_body")
     code = matched(body, MONITOR_ENTRY)

@@ -38,6 +38,7 @@ def read_line_stream(spark: SparkSession, path: str, glob: str = "*.log", files_
 def drain(df: DataFrame, name: str, mode: str = "append") -> DataFrame:
     """Runs the stream over everything available into a parquet table in the shared folder and reads it back."""
     spark = df.sparkSession
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
     base = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     query = (df.writeStream.format("parquet").outputMode(mode).option("path", f"{base}/out")
              .option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start())
