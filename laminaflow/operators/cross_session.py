@@ -134,23 +134,27 @@ def change_points(values: np.ndarray, min_size: int = 2, jump: int = 5) -> list[
 
 def signal_shifts(stats: DataFrame, min_pct: float = 10.0, min_sessions: int = 6, min_size: int = 2,
                   jump: int = 5) -> DataFrame:
-    """Step changes of the session mean. One Python group per signal over one number per session.
+    """Step changes of the session mean.
 
-    ``jump`` restricts candidate positions to a grid, as change-point libraries do.
+    Segmentation is sequential, so a signal is one Python group; what travels there is one (position, mean) pair
+    of numbers per session and what comes back are the cut positions. Levels and session ids come from running
+    sums on the Spark side. ``jump`` is the grid of candidate positions (the usual library default).
     """
-    means = _means(stats)
+    s = Series(_means(stats).select("signal", "session_id", "start_ts", "mean"), ["signal"], ORDER)
+    s = s.with_row_number("_rn").with_running_sum("_sum", F.col("mean"))
+    rows = s.frame.select("signal", "session_id", (F.col("_rn") - 1).alias("pos"), "mean", (F.col("_sum") - F.col("mean")).alias("_before"))
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(ORDER, na_position="first")
-        v = pdf["mean"].to_numpy(dtype=float)
-        rows, prev = [], 0
+        v = pdf.sort_values("pos")["mean"].to_numpy(dtype=float)
         cuts = change_points(v, min_size, jump) if len(v) >= min_sessions else []
-        for cut in cuts:
-            rows.append((pdf["signal"].iat[0], pdf["session_id"].iat[cut], cut, v[prev:cut].mean(), v[cut:].mean(), len(v)))
-            prev = cut
-        return pd.DataFrame(rows, columns=["signal", "at_session", "session_index", "level_before", "level_after", "n_sessions"])
-    schema = (f"signal string, at_session {means.schema['session_id'].dataType.simpleString()}, session_index long, "
-              "level_before double, level_after double, n_sessions long")
-    found = means.select("signal", "session_id", "start_ts", "mean").groupBy("signal").applyInPandas(run, schema)
+        return pd.DataFrame({"signal": pdf["signal"].iat[0], "pos": cuts, "prev": [0, *cuts][:len(cuts)]}, columns=["signal", "pos", "prev"])
+    cuts = rows.select("signal", "pos", "mean").groupBy("signal").applyInPandas(run, "signal string, pos long, prev long")
+    total = rows.groupBy("signal").agg(F.count(F.lit(1)).alias("n_sessions"), F.sum("mean").alias("_total"))
+    here = rows.select("signal", "pos", F.col("session_id").alias("at_session"), F.col("_before").alias("_s1"))
+    there = rows.select("signal", F.col("pos").alias("prev"), F.col("_before").alias("_s0"))
+    found = cuts.join(here, ["signal", "pos"]).join(there, ["signal", "prev"]).join(total, "signal").select(
+        "signal", "at_session", F.col("pos").alias("session_index"), "n_sessions",
+        ((F.col("_s1") - F.col("_s0")) / (F.col("pos") - F.col("prev"))).alias("level_before"),
+        ((F.col("_total") - F.col("_s1")) / (F.col("n_sessions") - F.col("pos"))).alias("level_after"))
     pct = F.abs((F.col("level_after") - F.col("level_before")) / F.col("level_before") * 100)
     found = found.where(F.abs("level_before") >= 1e-9).withColumn("jump_pct", pct).where(F.col("jump_pct") >= min_pct)
     return found.join(_labels(stats), "signal", "left").select(

@@ -63,7 +63,7 @@ def layer_features(events: DataFrame, key: str = "session_id") -> DataFrame:
         F.count(F.lit(1)).alias("event_count"),
         F.when(F.count(F.lit(1)) >= 2, span).alias("layer_duration_sec"),
         F.array_sort(F.collect_set("event_type")).alias("event_types"))
-    out = Series(layers, [key], ["layer"]).with_last_before("_before", "layer_duration_sec").frame
+    out = Series(layers, [key], ["layer"]).with_last_before(_before="layer_duration_sec").frame
     return out.select(key, "layer", "event_count", "layer_duration_sec",
                       (F.col("layer_duration_sec") - F.col("_before")).alias("delta_from_previous_layer_sec"),
                       "event_types")

@@ -61,29 +61,36 @@ def link_by_hint(records: DataFrame, sessions: DataFrame) -> DataFrame:
     return hinted.join(days, "day").select("record_id", "session_id", F.lit("hint").alias("method"))
 
 
-def lone_neighbour(left: DataFrame, right: DataFrame, left_id: str, left_ts: str, right_id: str, right_ts: str,
-                   seconds: float, on: Sequence[str]) -> DataFrame:
-    """Left rows with exactly one right row within +-``seconds``: (on, left_id, right_id).
+def window_positions(left: DataFrame, right: DataFrame, left_id: str, left_ts: str, right_id: str, right_ts: str,
+                     before: float, after: float, on: Sequence[str]) -> tuple[DataFrame, DataFrame]:
+    """Where the window [-before, +after] seconds of each left row falls among the ordered right rows.
 
-    No pair is ever built. Both window ends of every left row are placed among the right rows by one ordering;
-    the difference of the two running counts is the number of candidates, and when it is 1 the count below the
-    window is the position of the candidate. Dense windows cost the same as sparse ones.
+    Returns (left rows with ``lo``..``hi``, right rows with ``pos``): the candidates of a left row are exactly the
+    positions lo..hi (none when hi < lo). No pair is built: both window ends are placed among the right rows by one
+    ordering and a running count, so dense windows cost the same as sparse ones.
     """
-    reach = F.expr(f"interval {int(seconds * 1_000_000)} microseconds")
+    micros = lambda x: F.expr(f"interval {int(x * 1_000_000)} microseconds")
     r = right.where(F.col(right_ts).isNotNull()).select(*on, F.col(right_id).alias("_id"), F.col(right_ts).alias("_ts"))
-    numbered = Series(r, on, ["_ts", "_id"]).with_row_number("_pos").frame.select(*on, "_pos", F.col("_id").alias(right_id))
+    numbered = Series(r, on, ["_ts", "_id"]).with_row_number("pos").frame.select(*on, "pos", F.col("_id").alias(right_id))
     l = left.where(F.col(left_ts).isNotNull()).select(*on, F.col(left_id).alias("_id"), F.col(left_ts).alias("_at"))
     # at equal stamps: window start, then right rows, then window end, because both ends are inclusive
-    ends = F.inline(F.array(F.struct((F.col("_at") - reach).alias("_ts"), F.lit(-1).alias("_kind")),
-                            F.struct((F.col("_at") + reach).alias("_ts"), F.lit(1).alias("_kind"))))
+    ends = F.inline(F.array(F.struct((F.col("_at") - micros(before)).alias("_ts"), F.lit(-1).alias("_kind")),
+                            F.struct((F.col("_at") + micros(after)).alias("_ts"), F.lit(1).alias("_kind"))))
     points = l.select(*on, "_id", ends).unionByName(r.withColumn("_kind", F.lit(0)).select(*on, "_id", "_ts", "_kind"))
     points = points.withColumn("_one", (F.col("_kind") == 0).cast("long"))
     counted = Series(points, on, ["_ts", "_kind", "_id"]).with_running_sum("_upto", F.col("_one")).frame
     window = counted.where("_kind <> 0").groupBy(*on, "_id").agg(
-        F.min(F.when(F.col("_kind") == -1, F.col("_upto"))).alias("_lo"),
-        F.max(F.when(F.col("_kind") == 1, F.col("_upto"))).alias("_hi"))
-    single = window.where("_hi - _lo = 1").select(*on, F.col("_id").alias(left_id), (F.col("_lo") + 1).alias("_pos"))
-    return single.join(numbered, [*on, "_pos"]).drop("_pos")
+        (F.min(F.when(F.col("_kind") == -1, F.col("_upto"))) + 1).alias("lo"),
+        F.max(F.when(F.col("_kind") == 1, F.col("_upto"))).alias("hi"))
+    return window.withColumnRenamed("_id", left_id), numbered
+
+
+def lone_neighbour(left: DataFrame, right: DataFrame, left_id: str, left_ts: str, right_id: str, right_ts: str,
+                   seconds: float, on: Sequence[str]) -> DataFrame:
+    """Left rows with exactly one right row within +-``seconds``: (on, left_id, right_id)."""
+    window, numbered = window_positions(left, right, left_id, left_ts, right_id, right_ts, seconds, seconds, on)
+    single = window.where("hi = lo").select(*on, left_id, F.col("lo").alias("pos"))
+    return single.join(numbered, [*on, "pos"]).drop("pos")
 
 
 def link_by_time(records: DataFrame, sessions: DataFrame, hours: float = 24.0, on: Sequence[str] = ()) -> DataFrame:
@@ -125,30 +132,36 @@ def link_candidates(records: DataFrame, sessions: DataFrame, hours: float = 24.0
 def link_forward(records: DataFrame, sessions: DataFrame, days: int = 45, on: Sequence[str] = ()) -> DataFrame:
     """In record order each record takes the nearest unused session 0..``days`` days later.
 
-    records(record_id, record_no, record_day), sessions(session_id, session_day). Taking turns in one common
-    order is the stable matching in which every session prefers the earlier record, so it is found by rounds of
-    proposals: every free record asks the next session on its list, every session keeps the earliest asker.
-    Rounds touch one row per record; the result is final when nobody is turned away any more.
+    records(record_id, record_no, record_day), sessions(session_id, session_day). The candidates of a record are
+    a run of session positions, asked in ascending order. Taking turns in one common order is the stable matching
+    in which every session prefers the earlier record, so it is found by rounds: every record asks for one
+    position, the earliest asker keeps it, the others move on. Of the askers turned away at p, each one that can
+    still reach its place blocks one more position for those behind it, so the j-th may skip ahead by j: a crowd on
+    one day resolves in a few rounds instead of one round per record. A round touches one row per record.
     """
-    pairs = time_neighbours(
-        records.select("record_id", "record_no", F.to_timestamp("record_day").alias("_rd"), *on),
-        sessions.select("session_id", F.to_timestamp("session_day").alias("_sd"), *on),
-        "_rd", "_sd", 0.0, days * 86400.0, on)
-    # equally near sessions are asked in id order
-    lists = Series(pairs.select("record_id", "record_no", "session_id", "delta_sec"), ["record_id"],
-                   ["delta_sec", "session_id"]).with_row_number("turn").frame
-    lists = materialize(lists, "forward-lists")
-    state = materialize(lists.where("turn = 1"), "forward-round")
+    keys = list(on) or ["_all"]
+    r = records.select("record_id", "record_no", F.to_timestamp("record_day").alias("_rd"), *on)
+    s = sessions.select("session_id", F.to_timestamp("session_day").alias("_sd"), *on)
+    if not on:
+        r, s = r.withColumn("_all", F.lit(0)), s.withColumn("_all", F.lit(0))
+    window, numbered = window_positions(r, s, "record_id", "_rd", "session_id", "_sd", 0.0, days * 86400.0, keys)
+    asks = window.where("hi >= lo").join(r.drop("_rd"), [*keys, "record_id"]).select(
+        *keys, "record_id", "record_no", F.col("lo").alias("pos"), "hi")
     while True:
-        kept = state.groupBy("session_id").agg(F.min(F.struct("record_no", "record_id")).alias("_k"))
-        judged = state.join(kept, "session_id").withColumn(
-            "_won", F.struct("record_no", "record_id") == F.col("_k")).drop("_k")
-        held = judged.where("_won").drop("_won")
-        turned_away = judged.where("not _won").select("record_id", (F.col("turn") + 1).alias("turn"))
-        asked = materialize(lists.join(turned_away, ["record_id", "turn"]).select(*lists.columns), "forward-asks")
-        if asked.isEmpty():
-            return held.select("record_id", "session_id", "delta_sec")
-        state = materialize(held.select(*lists.columns).unionByName(asked), "forward-round")
+        state = materialize(asks, "forward-round")
+        spot = [*keys, "pos"]
+        kept = state.groupBy(*spot).agg(F.min(F.struct("record_no", "record_id")).alias("_k"))
+        judged = state.join(kept, spot).withColumn("_won", F.struct("record_no", "record_id") == F.col("_k")).drop("_k")
+        held, refused = judged.where("_won").drop("_won"), judged.where("not _won").drop("_won")
+        if refused.isEmpty():
+            break
+        q = Series(refused, spot, ["record_no", "record_id"]).with_row_number("_j")
+        q = q.with_column("_alive", (F.col("hi") >= F.col("pos") + F.col("_j")).cast("long"))
+        q = q.with_running_sum("_ahead", F.col("_alive"))
+        moved = q.frame.withColumn("pos", F.col("pos") + 1 + F.col("_ahead") - F.col("_alive")).where("pos <= hi")
+        asks = held.unionByName(moved.select(*held.columns))
+    linked = held.join(numbered, spot).join(r, [*keys, "record_id"]).join(s, [*keys, "session_id"])
+    return linked.select("record_id", "session_id", seconds_between(F.col("_rd"), F.col("_sd")).alias("delta_sec"))
 
 
 def accumulated_since_service(sessions: DataFrame, maintenance: DataFrame, consumables: DataFrame,
@@ -258,9 +271,7 @@ def asof_latest(points: DataFrame, facts: DataFrame, keys: Sequence[str], point_
                      *[F.when(F.col(v).isNotNull(), c).alias(f"_v_{v}") for v, c in carried.items()])
     p = points.select("*", F.col(point_ts).alias("_ts"), F.lit(1).alias("_kind"))
     both = p.unionByName(f, allowMissingColumns=True)
-    s = Series(both, keys, ["_ts", "_kind", "_tie"])
-    for v in values:
-        s = s.with_last_before(f"_l_{v}", f"_v_{v}")
+    s = Series(both, keys, ["_ts", "_kind", "_tie"]).with_last_before(**{f"_l_{v}": f"_v_{v}" for v in values})
     out = s.frame.where("_kind = 1")
     return out.select(*points.columns, *[x for v in values for x in (
         F.col(f"_l_{v}.v").alias(v), F.col(f"_l_{v}.at").alias(f"{v}_at"))])

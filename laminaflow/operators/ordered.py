@@ -3,7 +3,7 @@
 A window partitioned by session puts one whole session in one task. That is fine for the usual session and
 fatal when one session owns a third of the readings, so every ordered operator goes through ``Series``:
 
-* keys up to ``laminaflow.hotRows`` rows use one ordinary window (a single shuffle on the key);
+* keys up to ``spark.laminaflow.hotRows`` rows use one ordinary window (a single shuffle on the key);
 * rows of hotter keys are range partitioned on (key, order), each range is a *chunk*, the windows run inside
   the chunk, and what crosses a chunk border (row count, running total, last row) is carried by a table
   with one row per chunk.
@@ -28,7 +28,7 @@ BROADCAST_KEYS = 100_000
 
 
 def hot_limit(spark: SparkSession) -> int:
-    return int(spark.conf.get("laminaflow.hotRows", str(HOT_ROWS)))
+    return int(spark.conf.get("spark.laminaflow.hotRows", str(HOT_ROWS)))
 
 
 def null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "left") -> DataFrame:
@@ -145,18 +145,19 @@ class Series:
         """``new=existing``: value of the next row, null on the last."""
         return self._neighbour(cols, True)
 
-    def with_last_before(self, name: str, col: str) -> "Series":
-        """Latest non-null ``col`` strictly before the row."""
+    def with_last_before(self, **cols: str) -> "Series":
+        """``new=existing``: latest non-null value strictly before the row, all columns in one pass."""
         upto = self.window.rowsBetween(Window.unboundedPreceding, -1)
-        local = F.last(col, ignorenulls=True).over(upto)
+        local = {n: F.last(c, ignorenulls=True).over(upto) for n, c in cols.items()}
         if not self.chunked:
-            return self._with(self.df.withColumn(name, local))
-        tail = self.df.groupBy(*self.within).agg(
-            F.max_by(col, F.when(F.col(col).isNotNull(), F.struct(*self.order))).alias("_t"))
+            return self._with(self.df.withColumns(local))
+        place = F.struct(*self.order)
+        tail = self.df.groupBy(*self.within).agg(*[
+            F.max_by(c, F.when(F.col(c).isNotNull(), place)).alias(f"_t_{n}") for n, c in cols.items()])
         before = self._chunk_window().rowsBetween(Window.unboundedPreceding, -1)
-        tail = tail.select(*self.within, F.last("_t", ignorenulls=True).over(before).alias("_carry"))
-        out = self._carry(tail).withColumn(name, F.coalesce(local, F.col("_carry")))
-        return self._with(out.drop("_carry"))
+        tail = tail.select(*self.within, *[F.last(f"_t_{n}", ignorenulls=True).over(before).alias(f"_c_{n}") for n in cols])
+        out = self._carry(tail).withColumns({n: F.coalesce(v, F.col(f"_c_{n}")) for n, v in local.items()})
+        return self._with(out.drop(*[f"_c_{n}" for n in cols]))
 
     def with_previous_values(self, name: str, col: str, size: int) -> "Series":
         """Array with the up to ``size`` preceding values.

@@ -508,6 +508,27 @@ def file_classification(spark, d):
     return file_source.with_names(pages, "/drop").select("page_id", "name", "family", "role", "classification_confidence", "skip_reason", F.col("name_date").cast("string").alias("name_date"))
 
 
+@query(f"""WITH {a.ME}, f AS (SELECT session_id, family, count(*) AS n FROM me GROUP BY 1, 2), r AS (SELECT session_id, family, n, row_number() OVER (PARTITION BY session_id ORDER BY family) AS p FROM f)
+SELECT session_id, 0 AS section_no, 'session_summary' AS section, 1 AS position, '{{"events":' || count(*) || '}}' AS body FROM me GROUP BY 1
+UNION ALL SELECT session_id, 2, 'file_inventory', p, '{{"family":"' || family || '","n":' || n || '}}' FROM r
+UNION ALL SELECT DISTINCT session_id, 8, 'version_metadata', 1, '{{"analysis_version":"0.1.0"}}' FROM me""")
+def report_rows(spark, d):
+    ev = a.machine_events(spark, d)
+    summary = ev.groupBy("session_id").agg(F.count(F.lit(1)).alias("events"))
+    inventory = ev.groupBy("session_id", "family").agg(F.count(F.lit(1)).alias("n"))
+    return sinks.report_rows({"session_summary": (summary, ["events"]), "file_inventory": (inventory, ["family"])}, {"analysis_version": "0.1.0"})
+
+
+@query()
+def markdown_rows(spark, d):
+    from laminaflow.operators import features
+    ev = a.machine_events(spark, d)
+    classes = ev.groupBy("session_id").agg(F.lit("REAL_PRINT").alias("classification"), F.max("confidence").alias("confidence"))
+    files = ev.groupBy("session_id", F.col("family").alias("relative_path")).agg(
+        F.first("family").alias("family"), F.lit("primary").alias("role"), F.count(F.lit(1)).alias("size_bytes"), F.lit("ok").alias("quality_status"))
+    return sinks.markdown_rows(classes, files, features.phase_segments(ev, None, ["event_id"]), features.layer_outliers(features.layer_features(ev)))
+
+
 # sets ---------------------------------------------------------------------------------------------------------
 
 @query(f"WITH {a.ME} SELECT session_id, event_id, 'event' AS kind FROM me UNION ALL SELECT session_id, event_id, 'transition' FROM me WHERE family <> 'monitor100_log'")

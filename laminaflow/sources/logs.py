@@ -31,7 +31,7 @@ def midnight_rollover(df: DataFrame, keys: list[str], order: list[str], ts: str
 
     Comparing raw stamps is enough: both sides of the comparison carry the same day shift.
     """
-    s = Series(df, keys, order).with_last_before("_before", ts)
+    s = Series(df, keys, order).with_last_before(_before=ts)
     fell = F.col(ts).isNotNull() & F.coalesce(
         F.col(ts) + F.expr("interval 12 hours") < F.col("_before"), F.lit(False))
     s = s.with_column("_fell", fell.cast("long")).with_running_sum("_days", F.col("_fell"))

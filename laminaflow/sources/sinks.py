@@ -94,56 +94,63 @@ def export_tables(tables: dict[str, DataFrame], root: str, categories: Sequence[
     return written
 
 
-def _listed(df: DataFrame, fields: Sequence[str], order: Sequence[str], name: str) -> DataFrame:
-    """Rows of a session as an ordered array of structs."""
-    packed = F.array_sort(F.collect_list(F.struct(F.struct(*order).alias("_o"), F.struct(*fields).alias("r"))))
-    return df.groupBy("session_id").agg(F.transform(packed, lambda x: x["r"]).alias(name))
+# Sections of a session report, in document order.
+REPORT_SECTIONS = ["session_summary", "features", "file_inventory", "data_quality", "phase_segments", "layer_features",
+                   "anomalies", "timeline", "version_metadata"]
 
 
-def session_reports(classes: DataFrame, features: DataFrame, files: DataFrame, segments: DataFrame, layers: DataFrame,
-                    quality: DataFrame, preview: DataFrame, versions: dict[str, str]) -> DataFrame:
-    """One JSON report per session.
+def report_rows(sections: dict[str, tuple[DataFrame, Sequence[str]]], versions: dict[str, str] | None = None) -> DataFrame:
+    """Session reports as JSON lines: (session_id, section_no, section, position, body).
 
-    The document carries the bounded timeline preview; the full timeline is the event table itself, partitioned by
-    session, because a session's events do not fit one row at scale.
+    ``sections`` maps a section name to (rows, order columns). A report is the lines of its session in (section_no,
+    position) order. It is never gathered into one row, because a session can hold any share of the data.
     """
-    parts = [
-        features.groupBy("session_id").agg(F.first(F.struct(*[c for c in features.columns if c != "session_id"])).alias("features")),
-        _listed(files, ["relative_path", "family", "role", "checksum", "size_bytes", "encoding", "quality_status"], ["relative_path"], "file_inventory"),
-        _listed(segments, ["phase", "ts_start", "ts_end", "layer_start", "layer_end", "confidence"], ["segment_no"], "phase_segments"),
-        _listed(layers, ["layer", "event_count", "layer_duration_sec", "delta_from_previous_layer_sec", "event_types"], ["layer"], "layer_features"),
-        _listed(preview, ["ts", "layer", "event_type", "shown_as"], ["ts", "event_id"], "timeline"),
-        quality.select("session_id", F.struct(*[c for c in quality.columns if c != "session_id"]).alias("data_quality")),
-    ]
-    df = classes.select("session_id", "classification", F.col("confidence").alias("classification_confidence"))
-    for p in parts:
-        df = df.join(p, "session_id", "left")
-    meta = F.struct(*[F.lit(v).alias(k) for k, v in versions.items()])
-    doc = F.to_json(F.struct("*", meta.alias("version_metadata")))
-    return df.select("session_id", doc.alias("report"))
-
-
-def markdown_reports(classes: DataFrame, files: DataFrame, segments: DataFrame, anomalies: DataFrame) -> DataFrame:
-    """Short text report per session."""
-    def lines(df: DataFrame, order: Sequence[str], line: Column, name: str) -> DataFrame:
-        packed = F.array_sort(F.collect_list(F.struct(F.struct(*order).alias("o"), line.alias("l"))))
-        return df.groupBy("session_id").agg(F.concat_ws("\n", F.transform(packed, lambda x: x["l"])).alias(name))
+    parts = []
+    for name in REPORT_SECTIONS:
+        if name not in sections:
+            continue
+        df, order = sections[name]
+        body = F.to_json(F.struct(*[c for c in df.columns if c != "session_id"]))
+        numbered = Series(df.select("session_id", *order, body.alias("body")), ["session_id"], list(order)).with_row_number("position")
+        parts.append(numbered.frame.select("session_id", F.lit(REPORT_SECTIONS.index(name)).alias("section_no"), F.lit(name).alias("section"), "position", "body"))
+    if versions:
+        base = sections["session_summary"][0].select("session_id").distinct()
+        meta = F.to_json(F.struct(*[F.lit(v).alias(k) for k, v in versions.items()]))
+        no = len(REPORT_SECTIONS) - 1
+        parts.append(base.select("session_id", F.lit(no).alias("section_no"), F.lit(REPORT_SECTIONS[no]).alias("section"), F.lit(1).cast("long").alias("position"), meta.alias("body")))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+def markdown_rows(classes: DataFrame, files: DataFrame, segments: DataFrame, anomalies: DataFrame) -> DataFrame:
+    """Text reports as ordered lines: (session_id, section_no, position, line)."""
     text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("None"))
-    f = lines(files, ["relative_path"], F.concat(
-        F.lit("- "), "relative_path", F.lit(": "), "family", F.lit(" / "), "role", F.lit(", "), text("size_bytes"),
-        F.lit(" bytes, quality="), "quality_status"), "_files")
-    s = lines(segments, ["segment_no"], F.concat(F.lit("- "), "phase", F.lit(": "), text("ts_start"), F.lit(" -> "), text("ts_end")), "_segments")
-    a = lines(anomalies, ["anomaly_type", "layer"], F.concat(
-        F.lit("- "), "anomaly_type", F.lit(": severity="), "severity", F.lit(", confidence="), text("confidence")), "_anomalies")
-    df = classes
-    for p in (f, s, a):
-        df = df.join(p, "session_id", "left")
-    body = F.concat_ws(
-        "\n", F.concat(F.lit("# Session Report: "), F.col("session_id").cast("string")), F.lit(""), F.lit("## Summary"),
-        F.concat(F.lit("- Classification: "), "classification", F.lit(" ("), text("confidence"), F.lit(")")), F.lit(""),
-        F.lit("## File Inventory"), "_files", F.lit(""), F.lit("## Timeline And Phases"), "_segments", F.lit(""),
-        F.lit("## Anomalies"), F.coalesce("_anomalies", F.lit("- No deterministic anomalies were generated.")))
-    return df.select("session_id", body.alias("report"))
+    sid = F.col("session_id").cast("string")
+    heads = F.array(*[F.struct(F.lit(no).alias("section_no"), F.lit(p).cast("long").alias("position"), line.alias("line")) for no, p, line in [
+        (0, 1, F.concat(F.lit("# Session Report: "), sid)), (0, 2, F.lit("## Summary")),
+        (0, 3, F.concat(F.lit("- Classification: "), "classification", F.lit(" ("), text("confidence"), F.lit(")"))),
+        (1, 0, F.lit("## File Inventory")), (2, 0, F.lit("## Timeline And Phases")), (3, 0, F.lit("## Anomalies"))]])
+    out = classes.select("session_id", F.inline(heads))
+    rows = [
+        (1, files, ["relative_path"], F.concat(F.lit("- "), "relative_path", F.lit(": "), "family", F.lit(" / "), "role", F.lit(", "), text("size_bytes"), F.lit(" bytes, quality="), "quality_status")),
+        (2, segments, ["segment_no"], F.concat(F.lit("- "), "phase", F.lit(": "), text("ts_start"), F.lit(" -> "), text("ts_end"))),
+        (3, anomalies, ["anomaly_type", "layer"], F.concat(F.lit("- "), "anomaly_type", F.lit(": severity="), "severity", F.lit(", confidence="), text("confidence"))),
+    ]
+    for no, df, order, line in rows:
+        s = Series(df.select("session_id", *order, line.alias("line")), ["session_id"], order).with_row_number("position")
+        out = out.unionByName(s.frame.select("session_id", F.lit(no).alias("section_no"), "position", "line"))
+    quiet = classes.join(anomalies.select("session_id").distinct(), "session_id", "left_anti")
+    return out.unionByName(quiet.select("session_id", F.lit(3).alias("section_no"), F.lit(1).cast("long").alias("position"),
+                                        F.lit("- No deterministic anomalies were generated.").alias("line")))
+
+
+def write_reports(rows: DataFrame, path: str, body: str, files: int = 200) -> None:
+    """Text files with the lines of each session together and in order; a long session may span files."""
+    order = ["session_id", "section_no", "position"]
+    rows.repartitionByRange(files, *order).sortWithinPartitions(*order).select(
+        F.to_json(F.struct(*order, body))).write.mode("overwrite").text(path)
 
 
 def evidence_rows(events: DataFrame, order: Sequence[str], limit: int = 200, key: str = "session_id") -> DataFrame:

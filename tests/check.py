@@ -17,7 +17,7 @@ sf = sys.argv[1] if len(sys.argv) > 1 else "0.01"
 wanted = sys.argv[2:]
 extra = {}
 if os.environ.get("HOT"):
-    extra["laminaflow__hotRows"] = os.environ["HOT"]
+    extra["spark__laminaflow__hotRows"] = os.environ["HOT"]
 spark = build_session(master="local[8]", spark__ui__enabled="false", spark__sql__shuffle__partitions="8",
                       spark__driver__memory="12g", **extra)
 spark.sparkContext.setLogLevel("ERROR")
