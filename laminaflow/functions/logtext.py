@@ -30,22 +30,23 @@ def stamp(line: Column, day: Column) -> Column:
 
     A bare clock needs ``day``; its uncertainty is one day because the day is only a hint.
     """
-    def micro(pattern: str, group: int) -> Column:
-        return F.rpad(F.substring(F.regexp_extract(line, pattern, group), 1, 6), 6, "0")
-    def dated(pattern: str, y: int, m: int, d: int) -> Column:
-        part = [F.regexp_extract(line, pattern, g) for g in (y, m, d)]
-        text = F.concat(F.concat_ws("-", *part), F.lit(" "), F.regexp_extract(line, pattern, 4),
-                        F.lit("."), micro(pattern, 5))
-        return text.try_cast("timestamp")
-    clock = F.concat(day.cast("string"), F.lit(" "), F.regexp_extract(line, CLOCK_STAMP, 1),
-                     F.lit("."), micro(CLOCK_STAMP, 2)).try_cast("timestamp")
+    # one scan of the line per layout; the parts are then cut out of the short token it found
+    def token(pattern: str) -> Column:
+        return F.regexp_extract(line, pattern, 0)
+    def clock_text(raw: Column) -> Column:
+        micros = F.rpad(F.substring(F.regexp_extract(raw, CLOCK_STAMP, 2), 1, 6), 6, "0")
+        return F.concat(F.regexp_extract(raw, CLOCK_STAMP, 1), F.lit("."), micros)
+    def dated(raw: Column, y: int, m: int, d: int) -> Column:
+        parts = F.concat_ws("-", F.substring(raw, y, 4), F.substring(raw, m, 2), F.substring(raw, d, 2))
+        return F.when(raw != "", F.concat(parts, F.lit(" "), clock_text(raw)).try_cast("timestamp"))
+    clock = F.concat(day.cast("string"), F.lit(" "), clock_text(token(CLOCK_STAMP))).try_cast("timestamp")
     def found(ts: Column, pattern: str, doubt: float) -> Column:
         return F.when(ts.isNotNull(), F.struct(
-            ts.alias("ts"), F.regexp_extract(line, pattern, 0).alias("raw"),
+            ts.alias("ts"), token(pattern).alias("raw"),
             F.lit(doubt).alias("uncertainty")))
     return F.coalesce(
-        found(dated(ISO_STAMP, 1, 2, 3), ISO_STAMP, 0.0),
-        found(dated(DAY_FIRST_STAMP, 3, 2, 1), DAY_FIRST_STAMP, 0.0),
+        found(dated(token(ISO_STAMP), 1, 6, 9), ISO_STAMP, 0.0),
+        found(dated(token(DAY_FIRST_STAMP), 7, 4, 1), DAY_FIRST_STAMP, 0.0),
         found(clock, CLOCK_STAMP, 86400.0),
         F.struct(F.lit(None).cast("timestamp").alias("ts"), F.lit(None).cast("string").alias("raw"),
                  F.lit(0.0).alias("uncertainty")))
@@ -151,35 +152,36 @@ ZERO_POSITION = r"(?iu)старт\s+ноль\s*=\s*(-?\d+)"
 LAYER_MENTION = r"(?iu)(?:layer|слой)\s*[:=#-]?\s*(\d+)"
 VERTICAL_POSITION = r"(?iu)(?:LIR|vertical|z|позици[яи])\s*[:= ]\s*([-+]?\d+(?:[.,]\d+)?)"
 
-# Phrase -> (event type, phase); the first phrase found decides. A tuple needs all its parts.
+# Fixed values: (words, all needed?, pattern or None, event type, phase); the first phrase found decides. Words are
+# looked up in the lower-cased line, which is cheap; a pattern only runs on lines that have a word.
 EVENT_PHRASES = [
-    ((r"(?iu)ожидание", r"(?iu)прожиг"), "wait_for_burn", None),
-    (LAYER_POUR, "layer_pour", "pour"),
-    (BURN_LINE, "burn_event", "burn"),
-    (r"(?iu)старт прожига|start burn", "burn_start", "burn"),
-    (r"(?iu)перемещение ракеля", "recoater_move", None),
-    (ZERO_POSITION, "session_start", "init"),
-    (r"(?iu)pause|пауза|останов", "pause", "pause"),
-    (r"(?iu)resume|продолж|возобнов", "resume", "restart_attempts"),
-    (r"(?iu)restart|перезапуск|рестарт", "restart_attempt", "restart_attempts"),
-    (r"(?iu)finish|end|заверш|конец", "finish", "finish"),
-    (r"(?iu)burn|спек|плав|прожиг", "burn_event", "burn"),
-    (r"(?iu)start|старт|начал", "start", "init"),
-    (LAYER_MENTION, "layer_reference", None),
+    (("ожидание", "прожиг"), True, None, "wait_for_burn", None),
+    (("отсыпка",), True, LAYER_POUR, "layer_pour", "pour"),
+    (("прожиг",), True, BURN_LINE, "burn_event", "burn"),
+    (("старт прожига", "start burn"), False, None, "burn_start", "burn"),
+    (("перемещение ракеля",), True, None, "recoater_move", None),
+    (("старт",), True, ZERO_POSITION, "session_start", "init"),
+    (("pause", "пауза", "останов"), False, None, "pause", "pause"),
+    (("resume", "продолж", "возобнов"), False, None, "resume", "restart_attempts"),
+    (("restart", "перезапуск", "рестарт"), False, None, "restart_attempt", "restart_attempts"),
+    (("finish", "end", "заверш", "конец"), False, None, "finish", "finish"),
+    (("burn", "спек", "плав", "прожиг"), False, None, "burn_event", "burn"),
+    (("start", "старт", "начал"), False, None, "start", "init"),
+    (("layer", "слой"), False, LAYER_MENTION, "layer_reference", None),
 ]
 
 
 def event_kind(line: Column) -> Column:
     """Struct(event_type, phase) of an event-log line."""
-    def found(pattern) -> Column:
-        parts = (pattern,) if isinstance(pattern, str) else pattern
-        cond = line.rlike(parts[0])
-        for p in parts[1:]:
-            cond = cond & line.rlike(p)
-        return cond
+    low = F.lower(line)
+    def found(words, every, pattern) -> Column:
+        cond = F.contains(low, F.lit(words[0]))
+        for w in words[1:]:
+            cond = (cond & F.contains(low, F.lit(w))) if every else (cond | F.contains(low, F.lit(w)))
+        return cond if pattern is None else cond & line.rlike(pattern)
     return first_match(
-        [(found(p), F.struct(F.lit(t).alias("event_type"), F.lit(ph).cast("string").alias("phase")))
-         for p, t, ph in EVENT_PHRASES],
+        [(found(w, every, p), F.struct(F.lit(t).alias("event_type"), F.lit(ph).cast("string").alias("phase")))
+         for w, every, p, t, ph in EVENT_PHRASES],
         F.struct(F.lit("log_message").alias("event_type"), F.lit(None).cast("string").alias("phase")))
 
 

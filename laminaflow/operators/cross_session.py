@@ -136,18 +136,20 @@ def signal_shifts(stats: DataFrame, min_pct: float = 10.0, min_sessions: int = 6
                   jump: int = 5) -> DataFrame:
     """Step changes of the session mean.
 
-    Segmentation is sequential, so a signal is one Python group; what travels there is one (position, mean) pair
-    of numbers per session and what comes back are the cut positions. Levels and session ids come from running
-    sums on the Spark side. ``jump`` is the grid of candidate positions (the usual library default).
+    Segmentation is sequential, so a signal is one array; what travels to Python is one number per session (never
+    a reading) and what comes back are the cut positions. Levels and session ids come from running sums on the
+    Spark side. ``jump`` is the grid of candidate positions (the usual library default).
     """
     s = Series(_means(stats).select("signal", "session_id", "start_ts", "mean"), ["signal"], ORDER)
     s = s.with_row_number("_rn").with_running_sum("_sum", F.col("mean"))
     rows = s.frame.select("signal", "session_id", (F.col("_rn") - 1).alias("pos"), "mean", (F.col("_sum") - F.col("mean")).alias("_before"))
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        v = pdf.sort_values("pos")["mean"].to_numpy(dtype=float)
-        cuts = change_points(v, min_size, jump) if len(v) >= min_sessions else []
-        return pd.DataFrame({"signal": pdf["signal"].iat[0], "pos": cuts, "prev": [0, *cuts][:len(cuts)]}, columns=["signal", "pos", "prev"])
-    cuts = rows.select("signal", "pos", "mean").groupBy("signal").applyInPandas(run, "signal string, pos long, prev long")
+    @F.pandas_udf("array<long>")
+    def cut(series: pd.Series) -> pd.Series:
+        return pd.Series([change_points(np.asarray(v, dtype=float), min_size, jump) for v in series])
+    packed = rows.groupBy("signal").agg(F.array_sort(F.collect_list(F.struct("pos", "mean"))).alias("_p"))
+    packed = packed.where(F.size("_p") >= min_sessions).select("signal", cut(F.transform("_p", lambda p: p["mean"])).alias("_c"))
+    cuts = packed.select("signal", F.posexplode("_c").alias("_i", "pos"), "_c").select(
+        "signal", "pos", F.when(F.col("_i") == 0, F.lit(0).cast("long")).otherwise(F.get("_c", F.col("_i") - 1)).alias("prev"))
     total = rows.groupBy("signal").agg(F.count(F.lit(1)).alias("n_sessions"), F.sum("mean").alias("_total"))
     here = rows.select("signal", "pos", F.col("session_id").alias("at_session"), F.col("_before").alias("_s1"))
     there = rows.select("signal", F.col("pos").alias("prev"), F.col("_before").alias("_s0"))

@@ -223,10 +223,9 @@ def document_lines(spark, d):
 def _phrase_sql() -> str:
     """The phrase table for a case-insensitive RE2 engine (ASCII digits and blanks, as in the given texts)."""
     out = []
-    for pattern, kind, _ in EVENT_PHRASES:
-        parts = (pattern,) if isinstance(pattern, str) else pattern
-        cond = " AND ".join("regexp_matches(line, '" + p.replace("(?iu)", "(?i)") + "')" for p in parts)
-        out.append(f"WHEN {cond} THEN '{kind}'")
+    for words, every, pattern, kind, _ in EVENT_PHRASES:
+        parts = [pattern.replace("(?iu)", "")] if pattern else (words if every else ["|".join(words)])
+        out.append("WHEN " + " AND ".join(f"regexp_matches(line, '(?i){p}')" for p in parts) + f" THEN '{kind}'")
     return "CASE " + " ".join(out) + " ELSE 'log_message' END"
 
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 import re
 from functools import reduce
 
+import pandas as pd
+import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,8 +15,16 @@ from laminaflow.functions.scalars import first_match, stable_id
 from laminaflow.model import FILE_FAMILIES, SKIPPED_NAMES, STATE_LOG_MAX_BYTES
 from laminaflow.operators.ordered import Series
 
+LISTING = "path string, size_bytes long, mtime timestamp"
+
+
+def plain_path(path: Column) -> Column:
+    """One spelling of a local path (the sources write file:/x, file:///x or /x)."""
+    return F.regexp_replace(path, "^file:/+", "/")
+
+
 def file_id() -> Column:
-    return F.substring(F.sha2(F.col("path"), 256), 1, 16)
+    return F.substring(F.sha2(plain_path(F.col("path")), 256), 1, 16)
 
 
 def _glob(pattern: str) -> str:
@@ -25,13 +35,34 @@ def file_name(path: Column) -> Column:
     return F.element_at(F.split(path, "/"), -1)
 
 
+def _walk(root: str, recursive: bool) -> pd.DataFrame:
+    """Files (and, one level deep, directories) below ``root``; what vanishes meanwhile is left out."""
+    fs, base = pafs.FileSystem.from_uri(root if "://" in root else "file://" + root)
+    prefix = root[:len(root) - len(base)] if root.endswith(base) else ""
+    found = fs.get_file_info(pafs.FileSelector(base, recursive=recursive, allow_not_found=True))
+    keep = [i for i in found if i.type == pafs.FileType.File or (not recursive and i.type == pafs.FileType.Directory)]
+    return pd.DataFrame({
+        "path": [prefix + i.path for i in keep], "size_bytes": [i.size if i.is_file else -1 for i in keep],
+        "mtime": pd.to_datetime([(i.mtime_ns or 0) // 1000 for i in keep], unit="us", utc=True)}).astype({"size_bytes": "int64"})
+
+
 def list_files(spark: SparkSession, root: str) -> DataFrame:
-    """One row per file under ``root``: metadata only, the content column is never read."""
-    found = (
-        spark.read.format("binaryFile").option("recursiveFileLookup", True)
-        .option("ignoreMissingFiles", True).load(root)
-        .select("path", F.col("length").alias("size_bytes"), F.col("modificationTime").alias("mtime")))
-    return with_names(found, root)
+    """One row per file under ``root``, empty and hidden ones included, which Spark's file sources leave out.
+
+    The driver reads one directory level; the subfolders are listed by tasks. Contents are not opened.
+    """
+    root = re.sub("^file:/+", "/", root).rstrip("/")
+    top = _walk(root, False)
+    plain = spark.createDataFrame([(r.path, int(r.size_bytes), r.mtime.to_pydatetime()) for r in top[top.size_bytes >= 0].itertuples()], LISTING)
+    folders = top[top.size_bytes < 0].path.tolist()
+    if not folders:
+        return with_names(plain, root)
+    def run(batches):
+        for pdf in batches:
+            for folder in pdf["path"]:
+                yield _walk(folder, True)
+    spread = spark.createDataFrame([(f,) for f in folders], "path string").repartition(min(len(folders), 1000))
+    return with_names(plain.unionByName(spread.mapInPandas(run, LISTING)), root)
 
 
 def with_names(df: DataFrame, root: str) -> DataFrame:
@@ -40,7 +71,7 @@ def with_names(df: DataFrame, root: str) -> DataFrame:
     name = file_name(F.col("path"))
     return classify_files(df.select(
         "*", name.alias("name"),
-        F.regexp_replace("path", "^(?:[a-z]+:/*)?" + re.escape(base.lstrip("/")), "").alias("relative_path"),
+        F.regexp_replace("path", "^(?:[a-z0-9]+:)?/*" + re.escape(base.lstrip("/")), "").alias("relative_path"),
         name_date(name).alias("name_date"),
         skip_reason(name, F.col("size_bytes")).alias("skip_reason")))
 
@@ -78,15 +109,16 @@ def inspect_files(spark: SparkSession, root: str, *, large_state_logs: bool = Fa
     raw = (
         spark.read.format("binaryFile").option("recursiveFileLookup", True)
         .option("ignoreMissingFiles", True).load(root)
-        .withColumnRenamed("length", "size_bytes").withColumnRenamed("modificationTime", "mtime"))
-    df = with_names(raw, root)
+        .select("path", F.col("length").alias("size_bytes"), F.col("modificationTime").alias("mtime"), "content"))
+    empty = list_files(spark, root).where("size_bytes = 0").select("path", "size_bytes", "mtime", F.lit(b"").alias("content"))
+    df = with_names(raw.unionByName(empty), root)
     keep = F.col("skip_reason").isNull()
     if large_state_logs:
         keep = keep | ((F.col("family") == "stateflow_log"))
     binary = looks_binary(F.col("content"))
     status = first_match([(F.col("size_bytes") == 0, "zero_byte"), (binary, "binary_or_unknown")], "ok")
     return df.where(keep).select(
-        file_id().alias("file_id"), "path", "relative_path", "name", "family", "role",
+        file_id().alias("file_id"), plain_path(F.col("path")).alias("path"), "relative_path", "name", "family", "role",
         "classification_confidence", "size_bytes", "mtime", "name_date",
         F.sha2("content", 256).alias("checksum"), status.alias("quality_status"),
         F.when(status == "ok", guess_encoding(F.col("content"))).alias("encoding"))
@@ -108,7 +140,7 @@ def read_lines(spark: SparkSession, path: str | list[str], encodings: DataFrame
     if glob:
         reader = reader.option("pathGlobFilter", glob)
     raw = reader.text(path).select(
-        F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_name").alias("name"),
+        plain_path(F.col("_metadata.file_path")).alias("path"), F.col("_metadata.file_name").alias("name"),
         F.col("_metadata.file_modification_time").alias("mtime"),
         F.col("_metadata.file_block_start").alias("_block"),
         F.monotonically_increasing_id().alias("_seq"), "value")

@@ -221,7 +221,8 @@ def state_transitions(rows: DataFrame, keys: list[str], order: list[str]) -> Dat
     shown = {"source_offset": "source_offset_start", "raw_excerpt": "raw_excerpt_sample"}
     return df.select(
         *keys, *order, "ts_start", F.col("ts").alias("ts_end"),
-        F.greatest(seconds_between(F.col("ts_start"), F.col("ts")), F.lit(0.0)).alias("duration_sec"),
+        F.when(F.col("ts") < F.col("ts_start"), 0.0).otherwise(
+            seconds_between(F.col("ts_start"), F.col("ts"))).alias("duration_sec"),
         changed.alias("changed_columns"), values("_prev").alias("previous_state"),
         values("state").alias("new_state"), subsystem_of(changed).alias("subsystem"),
         *[F.col(f"_from_{c}").alias(shown[c]) for c in extra],

@@ -52,7 +52,7 @@ def test_headers(spark):
 
 
 def test_encodings(spark):
-    cases = [(b"", "utf-8"), ("слой".encode(), "utf-8"), (b"\xef\xbb\xbfx", "utf-8-sig"), ("слой 1".encode("cp1251"), "cp1251"), (b"\xff\x98\xe0", "latin-1"), (("a" * 65535 + "я").encode(), "utf-8")]
+    cases = [(b"", "utf-8"), ("слой".encode(), "utf-8"), (b"\xef\xbb\xbfx", "utf-8-sig"), ("слой 1".encode("cp1251"), "cp1251"), (b"\xff\x98\xe0abc", "latin-1"), (b"\xff\x98\xe0", "utf-8"), (("a" * 65535 + "я").encode(), "utf-8")]
     for raw, want in cases:
         assert one(spark, bytearray(raw), guess_encoding, "binary") == want, raw[:10]
     assert [one(spark, bytearray(b), looks_binary, "binary") for b in (b"", b"text\n", b"a\x00b", b"\x01\x02\x03a")] == [False, False, True, True]

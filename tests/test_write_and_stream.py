@@ -143,5 +143,14 @@ def test_hand_over_once_per_row(spark, tmp_path):
 
 def test_liveness_announces_a_source_once(spark, tmp_path):
     df = spark.createDataFrame([("f1",), ("f2",), ("f1",)], "source string")
-    got = sorted((r.source, r.status) for r in streams.drain(streams.source_liveness(feed(spark, tmp_path, [df]), 3600), "l").collect())
-    assert got == [("f1", "live"), ("f2", "live")]
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", streams.ROCKSDB)
+    got = []
+    # timers keep a processing-time query alive, so it is stopped from outside
+    query = streams.source_liveness(feed(spark, tmp_path, [df]), 3600).writeStream.foreachBatch(
+        lambda b, _: got.extend((r.source, r.status) for r in b.collect())).option("checkpointLocation", str(tmp_path / "ck")).start()
+    for _ in range(60):
+        if len(got) >= 2 or query.exception():
+            break
+        query.awaitTermination(1)
+    query.stop()
+    assert sorted(got) == [("f1", "live"), ("f2", "live")]
