@@ -23,14 +23,11 @@ def signal_stats(readings: DataFrame, dimension: DataFrame, keys: Sequence[str]
     limits = F.broadcast(dimension.select("signal", "group", "alarm_low", "alarm_high"))
     clean = readings.where(finite(F.col("value")))
     tagged = clean.join(limits, "signal", "left")
-    moments = tagged.groupBy(*keys).agg(
-        F.first("group", ignorenulls=True).alias("group"),
-        F.count(F.lit(1)).alias("n"), F.avg("value").alias("mean"), F.stddev_pop("value").alias("std"),
-        F.min("value").alias("min"), F.max("value").alias("max"),
-        (F.count_if(F.col("value") > F.col("alarm_high"))
-         + F.count_if(F.col("value") < F.col("alarm_low"))).alias("alarm_count")).where(F.col("n") >= min_rows)
-    cuts = group_quantiles(clean, keys, "value", {"p05": 0.05, "p95": 0.95, "p99": 0.99})
-    out = moments.join(cuts, keys)
+    facts = {
+        "group": F.first("group", ignorenulls=True), "n": F.count(F.lit(1)), "mean": F.avg("value"), "std": F.stddev_pop("value"),
+        "min": F.min("value"), "max": F.max("value"),
+        "alarm_count": F.count_if(F.col("value") > F.col("alarm_high")) + F.count_if(F.col("value") < F.col("alarm_low"))}
+    out = group_quantiles(tagged, keys, "value", {"p05": 0.05, "p95": 0.95, "p99": 0.99}, extra=facts).where(F.col("n") >= min_rows)
     if slope:
         out = out.join(theil_sen(clean, keys, order, "value", name="trend_slope").drop("n"), keys)
     return out
@@ -41,11 +38,9 @@ def compact_signal_stats(readings: DataFrame, keys: Sequence[str] = ("session_id
     """Statistics of short stored series: nearest-rank quantiles and the stride slope."""
     keys = list(keys)
     clean = readings.where(finite(F.col("value")))
-    moments = clean.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("n"), F.avg("value").alias("mean"), F.stddev_pop("value").alias("std"),
-        F.min("value").alias("min"), F.max("value").alias("max")).where(F.col("n") >= min_rows)
-    cuts = group_quantiles(clean, keys, "value", {"p05_nearest": 0.05, "p95_nearest": 0.95}, nearest=True)
-    return moments.join(cuts, keys).join(stride_slope(clean, keys, order, "value"), keys)
+    facts = {"n": F.count(F.lit(1)), "mean": F.avg("value"), "std": F.stddev_pop("value"), "min": F.min("value"), "max": F.max("value")}
+    out = group_quantiles(clean, keys, "value", {"p05_nearest": 0.05, "p95_nearest": 0.95}, nearest=True, extra=facts)
+    return out.where(F.col("n") >= min_rows).join(stride_slope(clean, keys, order, "value"), keys)
 
 
 def wide_signal_stats(stats: DataFrame, signals: Sequence[str],

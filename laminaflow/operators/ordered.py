@@ -188,20 +188,23 @@ def median_of_array(col: Column) -> Column:
 
 
 def group_quantiles(df: DataFrame, keys: Sequence[str], value: str, wanted: dict[str, float],
-                    nearest: bool = False) -> DataFrame:
+                    nearest: bool = False, extra: dict[str, Column] | None = None) -> DataFrame:
     """Exact quantiles per key: linear interpolation, or the element at round-half-even(q*(n-1)).
 
     Cool keys use the built-in ``percentile``. Hot keys are first reduced to (value, count), then ranked by the
     chunked running sum, and only the one or two rows at each rank are kept. The nearest form ranks always.
+    ``extra`` adds further aggregates of the same rows; without hot keys they share the one shuffle.
     """
-    keys = list(keys)
-    src = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).alias("_v"))
+    keys, extra = list(keys), extra or {}
+    rows = df.where(F.col(value).isNotNull())
+    more = [c.alias(n) for n, c in extra.items()]
+    src = rows.select(*keys, F.col(value).alias("_v"))
     limit = hot_limit(df.sparkSession)
     hot = src.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
     if not nearest and hot.where(F.col("_n") > limit).isEmpty():
         qs = list(wanted.values())
-        packed = src.groupBy(*keys).agg(F.percentile("_v", F.array(*[F.lit(q) for q in qs])).alias("_q"))
-        return packed.select(*keys, *[F.col("_q")[i].alias(n) for i, n in enumerate(wanted)])
+        packed = rows.groupBy(*keys).agg(F.percentile(value, F.array(*[F.lit(q) for q in qs])).alias("_q"), *more)
+        return packed.select(*keys, *[F.col("_q")[i].alias(n) for i, n in enumerate(wanted)], *extra)
     tally = src.groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_c"))
     ranked = Series(tally, keys, ["_v"]).with_running_sum("_upto", F.col("_c")).frame
     ranked = null_safe_join(ranked, hot, keys)
@@ -218,7 +221,8 @@ def group_quantiles(df: DataFrame, keys: Sequence[str], value: str, wanted: dict
     def value_of(name: str) -> Column:
         lo, hi, f = F.col(f"_lo_{name}"), F.col(f"_hi_{name}"), F.col(f"_f_{name}")
         return (lo if nearest else lo * (1 - f) + hi * f).alias(name)
-    return out.select(*keys, *[value_of(n) for n in wanted])
+    out = out.select(*keys, *[value_of(n) for n in wanted])
+    return null_safe_join(out, rows.groupBy(*keys).agg(*more), keys) if more else out
 
 
 def group_medians(df: DataFrame, keys: Sequence[str], value: str, name: str = "med") -> DataFrame:
