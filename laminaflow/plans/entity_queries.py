@@ -556,3 +556,43 @@ def manual_merge(spark, d):
     s = a.sessions(spark, d).withColumn("session_id", F.col("session_id").cast("string")).withColumn("file_count", F.lit(1).cast("long")).withColumn("grouping_confidence", F.lit(0.5))
     merges = s.where("cast(session_id as int) < 50").select("session_id", F.concat(F.lit("g"), F.floor(F.col("session_id").cast("int") / 10).cast("string")).alias("merged_id"))
     return merge(s, merges).drop("grouping_confidence")
+
+
+@query(f"WITH {a.EV} SELECT user_id AS session_id, {ts('max(ts)')} AS created_at FROM ev GROUP BY 1 ORDER BY max(ts) DESC, 1 LIMIT 1")
+def newest_session(spark, d):
+    s = a.events(spark, d).groupBy(F.col("user_id").alias("session_id")).agg(F.max("ts").alias("created_at"))
+    return summaries.newest_session(s)
+
+
+@query(f"""WITH {a.ME}, g AS (SELECT session_id, floor(epoch_us(ts) / 3600000000) AS b, event_type, layer // 10 AS l, subsystem, count(*) AS c FROM me GROUP BY 1, 2, 3, 4, 5)
+SELECT session_id, 'deduplicated_semantic_equivalent_events' AS code, event_type, c AS copies FROM g WHERE c > 1""")
+def dedup_diagnostics(spark, d):
+    from laminaflow.operators import features
+    ev = a.machine_events(spark, d).withColumn("layer", F.floor(F.col("layer") / 10))
+    return features.dedup_diagnostics(features.deduplicate(ev, ["ts", "event_id"], 3600))
+
+
+@query()
+def session_kpis(spark, d):
+    from laminaflow.operators import features
+    ev = a.machine_events(spark, d).withColumn("session_id", F.concat(F.lit("session_"), F.col("session_id").cast("string")))
+    spans = ev.groupBy("session_id").agg(F.min("ts").alias("start_ts"), F.max("ts").alias("end_ts"))
+    files = ev.groupBy("session_id", "family").agg(F.count(F.lit(1)).alias("line_count"))
+    tr = ev.select("session_id", F.col("ts").alias("ts_start"), "subsystem", "family")
+    over = features.session_overview(spans, files, ev, tr).drop("subsystem_instability")
+    classes = a.sessions(spark, d).select(F.concat(F.lit("session_"), F.col("session_id").cast("string")).alias("session_id"), "classification")
+    scores = quality.quality_score(spans, quality.layer_gaps(ev).select("session_id", F.lit("layer_gaps").alias("kind"), F.col("missing").alias("count")))
+    return page(summaries.session_kpis(over, classes, scores), [F.desc("start_ts"), F.col("session_id")], 0, 100)
+
+
+@query(f"""WITH {_PT}, n AS (SELECT count(*) AS n FROM se) SELECT 'Recurring pattern: ' || pattern AS title, 'recurring_pattern' AS insight_type, n AS sample_size,
+  {num('greatest(0, least(count / n * 0.45 + 0.7 * 0.45 - 0.15, 0.95))')} AS confidence, 'needs_review' AS status, 'Draft insight generated by bounded historical analysis; requires human review.' AS description FROM pt, n""")
+def insight_drafts(spark, d):
+    s = a.sessions(spark, d)
+    return insights.insight_drafts(insights.pattern_hypotheses(summaries.repeated_patterns(s, _FEATS), s))
+
+
+@query("SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, round(l_quantity * 0.05 + CAST(0.00000000037 AS DOUBLE), 6) + 0.0 AS consumed_kg FROM lineitem")
+def layer_consumption(spark, d):
+    from laminaflow.operators.features import consumption_by_layers
+    return a.table(spark, d, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", consumption_by_layers(F.col("l_quantity")).alias("consumed_kg"))
