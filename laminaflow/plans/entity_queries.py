@@ -107,7 +107,7 @@ _LAST = "last AS (SELECT session_id FROM se ORDER BY start_ts DESC, session_id L
 g AS (SELECT * FROM oe WHERE event_type IN ('gas_cylinder_replaced', 'gas_consumption_recorded', 'gas_pressure_issue') AND session_id IN (SELECT session_id FROM last)),
 t AS (SELECT coalesce(sum(value) FILTER (event_type = 'gas_consumption_recorded' AND unit = 'bar'), 0) AS v, count(*) FILTER (event_type = 'gas_cylinder_replaced') AS c, count(*) FILTER (event_type = 'gas_consumption_recorded') AS r,
   string_agg(DISTINCT gas_cylinder_id, ',' ORDER BY gas_cylinder_id) AS cyl FROM g)
-SELECT {num('v')} AS total_consumed_bar, {num('v / 30')} AS avg_per_session_bar, c AS cylinder_changes, r AS consumption_records, cyl AS cylinders_used, 30 AS sessions_analyzed FROM t""")
+SELECT {num('v')} AS total_consumed_bar, {num('v / 30')} AS avg_per_session_bar, c AS cylinder_changes, r AS consumption_records, cyl AS cylinders_used, CAST(30 AS BIGINT) AS sessions_analyzed FROM t""")
 def gas_summary(spark, d):
     return summaries.gas_summary(a.sessions(spark, d), a.operator_events(spark, d), 30)
 
@@ -116,14 +116,14 @@ def gas_summary(spark, d):
 g AS (SELECT * FROM oe WHERE event_type IN ('powder_consumption_recorded', 'powder_reused') AND session_id IN (SELECT session_id FROM last)),
 t AS (SELECT coalesce(sum(value) FILTER (event_type = 'powder_consumption_recorded' AND unit = 'kg'), 0) AS v, count(*) FILTER (event_type = 'powder_reused') AS r,
   max(floor(coalesce(value, 0))) FILTER (event_type = 'powder_reused') AS m, string_agg(DISTINCT powder_batch, ',' ORDER BY powder_batch) AS b FROM g)
-SELECT {num('v')} AS total_consumed_kg, {num('v / 30')} AS avg_per_session_kg, b AS batches_used, r AS reuse_events, {big('m')} AS max_reuse_cycle, 30 AS sessions_analyzed FROM t""")
+SELECT {num('v')} AS total_consumed_kg, {num('v / 30')} AS avg_per_session_kg, b AS batches_used, r AS reuse_events, {big('m')} AS max_reuse_cycle, CAST(30 AS BIGINT) AS sessions_analyzed FROM t""")
 def powder_summary(spark, d):
     return summaries.powder_summary(a.sessions(spark, d), a.operator_events(spark, d), 30)
 
 
 @query(f"""WITH {a.SE}, {a.OC}, {_LAST}, t AS (SELECT count(*) AS n, count(*) FILTER (result = 'accepted') AS ac, count(*) FILTER (result = 'rejected') AS rj, count(*) FILTER (result = 'warning') AS w
   FROM oc WHERE session_id IN (SELECT session_id FROM last))
-SELECT n AS total_outcomes, ac AS accepted, rj AS rejected, w AS warnings, {num('ac / greatest(n, 1) * 100')} AS accepted_pct, {num('rj / greatest(n, 1) * 100')} AS rejected_pct, 30 AS sessions_analyzed FROM t""")
+SELECT n AS total_outcomes, ac AS accepted, rj AS rejected, w AS warnings, {num('ac / greatest(n, 1) * 100')} AS accepted_pct, {num('rj / greatest(n, 1) * 100')} AS rejected_pct, CAST(30 AS BIGINT) AS sessions_analyzed FROM t""")
 def quality_summary(spark, d):
     return summaries.quality_summary(a.sessions(spark, d), a.outcomes(spark, d), 30)
 
@@ -338,7 +338,7 @@ def _slices(spark, d):
         (F.col("l_quantity") * 0.05).alias("height_mm"))
 
 
-@query(f"""WITH {_PTM} SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, {num('scan * cf')} AS scan_hours, {num('CASE WHEN hs IS NOT NULL THEN recoat * cf END')} AS recoat_hours, {num('(scan + recoat) * cf')} AS print_hours,
+@query(f"""WITH {_PTM} SELECT l_orderkey, l_partkey, l_suppkey, CAST(l_linenumber AS BIGINT) AS l_linenumber, {num('scan * cf')} AS scan_hours, {num('CASE WHEN hs IS NOT NULL THEN recoat * cf END')} AS recoat_hours, {num('(scan + recoat) * cf')} AS print_hours,
   {num('scan + recoat')} AS raw_print_hours, concat_ws(',', CASE WHEN cs IS NULL THEN 'contour_speed_missing' END, 'jump_speed_default', CASE WHEN rc IS NULL THEN 'recoat_time_default' END) AS time_warnings,
   CASE WHEN hs IS NULL THEN 'hatch_speed_missing' END AS unavailable_reason FROM tm""")
 def print_time(spark, d):
@@ -357,7 +357,7 @@ def platform_rollup(spark, d):
 
 @query(f"""WITH {_OV}, p AS (SELECT part_id, p_retailprice * 100 AS vol, CASE WHEN p_size > 10 THEN 7.8 END AS den, CASE WHEN p_brand <> 'Brand#1' THEN p_retailprice END AS pc, CASE WHEN p_size > 25 THEN 3.0 END AS gc, hatch_speed_mm_s AS h FROM part JOIN ov ON part_id = p_partkey),
 c AS (SELECT *, vol / 1000 * den / 1000 AS kg, vol / 1000 * den / 1000 * pc AS pl, gc * 12 AS gl, h / 300 * 9000 AS fl FROM p)
-SELECT part_id, {num('kg')} AS powder_kg, {num('pl')} AS powder_line, {num('gl')} AS gas_line, {num('fl')} AS filter_line, NULL AS platform_line, {num('coalesce(pl, 0) + coalesce(gl, 0) + fl')} AS total_cost,
+SELECT part_id, {num('kg')} AS powder_kg, {num('pl')} AS powder_line, {num('gl')} AS gas_line, {num('fl')} AS filter_line, CAST(NULL AS DOUBLE) AS platform_line, {num('coalesce(pl, 0) + coalesce(gl, 0) + fl')} AS total_cost,
   concat_ws(',', CASE WHEN den IS NULL THEN 'density_missing' WHEN pl IS NULL THEN 'powder_price_missing' END, CASE WHEN gl IS NULL THEN 'gas_rate_missing' END, 'platform_rate_missing') AS cost_warnings FROM c""")
 def cost_lines(spark, d):
     merged = linking.overlay_params(*_params(spark, d), ["hatch_speed_mm_s", "hatch_distance_mm"])
@@ -468,7 +468,7 @@ def file_row_ids(spark, d):
 
 
 @query(f"""WITH {a.ME}, i AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY ts, event_id) AS position FROM me)
-SELECT session_id, position, {ts('ts')} AS ts, {big('layer')} AS layer, subsystem, NULL AS phase, event_type, {num('confidence')} AS confidence FROM i WHERE position <= 20""")
+SELECT session_id, position, {ts('ts')} AS ts, {big('layer')} AS layer, subsystem, CAST(NULL AS VARCHAR) AS phase, event_type, {num('confidence')} AS confidence FROM i WHERE position <= 20""")
 def evidence_rows(spark, d):
     return sinks.evidence_rows(a.machine_events(spark, d), ["ts", "event_id"], 20)
 
@@ -509,7 +509,7 @@ def file_classification(spark, d):
 
 
 @query(f"""WITH {a.ME}, f AS (SELECT session_id, family, count(*) AS n FROM me GROUP BY 1, 2), r AS (SELECT session_id, family, n, row_number() OVER (PARTITION BY session_id ORDER BY family) AS p FROM f)
-SELECT session_id, 0 AS section_no, 'session_summary' AS section, 1 AS position, '{{"events":' || count(*) || '}}' AS body FROM me GROUP BY 1
+SELECT session_id, CAST(0 AS BIGINT) AS section_no, 'session_summary' AS section, 1 AS position, '{{"events":' || count(*) || '}}' AS body FROM me GROUP BY 1
 UNION ALL SELECT session_id, 2, 'file_inventory', p, '{{"family":"' || family || '","n":' || n || '}}' FROM r
 UNION ALL SELECT DISTINCT session_id, 8, 'version_metadata', 1, '{{"analysis_version":"0.1.0"}}' FROM me""")
 def report_rows(spark, d):
@@ -592,7 +592,7 @@ def insight_drafts(spark, d):
     return insights.insight_drafts(insights.pattern_hypotheses(summaries.repeated_patterns(s, _FEATS), s))
 
 
-@query("SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, round(l_quantity * 0.05 + CAST(0.00000000037 AS DOUBLE), 6) + 0.0 AS consumed_kg FROM lineitem")
+@query("SELECT l_orderkey, l_partkey, l_suppkey, CAST(l_linenumber AS BIGINT) AS l_linenumber, round(l_quantity * 0.05 + CAST(0.00000000037 AS DOUBLE), 6) + 0.0 AS consumed_kg FROM lineitem")
 def layer_consumption(spark, d):
     from laminaflow.operators.features import consumption_by_layers
     return a.table(spark, d, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", consumption_by_layers(F.col("l_quantity")).alias("consumed_kg"))

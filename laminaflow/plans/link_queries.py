@@ -134,7 +134,7 @@ def batch_history(spark, d):
     return linking.batch_report(*_powder(spark, d))
 
 
-@query(f"""SELECT c_nationkey AS nation, {num("coalesce(arg_max(o_totalprice, (o_orderdate, o_orderkey)) FILTER (o_orderstatus <> 'P'), 7)")} AS powder_cost
+@query(f"""SELECT CAST(c_nationkey AS BIGINT) AS nation, {num("coalesce(arg_max(o_totalprice, (o_orderdate, o_orderkey)) FILTER (o_orderstatus <> 'P'), 7)")} AS powder_cost
 FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1""")
 def last_powder_price(spark, d):
     rec = a.table(spark, d, "orders").join(a.table(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey")).select(

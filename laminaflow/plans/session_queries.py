@@ -245,7 +245,7 @@ def data_quality(spark, d):
 
 
 @query(f"""WITH {a.ME}, f AS (SELECT session_id, count(*) AS c, count(*) FILTER (layer = 0) AS e FROM me GROUP BY 1), t AS (SELECT session_id, sum(layer) FILTER (layer > 90) AS m FROM me WHERE event_type = 'burn_event' GROUP BY 1)
-SELECT session_id, c AS file_count, e AS empty_file_count, {big('coalesce(m, 0)')} AS malformed_rows, 0 AS repeated_headers FROM f LEFT JOIN t USING (session_id)""")
+SELECT session_id, c AS file_count, e AS empty_file_count, {big('coalesce(m, 0)')} AS malformed_rows, CAST(0 AS BIGINT) AS repeated_headers FROM f LEFT JOIN t USING (session_id)""")
 def report_quality(spark, d):
     files = a.machine_events(spark, d).select("session_id", F.col("layer").alias("size_bytes"))
     return quality.report_quality(files, _tables(spark, d)[0].withColumn("repeated_headers", F.lit(0)))
@@ -294,7 +294,7 @@ def classification(spark, d):
   arg_max(event_id, event_id) FILTER (event_type = 'view') - arg_min(event_id, event_id) FILTER (event_type = 'purchase') AS s2 FROM ev GROUP BY 1, 2),
 r AS (SELECT session_id, layer, s1 AS v, 0 AS q FROM o WHERE s1 IS NOT NULL UNION ALL SELECT session_id, layer, s2 / 1000, 1 FROM o WHERE s2 > 0),
 b AS (SELECT session_id, min(q) AS q FROM r GROUP BY 1)
-SELECT session_id, {big('layer')} AS layer, {num('v')} AS duration_sec, q AS source_rank FROM r JOIN b USING (session_id, q)""")
+SELECT session_id, {big('layer')} AS layer, {num('v')} AS duration_sec, CAST(q AS BIGINT) AS source_rank FROM r JOIN b USING (session_id, q)""")
 def layer_burn_times(spark, d):
     ev = a.events(spark, d)
     kind = F.col("event_type")
