@@ -72,28 +72,21 @@ def decode_line(raw: Column, encoding: Column | None = None) -> Column:
     return F.rtrim(F.when(utf8, F.ltrim(raw, F.lit("﻿"))).otherwise(legacy), F.lit("\r\n"))
 
 
-def guess_encoding(content: Column, sample: int = 65536) -> Column:
-    """utf-8-sig / utf-8 / cp1251 / latin-1 from the head of a file."""
-    head = F.substring(content, 1, sample)
-    size = F.octet_length(head)
-    valid = F.is_valid_utf8(head.cast("string"))
-    for cut in (1, 2, 3):
-        valid = valid | F.is_valid_utf8(F.substring(head, F.lit(1), F.greatest(size - cut, F.lit(0))).cast("string"))
-    text = F.decode(head, "ISO-8859-1")
+def guess_encoding(content: Column) -> Column:
+    """utf-8-sig / utf-8 / cp1251 / latin-1 from the whole content of a file."""
     return first_match([
-        (size == 0, "utf-8"),
-        (F.hex(F.substring(head, 1, 3)) == "EFBBBF", "utf-8-sig"),
-        (valid, "utf-8"),
-        (~F.contains(text, F.lit("\x98")), "cp1251"),
-    ], "latin-1")
-
-
-def looks_binary(content: Column, sample: int = 8192) -> Column:
-    """A NUL byte, or under 70 % text bytes, in the head of a file."""
-    head = F.decode(F.substring(content, 1, sample), "ISO-8859-1")
-    size = F.length(head)
-    texty = F.length(F.regexp_replace(head, r"[^\n\r\t\x08\f\x20-\x7E\x80-\xFF]", ""))
-    return (size > 0) & (F.contains(head, F.lit("\x00")) | (texty / size < 0.7))
+        (F.octet_length(content) == 0, "utf-8"),
+        (~F.is_valid_utf8(content.cast("string")) & ~F.contains(F.decode(content, "ISO-8859-1"), F.lit("\x98")), "cp1251"),
+        (~F.is_valid_utf8(content.cast("string")), "latin-1"),
+        (F.hex(F.substring(content, 1, 3)) == "EFBBBF", "utf-8-sig"),
+    ], "utf-8")
+
+
+def looks_binary(content: Column) -> Column:
+    """A NUL byte, or under 70 % text bytes, anywhere in a file."""
+    text = F.decode(content, "ISO-8859-1")
+    odd = F.regexp_count(text, F.lit(r"[^\n\r\t\x08\f\x20-\x7E\x80-\xFF]"))
+    return (F.octet_length(content) > 0) & (F.contains(text, F.lit("\x00")) | (10 * odd > 3 * F.octet_length(content)))
 
 
 def _quoted_split(text: Column, delimiter: str) -> Column:

@@ -60,7 +60,6 @@ FILE_FAMILIES = [
 
 # Names never ingested, and the size above which state logs are skipped.
 SKIPPED_NAMES = ["*_burn.log", "*_stateFlowData.log", "table_temp.log", "._*"]
-STATE_LOG_MAX_BYTES = 10 * 1024 * 1024
 
 # State column prefix -> subsystem, in match order.
 SUBSYSTEM_PREFIXES = [
@@ -165,6 +164,7 @@ EVENT_SCHEMA = T.StructType([
     T.StructField("source_line", T.LongType()),
     T.StructField("source_offset", T.LongType()),
     T.StructField("raw_excerpt", T.StringType()),
+    T.StructField("line_sha", T.StringType()),
     T.StructField("ts", T.TimestampType()),
     T.StructField("raw_timestamp", T.StringType()),
     T.StructField("ts_uncertainty", T.DoubleType()),

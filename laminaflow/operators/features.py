@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from laminaflow.functions.scalars import finite, first_match, seconds_between
 from laminaflow.model import KG_PER_LAYER
 from laminaflow.operators.ordered import Series, group_quantiles, null_safe_join
-from laminaflow.operators.robust import robust_z, stride_slope, theil_sen
+from laminaflow.operators.robust import position_slope, robust_z, stride_slope
 
 
 def signal_stats(readings: DataFrame, dimension: DataFrame, keys: Sequence[str] = ("session_id", "signal"),
@@ -29,7 +29,7 @@ def signal_stats(readings: DataFrame, dimension: DataFrame, keys: Sequence[str]
         "alarm_count": F.count_if(F.col("value") > F.col("alarm_high")) + F.count_if(F.col("value") < F.col("alarm_low"))}
     out = group_quantiles(tagged, keys, "value", {"p05": 0.05, "p95": 0.95, "p99": 0.99}, extra=facts).where(F.col("n") >= min_rows)
     if slope:
-        out = out.join(theil_sen(clean, keys, order, "value", name="trend_slope").drop("n"), keys)
+        out = out.join(position_slope(clean, keys, order, "value", "trend_slope").drop("n"), keys)
     return out
 
 
@@ -214,13 +214,13 @@ def phase_segments(events: DataFrame, transitions: DataFrame | None, tie: Sequen
     return segments.unionByName(spare, allowMissingColumns=True)
 
 
-def dedup_key(bucket_seconds: float = 2.0) -> list[Column]:
-    """Columns under which two events are the same: time bucket, type, layer, subsystem, or the raw text."""
+def dedup_key(bucket_seconds: float = 2.0, raw: str = "line_sha") -> list[Column]:
+    """Columns under which two events are the same: time bucket, type, layer, subsystem, or the whole line (its digest)."""
     has_ts = F.col("ts").isNotNull()
     bucket = F.floor(F.unix_micros("ts") / F.lit(int(bucket_seconds * 1_000_000)))
     return [F.when(has_ts, bucket).alias("bucket"), "event_type", "layer",
             F.when(has_ts, F.col("subsystem")).alias("_subsystem"),
-            F.when(~has_ts, F.col("raw_excerpt")).alias("_raw")]
+            F.when(~has_ts, F.col(raw)).alias("_raw")]
 
 
 def deduplicate(events: DataFrame, order: Sequence[str], bucket_seconds: float = 2.0,

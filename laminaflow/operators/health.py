@@ -21,8 +21,8 @@ def process_anomalies(readings: DataFrame, threshold: float = 3.5) -> DataFrame:
         F.col("peak").alias("value"), "z_score", "max_value")
 
 
-def burn_drift(layers: DataFrame, outliers: int = 20) -> tuple[DataFrame, DataFrame]:
-    """Per session: trend of the burn time over layers; second table: its first outlier layers."""
+def burn_drift(layers: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Per session: trend of the burn time over layers; second table: all its outlier layers with their position."""
     points = layers.where("duration_sec > 0")
     fit = points.groupBy("session_id").agg(
         F.count(F.lit(1)).alias("n_layers"), F.avg("duration_sec").alias("_mean"),
@@ -37,8 +37,8 @@ def burn_drift(layers: DataFrame, outliers: int = 20) -> tuple[DataFrame, DataFr
                        F.when(enough, slope).alias("slope_sec_per_layer"), trend.alias("trend"))
     judged = points.join(drift.where("trend <> 'insufficient_data'").select("session_id"), "session_id")
     far = z_score(judged, ["session_id"], "duration_sec", "z_score").where("abs(z_score) >= 3")
-    ranked = Series(far, ["session_id"], ["layer"]).with_row_number("_rn").frame
-    return drift, ranked.where(F.col("_rn") <= outliers).select("session_id", "layer", "duration_sec", "z_score")
+    ranked = Series(far, ["session_id"], ["layer"]).with_row_number("position").frame
+    return drift, ranked.select("session_id", "position", "layer", "duration_sec", "z_score")
 
 
 def atmosphere_readiness(readings: DataFrame) -> DataFrame:

@@ -188,13 +188,15 @@ def accumulated_since_service(sessions: DataFrame, maintenance: DataFrame, consu
                       F.greatest(F.lit(0.0), F.col("max_hours") - used).alias("remaining_hours"), state.alias("grade"))
 
 
-def overlay_params(params: DataFrame, presets: DataFrame, columns: Sequence[str] = tuple(PRESET_COLUMNS)) -> DataFrame:
+def overlay_params(params: DataFrame, presets: DataFrame, columns: Sequence[str] = tuple(PRESET_COLUMNS), order: str = "preset_id") -> DataFrame:
     """Default preset of each material over the global row: a preset value wins unless it is null.
 
-    params has one row per material asked for (material + global values), presets(material, is_default, ...).
+    params has one row per material asked for (material + global values), presets(preset_id, material, is_default, ...).
+    Of several default presets of a material the one with the smallest ``order`` counts, so no row is multiplied.
     """
-    default = presets.where("is_default").select(F.lower("material").alias("_m"),
-                                                 *[F.col(c).alias(f"_p_{c}") for c in columns])
+    values = F.struct(*[F.col(c).alias(f"_p_{c}") for c in columns])
+    default = presets.where("is_default").groupBy(F.lower("material").alias("_m")).agg(F.min_by(values, order).alias("_p"))
+    default = default.select("_m", "_p.*")
     df = params.join(default, F.lower("material") == F.col("_m"), "left")
     merged = [F.coalesce(F.col(f"_p_{c}"), F.col(c)).alias(c) if c in columns else F.col(c) for c in params.columns]
     return df.select(*merged, F.col("_m").isNotNull().alias("preset_used"))

@@ -14,8 +14,6 @@ from laminaflow.functions.scalars import even_pick, finite
 from laminaflow.model import PRIORITY_EVENT_TYPES
 from laminaflow.operators.ordered import Series, group_medians, median_of_array
 
-MAX_SLOPE_POINTS = 2000
-
 
 def median_and_mad(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     """Per key: med, mad."""
@@ -87,20 +85,30 @@ def _pair_slope_median(xs: pd.Series, ys: pd.Series) -> pd.Series:
     return pd.Series([one(x, y) for x, y in zip(xs, ys)])
 
 
-def theil_sen(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str,
-              max_points: int = MAX_SLOPE_POINTS, name: str = "slope") -> DataFrame:
-    """Median of all pairwise slopes per key against the row position; 0 for fewer than two rows.
+def position_slope(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str, name: str = "slope") -> DataFrame:
+    """Least-squares slope of all values per key against the row position (with n); 0 for fewer than two rows.
+
+    The sums combine before the shuffle, so a series of any length is used whole.
+    """
+    keys = list(keys)
+    s = Series(df.where(F.col(value).isNotNull()), keys, order).with_row_number("_rn")
+    slope = F.regr_slope(F.col(value).cast("double"), F.col("_rn").cast("double"))
+    return s.frame.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.coalesce(slope, F.lit(0.0)).alias(name))
+
+
+def theil_sen(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str, max_points: int, name: str = "slope") -> DataFrame:
+    """Median of the pairwise slopes of ``max_points`` evenly spread rows per key against the row position.
 
-    Longer series are thinned to ``max_points`` evenly spread rows first, which also bounds what one group
-    ships to Python: at most ``max_points`` (position, value) pairs, and the pairs never exist as rows.
+    A robust slope of a sample by name: ``n`` counts the rows of the series, ``n_used`` those that take part. 0 for fewer
+    than two rows. One group ships at most ``max_points`` (position, value) pairs to Python, and pairs never exist as rows.
     """
     keys = list(keys)
     s = Series(df.where(F.col(value).isNotNull()), keys, order).with_row_number("_rn").with_count("_n")
     rows = s.frame.select(*keys, (F.col("_rn") - 1).alias("_i"), "_n", F.col(value).cast("double").alias("_v"))
     rows = rows.where(even_pick(F.col("_i"), F.col("_n"), max_points))
     packed = rows.groupBy(*keys).agg(
-        F.first("_n").alias("n"), F.array_sort(F.collect_list(F.struct("_i", "_v"))).alias("_p"))
-    return packed.select(*keys, "n", _pair_slope_median(
+        F.first("_n").alias("n"), F.count(F.lit(1)).alias("n_used"), F.array_sort(F.collect_list(F.struct("_i", "_v"))).alias("_p"))
+    return packed.select(*keys, "n", "n_used", _pair_slope_median(
         F.transform("_p", lambda p: p["_i"].cast("double")), F.transform("_p", lambda p: p["_v"])).alias(name))
 
 

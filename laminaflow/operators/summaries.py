@@ -153,15 +153,14 @@ def historical_rate(sessions: DataFrame, min_minutes: float = 10.0) -> DataFrame
         F.count(F.lit(1)).alias("sessions_used"), F.avg("duration_min").alias("avg_duration_min"))
 
 
-def richest_latest(sessions: DataFrame, newest: int = 500) -> DataFrame:
-    """Real print with most telemetry points among the newest sessions (ties: the newer one)."""
-    pool = sessions.orderBy(F.desc("start_ts"), "session_id").limit(newest)
-    pool = pool.where("classification = 'REAL_PRINT' and telemetry_points > 0")
+def richest_latest(sessions: DataFrame) -> DataFrame:
+    """Real print with most telemetry points of all sessions (ties: the newer one)."""
+    pool = sessions.where("classification = 'REAL_PRINT' and telemetry_points > 0")
     return pool.agg(F.max_by(F.struct("session_id", "start_ts", "telemetry_points"),
                              F.struct("telemetry_points", "start_ts")).alias("_b")).select("_b.*")
 
 
-def consumption_listing(operator_events: DataFrame, event_type: str, label: str, skip: int = 0, limit: int = 1000) -> DataFrame:
+def consumption_listing(operator_events: DataFrame, event_type: str, label: str, skip: int, limit: int) -> DataFrame:
     rows = operator_events.where(F.col("event_type") == event_type).orderBy("timestamp", "event_id")
     return rows.offset(skip).limit(limit).select("timestamp", F.col("value").try_cast("double").alias("value"), label, "session_id")
 

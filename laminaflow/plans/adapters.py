@@ -72,7 +72,7 @@ def machine_events(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("user_id").alias("session_id"), "event_id", "ts", F.col("k").alias("layer"),
         meaning(0).alias("event_type"), F.lit(None).cast("string").alias("phase"), meaning(1).alias("family"),
         meaning(2).alias("subsystem"), (0.5 + F.col("k") / 250).alias("confidence"),
-        F.concat_ws(" ", "event_type", F.col("k").cast("string")).alias("raw_excerpt"), "value")
+        F.concat_ws(" ", "event_type", F.col("k").cast("string")).alias("raw_excerpt"), F.sha2(F.concat_ws(" ", "event_type", F.col("k").cast("string")), 256).alias("line_sha"), "value")
 
 
 ME = (EV + f", me AS (SELECT user_id AS session_id, event_id, ts, k AS layer, {_sql_case(0)} AS event_type, "

@@ -230,7 +230,7 @@ def historical_rate(spark, d):
     return summaries.historical_rate(a.sessions(spark, d), 3000.0)
 
 
-@query(f"""WITH {a.SE}, p AS (SELECT * FROM se ORDER BY start_ts DESC, session_id LIMIT 500) SELECT session_id, {ts('start_ts')} AS start_ts, telemetry_points FROM p
+@query(f"""WITH {a.SE} SELECT session_id, {ts('start_ts')} AS start_ts, telemetry_points FROM se p
 WHERE classification = 'REAL_PRINT' AND telemetry_points > 0 ORDER BY telemetry_points DESC, p.start_ts DESC LIMIT 1""")
 def richest_latest(spark, d):
     return summaries.richest_latest(a.sessions(spark, d))
@@ -467,8 +467,8 @@ def file_row_ids(spark, d):
     return sinks.file_rows(docs).select("doc_id", "source_file_id")
 
 
-@query(f"""WITH {a.ME}, i AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY ts, event_id) AS position FROM me)
-SELECT session_id, position, {ts('ts')} AS ts, {big('layer')} AS layer, subsystem, CAST(NULL AS VARCHAR) AS phase, event_type, {num('confidence')} AS confidence FROM i WHERE position <= 20""")
+@query(f"""WITH {a.ME}, i AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY ts, event_id) AS position, count(*) OVER (PARTITION BY session_id) AS total FROM me)
+SELECT session_id, position, total, {ts('ts')} AS ts, {big('layer')} AS layer, subsystem, CAST(NULL AS VARCHAR) AS phase, event_type, {num('confidence')} AS confidence FROM i WHERE position <= 20""")
 def evidence_rows(spark, d):
     return sinks.evidence_rows(a.machine_events(spark, d), ["ts", "event_id"], 20)
 
@@ -497,7 +497,7 @@ _FN = """n AS (SELECT page_id, CASE WHEN url LIKE '%/de/%' THEN 'p_' || page_id
 @query(f"""WITH {_FN} SELECT page_id, name, CASE WHEN name LIKE '%\\_stateFlow.log' ESCAPE '\\' THEN 'stateflow_log' WHEN name LIKE '%\\_burn.log' ESCAPE '\\' THEN 'burn_log' WHEN name LIKE 'table%temp.log' THEN 'table_temp_log' WHEN name LIKE '%.log' THEN 'main_event_log' ELSE 'unsupported' END AS family,
   CASE WHEN name LIKE '%\\_stateFlow.log' ESCAPE '\\' OR name LIKE '%\\_burn.log' ESCAPE '\\' THEN 'primary' WHEN name LIKE 'table%temp.log' THEN 'secondary' WHEN name LIKE '%.log' THEN 'primary' ELSE 'unknown' END AS role,
   {num("CASE WHEN name LIKE '%stateFlow.log' OR name LIKE '%burn.log' OR name LIKE 'table%temp.log' THEN 0.95 WHEN name LIKE '%.log' THEN 0.55 ELSE 0 END")} AS classification_confidence,
-  CASE WHEN name LIKE '%\\_burn.log' ESCAPE '\\' THEN 'redundant file type: matches skip pattern ''*_burn.log''' WHEN name LIKE '%stateFlow.log' AND size > 10485760 THEN 'state log too large: ' || size || ' bytes' END AS skip_reason,
+  CASE WHEN name LIKE '%\\_burn.log' ESCAPE '\\' THEN 'redundant file type: matches skip pattern ''*_burn.log''' END AS skip_reason,
   CASE WHEN name LIKE 'p\\_20240%' ESCAPE '\\' THEN '2024-0' || substr(name, 8, 1) || '-05' END AS name_date FROM n""")
 def file_classification(spark, d):
     url, pid = F.col("url"), F.col("page_id").cast("string")

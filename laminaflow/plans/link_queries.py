@@ -88,14 +88,15 @@ def consumable_wear(spark, d):
 
 
 def _params(spark, d):
-    """Every part asks for its material's parameters; suppliers of one nation are the presets."""
+    """Every part asks for its material's parameters; each material has two default presets, of which the first counts."""
     base = a.table(spark, d, "part").select(
         F.col("p_partkey").alias("part_id"), F.lower("p_type").alias("material"), F.col("p_size").cast("double").alias("hatch_speed_mm_s"),
         F.lit(500.0).alias("contour_speed_mm_s"), F.lit(None).cast("double").alias("hatch_distance_mm"), F.lit(0.05).alias("layer_thickness_mm"),
         F.lit(2).alias("laser_count"))
     presets = a.table(spark, d, "part").groupBy(F.col("p_type").alias("material")).agg(
-        F.when(F.avg("p_size") > 25.5, F.avg("p_retailprice")).alias("hatch_speed_mm_s"), F.lit(0.1).alias("hatch_distance_mm")).withColumn("is_default", F.lit(True))
-    return base, presets
+        F.when(F.avg("p_size") > 25.5, F.avg("p_retailprice")).alias("hatch_speed_mm_s"), F.lit(0.1).alias("hatch_distance_mm"), F.lit(1).alias("preset_id"))
+    later = presets.select("material", F.lit(9.0).alias("hatch_speed_mm_s"), F.lit(0.9).alias("hatch_distance_mm"), F.lit(2).alias("preset_id"))
+    return base, later.unionByName(presets).withColumn("is_default", F.lit(True))
 
 
 _OV = """pr AS (SELECT lower(p_type) AS m, CASE WHEN avg(p_size) > 25.5 THEN avg(p_retailprice) END AS hs FROM part GROUP BY 1),

@@ -78,7 +78,7 @@ def burn_drift(spark, d):
 
 @query(f"""WITH {_BD}, z AS (SELECT lt.session_id, layer, dur, CASE WHEN sd = 0 THEN 0 ELSE (dur - m) / sd END AS z FROM lt JOIN g ON g.session_id = lt.session_id AND n >= 3 WHERE dur > 0),
 r AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY layer) AS rn FROM z WHERE abs(z) >= 3)
-SELECT session_id, {big('layer')} AS layer, {num('dur')} AS duration_sec, {num('z')} AS z_score FROM r WHERE rn <= 20""")
+SELECT session_id, rn AS position, {big('layer')} AS layer, {num('dur')} AS duration_sec, {num('z')} AS z_score FROM r""")
 def burn_outlier_layers(spark, d):
     return health.burn_drift(_layer_times(spark, d))[1]
 

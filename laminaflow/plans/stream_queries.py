@@ -1,4 +1,4 @@
-"""Streaming forms run over the event table as a file stream, and compared on what the watermark has closed."""
+"""Streaming forms run over the event table as a file stream; what the watermark has not closed is told apart."""
 
 from __future__ import annotations
 
@@ -18,16 +18,27 @@ def _stream(spark, d):
 
 @query(f"""WITH {a.EV}, g AS (SELECT *, CASE WHEN lag(ts) OVER w IS NULL OR ts > lag(ts) OVER w + INTERVAL 36 HOUR THEN 1 ELSE 0 END AS f FROM ev WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
 n AS (SELECT *, sum(f) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS sn FROM g)
-SELECT user_id, {ts('min(ts)')} AS start_ts, {ts('max(ts)')} AS end_ts, count(*) AS events FROM n GROUP BY user_id, sn HAVING max(ts) + INTERVAL 36 HOUR <= (SELECT max(ts) FROM ev) - INTERVAL 1 HOUR""")
+SELECT user_id, {ts('min(ts)')} AS start_ts, {ts('max(ts)')} AS end_ts, count(*) AS events, CAST(max(ts) + INTERVAL 36 HOUR > (SELECT max(ts) FROM ev) - INTERVAL 1 HOUR AS VARCHAR) AS open FROM n GROUP BY user_id, sn""")
 def stream_sessions(spark, d):
-    return streams.drain(streams.stream_sessions(_stream(spark, d), ["user_id"]), "stream-sessions")
+    closed = streams.drain(streams.stream_sessions(_stream(spark, d), ["user_id"]), "stream-sessions")
+    return streams.with_open_sessions(closed, a.events(spark, d), ["user_id"])
 
 
 @query(f"""WITH {a.EV}, b AS (SELECT *, time_bucket(INTERVAL 1 HOUR, ts) AS b FROM ev)
-SELECT {ts('b')} AS bucket_start, user_id, event_type, min(event_id) AS event_id, {num('max(value)')} AS confidence, count(*) AS copies FROM b GROUP BY b, user_id, event_type HAVING b + INTERVAL 1 HOUR <= (SELECT max(ts) FROM ev) - INTERVAL 10 MINUTE""")
+SELECT {ts('b')} AS bucket_start, user_id, event_type, min(event_id) AS event_id, {num('max(value)')} AS confidence, count(*) AS copies, CAST(b + INTERVAL 1 HOUR > (SELECT max(ts) FROM ev) - INTERVAL 10 MINUTE AS VARCHAR) AS open FROM b GROUP BY b, user_id, event_type""")
 def stream_dedup(spark, d):
     ev = _stream(spark, d).withColumn("confidence", F.col("value"))
-    return streams.drain(streams.stream_dedup(ev, ["user_id", "event_type"], bucket="1 hour"), "stream-dedup")
+    closed = streams.drain(streams.stream_dedup(ev, ["user_id", "event_type"], bucket="1 hour"), "stream-dedup")
+    whole = a.events(spark, d).withColumn("confidence", F.col("value"))
+    return streams.with_open_buckets(closed, whole, ["user_id", "event_type"], "1 hour")
+
+
+# clocks only, as live frames have them; a source's clock starts again at midnight many times
+@query(f"WITH {a.EV} SELECT CAST(user_id AS VARCHAR) AS source, strftime(arg_max(ts, event_id), '%H:%M:%S') AS \"Time\", {num('arg_max(value, event_id)')} AS \"SO1\", max(event_id) AS line_no FROM ev GROUP BY 1")
+def live_tail(spark, d):
+    frames = _stream(spark, d).select(F.col("user_id").cast("string").alias("source"), F.lit("2024-01-01").cast("timestamp").alias("mtime"),
+                                      F.date_format("ts", "HH:mm:ss").alias("Time"), F.col("value").alias("SO1"), F.col("event_id").alias("line_no"))
+    return streams.latest_frames(frames, "live-tail").drop("mtime")
 
 
 @query(f"WITH {a.RD}, {a.DIM} SELECT idx, session_id, rd.signal, {num('value')} AS value, {num('alarm_low')} AS alarm_low, {num('alarm_high')} AS alarm_high FROM rd JOIN dim USING (signal) WHERE value > alarm_high OR value < alarm_low")

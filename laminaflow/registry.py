@@ -54,7 +54,7 @@ class ParserRegistry:
             except Exception as exc:  # one bad parser must not stop the batch
                 out[family] = lines.where(F.col("family") == family).select("source_file_id").distinct().select(
                     "source_file_id", F.lit("error").alias("severity"), F.lit("parser_exception").alias("code"),
-                    F.lit(str(exc)[:500]).alias("message"))
+                    F.lit(str(exc)).alias("message"))
         return out
 
     def diagnose(self, files: DataFrame) -> DataFrame:

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
 _local_dirs: dict[str, str] = {}
+_shipped: set[str] = set()
 
 
 def build_session(app: str = "laminaflow", master: str | None = None, **conf: str) -> SparkSession:
@@ -24,13 +27,31 @@ def build_session(app: str = "laminaflow", master: str | None = None, **conf: st
         builder = builder.master(master)
     for key, value in conf.items():
         builder = builder.config(key.replace("__", "."), value)
-    return builder.getOrCreate()
+    return ship(builder.getOrCreate())
+
+
+def ship(spark: SparkSession) -> SparkSession:
+    """Gives the package to the Python workers of this application, wherever it was imported from; once."""
+    app = spark.sparkContext.applicationId
+    if app not in _shipped:
+        root = os.path.dirname(os.path.abspath(__file__))
+        if os.path.isdir(root):  # imported from a folder; from an archive it was shipped already
+            archive = os.path.join(tempfile.mkdtemp(prefix="laminaflow-code-"), "laminaflow_code.zip")
+            with zipfile.ZipFile(archive, "w") as out:
+                for folder, _, names in os.walk(root):
+                    for name in names:
+                        if name.endswith(".py"):
+                            path = os.path.join(folder, name)
+                            out.write(path, os.path.relpath(path, os.path.dirname(root)))
+            spark.sparkContext.addPyFile(archive)
+        _shipped.add(app)
+    return spark
 
 
 def prepare(spark: SparkSession) -> SparkSession:
     """Runtime settings needed for right results on a session somebody else built."""
     spark.conf.set("spark.sql.session.timeZone", "UTC")
-    return spark
+    return ship(spark)
 
 
 def shared_dir(spark: SparkSession) -> str:

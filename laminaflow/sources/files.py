@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from laminaflow.functions.logtext import decode_line, guess_encoding, looks_binary, name_date
 from laminaflow.functions.scalars import first_match, stable_id
-from laminaflow.model import FILE_FAMILIES, SKIPPED_NAMES, STATE_LOG_MAX_BYTES
+from laminaflow.model import FILE_FAMILIES, SKIPPED_NAMES
 from laminaflow.operators.ordered import Series
 
 LISTING = "path string, size_bytes long, mtime timestamp"
@@ -73,7 +73,7 @@ def with_names(df: DataFrame, root: str) -> DataFrame:
         "*", name.alias("name"),
         F.regexp_replace("path", "^(?:[a-z0-9]+:)?/*" + re.escape(base.lstrip("/")), "").alias("relative_path"),
         name_date(name).alias("name_date"),
-        skip_reason(name, F.col("size_bytes")).alias("skip_reason")))
+        skip_reason(name).alias("skip_reason")))
 
 
 def classify_files(df: DataFrame, name: str = "name") -> DataFrame:
@@ -89,35 +89,26 @@ def classify_files(df: DataFrame, name: str = "name") -> DataFrame:
                      F.col("_kind.confidence").alias("classification_confidence"))
 
 
-def skip_reason(name: Column, size: Column) -> Column:
-    """Why a file is not ingested, null when it is."""
-    big = name.rlike(_glob("*_stateFlow.log")) & (size > STATE_LOG_MAX_BYTES)
-    return first_match(
-        [(name.rlike(_glob(g)), f"redundant file type: matches skip pattern '{g}'") for g in SKIPPED_NAMES]
-        + [(big, F.concat(F.lit("state log too large: "), size.cast("string"), F.lit(" bytes")))])
+def skip_reason(name: Column) -> Column:
+    """Why a file is not ingested, null when it is. Size is no reason."""
+    return first_match([(name.rlike(_glob(g)), f"redundant file type: matches skip pattern '{g}'") for g in SKIPPED_NAMES])
 
 
 def split_skipped(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     return files.where("skip_reason is null"), files.where("skip_reason is not null")
 
 
-def inspect_files(spark: SparkSession, root: str, *, large_state_logs: bool = False) -> DataFrame:
-    """Kept files with checksum, encoding guess and quality status (reads each content once).
-
-    ``large_state_logs`` keeps state logs of any size: the transition job here has no need to skip them.
-    """
+def inspect_files(spark: SparkSession, root: str) -> DataFrame:
+    """Kept files with checksum, encoding guess and quality status (reads each content once)."""
     raw = (
         spark.read.format("binaryFile").option("recursiveFileLookup", True)
         .option("ignoreMissingFiles", True).load(root)
         .select("path", F.col("length").alias("size_bytes"), F.col("modificationTime").alias("mtime"), "content"))
     empty = list_files(spark, root).where("size_bytes = 0").select("path", "size_bytes", "mtime", F.lit(b"").alias("content"))
     df = with_names(raw.unionByName(empty), root)
-    keep = F.col("skip_reason").isNull()
-    if large_state_logs:
-        keep = keep | ((F.col("family") == "stateflow_log"))
     binary = looks_binary(F.col("content"))
     status = first_match([(F.col("size_bytes") == 0, "zero_byte"), (binary, "binary_or_unknown")], "ok")
-    return df.where(keep).select(
+    return df.where("skip_reason is null").select(
         file_id().alias("file_id"), plain_path(F.col("path")).alias("path"), "relative_path", "name", "family", "role",
         "classification_confidence", "size_bytes", "mtime", "name_date",
         F.sha2("content", 256).alias("checksum"), status.alias("quality_status"),
@@ -154,7 +145,7 @@ def read_lines(spark: SparkSession, path: str | list[str], encodings: DataFrame
         encoding = F.col("encoding")
     return numbered.select(
         file_id().alias("source_file_id"), "path", "name", name_date(F.col("name")).alias("day"), "mtime",
-        "line_no", (F.col("_end") - F.col("_bytes")).alias("offset"),
+        "line_no", (F.col("_end") - F.col("_bytes")).alias("offset"), F.col("_bytes").alias("n_bytes"),
         decode_line(F.col("value"), encoding).alias("line"))
 
 

@@ -22,6 +22,11 @@ def _located(lines: DataFrame) -> list:
     return ["source_file_id", F.col("line_no").alias("source_line"), offset.alias("source_offset")]
 
 
+def line_hash(line: Column) -> Column:
+    """Digest of the whole line, which excerpts of equal beginning don't share."""
+    return F.sha2(line, 256).alias("line_sha")
+
+
 def _day(lines: DataFrame) -> Column:
     return F.col("day") if "day" in lines.columns else F.lit(None).cast("date")
 
@@ -45,7 +50,7 @@ def parse_event_log(lines: DataFrame) -> DataFrame:
     df = lines.where(F.trim("line") != "").select(
         "*", stamp(F.col("line"), _day(lines)).alias("_s"), event_kind(F.col("line")).alias("_k"))
     df = df.select(
-        *_located(lines), F.substring("line", 1, 500).alias("raw_excerpt"), F.col("_s.ts").alias("ts"),
+        *_located(lines), F.substring("line", 1, 500).alias("raw_excerpt"), line_hash(F.col("line")), F.col("_s.ts").alias("ts"),
         F.col("_s.raw").alias("raw_timestamp"), F.col("_s.uncertainty").alias("ts_uncertainty"),
         event_layer(F.col("line"), F.col("_k.event_type")).alias("layer"),
         F.lit("operator_panel").alias("subsystem"), F.col("_k.phase").alias("phase"),
@@ -111,7 +116,7 @@ def parse_monitor_log(lines: DataFrame, subsystem: str = "monitor100") -> DataFr
                           lambda k, v: v.isNotNull())
     return df.select(
         *_located(lines), F.col("entry_no").cast("int").alias("entry_no"),
-        F.substring("entry", 1, 500).alias("raw_excerpt"), F.col("_s.ts").alias("ts"),
+        F.substring("entry", 1, 500).alias("raw_excerpt"), line_hash(F.col("entry")), F.col("_s.ts").alias("ts"),
         F.col("_s.raw").alias("raw_timestamp"), F.col("_s.uncertainty").alias("ts_uncertainty"),
         F.lit(None).cast("int").alias("layer"), F.lit(subsystem).alias("subsystem"), _text("phase"),
         event_type.alias("event_type"), F.lit("info").alias("severity"),
@@ -135,7 +140,7 @@ def parse_timing_log(lines: DataFrame) -> DataFrame:
     # an OLD_STATS line never yields detail events, even when it is malformed
     old = lines.where(F.contains("line", F.lit("OLD_STATS:")) & line.rlike(OLD_STATS))
     summary = old.select(
-        *_located(lines), F.lit(0).alias("entry_no"), F.substring("line", 1, 300).alias("raw_excerpt"),
+        *_located(lines), F.lit(0).alias("entry_no"), F.substring("line", 1, 300).alias("raw_excerpt"), line_hash(F.col("line")),
         matched(line, OLD_STATS, 1).try_cast("int").alias("layer"), F.lit("layer").alias("phase"),
         F.lit("layer_timing_summary").alias("event_type"), F.lit(0.95).alias("confidence"),
         matched(line, OLD_STATS, 2).try_cast("long").alias("pour_ms"),
@@ -151,7 +156,7 @@ def parse_timing_log(lines: DataFrame) -> DataFrame:
         F.concat(F.lit("time_"), F.lower("_p.key")))
     phase = first_match([(F.contains(event_type, F.lit(p)), p) for p in ("burn", "pour")], "layer")
     detail = new.select(
-        *_located(lines), "entry_no", F.substring("line", 1, 300).alias("raw_excerpt"),
+        *_located(lines), "entry_no", F.substring("line", 1, 300).alias("raw_excerpt"), line_hash(F.col("line")),
         matched(line, NEW_STATS, 1).try_cast("int").alias("layer"), phase.alias("phase"),
         event_type.alias("event_type"), F.lit(0.9).alias("confidence"),
         *[F.lit(None).cast("long").alias(c) for c in ("pour_ms", "burn_ms", "make_layer_ms")],
@@ -237,7 +242,7 @@ def parse_error_log(lines: DataFrame) -> DataFrame:
     """Every non-blank line is a low-trust warning."""
     df = lines.where(F.trim("line") != "").withColumn("_s", stamp(F.col("line"), _day(lines)))
     return df.select(
-        *_located(lines), F.substring("line", 1, 500).alias("raw_excerpt"), F.col("_s.ts").alias("ts"),
+        *_located(lines), F.substring("line", 1, 500).alias("raw_excerpt"), line_hash(F.col("line")), F.col("_s.ts").alias("ts"),
         F.col("_s.raw").alias("raw_timestamp"), F.col("_s.uncertainty").alias("ts_uncertainty"),
         F.lit(None).cast("int").alias("layer"), F.lit("error_log").alias("subsystem"), _text("phase"),
         F.lit("low_trust_error_entry").alias("event_type"), F.lit("warning").alias("severity"),

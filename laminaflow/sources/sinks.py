@@ -36,11 +36,20 @@ def event_rows(events: DataFrame, order: Sequence[str] = ("source_line", "entry_
 
 
 def merge_latest(existing: DataFrame, incoming: DataFrame, keys: Sequence[str], version: Column) -> DataFrame:
-    """Union keeping the newest row per key (incoming wins ties)."""
+    """Union keeping the newest row per key (incoming wins ties).
+
+    A column that only the stored rows have keeps its stored value, also where an incoming row wins; one that only the
+    incoming rows have is null where a stored row wins.
+    """
     both = existing.withColumn("_new", F.lit(0)).unionByName(incoming.withColumn("_new", F.lit(1)), allowMissingColumns=True)
-    cols = [c for c in both.columns if c != "_new" and c not in keys]
-    picked = both.groupBy(*keys).agg(F.max_by(F.struct(*cols), F.struct(version, F.col("_new"))).alias("_r"))
-    return picked.select(*keys, *[F.col(f"_r.{c}").alias(c) for c in cols])
+    only_old = [c for c in existing.columns if c not in incoming.columns]
+    cols = [c for c in both.columns if c != "_new" and c not in keys and c not in only_old]
+    place = F.struct(version, F.col("_new"))
+    aggs = [F.max_by(F.struct(*cols), place).alias("_r")]
+    if only_old:
+        aggs.append(F.max_by(F.struct(*only_old), F.when(F.col("_new") == 0, place)).alias("_o"))
+    picked = both.groupBy(*keys).agg(*aggs)
+    return picked.select(*keys, *[F.col(f"_o.{c}" if c in only_old else f"_r.{c}").alias(c) for c in both.columns if c != "_new" and c not in keys])
 
 
 def upsert(spark: SparkSession, path: str, incoming: DataFrame, keys: Sequence[str], version: Column,
@@ -48,17 +57,16 @@ def upsert(spark: SparkSession, path: str, incoming: DataFrame, keys: Sequence[s
     """Idempotent write of a parquet table.
 
     With ``partition_by`` only the partitions the batch touches are read and replaced (dynamic overwrite); pick a
-    column the keys determine. The merged rows are staged first, because a table cannot be overwritten while read.
+    column the keys determine. The merged rows are staged first, because a table cannot be overwritten while read;
+    the stage goes when they are in place. Columns are the union of both sides (see ``merge_latest``).
     """
     batch = finite_or_null(incoming)
-    old = None
+    old = batch.limit(0)
     if _has_data(spark, path):
-        old = spark.read.parquet(path)
+        old = spark.read.option("mergeSchema", True).parquet(path)
         if partition_by:
-            old = old.join(batch.select(partition_by).distinct(),
-                           partition_by, "left_semi")
-    merged = merge_latest(old.select(*batch.columns), batch, keys, version) if old is not None else merge_latest(
-        batch.limit(0), batch, keys, version)
+            old = old.join(batch.select(partition_by).distinct(), partition_by, "left_semi")
+    merged = merge_latest(old, batch, keys, version)
     stage = f"{path.rstrip('/')}__stage-{uuid.uuid4().hex}"
     merged.write.parquet(stage)
     staged = spark.read.schema(merged.schema).parquet(stage)
@@ -66,11 +74,18 @@ def upsert(spark: SparkSession, path: str, incoming: DataFrame, keys: Sequence[s
     if partition_by:
         writer = writer.option("partitionOverwriteMode", "dynamic").partitionBy(partition_by)
     writer.parquet(path)
+    fs, target = _hadoop(spark, stage)
+    fs.delete(target, True)
 
 
-def _has_data(spark: SparkSession, path: str) -> bool:
+def _hadoop(spark: SparkSession, path: str):
     target = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)
+    return target.getFileSystem(spark._jsc.hadoopConfiguration()), target
+
+
+def _has_data(spark: SparkSession, path: str) -> bool:
+    fs, target = _hadoop(spark, path)
+    return fs.exists(target)
 
 
 def merge_sessions(existing: DataFrame, incoming: DataFrame) -> DataFrame:
@@ -153,12 +168,12 @@ def write_reports(rows: DataFrame, path: str, body: str, files: int = 200) -> No
         F.to_json(F.struct(*order, body))).write.mode("overwrite").text(path)
 
 
-def evidence_rows(events: DataFrame, order: Sequence[str], limit: int = 200, key: str = "session_id") -> DataFrame:
-    """First events of each session, reduced to what a reviewer needs."""
+def evidence_rows(events: DataFrame, order: Sequence[str], limit: int, key: str = "session_id") -> DataFrame:
+    """First ``limit`` events of each session, reduced to what a reviewer needs; ``total`` says how many there are."""
     fields = [c for c in ("ts", "layer", "subsystem", "phase", "event_type", "severity", "confidence",
                           "source_file_id", "source_line", "source_offset") if c in events.columns]
-    s = Series(events, [key], order).with_row_number("position")
-    return s.frame.where(F.col("position") <= limit).select(key, "position", *fields)
+    s = Series(events, [key], order).with_row_number("position").with_count("total")
+    return s.frame.where(F.col("position") <= limit).select(key, "position", "total", *fields)
 
 
 def incomplete_sessions(sessions: DataFrame, spans: DataFrame) -> DataFrame:

@@ -68,7 +68,7 @@ def table_diagnostics(table: DataFrame) -> DataFrame:
         F.substring("line", 1, 300).alias("context"))
 
 
-def table_sample(table: DataFrame, limit: int = 5000) -> DataFrame:
+def table_sample(table: DataFrame, limit: int) -> DataFrame:
     """The first ``limit`` data rows of every file."""
     return Series(data_rows(table), ["source_file_id"], ["line_no"]).with_row_number("row_no").frame.where(
         F.col("row_no") <= limit)

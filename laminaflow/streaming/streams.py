@@ -5,17 +5,24 @@ Functions take and return (streaming) DataFrames; ``drain`` runs one to the end
 
 from __future__ import annotations
 
+import sys
 import uuid
 from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark import cloudpickle
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from laminaflow.functions.scalars import to_number
-from laminaflow.session import shared_dir
+from laminaflow.operators.sessions import gap_sessions
+from laminaflow.session import materialize, shared_dir
+from laminaflow.sources import files
+
+# the process that prepares stateful operators gets no files of the application, so they travel with their code
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 LIVE_SECONDS = 300
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -38,11 +45,16 @@ def read_line_stream(spark: SparkSession, path: str, glob: str = "*.log", files_
 def drain(df: DataFrame, name: str, mode: str = "append") -> DataFrame:
     """Runs the stream over everything available into a parquet table in the shared folder and reads it back."""
     spark = df.sparkSession
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    setting = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(setting)
+    spark.conf.set(setting, ROCKSDB)
     base = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    query = (df.writeStream.format("parquet").outputMode(mode).option("path", f"{base}/out")
-             .option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start())
-    query.awaitTermination()
+    try:
+        query = (df.writeStream.format("parquet").outputMode(mode).option("path", f"{base}/out")
+                 .option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start())
+        query.awaitTermination()
+    finally:
+        spark.conf.set(setting, before)
     return spark.read.schema(df.schema).parquet(f"{base}/out")
 
 
@@ -59,10 +71,58 @@ def sensor_frames(lines: DataFrame, header: Sequence[str]) -> DataFrame:
     return out.where(any_seen)
 
 
+def tail_lines(spark: SparkSession, path: str, seen: DataFrame | None = None, glob: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """Lines that files gained since the last call, and how far each file has been read (path, upto).
+
+    The file source of a stream hands every file over once; this form also follows files that grow. Call it from a
+    trigger (``hand_over`` of a rate source, say) with what the call before returned. A last line without its end is left
+    for the next call. A file that became shorter is read anew.
+    """
+    lines = files.read_lines(spark, path, glob=glob)
+    ends = lines.groupBy("path").agg(F.max_by(F.col("offset") + F.col("n_bytes"), "line_no").alias("end"))
+    if seen is not None:
+        ends = ends.join(seen.select("path", F.col("upto").alias("_upto")), "path", "left")
+        ends = ends.withColumn("_upto", F.when(F.col("_upto") <= F.col("end"), F.col("_upto")).otherwise(F.lit(0)))
+        lines = lines.join(ends.select("path", "_upto"), "path").where("offset >= _upto").drop("_upto")
+    # written now: the files will have grown when the next call looks at it
+    return lines.withColumn("source", F.col("path")), materialize(ends.select("path", F.col("end").alias("upto")), "tail")
+
+
 def live_tail(frames: DataFrame) -> DataFrame:
-    """Latest frame per source (update mode, a trigger of about two seconds)."""
+    """Latest frame per source (update mode, a trigger of about two seconds).
+
+    Frames with a ``line_no`` are ordered by it. Clocks alone are ordered by time of day inside a file version (mtime);
+    if a source's clocks lie in the first and the last quarter of a day, but not between, the early ones are after midnight.
+    """
     rest = [c for c in frames.columns if c != "source"]
-    return frames.groupBy("source").agg(F.max_by(F.struct(*[F.col(f"`{c}`") for c in rest]), F.struct("mtime", "Time")).alias("_f")).select("source", "_f.*")
+    frame = F.struct(*[F.col(f"`{c}`") for c in rest])
+    if "line_no" in rest:
+        return frames.groupBy("source").agg(F.max_by(frame, F.struct("mtime", "line_no")).alias("_f")).select("source", "_f.*")
+    hour = F.substring("Time", 1, 2).try_cast("int")
+    latest = lambda low, high: F.max_by(F.struct("mtime", frame.alias("f")), F.when((hour >= low) & (hour < high), F.struct("mtime", "Time")))
+    days = frames.groupBy("source").agg(latest(0, 6).alias("early"), latest(6, 18).alias("middle"), latest(18, 24).alias("late"),
+                                        F.max_by(F.struct("mtime", frame.alias("f")), F.struct("mtime", "Time")).alias("any"))
+    crossed = F.col("early").isNotNull() & F.col("late").isNotNull() & F.col("middle").isNull() & (F.col("early.mtime") >= F.col("late.mtime"))
+    return days.select("source", F.when(crossed, F.col("early.f")).otherwise(F.col("any.f")).alias("_f")).select("source", "_f.*")
+
+
+def latest_frames(frames: DataFrame, name: str) -> DataFrame:
+    """Drains a stream of frames in update mode and keeps each source's last update."""
+    updates = drain_updates(live_tail(frames), name)
+    last = Window.partitionBy("source").orderBy(F.desc("_batch"))  # a row per source and micro-batch
+    return updates.withColumn("_rn", F.row_number().over(last)).where("_rn = 1").drop("_rn", "_batch")
+
+
+def drain_updates(df: DataFrame, name: str) -> DataFrame:
+    """Like ``drain`` for update mode: all updates, tagged with the micro-batch (``_batch``) they belong to."""
+    spark = df.sparkSession
+    base = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+    def keep(rows: DataFrame, batch: int) -> None:
+        rows.withColumn("_batch", F.lit(batch)).write.mode("overwrite").parquet(f"{base}/out/batch={batch}")
+
+    df.writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(df.schema.add("_batch", T.IntegerType())).option("recursiveFileLookup", True).parquet(f"{base}/out")
 
 
 def live_alarm(frames: DataFrame, oxygen_high: float, temperature_high: float) -> DataFrame:
@@ -93,6 +153,28 @@ def stream_sessions(events: DataFrame, keys: Sequence[str], gap: str = "36 hours
             .select(*keys, F.col("w.start").alias("start_ts"), "end_ts", "events"))
 
 
+def with_open_sessions(closed: DataFrame, events: DataFrame, keys: Sequence[str], gap: str = "36 hours") -> DataFrame:
+    """The drained sessions and those that the watermark has not closed yet, told apart by ``open``."""
+    last = closed.groupBy(*keys).agg(F.max("end_ts").alias("_last"))
+    rest = events.join(last, list(keys), "left").where("_last is null or ts > _last")
+    numbered = gap_sessions(rest.select(*keys, "ts"), keys, "ts", [], gap)
+    open_ = numbered.groupBy(*keys, "session_no").agg(F.min("ts").alias("start_ts"), F.max("ts").alias("end_ts"), F.count(F.lit(1)).alias("events"))
+    return closed.withColumn("open", F.lit(False)).unionByName(open_.drop("session_no").withColumn("open", F.lit(True)))
+
+
+def with_open_buckets(closed: DataFrame, events: DataFrame, keys: Sequence[str], bucket: str = "2 seconds") -> DataFrame:
+    """The drained buckets and those that the watermark has not closed yet, told apart by ``open``.
+
+    Events without a stamp are in no bucket; a stream can't tell when they are complete, so each stays on its own.
+    """
+    rows = events.where("ts is not null").groupBy(F.window("ts", bucket).alias("w"), *keys).agg(
+        F.min("event_id").alias("event_id"), F.max("confidence").alias("confidence"), F.count(F.lit(1)).alias("copies"))
+    rows = rows.select(F.col("w.start").alias("bucket_start"), *keys, "event_id", "confidence", "copies")
+    open_ = rows.join(closed.select("bucket_start", *keys), ["bucket_start", *keys], "left_anti")
+    bare = events.where("ts is null").select(F.lit(None).cast("timestamp").alias("bucket_start"), *keys, "event_id", "confidence", F.lit(1).cast("long").alias("copies"))
+    return closed.withColumn("open", F.lit(False)).unionByName(open_.unionByName(bare).withColumn("open", F.lit(True)))
+
+
 class _Liveness(StatefulProcessor):
     """Announces a source as live when it is first touched and as idle when nothing came for the limit."""
 

@@ -18,7 +18,7 @@ wanted = sys.argv[2:]
 extra = {}
 if os.environ.get("HOT"):
     extra["spark__laminaflow__hotRows"] = os.environ["HOT"]
-spark = build_session(master="local[8]", spark__ui__enabled="false", spark__sql__shuffle__partitions="8",
+spark = build_session(master=f"local[{os.environ.get('CPUS', '8')}]", spark__ui__enabled="false", spark__sql__shuffle__partitions="8",
                       spark__driver__memory="12g", **extra)
 spark.sparkContext.setLogLevel("ERROR")
 sf_dir = f"/root/testdata/sf{sf}"

@@ -85,6 +85,8 @@ def test_adjacency_null_stamps_make_no_edge(spark, heat):
 
 def test_overlay_null_preset_keeps_global(spark):
     p = spark.createDataFrame([("AlSi10Mg", 1000.0, 50.0), ("Ti", 900.0, None)], "material string, hatch_speed_mm_s double, jump_delay_ms double")
-    q = spark.createDataFrame([("alsi10mg", True, 1200.0, None), ("Ti", False, 1.0, 1.0)], "material string, is_default boolean, hatch_speed_mm_s double, jump_delay_ms double")
+    q = spark.createDataFrame([(2, "AlSi10mg", True, 7.0, 7.0), (1, "alsi10mg", True, 1200.0, None), (3, "Ti", False, 1.0, 1.0)],
+                              "preset_id int, material string, is_default boolean, hatch_speed_mm_s double, jump_delay_ms double")
     got = {r.material: (r.hatch_speed_mm_s, r.jump_delay_ms, r.preset_used) for r in linking.overlay_params(p, q, ["hatch_speed_mm_s", "jump_delay_ms"]).collect()}
+    assert linking.overlay_params(p, q, ["hatch_speed_mm_s", "jump_delay_ms"]).count() == 2
     assert got == {"AlSi10Mg": (1200.0, 50.0, True), "Ti": (900.0, None, False)}

@@ -108,10 +108,14 @@ def test_theil_sen_and_thinning(spark, heat):
     rng = random.Random(3)
     y = [0.5 * i + rng.gauss(0, 3) for i in range(60)]
     df = spark.createDataFrame([("a", i, v) for i, v in enumerate(y)] + [("one", 0, 1.0)], "k string, i int, v double")
-    got = {r.k: r.slope for r in robust.theil_sen(df, ["k"], ["i"], "v").collect()}
+    got = {r.k: r.slope for r in robust.theil_sen(df, ["k"], ["i"], "v", 2000).collect()}
     pairs = [(y[j] - y[i]) / (j - i) for i in range(60) for j in range(i + 1, 60)]
     assert got["a"] == pytest.approx(statistics.median(pairs)) and got["one"] == 0.0
-    thin = robust.theil_sen(df, ["k"], ["i"], "v", max_points=25).where("k = 'a'").first().slope
+    row = robust.theil_sen(df, ["k"], ["i"], "v", max_points=25).where("k = 'a'").first()
+    thin = row.slope
+    assert (row.n, row.n_used) == (60, 25)
+    whole = {r.k: (r.n, r.slope) for r in robust.position_slope(df, ["k"], ["i"], "v").collect()}
+    assert whole["a"] == (60, pytest.approx(np.polyfit(range(60), y, 1)[0])) and whole["one"] == (1, 0.0)
     pos = np.round(np.linspace(0, 59, 25)).astype(int)
     pairs = [(y[b] - y[a]) / (b - a) for x, a in enumerate(pos) for b in pos[x + 1:]]
     assert thin == pytest.approx(statistics.median(pairs))

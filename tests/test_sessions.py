@@ -86,7 +86,7 @@ def test_burn_times_fall_back_per_session(spark):
 
 
 def test_dedup_keeps_first_with_best_confidence(spark):
-    cols = "session_id string, n int, ts timestamp, event_type string, layer int, subsystem string, raw_excerpt string, confidence double"
+    cols = "session_id string, n int, ts timestamp, event_type string, layer int, subsystem string, line_sha string, confidence double"
     ev = spark.createDataFrame([
         ("s", 1, T(2026, 1, 1, 0, 0, 0), "pause", 1, "p", "x", 0.5), ("s", 2, T(2026, 1, 1, 0, 0, 1), "pause", 1, "p", "y", 0.9), ("s", 3, T(2026, 1, 1, 0, 0, 2), "pause", 1, "p", "z", 0.1),
         ("s", 4, None, "pause", None, "p", "same", 0.2), ("s", 5, None, "pause", None, "q", "same", 0.3), ("s", 6, None, "pause", None, "q", "other", 0.3)], cols)

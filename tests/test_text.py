@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from laminaflow.functions.journal import parse_messages, plain_number
+from laminaflow.operators import features
 from laminaflow.functions.logtext import guess_encoding, header_names, is_header, looks_binary, name_date, split_cells, stamp
 from laminaflow.registry import default_registry
 from laminaflow.sources import files, logs, tables
@@ -52,7 +53,7 @@ def test_headers(spark):
 
 
 def test_encodings(spark):
-    cases = [(b"", "utf-8"), ("слой".encode(), "utf-8"), (b"\xef\xbb\xbfx", "utf-8-sig"), ("слой 1".encode("cp1251"), "cp1251"), (b"\xff\x98\xe0abc", "latin-1"), (b"\xff\x98\xe0", "utf-8"), (("a" * 65535 + "я").encode(), "utf-8")]
+    cases = [(b"", "utf-8"), ("слой".encode(), "utf-8"), (b"\xef\xbb\xbfx", "utf-8-sig"), ("слой 1".encode("cp1251"), "cp1251"), (b"\xff\x98\xe0abc", "latin-1"), (b"\xff\x98\xe0", "latin-1"), (("a" * 65535 + "я").encode(), "utf-8"), (b"a" * 70000 + "слой".encode("cp1251"), "cp1251")]
     for raw, want in cases:
         assert one(spark, bytearray(raw), guess_encoding, "binary") == want, raw[:10]
     assert [one(spark, bytearray(b), looks_binary, "binary") for b in (b"", b"text\n", b"a\x00b", b"\x01\x02\x03a")] == [False, False, True, True]
@@ -205,3 +206,11 @@ def test_registry_survives_a_bad_parser(spark):
     src = lines(spark, "x").withColumn("family", F.lit("error_log"))
     out = reg.parse(src)["error_log"].first()
     assert out.code == "parser_exception" and "main_event_log" in reg.families()
+
+
+def test_equal_heads_are_different_lines(spark):
+    """Lines without a stamp whose first 500 characters agree stay apart."""
+    head = "x" * 500
+    lines = spark.createDataFrame([("f", k + 1, head + tail) for k, tail in enumerate(("a", "b", "c", "a"))], "source_file_id string, line_no long, line string")
+    events = logs.parse_event_log(lines).withColumn("session_id", F.lit("s"))
+    assert sorted(r.copies for r in features.deduplicate(events, ["source_line"]).collect()) == [1, 1, 2]

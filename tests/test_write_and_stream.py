@@ -1,6 +1,9 @@
 """Write side, structured queries, streams against their batch forms."""
 
 import datetime as dt
+import os
+import subprocess
+import sys
 
 import pytest
 from pyspark.sql import functions as F
@@ -24,6 +27,17 @@ def test_upsert_is_idempotent(spark, tmp_path):
     assert got == [(1, "a", "new", None), (2, "b", "two", None), (3, "a", "three", 2.0)]
 
 
+def test_upsert_keeps_columns_and_takes_new_ones(spark, tmp_path):
+    path = str(tmp_path / "t")
+    at = lambda h: T0 + dt.timedelta(hours=h)
+    sinks.upsert(spark, path, spark.createDataFrame([(1, "a", "n1", at(0)), (2, "b", "n2", at(0))], "id int, v string, note string, at timestamp"), ["id"], F.col("at"))
+    sinks.upsert(spark, path, spark.createDataFrame([(1, "new", at(1)), (3, "c", at(1))], "id int, v string, at timestamp"), ["id"], F.col("at"))
+    sinks.upsert(spark, path, spark.createDataFrame([(2, "b2", 7, at(2))], "id int, v string, extra int, at timestamp"), ["id"], F.col("at"))
+    got = sorted((r.id, r.v, r.note, r.extra) for r in spark.read.parquet(path).collect())
+    assert got == [(1, "new", "n1", None), (2, "b2", "n2", 7), (3, "c", None, None)]
+    assert [p.name for p in tmp_path.iterdir()] == ["t"]
+
+
 def test_first_import_wins_for_times(spark):
     s = "session_id string, start_ts timestamp, end_ts timestamp, payload string"
     old = spark.createDataFrame([("a", T0, None, "p0"), ("b", T0, T0, "p0")], s)
@@ -120,7 +134,7 @@ def test_stream_dedup_equals_batch_on_closed_buckets(spark, tmp_path):
     rows = [(i, T0 + dt.timedelta(seconds=i // 3), "pause", "p", .1 * i) for i in range(30)] + [(99, T0 + dt.timedelta(hours=2), "pause", "p", 0.0)]
     df = spark.createDataFrame(rows, "event_id int, ts timestamp, event_type string, subsystem string, confidence double")
     got = {r.event_id: r.copies for r in streams.drain(streams.stream_dedup(feed(spark, tmp_path, [df]), ["event_type", "subsystem"]), "d").collect()}
-    batch = features.deduplicate(df.withColumn("session_id", F.lit("s")).withColumn("layer", F.lit(1)).withColumn("raw_excerpt", F.lit("")), ["event_id"])
+    batch = features.deduplicate(df.withColumn("session_id", F.lit("s")).withColumn("layer", F.lit(1)).withColumn("line_sha", F.lit("")), ["event_id"])
     assert got == {r.event_id: r.copies for r in batch.where("event_id <> 99").collect()}
 
 
@@ -132,6 +146,45 @@ def test_live_frames(spark):
     assert streams.live_tail(frames).first().SO1 == 2.5
 
 
+def test_live_tail_over_midnight(spark):
+    rows = lambda *clocks: spark.createDataFrame([("f", T0, c, float(k)) for k, c in enumerate(clocks)], "source string, mtime timestamp, Time string, SO1 double")
+    assert streams.live_tail(rows("23:59:58", "00:00:02")).first().Time == "00:00:02"
+    assert streams.live_tail(rows("00:00:02", "11:00:00", "23:59:58")).first().Time == "23:59:58"
+    assert streams.live_tail(rows("10:00:00", "09:59:00").withColumn("line_no", F.col("SO1"))).first().Time == "09:59:00"
+
+
+def test_tail_follows_a_growing_file(spark, tmp_path):
+    log = tmp_path / "x.log"
+    log.write_text("one\ntwo\n")
+    lines, seen = streams.tail_lines(spark, str(tmp_path))
+    assert sorted(r.line for r in lines.collect()) == ["one", "two"]
+    with log.open("a") as f:
+        f.write("three\n")
+    lines, again = streams.tail_lines(spark, str(tmp_path), seen)
+    assert [r.line for r in lines.collect()] == ["three"] and again.first().upto == 14
+    log.write_text("new\n")
+    assert [r.line for r in streams.tail_lines(spark, str(tmp_path), again)[0].collect()] == ["new"]
+
+
+def test_workers_get_the_package(tmp_path):
+    """Python in an empty folder, without PYTHONPATH, with the package imported by its path."""
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    script = f"""
+import sys
+sys.path.insert(0, {root!r})
+from laminaflow.plans import QUERIES
+from laminaflow.session import build_session
+from laminaflow.sources.files import list_files
+spark = build_session(master="local[2]", spark__ui__enabled="false", spark__sql__shuffle__partitions="2")
+for name in ("signal_shifts", "stream_transitions"):
+    assert QUERIES[name](spark, "/root/testdata/sf0.001").count() > 0
+assert list_files(spark, "/root/testdata").count() > 0
+"""
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    done = subprocess.run([sys.executable, "-c", script], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=600)
+    assert done.returncode == 0, done.stderr[-2000:]
+
+
 def test_hand_over_once_per_row(spark, tmp_path):
     df = spark.createDataFrame([("a",), ("b",), ("a",)], "session_id string")
     src, seen = feed(spark, tmp_path, [df]), []
