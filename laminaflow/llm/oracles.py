@@ -2,4 +2,39 @@
 
 from __future__ import annotations
 
-SQL: dict[str, str] = {}
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+SQL: dict[str, str] = {
+    # every window of 50 bytes as hexadecimal text, its smallest document, and the runs of windows that come later
+    "op1_suffix_array_dedup": """WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, CAST(strlen(coalesce(text, '')) AS BIGINT) AS n FROM documents),
+w AS (SELECT doc_id, k, substr(h, 2 * k + 1, 100) AS s FROM d, unnest(range(0, n - 49)) t(k)),
+hit AS (SELECT doc_id, k FROM (SELECT doc_id, k, min(doc_id) OVER (PARTITION BY s) AS f FROM w) WHERE f < doc_id),
+isl AS (SELECT doc_id, k, sum(nw) OVER (PARTITION BY doc_id ORDER BY k) AS g FROM (SELECT doc_id, k, CASE WHEN k > lag(k) OVER (PARTITION BY doc_id ORDER BY k) + 50 THEN 1 ELSE 0 END AS nw FROM hit)),
+run AS (SELECT doc_id, min(k) AS a, max(k) + 50 AS b FROM isl GROUP BY doc_id, g),
+part AS (SELECT doc_id, a, b, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS p FROM run),
+cut AS (SELECT part.doc_id, CAST(sum(b - a) AS BIGINT) AS r, count(*) AS c, string_agg(substr(h, 2 * p + 1, 2 * (a - p)), '' ORDER BY a) || any_value(substr(h, 2 * z + 1)) AS kept
+  FROM part JOIN d USING (doc_id) JOIN (SELECT doc_id, max(b) AS z FROM run GROUP BY 1) USING (doc_id) GROUP BY 1)
+SELECT doc_id, n AS n_bytes, coalesce(r, 0) AS n_removed, coalesce(c, 0) AS n_spans, sha256(unhex(coalesce(kept, h))) AS kept_sha256 FROM d LEFT JOIN cut USING (doc_id)""",
+    "op3_ngram_jaccard": f"""WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all({_LOWER}, '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, list_slice(w, k, k + 4) AS g FROM d, unnest(range(1, greatest(len(w) - 4, least(len(w), 1)) + 1)) t(k)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+pair AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+link AS (SELECT a, b FROM pair JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 75 * (x.n + y.n - c)),
+reach AS (SELECT doc_id AS a, doc_id AS b FROM d UNION SELECT reach.a, link.b FROM reach JOIN link ON link.a = reach.b)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, c AS component_id FROM d LEFT JOIN n USING (doc_id) JOIN (SELECT a AS doc_id, min(b) AS c FROM reach GROUP BY 1) USING (doc_id)""",
+    # base 32 of the digest: four characters from every five hexadecimal ones
+    "op5_warc": """WITH p AS (SELECT page_id, coalesce(html, '') AS body, sha1(coalesce(html, '')) AS h FROM pages),
+r AS (SELECT *, min(page_id) OVER (PARTITION BY h) AS f FROM p)
+SELECT page_id, CAST(strlen(body) AS BIGINT) AS payload_bytes, array_to_string([substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST(1 + ((CAST('0x' || substr(h, CAST(5 * (i // 4) + 1 AS BIGINT), 5) AS BIGINT) >> CAST(15 - 5 * (i % 4) AS INTEGER)) & 31) AS BIGINT), 1) for i in range(32)], '') AS payload_digest,
+  CASE WHEN f = page_id THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN f <> page_id THEN f END AS refers_to FROM r""",
+    "op10_positional_index": f"""WITH d AS (SELECT doc_id, regexp_extract_all({_LOWER}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM documents),
+i AS (SELECT item_id, regexp_extract_all({_LOWER}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM benchmark),
+win AS (SELECT DISTINCT item_id, list_slice(w, k, k + 9) AS g FROM i, unnest(range(1, greatest(len(w) - 9, least(len(w), 1)) + 1)) t(k)),
+size AS (SELECT DISTINCT len(g) AS n FROM win),
+place AS (SELECT doc_id, k, n, list_slice(w, k, k + n - 1) AS g FROM d, size, unnest(range(1, len(w) - n + 2)) t(k)),
+hit AS (SELECT doc_id, k, n, item_id FROM place JOIN win USING (g)),
+word AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM hit, unnest(range(k, k + n)) t(p) GROUP BY 1),
+item AS (SELECT doc_id, count(*) AS n_items, string_agg(v, ',' ORDER BY v) AS ids FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS v FROM hit WHERE item_id IS NOT NULL) GROUP BY 1)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256, n_hit IS NOT NULL AS contaminated
+FROM d LEFT JOIN word USING (doc_id) LEFT JOIN item USING (doc_id)""",
+}
