@@ -66,18 +66,26 @@ def rarest_terms(windows: DataFrame, counts: DataFrame, rarest: int = RAREST) ->
 
 
 def phrase_candidates(index: DataFrame, anchors: DataFrame) -> DataFrame:
-    """(_key, _hash, window_id, n, start): places where all rarest terms stand as they do in the window."""
-    shifted = index.join(anchors, "term").withColumn("start", F.col("position") - F.col("offset")).where("start >= 0")
-    seen = shifted.groupBy("_key", "_hash", "window_id", "start").agg(F.bit_or(F.expr("shiftleft(1, rank)")).alias("seen"), F.max("need").alias("need"), F.max("n").alias("n"))
-    return seen.where(F.col("seen") == F.expr("shiftleft(1, need) - 1")).select("_key", "_hash", "window_id", "n", "start")
+    """(_key, _hash, window_id, n, start): places where all rarest terms stand as they do in the window.
+
+    The list of the rarest term, shifted, is looked up in the lists of the others; only its places travel.
+    """
+    first, others = anchors.where("rank = 0"), anchors.where("rank > 0").select("window_id", "rank", "term", "offset")
+    seeds = index.join(first, "term").select("_key", "_hash", "window_id", "n", "need", (F.col("position") - F.col("offset")).alias("start")).where("start >= 0")
+    asked = seeds.join(others, "window_id").withColumn("position", F.col("start") + F.col("offset"))
+    same = asked["_key"].eqNullSafe(index["_key"]) & (asked["_hash"] == index["_hash"]) & (asked["term"] == index["term"]) & (asked["position"] == index["position"])
+    seen = asked.join(index, same, "left_semi").groupBy("_key", "_hash", "window_id", "n", "need", "start").agg(F.bit_or(F.expr("shiftleft(1, rank)")).alias("seen"))
+    place = ["_key", "_hash", "window_id", "n", "start"]
+    return seen.where(F.col("seen") + 1 == F.expr("shiftleft(1, need) - 1")).select(*place).unionByName(seeds.where("need = 1").select(*place).distinct())
 
 
 def verified(candidates: DataFrame, docs: DataFrame, windows: DataFrame) -> DataFrame:
-    """Candidates whose words all equal the window's."""
+    """Candidates whose words all equal the window's; only texts with a candidate are cut into words again."""
     needed = candidates.select("_key", "_hash").distinct()
     same = lambda a, b: a["_key"].eqNullSafe(b["_key"]) & a["_hash"].eqNullSafe(b["_hash"])
-    texts = docs.join(needed, same(docs, needed), "left_semi").dropDuplicates(["_key", "_hash"]).select(F.col("_key").alias("_k"), F.col("_hash").alias("_h"), words_of(F.col("_text")).alias("_words"))
-    joined = candidates.join(texts, candidates["_key"].eqNullSafe(texts["_k"]) & (candidates["_hash"] == texts["_h"])).join(windows.select("window_id", "words"), "window_id")
+    texts = docs.join(needed, same(docs, needed), "left_semi").select(F.col("_key").alias("_k"), F.col("_hash").alias("_h"), words_of(F.col("_text")).alias("_words"))
+    asked = candidates.join(windows.select("window_id", "words"), "window_id")
+    joined = asked.join(texts, asked["_key"].eqNullSafe(texts["_k"]) & (asked["_hash"] == texts["_h"]))
     return joined.where(F.slice("_words", F.col("start") + 1, F.col("n")) == F.col("words")).select("_key", "_hash", "window_id", "n", "start")
 
 
@@ -99,7 +107,7 @@ def window_hits(keyed: DataFrame, items: DataFrame, item_key: str, item_text: st
     terms = stored(windows.select(F.explode("words").alias("term")).distinct(), "terms")
     counts = stored(term_counts(keyed, terms), "term-counts")
     anchors = stored(rarest_terms(windows, counts, rarest), "anchors")
-    index = postings(keyed, stored(anchors.select("term").distinct(), "anchor-terms"))
+    index = stored(postings(keyed, stored(anchors.select("term").distinct(), "anchor-terms")), "postings")
     candidates = stored(phrase_candidates(index, anchors), "candidates")
     return stored(verified(candidates, keyed, windows), "hits"), owners
 
