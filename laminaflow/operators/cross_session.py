@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -41,9 +43,11 @@ def signal_trends(stats: DataFrame, min_pct: float = 5.0) -> DataFrame:
         "mean_overall", _confidence(F.col("n"), F.col("slope_pct_of_mean")).alias("confidence"))
 
 
-def before_after(stats: DataFrame, events: DataFrame, window: int = 5, min_pct: float = 20.0) -> DataFrame:
+def before_after(stats: DataFrame, events: DataFrame, window: int = 5, min_pct: float = 20.0, on: Sequence[str] = ()) -> DataFrame:
     """Mean level in the last ``window`` sessions before and the first after each event, per signal.
 
+    With ``on`` (the machine, say) an event only asks about the signals of its own machine.
+
     The positions are found by one merged ordering instead of a theta join: sessions and events of a signal are
     unioned, a running count gives every event the number of sessions before it, and an equi-join on
     (signal, position) fetches exactly the 2*window neighbours. events(event_id, event_ts, event_type).
@@ -51,10 +55,10 @@ def before_after(stats: DataFrame, events: DataFrame, window: int = 5, min_pct:
     means = _means(stats).where("start_ts is not null")
     s = Series(means, ["signal"], ORDER).with_row_number("pos")
     numbered = s.frame.select("signal", "pos", "mean", "start_ts")
-    # every event asks about every signal; the vocabulary travels as one aggregate row next to each event
-    vocabulary = means.agg(F.collect_set("signal").alias("_signals"))
-    asks = events.where("event_ts is not null").select("event_id", "event_ts", "event_type").crossJoin(
-        F.broadcast(vocabulary)).withColumn("signal", F.explode("_signals"))
+    keys = list(on) or ["_all"]
+    known = means if on else means.withColumn("_all", F.lit(0))
+    asking = events if on else events.withColumn("_all", F.lit(0))
+    asks = asking.where("event_ts is not null").select("event_id", "event_ts", "event_type", *keys).join(known.select(*keys, "signal").distinct(), keys)
     merged = means.select("signal", F.col("start_ts").alias("ts"), F.lit(1).alias("_is_session"),
                           F.col("session_id").alias("_tie"), F.lit(None).cast("string").alias("event_type"),
                           F.lit(None).cast(asks.schema["event_id"].dataType).alias("event_id"))
@@ -166,9 +170,9 @@ def signal_shifts(stats: DataFrame, min_pct: float = 10.0, min_sessions: int = 6
         _confidence(F.col("n_sessions"), F.col("jump_pct")).alias("confidence"))
 
 
-def cross_session_findings(stats: DataFrame, events: DataFrame) -> DataFrame:
+def cross_session_findings(stats: DataFrame, events: DataFrame, on: Sequence[str] = ()) -> DataFrame:
     """All four detectors in one table."""
-    parts = [signal_trends(stats), before_after(stats, events), session_outliers(stats), signal_shifts(stats)]
+    parts = [signal_trends(stats), before_after(stats, events, on=on), session_outliers(stats), signal_shifts(stats)]
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p, allowMissingColumns=True)
@@ -183,8 +187,7 @@ def maintenance_forecast(stats: DataFrame, thresholds: DataFrame, min_sessions:
                          min_rel_slope: float = 0.005, horizon: float = 200.0) -> DataFrame:
     """Sessions until the drifting mean of a signal reaches its alarm limit (0 when already past it)."""
     means = _means(stats)
-    limits = F.broadcast(thresholds.select("signal", "alarm_high", "alarm_low").where(
-        "alarm_high is not null or alarm_low is not null"))
+    limits = thresholds.select("signal", "alarm_high", "alarm_low").where("alarm_high is not null or alarm_low is not null")
     level = means.groupBy("signal").agg(F.max_by("mean", F.struct(*ORDER)).alias("current_mean"),
                                         F.avg("mean").alias("_avg"))
     df = position_slope(means, ["signal"], ORDER, "mean").where(F.col("n") >= min_sessions)

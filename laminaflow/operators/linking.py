@@ -52,13 +52,13 @@ def _anchored(records: DataFrame) -> DataFrame:
     return records.withColumn("anchor_ts", F.coalesce("printed_at", "created_at"))
 
 
-def link_by_hint(records: DataFrame, sessions: DataFrame) -> DataFrame:
-    """Hinted day -> session, only when exactly one session started that day."""
+def link_by_hint(records: DataFrame, sessions: DataFrame, on: Sequence[str] = ()) -> DataFrame:
+    """Hinted day -> session, only when exactly one session (of the machine, say) started that day."""
     hinted = records.where("session_id is null and hint_date is not null").select(
-        "record_id", F.col("hint_date").try_cast("date").alias("day"))
-    days = sessions.groupBy(F.to_date("start_ts").alias("day")).agg(
+        "record_id", *on, F.col("hint_date").try_cast("date").alias("day"))
+    days = sessions.groupBy(*on, F.to_date("start_ts").alias("day")).agg(
         F.count(F.lit(1)).alias("_n"), F.min("session_id").alias("session_id")).where("_n = 1")
-    return hinted.join(days, "day").select("record_id", "session_id", F.lit("hint").alias("method"))
+    return hinted.join(days, [*on, "day"]).select("record_id", "session_id", F.lit("hint").alias("method"))
 
 
 def window_positions(left: DataFrame, right: DataFrame, left_id: str, left_ts: str, right_id: str, right_ts: str,
@@ -109,13 +109,13 @@ def link_by_time(records: DataFrame, sessions: DataFrame, hours: float = 24.0, o
                        seconds_between(F.col("anchor_ts"), F.col("start_ts")).alias("delta_sec"))
 
 
-def auto_link(records: DataFrame, sessions: DataFrame, hours: float = 24.0) -> DataFrame:
+def auto_link(records: DataFrame, sessions: DataFrame, hours: float = 24.0, on: Sequence[str] = ()) -> DataFrame:
     """Hints first, then the time window over what is left on both sides."""
     free = unclaimed(sessions, records)
-    hints = link_by_hint(records, free)
+    hints = link_by_hint(records, free, on)
     rest_r = records.join(hints.select("record_id"), "record_id", "left_anti")
     rest_s = free.join(hints.select("session_id"), "session_id", "left_anti")
-    return hints.unionByName(link_by_time(rest_r, rest_s, hours), allowMissingColumns=True)
+    return hints.unionByName(link_by_time(rest_r, rest_s, hours, on).drop(*on), allowMissingColumns=True)
 
 
 def link_candidates(records: DataFrame, sessions: DataFrame, hours: float = 24.0, on: Sequence[str] = ()) -> DataFrame:
@@ -168,20 +168,21 @@ def accumulated_since_service(sessions: DataFrame, maintenance: DataFrame, consu
                               classes: Sequence[str]) -> DataFrame:
     """Hours printed per consumable since its last service, share used and state.
 
-    Sessions are reduced to hours between consecutive service dates first: the consumable table (a handful of
-    rows) is broadcast and the sum combines map-side, so no session row is shuffled.
+    Services are placed among the sessions by time; the running minutes up to a service, taken from all minutes, leave
+    what was printed since. No session meets a consumable.
     """
     last = maintenance.groupBy("component").agg(F.max("timestamp").alias("last_service"))
     dim = consumables.join(last, "component", "left")
     printed = sessions.where(F.col("classification").isin(*classes)).select("start_ts", F.coalesce(
         "duration_min", F.lit(0.0)).alias("_min"))
-    # a session without a start counts for every consumable
-    counts = F.col("last_service").isNull() | F.col("start_ts").isNull() | (F.col("start_ts") >= F.col("last_service"))
-    packed = dim.agg(F.collect_list(F.struct("component", "last_service")).alias("_dim"))
-    hours = printed.crossJoin(F.broadcast(packed)).select("start_ts", "_min", F.inline("_dim")).where(counts)
-    hours = hours.groupBy("component").agg((F.sum("_min") / 60).alias("_h"))
-    out = dim.join(hours, "component", "left")
-    used = F.coalesce("_h", F.lit(0.0))
+    # a service sorts in front of a session of the same time; a session without a start counts for every consumable
+    points = printed.where("start_ts is not null").select(F.lit(0).alias("_all"), "start_ts", F.lit(1).alias("_kind"), F.lit("").alias("component"), "_min")
+    points = points.unionByName(last.where("last_service is not null").select(
+        F.lit(0).alias("_all"), F.col("last_service").alias("start_ts"), F.lit(0).alias("_kind"), "component", F.lit(0.0).alias("_min")))
+    before = Series(points, ["_all"], ["start_ts", "_kind", "component"]).with_running_sum("_before", F.col("_min")).frame.where("_kind = 0")
+    total = printed.agg(F.sum("_min").alias("_total")).withColumn("_all", F.lit(0))
+    out = dim.withColumn("_all", F.lit(0)).join(total, "_all").join(before.select("component", "_before"), "component", "left")
+    used = (F.coalesce("_total", F.lit(0.0)) - F.coalesce("_before", F.lit(0.0))) / 60
     share = F.least(F.lit(100.0), used / F.col("max_hours") * 100)
     state = first_match([(share >= 100, "critical"), (share >= F.col("warn_pct"), "warning")], "ok")
     return out.select("component", "label", "last_service", used.alias("used_hours"), "max_hours", share.alias("pct"),

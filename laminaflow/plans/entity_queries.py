@@ -442,13 +442,13 @@ def upsert_merge(spark, d):
                               ["user_id", "k"], F.col("ts"))
 
 
-@query(f"""WITH {a.EV}, o AS (SELECT user_id AS session_id, min(ts) AS a, CAST(NULL AS TIMESTAMP) AS b, 'old' AS p FROM ev WHERE event_type = 'view' AND k > 50 GROUP BY 1), n AS (SELECT user_id AS session_id, min(ts) AS a, max(ts) AS b, 'new' AS p FROM ev WHERE event_type = 'click' AND k > 40 GROUP BY 1)
+@query(f"""WITH {a.EV}, e AS (SELECT *, user_id || '-' || strftime(ts, '%Y%m%d') AS sid FROM ev), o AS (SELECT sid AS session_id, min(ts) AS a, CAST(NULL AS TIMESTAMP) AS b, 'old' AS p FROM e WHERE event_type = 'view' GROUP BY 1), n AS (SELECT sid AS session_id, min(ts) AS a, max(ts) AS b, 'new' AS p FROM e WHERE event_type = 'click' GROUP BY 1)
 SELECT session_id, {ts('coalesce(o.a, n.a)')} AS start_ts, {ts('coalesce(o.b, n.b)')} AS end_ts, coalesce(n.p, o.p) AS payload FROM o FULL JOIN n USING (session_id)""")
 def merge_sessions(spark, d):
-    ev = a.events(spark, d)
-    old = ev.where("event_type = 'view' and k > 50").groupBy(F.col("user_id").alias("session_id")).agg(
+    ev = a.events(spark, d).withColumn("session_id", F.concat_ws("-", F.col("user_id").cast("string"), F.date_format("ts", "yyyyMMdd")))
+    old = ev.where("event_type = 'view'").groupBy("session_id").agg(
         F.min("ts").alias("start_ts"), F.lit(None).cast("timestamp").alias("end_ts"), F.lit("old").alias("payload"))
-    new = ev.where("event_type = 'click' and k > 40").groupBy(F.col("user_id").alias("session_id")).agg(
+    new = ev.where("event_type = 'click'").groupBy("session_id").agg(
         F.min("ts").alias("start_ts"), F.max("ts").alias("end_ts"), F.lit("new").alias("payload"))
     return sinks.merge_sessions(old, new)
 
@@ -483,10 +483,10 @@ def backfill_candidates(spark, d):
     return sinks.incomplete_sessions(stored, spans).select("session_id", "reason")
 
 
-@query(f"WITH {a.EV} SELECT event_id, user_id FROM ev WHERE user_id NOT IN (SELECT user_id FROM ev WHERE k = 0)")
+@query(f"WITH {a.EV} SELECT event_id, user_id FROM ev WHERE (user_id, date_trunc('day', ts)) NOT IN (SELECT user_id, date_trunc('day', ts) FROM ev WHERE event_type = 'error')")
 def unseen_rows(spark, d):
-    ev = a.events(spark, d)
-    return file_source.unseen(ev, ev.where("k = 0"), ["user_id"]).select("event_id", "user_id")
+    ev = a.events(spark, d).withColumn("day", F.to_date("ts"))
+    return file_source.unseen(ev, ev.where("event_type = 'error'"), ["user_id", "day"]).select("event_id", "user_id")
 
 
 # page addresses as file names of a drop folder

@@ -24,25 +24,22 @@ def link_candidates(spark, d):
     return linking.link_candidates(a.records(spark, d), a.print_sessions(spark, d), 24.0, ["user_id"])
 
 
-@query(f"""WITH {a.PAIRS}, d AS (SELECT date_trunc('day', start_ts) AS day, count(*) AS n, min(session_id) AS session_id FROM s WHERE session_id IN (SELECT event_id FROM ev WHERE k = 7) GROUP BY 1)
-SELECT record_id, session_id, 'hint' AS method FROM r JOIN d ON date_trunc('day', r.anchor_ts) = d.day WHERE n = 1""")
+@query(f"""WITH {a.PAIRS}, d AS (SELECT user_id, date_trunc('day', start_ts) AS day, count(*) AS n, min(session_id) AS session_id FROM s GROUP BY 1, 2)
+SELECT record_id, session_id, 'hint' AS method FROM r JOIN d ON r.user_id = d.user_id AND date_trunc('day', r.anchor_ts) = d.day WHERE n = 1""")
 def hint_link(spark, d):
-    # sessions that logged layer 7: rare enough for days with exactly one
-    seven = a.events(spark, d).where("k = 7").select(F.col("event_id").alias("session_id"))
     rec = a.records(spark, d).withColumn("hint_date", F.date_format("created_at", "yyyy-MM-dd"))
-    return linking.link_by_hint(rec, a.print_sessions(spark, d).join(seven, "session_id", "left_semi"))
+    return linking.link_by_hint(rec, a.print_sessions(spark, d), ["user_id"])
 
 
-@query(f"""WITH {a.PAIRS}, s7 AS (SELECT * FROM s WHERE session_id IN (SELECT event_id FROM ev WHERE k = 7)), d AS (SELECT date_trunc('day', start_ts) AS day, count(*) AS n, min(session_id) AS session_id FROM s7 GROUP BY 1),
-h AS (SELECT record_id, session_id FROM r JOIN d ON date_trunc('day', anchor_ts) = d.day WHERE n = 1),
-p AS (SELECT record_id, session_id, epoch_us(start_ts) - epoch_us(anchor_ts) AS gap FROM r JOIN s7 ON start_ts BETWEEN anchor_ts - INTERVAL 6 MINUTE AND anchor_ts + INTERVAL 6 MINUTE
+@query(f"""WITH {a.PAIRS}, d AS (SELECT user_id, date_trunc('day', start_ts) AS day, count(*) AS n, min(session_id) AS session_id FROM s GROUP BY 1, 2),
+h AS (SELECT record_id, session_id FROM r JOIN d ON r.user_id = d.user_id AND date_trunc('day', anchor_ts) = d.day WHERE n = 1),
+p AS (SELECT record_id, session_id, epoch_us(start_ts) - epoch_us(anchor_ts) AS gap FROM r JOIN s ON r.user_id = s.user_id AND start_ts BETWEEN anchor_ts - INTERVAL 24 HOUR AND anchor_ts + INTERVAL 24 HOUR
   WHERE record_id NOT IN (SELECT record_id FROM h) AND session_id NOT IN (SELECT session_id FROM h)),
 c AS (SELECT *, count(*) OVER (PARTITION BY record_id) AS cr, count(*) OVER (PARTITION BY session_id) AS cs FROM p)
 SELECT record_id, session_id, 'hint' AS method, NULL AS delta_sec FROM h UNION ALL SELECT record_id, session_id, 'time', {num('gap / 1e6')} FROM c WHERE cr = 1 AND cs = 1""")
 def auto_link(spark, d):
-    seven = a.events(spark, d).where("k = 7").select(F.col("event_id").alias("session_id"))
     rec = a.records(spark, d).withColumn("hint_date", F.date_format("created_at", "yyyy-MM-dd"))
-    return linking.auto_link(rec, a.print_sessions(spark, d).join(seven, "session_id", "left_semi"), 0.1)
+    return linking.auto_link(rec, a.print_sessions(spark, d), 24.0, ["user_id"])
 
 
 @query()
@@ -70,21 +67,23 @@ def semi_last_n(spark, d):
     return linking.in_sessions(a.outcomes(spark, d), linking.last_sessions(last, 40)).select("outcome_id", "session_id", "result")
 
 
-_COMP = "CASE WHEN k < 2 THEN 'recoater_blade' WHEN k < 4 THEN 'hepa_filter' WHEN k < 6 THEN 'protective_glass' WHEN k < 8 THEN 'laser_fiber' END"
+_COMP = "CASE WHEN k < 25 THEN 'recoater_blade' WHEN k < 50 THEN 'hepa_filter' WHEN k < 75 THEN 'protective_glass' ELSE 'laser_fiber' END"
 _CONS = "cons(component, label, max_hours, warn_pct) AS (VALUES " + ", ".join(
     f"('{k}', '{v[0]}', CAST({v[1]} AS DOUBLE), CAST({v[2]} AS DOUBLE))" for k, v in model.CONSUMABLES.items()) + ")"
 
 
-@query(f"""WITH {a.SE}, {_CONS}, m AS (SELECT {_COMP} AS component, max(ts) AS t FROM ev WHERE event_type = 'error' AND ts < TIMESTAMP '2024-01-02' AND k < 8 GROUP BY 1),
+@query(f"""WITH {a.EV}, se AS (SELECT ts AS start_ts, value AS duration_min, CASE WHEN event_type = 'click' THEN 'REAL_PRINT' ELSE 'SERVICE_SESSION' END AS classification FROM ev), {_CONS}, m AS (SELECT {_COMP} AS component, max(ts) AS t FROM ev WHERE event_type = 'error' GROUP BY 1),
 u AS (SELECT c.component, any_value(c.label) AS label, any_value(m.t) AS t, any_value(max_hours) AS mh, any_value(warn_pct) AS wp, coalesce(sum(se.duration_min) FILTER (m.t IS NULL OR se.start_ts >= m.t), 0) / 60 AS h
   FROM cons c LEFT JOIN m USING (component) LEFT JOIN se ON se.classification IN ('REAL_PRINT', 'REAL_PRINT_WITH_RESUME') GROUP BY 1)
 SELECT component, label, {ts('t')} AS last_service, {num('h')} AS used_hours, {num('mh')} AS max_hours, {num('least(100, h / mh * 100)')} AS pct, {num('greatest(0, mh - h)')} AS remaining_hours,
   CASE WHEN h / mh * 100 >= 100 THEN 'critical' WHEN h / mh * 100 >= wp THEN 'warning' ELSE 'ok' END AS grade FROM u""")
 def consumable_wear(spark, d):
     k = F.col("k")
-    part = F.when(k < 2, "recoater_blade").when(k < 4, "hepa_filter").when(k < 6, "protective_glass").otherwise("laser_fiber")
-    work = a.events(spark, d).where("event_type = 'error' and k < 8 and ts < '2024-01-02'").select(part.alias("component"), F.col("ts").alias("timestamp"))
-    return linking.accumulated_since_service(a.sessions(spark, d), work, model.consumable_dimension(spark), model.REAL_PRINT_CLASSES)
+    part = F.when(k < 25, "recoater_blade").when(k < 50, "hepa_filter").when(k < 75, "protective_glass").otherwise("laser_fiber")
+    ev = a.events(spark, d)
+    work = ev.where("event_type = 'error'").select(part.alias("component"), F.col("ts").alias("timestamp"))
+    prints = ev.select(F.col("ts").alias("start_ts"), F.col("value").alias("duration_min"), F.when(F.col("event_type") == "click", "REAL_PRINT").otherwise("SERVICE_SESSION").alias("classification"))
+    return linking.accumulated_since_service(prints, work, model.consumable_dimension(spark), model.REAL_PRINT_CLASSES)
 
 
 def _params(spark, d):

@@ -173,15 +173,16 @@ def sensor_faults(spark, d):
     return quality.sensor_faults(_counts(spark, d))
 
 
-_MF = f"""{a.ME}, fs AS (SELECT session_id, family FROM me WHERE layer < 30 GROUP BY 1, 2),
+_MF = f"""{a.ME}, fs AS (SELECT session_id, family FROM me GROUP BY 1, 2 HAVING count(*) >= 10),
 pr AS (SELECT session_id, bool_or(family = 'main_event_log') AS m, bool_or(family = 'sensors_log') AS s, bool_or(family = 'time_log') AS t FROM fs GROUP BY 1),
 mf AS (SELECT *, CAST(NOT m AS INT) + CAST(NOT s AS INT) + CAST(NOT t AS INT) AS c,
   concat_ws(',', CASE WHEN NOT m THEN 'main_event_log' END, CASE WHEN NOT s THEN 'sensors_log' END, CASE WHEN NOT t THEN 'time_log' END) AS miss FROM pr)"""
 
 
 def _files(spark, d):
-    """A family counts as present when it wrote something below layer 30."""
-    return a.machine_events(spark, d).where("layer < 30").select("session_id", "family").distinct()
+    """A family counts as present when it wrote at least ten rows."""
+    rows = a.machine_events(spark, d).groupBy("session_id", "family").agg(F.count(F.lit(1)).alias("n"))
+    return rows.where("n >= 10").select("session_id", "family")
 
 
 @query(f"WITH {_MF} SELECT session_id, miss AS missing, CASE WHEN c > 1 THEN 'high' ELSE 'medium' END AS severity FROM mf WHERE c = 1")
@@ -280,13 +281,13 @@ def state_churn(spark, d):
 
 @query(f"""WITH {a.ME}, ud AS (SELECT CAST(session_id AS VARCHAR) || '-' || strftime(ts, '%Y%m%d') AS sid, * FROM me),
 g AS (SELECT sid, bool_or(event_type IN ('start', 'burn_event')) AS lay, bool_or(event_type = 'resume') AS res, bool_or(subsystem IN ('door', 'glove', 'heating', 'power')) AS sv,
-  bool_and(family = 'monitor100_log') AS mon, bool_or(family = 'main_event_log') AS ml, bool_or(layer < 5 AND event_type = 'pause') AS op FROM ud GROUP BY 1)
+  bool_and(family = 'monitor100_log') AS mon, bool_or(family = 'main_event_log') AS ml, bool_or(event_type = 'pause') AS op FROM ud GROUP BY 1)
 SELECT sid AS session_id, CASE WHEN lay AND res THEN 'REAL_PRINT_WITH_RESUME' WHEN lay THEN 'REAL_PRINT' WHEN op OR sv THEN 'SERVICE_SESSION' WHEN mon THEN 'IDLE_DIAGNOSTIC' WHEN ml THEN 'PRE_BURN_SESSION' ELSE 'INCOMPLETE_OR_UNKNOWN' END AS classification,
   {num('CASE WHEN lay AND res THEN 0.82 WHEN lay THEN 0.78 WHEN op THEN 0.7 WHEN sv THEN 0.55 WHEN mon THEN 0.5 WHEN ml THEN 0.45 ELSE 0.2 END')} AS confidence FROM g""")
 def classification(spark, d):
     ev = a.machine_events(spark, d).withColumn("session_id", F.concat_ws("-", F.col("session_id").cast("string"), F.date_format("ts", "yyyyMMdd")))
     files = ev.select("session_id", "family", F.lit(0).alias("table_rows"))
-    work = ev.where("event_type = 'pause' and layer < 5").select("session_id", F.lit("filter_replaced").alias("event_type"))
+    work = ev.where("event_type = 'pause'").select("session_id", F.lit("filter_replaced").alias("event_type"))
     return sessions.classify_sessions(ev, files, ev, ev, work).drop("evidence")
 
 

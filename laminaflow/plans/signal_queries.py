@@ -284,20 +284,25 @@ def maintenance_forecast(spark, d):
 
 
 def _service(spark, d):
-    return a.events(spark, d).where("event_type = 'error' and k < 10").select(
-        "event_id", F.col("ts").alias("event_ts"), F.lit("filter_replaced").alias("event_type"))
+    return a.events(spark, d).where("event_type = 'error'").select(
+        "event_id", F.col("user_id").cast("string").alias("machine"), F.col("ts").alias("event_ts"), F.lit("filter_replaced").alias("event_type"))
 
 
-@query(f"""WITH {a.UD}, se AS (SELECT event_id, ts FROM ev WHERE event_type = 'error' AND k < 10),
-b AS (SELECT event_id, ts, signal, mean, grp, row_number() OVER (PARTITION BY event_id, signal ORDER BY start_ts DESC, session_id DESC) AS r FROM se JOIN ud ON ud.start_ts < se.ts),
-f AS (SELECT event_id, ts, signal, mean, grp, row_number() OVER (PARTITION BY event_id, signal ORDER BY start_ts, session_id) AS r FROM se JOIN ud ON ud.start_ts >= se.ts),
+@query(f"""WITH {a.DS}, ud AS (SELECT *, split_part(signal, '-', 2) AS machine FROM ds), se AS (SELECT event_id, CAST(user_id AS VARCHAR) AS machine, ts FROM ev WHERE event_type = 'error'),
+b AS (SELECT event_id, ts, signal, mean, grp, row_number() OVER (PARTITION BY event_id, signal ORDER BY start_ts DESC, session_id DESC) AS r FROM se JOIN ud ON ud.machine = se.machine AND ud.start_ts < se.ts),
+f AS (SELECT event_id, ts, signal, mean, grp, row_number() OVER (PARTITION BY event_id, signal ORDER BY start_ts, session_id) AS r FROM se JOIN ud ON ud.machine = se.machine AND ud.start_ts >= se.ts),
 bb AS (SELECT event_id, ts, signal, any_value(grp) AS grp, avg(mean) AS bm, count(*) AS nb FROM b WHERE r <= 5 GROUP BY 1, 2, 3),
 ff AS (SELECT event_id, signal, avg(mean) AS am, count(*) AS na FROM f WHERE r <= 5 GROUP BY 1, 2),
 j AS (SELECT *, round((am - bm) / abs(bm) * 100, 1) AS dp FROM bb JOIN ff USING (event_id, signal) WHERE abs(bm) >= 1e-9)
 SELECT 'before_after' AS type, event_id, 'filter_replaced' AS event_type, {ts('ts')} AS event_ts, signal, grp AS "group", {num('bm')} AS before_mean, {num('am')} AS after_mean,
   {num('dp')} AS delta_pct, nb AS n_before, na AS n_after, {num('least(0.95, 0.35 + 0.08 * (nb + na) + abs(dp) / 200)')} AS confidence FROM j WHERE abs(dp) >= 20""")
 def before_after_events(spark, d):
-    return xs.before_after(a.user_day_stats(spark, d), _service(spark, d))
+    return xs.before_after(_machine_days(spark, d), _service(spark, d), on=["machine"])
+
+
+def _machine_days(spark, d):
+    """Channels of the days, each of the machine (user) in its name."""
+    return a.day_stats(spark, d).withColumn("machine", F.element_at(F.split("signal", "-"), -1))
 
 
 @query()
@@ -307,11 +312,7 @@ def signal_shifts(spark, d):
 
 @query()
 def cross_session_summary(spark, d):
-    ev = a.events(spark, d)
-    days = a.day_stats(spark, d)
-    service = ev.where("event_type = 'error' and k < 2").groupBy(F.date_trunc("day", F.col("ts")).alias("event_ts")).agg(
-        F.min("event_id").alias("event_id")).withColumn("event_type", F.lit("filter_replaced"))
-    return xs.findings_summary(xs.cross_session_findings(days, service))
+    return xs.findings_summary(xs.cross_session_findings(_machine_days(spark, d), _service(spark, d), ["machine"]))
 
 
 @query(f"""WITH {a.EV} SELECT event_id, {num('extract(hour FROM ts) * 3600 + extract(minute FROM ts) * 60 + floor(extract(second FROM ts))')} AS seconds FROM ev""")
