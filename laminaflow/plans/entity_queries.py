@@ -9,7 +9,7 @@ from laminaflow.operators.query import QuerySpec, list_entity, page, page_info,
 from laminaflow.plans import adapters as a
 from laminaflow.plans.catalog import big, num, query, ts
 from laminaflow.plans.link_queries import _OV, _params
-from laminaflow.plans.session_queries import _issues, _layer_times
+from laminaflow.plans.session_queries import DRIFT_SQL, READY_SQL, SCORE_SQL, SPIKES_SQL, _issues, _layer_times
 from laminaflow.sources import files as file_source
 from laminaflow.sources import sinks, tables
 
@@ -382,12 +382,24 @@ def _risk_features(spark, d):
     return risk.feature_row(over, hl, stats, quality.quality_score(ev, _issues(spark, d)))
 
 
-@query()
+_RF = f"""{a.EV}, o2 AS (SELECT user_id AS session_id, avg(value) FILTER (event_type = 'signup') AS m1, stddev_pop(value) FILTER (event_type = 'signup') AS s1,
+  avg(value) FILTER (event_type = 'click') AS m2, stddev_pop(value) FILTER (event_type = 'click') AS s2, epoch_us(max(ts)) - epoch_us(min(ts)) AS us, count(DISTINCT k) AS layers FROM ev GROUP BY 1),
+rf AS (SELECT session_id, y.score AS readiness, CAST(coalesce(p.c, 0) AS DOUBLE) AS anomaly_count, coalesce(b.slope, 0) AS burn_slope, q.score AS data_quality,
+  coalesce(m1, m2) AS o2_mean, CASE WHEN m1 IS NOT NULL THEN s1 ELSE s2 END AS o2_std, us / 6e7 AS duration_min, CAST(layers AS DOUBLE) AS layers
+  FROM o2 LEFT JOIN {READY_SQL} y USING (session_id) LEFT JOIN {DRIFT_SQL} b USING (session_id) LEFT JOIN {SPIKES_SQL} p USING (session_id) LEFT JOIN {SCORE_SQL} q USING (session_id))"""
+_RF_COLS = "session_id, " + ", ".join(f"{num(c)} AS {c}" for c in ("readiness", "anomaly_count", "burn_slope", "data_quality", "o2_mean", "o2_std", "duration_min", "layers"))
+
+
+@query(f"WITH {_RF} SELECT {_RF_COLS} FROM rf")
 def risk_features(spark, d):
     return _risk_features(spark, d)
 
 
-@query()
+@query(f"""WITH {_RF}, w AS (SELECT *, CASE WHEN readiness IS NULL THEN 0 ELSE 0.35 END + CASE WHEN data_quality IS NULL THEN 0 ELSE 0.15 END + 0.5 AS w FROM rf),
+c AS (SELECT *, coalesce(greatest(0, (100 - readiness) / 100) * 0.35, 0) / w AS c1, coalesce(greatest(0, (100 - data_quality) / 100) * 0.15, 0) / w AS c2, least(1, anomaly_count / 5) * 0.25 / w AS c3, greatest(0, least(1, burn_slope / 0.5)) * 0.25 / w AS c4 FROM w),
+f AS (SELECT session_id, string_agg(name, ',' ORDER BY c DESC, i) AS top FROM (SELECT session_id, 1 AS i, c1 AS c, 'Низкая готовность атмосферы' AS name FROM c UNION ALL SELECT session_id, 2, c2, 'Низкое качество данных' FROM c
+  UNION ALL SELECT session_id, 3, c3, 'Аномалии процесса' FROM c UNION ALL SELECT session_id, 4, c4, 'Рост времени прожига' FROM c) WHERE c > 0 GROUP BY 1)
+SELECT {_RF_COLS}, {num('c1 + c2 + c3 + c4')} AS risk, CASE WHEN c1 + c2 + c3 + c4 >= 0.6 THEN 'high' WHEN c1 + c2 + c3 + c4 >= 0.3 THEN 'medium' ELSE 'low' END AS grade, 'heuristic' AS method, coalesce(top, '') AS top_factors FROM c LEFT JOIN f USING (session_id)""")
 def heuristic_risk(spark, d):
     return risk.heuristic_risk(_risk_features(spark, d)).withColumn("top_factors", F.transform("top_factors", lambda f: f["factor"]))
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from laminaflow.operators import features, health, quality, sessions
 from laminaflow.plans import adapters as a
-from laminaflow.plans.catalog import big, num, query, ts
+from laminaflow.plans.catalog import SQL, big, num, query, ts
 
 _LF = f"""{a.ME}, l0 AS (SELECT session_id, layer, count(*) AS c, CASE WHEN count(*) >= 2 THEN (epoch_us(max(ts)) - epoch_us(min(ts))) / 1e6 END AS dur,
   string_agg(DISTINCT event_type, ',' ORDER BY event_type) AS types FROM me GROUP BY 1, 2),
@@ -119,7 +119,14 @@ def process_anomalies(spark, d):
     return health.process_anomalies(a.readings(spark, d))
 
 
-@query()
+# facts of a session before rounding, for the equivalents that go on computing with them
+READY_SQL = f"(WITH {_RDY} SELECT session_id, score FROM sc)"
+DRIFT_SQL = f"(WITH {_BD} SELECT session_id, n, CASE WHEN n >= 3 THEN m END AS mean_sec, CASE WHEN n >= 3 THEN s END AS slope FROM g)"
+SPIKES_SQL = f"(SELECT session_id, count(*) AS c FROM ({SQL['process_anomalies']}) GROUP BY 1)"
+
+
+@query(f"""SELECT session_id, {num('y.score')} AS readiness, y.grade AS readiness_grade, b.n_layers, b.mean_sec, b.slope_sec_per_layer, coalesce(b.trend, 'insufficient_data') AS trend, coalesce(p.c, 0) AS anomaly_count
+FROM ({SQL['readiness']}) y FULL JOIN ({SQL['burn_drift']}) b USING (session_id) LEFT JOIN {SPIKES_SQL} p USING (session_id)""")
 def process_health(spark, d):
     return health.process_health(a.readings(spark, d), _layer_times(spark, d))
 
@@ -238,6 +245,10 @@ def quality_issues(spark, d):
     return _issues(spark, d).drop("detail")
 
 
+SCORE_SQL = f"""(WITH {_DQ}, sc AS (SELECT session_id, greatest(0, 100 - sum(pen * least(2.0, 1 + log10(greatest(1, cnt))))) AS s FROM iss GROUP BY 1)
+SELECT session_id, coalesce(s, 100) AS score FROM (SELECT DISTINCT session_id FROM me) LEFT JOIN sc USING (session_id))"""
+
+
 @query(f"""WITH {_DQ}, sc AS (SELECT session_id, count(*) AS n, greatest(0, 100 - sum(pen * least(2.0, 1 + log10(greatest(1, cnt))))) AS s FROM iss GROUP BY 1),
 al AS (SELECT session_id, coalesce(s, 100) AS s, coalesce(n, 0) AS n FROM (SELECT DISTINCT session_id FROM me) LEFT JOIN sc USING (session_id))
 SELECT session_id, {num('s')} AS score, CASE WHEN s >= 85 THEN 'good' WHEN s >= 60 THEN 'fair' ELSE 'poor' END AS grade, n AS issue_count FROM al""")
