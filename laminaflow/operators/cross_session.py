@@ -40,7 +40,7 @@ def signal_trends(stats: DataFrame, min_pct: float = 5.0) -> DataFrame:
         F.lit("trend").alias("type"), "signal", "group",
         F.when(F.col("slope") > 0, "increasing").otherwise("decreasing").alias("direction"),
         F.col("slope").alias("slope_per_session"), "slope_pct_of_mean", F.col("n").alias("n_sessions"),
-        "mean_overall", _confidence(F.col("n"), F.col("slope_pct_of_mean")).alias("confidence"))
+        "mean_overall", _confidence(F.col("n"), F.col("slope_pct_of_mean")).alias("confidence")).orderBy(F.desc("confidence"), "signal")
 
 
 def before_after(stats: DataFrame, events: DataFrame, window: int = 5, min_pct: float = 20.0, on: Sequence[str] = ()) -> DataFrame:
@@ -81,7 +81,7 @@ def before_after(stats: DataFrame, events: DataFrame, window: int = 5, min_pct:
     return agg.join(_labels(stats), "signal", "left").select(
         F.lit("before_after").alias("type"), "event_id", "event_type", "event_ts", "signal", "group", "before_mean",
         "after_mean", "delta_pct", "n_before", "n_after",
-        _confidence(F.col("n_before") + F.col("n_after"), F.col("delta_pct")).alias("confidence"))
+        _confidence(F.col("n_before") + F.col("n_after"), F.col("delta_pct")).alias("confidence")).orderBy(F.desc(F.abs("delta_pct")), "event_id", "signal")
 
 
 def session_outliers(stats: DataFrame, threshold: float = 2.5) -> DataFrame:
@@ -99,7 +99,7 @@ def session_outliers(stats: DataFrame, threshold: float = 2.5) -> DataFrame:
     return df.drop("group").join(_labels(stats), "signal", "left").select(
         F.lit("session_anomaly").alias("type"), "session_id", "signal", "group", F.col("mean").alias("value"),
         "baseline_mean", "z_score", F.when(F.col("z_score") > 0, "high").otherwise("low").alias("direction"),
-        F.least(F.lit(0.90), 0.4 + F.abs("z_score") / 10).alias("confidence"))
+        F.least(F.lit(0.90), 0.4 + F.abs("z_score") / 10).alias("confidence")).orderBy(F.desc(F.abs("z_score")), "session_id", "signal")
 
 
 def change_points(values: np.ndarray, min_size: int = 2, jump: int = 5) -> list[int]:
@@ -167,7 +167,7 @@ def signal_shifts(stats: DataFrame, min_pct: float = 10.0, min_sessions: int = 6
         F.lit("shift").alias("type"), "signal", "group",
         F.when(F.col("level_after") > F.col("level_before"), "up").otherwise("down").alias("direction"),
         "at_session", "session_index", "level_before", "level_after", "jump_pct", "n_sessions",
-        _confidence(F.col("n_sessions"), F.col("jump_pct")).alias("confidence"))
+        _confidence(F.col("n_sessions"), F.col("jump_pct")).alias("confidence")).orderBy(F.desc("confidence"), "signal", "session_index")
 
 
 def cross_session_findings(stats: DataFrame, events: DataFrame, on: Sequence[str] = ()) -> DataFrame:
@@ -205,7 +205,7 @@ def maintenance_forecast(stats: DataFrame, thresholds: DataFrame, min_sessions:
         "signal", "group", F.when(up, "increasing").otherwise("decreasing").alias("direction"),
         F.col("slope").alias("slope_per_session"), "current_mean", "threshold",
         F.when(up, "alarm_high").otherwise("alarm_low").alias("threshold_kind"), "sessions_to_threshold",
-        F.col("n").alias("n_sessions"))
+        F.col("n").alias("n_sessions")).orderBy("sessions_to_threshold", "signal")
 
 
 def stats_or_fallback(full: DataFrame, compact: DataFrame) -> DataFrame:
