@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Sequence
 from functools import reduce
 
 import pandas as pd
@@ -65,15 +66,18 @@ def list_files(spark: SparkSession, root: str) -> DataFrame:
     return with_names(plain.unionByName(spread.mapInPandas(run, LISTING)), root)
 
 
-def with_names(df: DataFrame, root: str) -> DataFrame:
-    """Adds name, path below ``root``, family, role, confidence, date in the name and the skip reason."""
+def with_names(df: DataFrame, root: str, skip: Sequence[str] = tuple(SKIPPED_NAMES)) -> DataFrame:
+    """Adds name, path below ``root``, family, role, confidence, date in the name and the skip reason.
+
+    ``skip`` names the patterns of files to leave out; pass none to have burn and temperature tables parsed too.
+    """
     base = re.sub(r"^file:/+", "/", root).rstrip("/") + "/"
     name = file_name(F.col("path"))
     return classify_files(df.select(
         "*", name.alias("name"),
         F.regexp_replace("path", "^(?:[a-z0-9]+:)?/*" + re.escape(base.lstrip("/")), "").alias("relative_path"),
         name_date(name).alias("name_date"),
-        skip_reason(name).alias("skip_reason")))
+        skip_reason(name, skip).alias("skip_reason")))
 
 
 def classify_files(df: DataFrame, name: str = "name") -> DataFrame:
@@ -89,23 +93,24 @@ def classify_files(df: DataFrame, name: str = "name") -> DataFrame:
                      F.col("_kind.confidence").alias("classification_confidence"))
 
 
-def skip_reason(name: Column) -> Column:
+def skip_reason(name: Column, skip: Sequence[str] = tuple(SKIPPED_NAMES)) -> Column:
     """Why a file is not ingested, null when it is. Size is no reason."""
-    return first_match([(name.rlike(_glob(g)), f"redundant file type: matches skip pattern '{g}'") for g in SKIPPED_NAMES])
+    found = [(name.rlike(_glob(g)), f"redundant file type: matches skip pattern '{g}'") for g in skip]
+    return first_match(found) if found else F.lit(None).cast("string")
 
 
 def split_skipped(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     return files.where("skip_reason is null"), files.where("skip_reason is not null")
 
 
-def inspect_files(spark: SparkSession, root: str) -> DataFrame:
+def inspect_files(spark: SparkSession, root: str, skip: Sequence[str] = tuple(SKIPPED_NAMES)) -> DataFrame:
     """Kept files with checksum, encoding guess and quality status (reads each content once)."""
     raw = (
         spark.read.format("binaryFile").option("recursiveFileLookup", True)
         .option("ignoreMissingFiles", True).load(root)
         .select("path", F.col("length").alias("size_bytes"), F.col("modificationTime").alias("mtime"), "content"))
     empty = list_files(spark, root).where("size_bytes = 0").select("path", "size_bytes", "mtime", F.lit(b"").alias("content"))
-    df = with_names(raw.unionByName(empty), root)
+    df = with_names(raw.unionByName(empty), root, skip)
     binary = looks_binary(F.col("content"))
     status = first_match([(F.col("size_bytes") == 0, "zero_byte"), (binary, "binary_or_unknown")], "ok")
     return df.where("skip_reason is null").select(

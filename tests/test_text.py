@@ -164,6 +164,7 @@ def test_folder_scan(spark, folder):
     assert ls["p_burn.log"].skip_reason and not ls["p_error.log"].skip_reason and ls["p_sensors.log"].relative_path == "sub/p_sensors.log"
     got = {r.name: r for r in files.inspect_files(spark, str(folder)).collect()}
     assert "p_burn.log" not in got
+    assert "p_burn.log" in {r.name for r in files.inspect_files(spark, str(folder), skip=()).collect()}
     assert {n: (r.quality_status, r.encoding) for n, r in got.items()} == {
         "x_2026.04.27.log": ("ok", "cp1251"), "p_sensors.log": ("ok", "utf-8"), "p_error.log": ("zero_byte", None), "p_bin.log": ("binary_or_unknown", None), "note.txt": ("ok", "utf-8")}
     assert got["note.txt"].checksum == hashlib.sha256(b"hi").hexdigest()
