@@ -13,6 +13,7 @@ that, all of them. No link between different texts is lost, and a group of n cop
 from __future__ import annotations
 
 import hashlib
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -26,8 +27,9 @@ from laminaflow.llm.tables import stored
 SHINGLE_WORDS = 5
 PERCENT = 75
 WORDS_HASH = Polynomial(20240501)
-#: Rounds of verifying against one partner before all remaining pairs are verified.
-STAR_ROUNDS = 2
+#: Rounds of verifying against one partner each go on while they unite at least one in UNITED of those asked, MOST_ROUNDS
+#: at most; whatever they leave apart is verified pair by pair, so these only set the cost.
+UNITED, MOST_ROUNDS = 25, 8
 
 
 def shingle_hashes(block: Block, size: int = SHINGLE_WORDS) -> list[np.ndarray]:
@@ -66,10 +68,11 @@ def _features(size: int):
 
 
 def candidate_sets(blocks: DataFrame, size: int, percent: int) -> DataFrame:
-    """(id, doc, digest, n, prefix_key, prefix, tokens): set sizes of all texts, and the rest for those with a candidate.
+    """(id, doc, digest, n, alone, prefix_key, prefix, tokens): set sizes of all texts, and the rest for those with a candidate.
 
     ``id`` is the text's own number, ``doc`` its smallest key.
-    ``tokens`` are the shingles that another text has too, the rarest first; ``prefix`` those of them in the prefix.
+    ``tokens`` are the shingles that another text has too, the rarest first; ``prefix`` those of them in the prefix;
+    ``alone`` counts the shingles of this text only, which stand before them.
     """
     totals = feature_totals(blocks, _features(size), 1 / 6)
 
@@ -77,41 +80,48 @@ def candidate_sets(blocks: DataFrame, size: int, percent: int) -> DataFrame:
         sets = shingle_hashes(block, size)
         known, _ = _features(size)(block)
         count = totals_of(answers)
-        prefixes, tokens, keys = [], [], []
+        prefixes, tokens, keys, single = [], [], [], []
         for own in sets:
             uses = count[np.searchsorted(known, own)]
             order = np.lexsort((own, uses))
             shared = order[uses[order] > 1]
             alone, n = len(own) - len(shared), len(own)
+            single.append(alone)
             length = n - -(-percent * n // 100) + 1 - alone
             if n == 0 or length < 1:
                 prefixes.append(None), tokens.append(None), keys.append(None)
                 continue
             ranked = own[shared].view(np.int64)
             prefixes.append(ranked[:length]), tokens.append(ranked), keys.append(hashlib.md5(ranked[:length].tobytes()).hexdigest())
-        return {"id": block.texts, "doc": block.ids, "digest": block.digests, "n": [len(s) for s in sets], "prefix_key": keys, "prefix": prefixes, "tokens": tokens}
+        return {"id": block.texts, "doc": block.ids, "digest": block.digests, "n": [len(s) for s in sets], "alone": single, "prefix_key": keys, "prefix": prefixes, "tokens": tokens}
 
-    return stored(with_answers(blocks, totals, kernel, "id long, doc long, digest string, n long, prefix_key string, prefix array<long>, tokens array<long>"), "sets")
+    return stored(with_answers(blocks, totals, kernel, "id long, doc long, digest string, n long, alone long, prefix_key string, prefix array<long>, tokens array<long>"), "sets")
 
 
-def _fits(a: Column, b: Column, percent: int) -> Column:
-    return 100 * F.least(a, b) >= percent * F.greatest(a, b)
+def _reaches(a: Column, size_a: Column, b: Column, size_b: Column, percent: int) -> Column:
+    """Whether sets can reach the threshold whose first common shingle has ``a`` and ``b`` shingles from it on."""
+    most = F.least(a, b)
+    return 100 * most >= percent * (size_a + size_b - most)
 
 
 def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose whole sets reach the threshold."""
+    """The pairs (a, b, and what else comes with them) whose whole sets reach the threshold."""
     left = sets.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("tokens").alias("ta"))
     right = sets.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("tokens").alias("tb"))
     both = F.size(F.array_intersect("ta", "tb"))
-    return pairs.join(left, "a").join(right, "b").where(100 * both >= percent * (F.col("na") + F.col("nb") - both)).select("a", "b")
+    return pairs.join(left, "a").join(right, "b").where(100 * both >= percent * (F.col("na") + F.col("nb") - both)).select(pairs.columns)
+
+
+def _relabelled(labels: DataFrame, merged: DataFrame) -> DataFrame:
+    """Labels (id, n, label) with those in ``merged`` (label, to) replaced."""
+    return stored(labels.join(merged, "label", "left").select("id", "n", F.coalesce("to", "label").alias("label")), "labels")
 
 
 def _united(labels: DataFrame, links: DataFrame) -> DataFrame:
     """Labels (id, n, label) after the links (a, b) between ids."""
     of = labels.select("id", "label")
     edges = links.join(of.toDF("a", "la"), "a").join(of.toDF("b", "lb"), "b").select(F.col("la").alias("a"), F.col("lb").alias("b")).where("a <> b")
-    merged = components(edges).select(F.col("node").alias("label"), "component")
-    return stored(labels.join(merged, "label", "left").select("id", "n", F.coalesce("component", "label").alias("label")), "labels")
+    return _relabelled(labels, components(edges).select(F.col("node").alias("label"), F.col("component").alias("to")))
 
 
 def linked_sets(sets: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -120,34 +130,50 @@ def linked_sets(sets: DataFrame, percent: int = PERCENT) -> DataFrame:
     groups = stored(able.groupBy("prefix_key", "n").agg(F.min("id").alias("gid")), "prefix-groups")
     members = stored(able.select("id", "prefix_key", "n").join(groups, ["prefix_key", "n"]).select("id", "n", "gid"), "group-members")
     heads = able.join(members.where("id = gid").select("id"), "id", "left_semi")
-    shared = stored(heads.select(F.explode("prefix").alias("token"), F.col("id").alias("gid"), F.col("n").alias("size")), "prefix-postings")
-    labels = members.select("id", "n", F.col("id").alias("label"))
-
-    # members against the head of their group, heads against the head that they meet most
-    inside = members.where("id <> gid").select(F.col("gid").alias("a"), F.col("id").alias("b"))
-    labels = _united(labels, stored(verify(inside, able, percent), "links"))
-    for _ in range(STAR_ROUNDS):
+    shared = heads.select(F.posexplode("prefix").alias("at", "token"), F.col("id").alias("gid"), F.col("n").alias("size"), "alone")
+    shared = stored(shared.select("token", "gid", "size", (F.col("size") - F.col("alone") - F.col("at")).alias("rest")), "prefix-postings")
+
+    # members against the head of their group
+    inside = stored(verify(members.where("id <> gid").select(F.col("gid").alias("a"), F.col("id").alias("b")), able, percent), "links")
+    links = [inside]
+    labels = _relabelled(members.select("id", "n", F.col("id").alias("label")), inside.select(F.col("b").alias("label"), F.col("a").alias("to")))
+    # labels against the label that they meet most: behind every shingle one label, another in every turn, is the pivot;
+    # who is linked to it takes its label, which unites chains over several turns and never joins what isn't linked
+    for turn in range(MOST_ROUNDS):
+        by_turn = lambda c: F.xxhash64(c, F.lit(turn))
         named = shared.join(labels.select(F.col("id").alias("gid"), "label"), "gid")
-        # of each label behind a shingle the first head stands for it
-        firsts = named.groupBy("token", "label").agg(F.min(F.struct("gid", "size")).alias("h")).select("token", "label", "h.gid", "h.size")
-        pivots = firsts.groupBy("token").agg(F.min(F.struct("label", "gid", "size")).alias("p"), F.count(F.lit(1)).alias("labels")).where("labels > 1")
-        met = firsts.join(pivots, "token").where((F.col("label") != F.col("p.label")) & _fits(F.col("size"), F.col("p.size"), percent))
-        often = met.groupBy("gid", F.col("p.gid").alias("a")).agg(F.count(F.lit(1)).alias("times"))
-        best = often.groupBy("gid").agg(F.max_by("a", F.struct("times", -F.col("a"))).alias("a"))
-        labels = _united(labels, stored(verify(best.select("a", F.col("gid").alias("b")), able, percent), "links"))
+        firsts = named.groupBy("token", "label").agg(F.min(F.struct(by_turn("gid").alias("o"), "gid", "size", "rest")).alias("h")).select("token", "label", "h.gid", "h.size", "h.rest")
+        pivots = firsts.groupBy("token").agg(F.min(F.struct(by_turn("label").alias("o"), "label", "gid", "size", "rest")).alias("p"), F.count(F.lit(1)).alias("labels")).where("labels > 1")
+        met = firsts.join(pivots, "token").where((F.col("label") != F.col("p.label")) & _reaches(F.col("rest"), F.col("size"), F.col("p.rest"), F.col("p.size"), percent))
+        often = met.groupBy("label", F.col("p.label").alias("to")).agg(F.count(F.lit(1)).alias("times"), F.min(F.struct(F.col("p.gid").alias("a"), F.col("gid").alias("b"))).alias("pair"))
+        asked = stored(often.groupBy("label").agg(F.max_by(F.struct("to", "pair"), F.struct("times", -F.col("to"))).alias("m")).select("label", "m.to", "m.pair.a", "m.pair.b"), "asked")
+        found = stored(verify(asked, able, percent), "links")
+        links.append(found.select("a", "b"))
+        labels = _relabelled(labels, found.select("label", "to"))
+        if found.count() * UNITED < asked.count():
+            break
+    labels = _united(members.select("id", "n", F.col("id").alias("label")), reduce(DataFrame.unionByName, links))
 
     # whatever is still apart: labels behind one shingle (or in one group), then their groups, then the members
     parts = members.join(labels.select("id", "label"), "id").select("gid", "label", "n", "id")
     kinds = parts.select("gid", "label", F.col("n").alias("size")).distinct()
-    lists = shared.select("token", "gid").unionByName(groups.select(F.xxhash64("gid").alias("token"), "gid"))
+    lists = shared.select("token", "gid", "rest").unionByName(groups.select(F.xxhash64("gid").alias("token"), "gid", F.col("n").alias("rest")))
     named = stored(lists.join(kinds, "gid"), "named-postings")
     apart = named.groupBy("token").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("token")
     behind = stored(named.join(apart, "token", "left_semi"), "apart")
-    met = behind.select("token", "label").distinct()
-    met = met.toDF("token", "la").join(met.toDF("token", "lb"), "token").where("la < lb")
-    one = met.join(behind.select(F.col("gid").alias("ga"), "token", F.col("label").alias("la"), F.col("size").alias("sa")), ["token", "la"])
-    two = one.join(behind.select(F.col("gid").alias("gb"), "token", F.col("label").alias("lb"), F.col("size").alias("sb")), ["token", "lb"])
-    group_pairs = two.where(_fits(F.col("sa"), F.col("sb"), percent)).select("ga", "la", "gb", "lb").distinct()
+    # a pair of sets is found behind its first common shingle, so others may be passed over; of a label the best case counts
+    best = behind.groupBy("token", "label").agg(F.max("rest").alias("rest"), F.min("size").alias("size"))
+    met = best.toDF("token", "la", "ra", "na").join(best.toDF("token", "lb", "rb", "nb"), "token")
+    met = met.where((F.col("la") < F.col("lb")) & _reaches(F.col("ra"), F.col("na"), F.col("rb"), F.col("nb"), percent)).select("token", "la", "lb")
+    met = stored(met, "label-pairs")
+    asked = met.select("token", F.col("la").alias("label")).unionByName(met.select("token", F.col("lb").alias("label"))).distinct()
+    sides = behind.join(asked, ["token", "label"], "left_semi").join(heads.select(F.col("id").alias("gid"), "prefix"), "gid")
+    sides = stored(sides.select("token", "label", "gid", "size", "rest", "prefix"), "pair-sides")
+    one = met.join(sides.toDF("token", "la", "ga", "sa", "ra", "pa"), ["token", "la"])
+    two = one.join(sides.toDF("token", "lb", "gb", "sb", "rb", "pb"), ["token", "lb"])
+    first = F.get(F.array_intersect("pa", "pb"), F.lit(0)) == F.col("token")  # prefixes are in one order
+    fits = _reaches(F.col("ra"), F.col("sa"), F.col("rb"), F.col("sb"), percent)
+    group_pairs = two.where(fits & ((F.col("ga") == F.col("gb")) | first)).select("ga", "la", "gb", "lb").distinct()
     of = parts.select("gid", "label", "id")
     rest = group_pairs.join(of.toDF("ga", "la", "a"), ["ga", "la"]).join(of.toDF("gb", "lb", "b"), ["gb", "lb"]).select("a", "b").distinct()
     return _united(labels, stored(verify(rest, able, percent), "links")).select("id", "label")
@@ -188,8 +214,8 @@ def without_near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "t
 
     Rows without words all stay. Of rows that repeat the key and text one stays. All columns are returned.
     """
-    found = text_groups(docs, key, text, size, percent).where("stays").select(F.col("digest").alias("_digest"), F.col("n").alias("_n"), F.col("doc").alias("_doc"))
-    rows = docs.select(F.struct("*").alias("_row"), F.coalesce(F.col(key).cast("long"), F.lit(NO_KEY)).alias("_key"), _digest(text).alias("_digest"))
-    held = rows.join(found, "_digest").where((F.col("_n") == 0) | (F.col("_key") == F.col("_doc")))
-    own = F.when(F.col("_n") == 0, F.monotonically_increasing_id()).otherwise(F.lit(-1))
-    return held.withColumn("_own", own).dropDuplicates(["_digest", "_own"]).select("_row.*")
+    found = text_groups(docs, key, text, size, percent).where("stays and n > 0").select(F.col("digest").alias("_digest"), F.col("doc").alias("_doc"))
+    worded = F.coalesce(F.col(text), F.lit("")).rlike("[^\\x20\\x09-\\x0D]")
+    rows = docs.where(worded).select(F.struct("*").alias("_row"), F.coalesce(F.col(key).cast("long"), F.lit(NO_KEY)).alias("_key"), _digest(text).alias("_digest"))
+    kept = rows.join(found, "_digest").where(F.col("_key") == F.col("_doc")).dropDuplicates(["_digest"])
+    return kept.select("_row.*").unionByName(docs.where(~worded))
