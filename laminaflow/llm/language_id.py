@@ -136,10 +136,16 @@ class Model:
             for size in range(1, min(self.pieces.longest, width - start) + 1):
                 beta[start] += beta[start + size] * self._weights(found[size][:, start], size)
         scale = counts / np.maximum(alpha[lengths, rows], 1e-300)
+        pieces, shares = [], []
         for size, at in found.items():
             for start in range(width - size + 1):
-                share = alpha[start] * self._weights(at[:, start], size) * beta[start + size] * scale
-                np.add.at(total, at[:, start], share)
+                some = np.flatnonzero((at[:, start] < self.pieces.n) | (size == 1))
+                own = at[some, start]
+                pieces.append(own)
+                shares.append(alpha[start][some] * self.table[own] * beta[start + size][some] * scale[some])
+        used, share = np.concatenate(pieces), np.concatenate(shares)
+        for k in range(total.shape[1]):
+            total[:, k] = np.bincount(used, weights=share[:, k], minlength=len(total))
         return total
 
 
