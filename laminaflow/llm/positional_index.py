@@ -80,10 +80,13 @@ def phrase_candidates(index: DataFrame, anchors: DataFrame) -> DataFrame:
 
 
 def verified(candidates: DataFrame, docs: DataFrame, windows: DataFrame) -> DataFrame:
-    """Candidates whose words all equal the window's; only texts with a candidate are cut into words again."""
+    """Candidates whose words all equal the window's; only texts with a candidate are cut into words again.
+
+    (A nullable list of words would be computed for all texts, to filter out nulls before the join.)
+    """
     needed = candidates.select("_key", "_hash").distinct()
     same = lambda a, b: a["_key"].eqNullSafe(b["_key"]) & a["_hash"].eqNullSafe(b["_hash"])
-    texts = docs.join(needed, same(docs, needed), "left_semi").select(F.col("_key").alias("_k"), F.col("_hash").alias("_h"), words_of(F.col("_text")).alias("_words"))
+    texts = docs.join(needed, same(docs, needed), "left_semi").select(F.col("_key").alias("_k"), F.col("_hash").alias("_h"), F.coalesce(words_of(F.col("_text")), F.array().cast("array<string>")).alias("_words"))
     asked = candidates.join(windows.select("window_id", "words"), "window_id")
     joined = asked.join(texts, asked["_key"].eqNullSafe(texts["_k"]) & (asked["_hash"] == texts["_h"]))
     return joined.where(F.slice("_words", F.col("start") + 1, F.col("n")) == F.col("words")).select("_key", "_hash", "window_id", "n", "start")
