@@ -74,8 +74,8 @@ def write_warc(pages: DataFrame, key: str = "page_id", url: str = "url", payload
     """Writes a record for every row; returns the folder and its manifest (shard, seq, name, n_records, bytes).
 
     Null and empty payloads are empty ones and take part in the revisits if ``revisit_from`` is 0. Rows are ordered by
-    (key, digest), null keys first; of equal payloads under one key the first row is the response. If only records
-    without a key share a payload, they are written as responses. Payloads are written whole; a task holds one
+    (key, digest), null keys first; of equal payloads under one key the first row is the response. Records
+    without a key are responses, whatever their payload. Payloads are written whole; a task holds one
     record and one compressed file.
     """
     spark = pages.sparkSession
