@@ -162,9 +162,10 @@ def linked_sets(sets: DataFrame, percent: int = PERCENT) -> DataFrame:
     apart = named.groupBy("token").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("token")
     behind = stored(named.join(apart, "token", "left_semi"), "apart")
     # a pair of sets is found behind its first common shingle, so others may be passed over; of a label the best case counts
-    best = behind.groupBy("token", "label").agg(F.max("rest").alias("rest"), F.min("size").alias("size"))
-    met = best.toDF("token", "la", "ra", "na").join(best.toDF("token", "lb", "rb", "nb"), "token")
-    met = met.where((F.col("la") < F.col("lb")) & _reaches(F.col("ra"), F.col("na"), F.col("rb"), F.col("nb"), percent)).select("token", "la", "lb")
+    best = behind.groupBy("token", "label").agg(F.count(F.lit(1)).alias("groups"), F.max("rest").alias("rest"), F.min("size").alias("size"))
+    met = best.toDF("token", "la", "ca", "ra", "na").join(best.toDF("token", "lb", "cb", "rb", "nb"), "token")
+    # the label with fewer groups comes first and is expanded first
+    met = met.where((F.struct("ca", "la") < F.struct("cb", "lb")) & _reaches(F.col("ra"), F.col("na"), F.col("rb"), F.col("nb"), percent)).select("token", "la", "lb")
     met = stored(met, "label-pairs")
     asked = met.select("token", F.col("la").alias("label")).unionByName(met.select("token", F.col("lb").alias("label"))).distinct()
     sides = behind.join(asked, ["token", "label"], "left_semi").join(heads.select(F.col("id").alias("gid"), "prefix"), "gid")
@@ -175,7 +176,8 @@ def linked_sets(sets: DataFrame, percent: int = PERCENT) -> DataFrame:
     fits = _reaches(F.col("ra"), F.col("sa"), F.col("rb"), F.col("sb"), percent)
     group_pairs = two.where(fits & ((F.col("ga") == F.col("gb")) | first)).select("ga", "la", "gb", "lb").distinct()
     of = parts.select("gid", "label", "id")
-    rest = group_pairs.join(of.toDF("ga", "la", "a"), ["ga", "la"]).join(of.toDF("gb", "lb", "b"), ["gb", "lb"]).select("a", "b").distinct()
+    rest = group_pairs.join(of.toDF("ga", "la", "a"), ["ga", "la"]).join(of.toDF("gb", "lb", "b"), ["gb", "lb"])
+    rest = rest.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     return _united(labels, stored(verify(rest, able, percent), "links")).select("id", "label")
 
 
