@@ -3,9 +3,10 @@
 The element trees of all pages of a host are merged: elements on one path of tags and classes are one node. A node has
 an importance of presentation (entropy of the child sequences that its pages give it) and of content (entropy of the
 texts that they put below it), each relative to the most that so many pages could have. What a site repeats from page to
-page scores low, what it writes anew scores high. Branches of low importance are removed from each page. Elements whose
-tag, role or class names them as furniture (menus, footers, forms, adverts, comments and so on) are removed as well, and
-inside a page's article element nothing else is.
+page scores low, what it writes anew scores high. Branches of low importance are removed from each page, inside a page's
+article element too. Elements whose tag, role or class names them as furniture (menus, footers, forms, adverts, comments
+and so on) are removed as well. Exact copies of a page count once, and classes and ids that only a few pages of the host
+have are left out of the path, so that numbered elements are one node.
 """
 
 from __future__ import annotations
@@ -38,7 +39,7 @@ ROLES = frozenset("navigation banner contentinfo complementary search dialog ale
 WORDS = frozenset("""ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent notice gdpr
     sidebar menu nav navbar navigation breadcrumb breadcrumbs footer masthead toolbar share sharing social related recommended comment comments
     disqus respond reply replies newsletter subscribe signup login popup modal overlay widget pagination pager""".split())
-#: A node below this importance is removed, if so many pages have it.
+#: A node below this importance is removed, if so many pages have text in it; a class or id on fewer pages is no part of a path.
 IMPORTANCE, LEAST_PAGES = 0.3, 8
 #: Weight of presentation in a node's importance; the rest is content.
 PRESENTATION = 0.2
@@ -47,16 +48,19 @@ PRESENTATION = 0.2
 class Node:
     __slots__ = ("tag", "names", "path", "parent", "children", "kind")
 
-    def __init__(self, tag: str, names: str, parent: "Node | None"):
+    def __init__(self, tag: str, names: str, parent: "Node | None", fixed: frozenset[str] = frozenset()):
         self.tag, self.names, self.parent = tag, names, parent
-        label = tag + "".join(f".{n}" for n in sorted(set(names.split())))
+        label = tag + "".join(f".{n}" for n in sorted(fixed.intersection(names.split()))) if names else tag
         self.path = f"{parent.path}/{label}" if parent else label
         self.children: list = []  # nodes and strings
         self.kind = ""
 
 
-def parse(source: str) -> Node:
-    """Element tree of a page; ends that the page leaves out are implied, ends without a start are passed over."""
+def parse(source: str, fixed: frozenset[str] = frozenset()) -> Node:
+    """Element tree of a page; ends that the page leaves out are implied, ends without a start are passed over.
+
+    Of classes and ids only those in ``fixed`` are part of a path.
+    """
     root = node = Node("#", "", None)
     at = 0
     while True:
@@ -80,7 +84,7 @@ def parse(source: str) -> Node:
         if tag in SAME_CLOSES:
             node = _close(node, SAME_CLOSES[tag])
         names, role = _names(token[3])
-        new = Node(tag, names, node)
+        new = Node(tag, names, node, fixed)
         new.kind = role
         node.children.append(new)
         if tag in RAW:
@@ -171,13 +175,14 @@ def blocks_of(roots: list[Node], dropped: set[str], everywhere: bool) -> list[st
     return out
 
 
-def main_text(source: str, dropped: set[str]) -> str:
-    root = parse(source)
+def main_text(source: str, dropped: set[str], fixed: frozenset[str] = frozenset()) -> str:
+    """Where a whole article element is of low importance, the site repeats its articles, and only names tell furniture inside."""
+    root = parse(source, fixed)
     marked = [n for n in walk(root) if n.tag == "article" or n.tag == "main" or n.kind == "main"]
     tops = [n for n in marked if not any(_below(n, m) for m in marked if m is not n)]
     tops = [n for n in tops if not _in_furniture(n)]
-    articles = blocks_of(tops, dropped, False)
-    return "\n".join(articles or blocks_of([root], dropped, True))
+    articles = [text for n in tops for text in blocks_of([n], dropped, n.path not in dropped)]
+    return "\n".join(articles or blocks_of(tops, dropped, False) or blocks_of([root], dropped, True))
 
 
 def _below(node: Node, other: Node) -> bool:
@@ -198,11 +203,11 @@ def _in_furniture(node: Node) -> bool:
     return False
 
 
-def node_features(source: str) -> dict[str, tuple[str, str]]:
-    """For each path of a page: its child sequences and the text below it, as digests."""
+def node_features(source: str, fixed: frozenset[str] = frozenset()) -> dict[str, tuple[str, str | None]]:
+    """For each path of a page: its child sequences and the text below it (if any), as digests."""
     styles: dict[str, list[str]] = {}
     texts: dict[str, list[str]] = {}
-    root = parse(source)
+    root = parse(source, fixed)
     for node in walk(root):
         if node.tag in RAW or node.tag == "head":
             continue
@@ -217,7 +222,7 @@ def node_features(source: str) -> dict[str, tuple[str, str]]:
                     break
                 path = path.rsplit("/", 1)[0]
     digest = lambda parts: hashlib.blake2b("\n".join(parts).encode(), digest_size=8).hexdigest()
-    return {path: (digest(own), digest(texts.get(path, []))) for path, own in styles.items()}
+    return {path: (digest(own), digest(texts[path]) if path in texts else None) for path, own in styles.items()}
 
 
 def host_of(url: Column) -> Column:
@@ -225,28 +230,43 @@ def host_of(url: Column) -> Column:
     return F.lower(F.coalesce(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/@?#]*@)?([^/:?#]*)", 1), F.lit("")))
 
 
-def style_tree(pages: DataFrame, url: str = "url", source: str = "html") -> DataFrame:
-    """(host, path, pages, presentation, content, importance): the merged tree of every host, a row for each node.
+def site_names(pages: DataFrame, url: str = "url", source: str = "html", least_pages: int = LEAST_PAGES) -> DataFrame:
+    """(host, names): classes and ids that at least ``least_pages`` pages of a host have; the others vary by page."""
+    values = F.regexp_extract_all(F.col(source), F.lit(r"(?i)(?<![\w-])(?:class|id)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>\"']+)"), F.lit(1))
+    names = F.array_distinct(F.split(F.lower(F.translate(F.array_join(values, " "), "\"'", "")), r"\s+"))
+    seen = pages.select(host_of(F.col(url)).alias("host"), F.explode(names).alias("name")).where("name <> ''").groupBy("host", "name").agg(F.count(F.lit(1)).alias("n"))
+    return stored(seen.where(F.col("n") >= least_pages).groupBy("host").agg(F.collect_set("name").alias("names")), "site-names")  # a site's template
+
+
+def style_tree(pages: DataFrame, url: str = "url", source: str = "html", names: DataFrame | None = None) -> DataFrame:
+    """(host, path, pages, texts, presentation, content, importance): the merged tree of every host, a row for each node.
 
     Importances are entropies relative to the largest possible with so many pages; a node that only one page has counts 1.
-    Counts of a host are added up before and after the shuffle, so a host with many pages is no heavy key.
+    ``texts`` is how many pages have text in the node; content is judged over those, and is 0 where there are none.
+    Pages of a host with equal sources are one page. Counts of a host are added up before and after the shuffle, so a host
+    with many pages is no heavy key. ``names`` are those of ``site_names``.
     """
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         for batch in batches:
             counts: Counter = Counter()
-            for host, text in zip(batch.column("host").to_pylist(), texts_of(batch, "source")):
-                for path, (style, content) in node_features(text).items():
+            for host, text, own in zip(batch.column("host").to_pylist(), texts_of(batch, "source"), batch.column("names").to_pylist()):
+                for path, (style, content) in node_features(text, frozenset(own or ())).items():
                     counts[host, path, "s", style] += 1
-                    counts[host, path, "c", content] += 1
+                    if content is not None:
+                        counts[host, path, "c", content] += 1
             keys = list(counts)
             yield {"host": [k[0] for k in keys], "path": [k[1] for k in keys], "kind": [k[2] for k in keys], "digest": [k[3] for k in keys], "n": list(counts.values())}
 
-    seen = map_batches(pages.select(host_of(F.col(url)).alias("host"), F.col(source).alias("source")), kernel, "host string, path string, kind string, digest string, n long")
+    names = site_names(pages, url, source) if names is None else names
+    rows = pages.select(host_of(F.col(url)).alias("host"), F.col(source).alias("source"))
+    rows = rows.groupBy("host", F.xxhash64("source").alias("copy")).agg(F.first("source").alias("source")).drop("copy")
+    seen = map_batches(rows.join(names, "host", "left"), kernel, "host string, path string, kind string, digest string, n long")
     seen = seen.groupBy("host", "path", "kind", "digest").agg(F.sum("n").alias("n"))
     # entropy from sums: log(m) - sum(n log n) / m
     sums = seen.groupBy("host", "path", "kind").agg(F.sum("n").alias("m"), F.sum(F.col("n") * F.log("n")).alias("nlogn"))
     entropy = F.when(F.col("m") > 1, F.greatest(F.lit(0.0), (F.log("m") - F.col("nlogn") / F.col("m")) / F.log("m"))).otherwise(F.lit(1.0))
-    nodes = sums.groupBy("host", "path").agg(F.max("m").alias("pages"), F.max(F.when(F.col("kind") == "s", entropy)).alias("presentation"), F.max(F.when(F.col("kind") == "c", entropy)).alias("content"))
+    of = lambda kind, x: F.coalesce(F.max(F.when(F.col("kind") == kind, x)), F.lit(0))
+    nodes = sums.groupBy("host", "path").agg(of("s", F.col("m")).alias("pages"), of("c", F.col("m")).alias("texts"), of("s", entropy).alias("presentation"), of("c", entropy).alias("content"))
     return nodes.withColumn("importance", PRESENTATION * F.col("presentation") + (1 - PRESENTATION) * F.col("content"))
 
 
@@ -257,14 +277,15 @@ def extract_text(pages: DataFrame, key: str = "page_id", url: str = "url", sourc
     Repeated rows get equal results. Only the three named columns are read. Character references are decoded, white space
     inside a block becomes one space, blocks are joined by line ends in page order.
     """
-    low = style_tree(pages, url, source).where((F.col("importance") < importance) & (F.col("pages") >= least_pages))
+    names = site_names(pages, url, source, least_pages)
+    low = style_tree(pages, url, source, names).where((F.col("importance") < importance) & (F.col("texts") >= least_pages))
     noise = stored(low.groupBy("host").agg(F.collect_set("path").alias("paths")), "site-noise")  # a site's template
     kinds = {c: pages.schema[c].dataType.simpleString() for c in (key, url)}
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         for batch in batches:
-            paths = batch.column("paths").to_pylist()
-            yield {key: batch.column("_key"), url: batch.column("_url"), "text": [main_text(t, set(p or ())) for t, p in zip(texts_of(batch, "_source"), paths)]}
+            paths, names_ = batch.column("paths").to_pylist(), batch.column("names").to_pylist()
+            yield {key: batch.column("_key"), url: batch.column("_url"), "text": [main_text(t, set(p or ()), frozenset(n or ())) for t, p, n in zip(texts_of(batch, "_source"), paths, names_)]}
 
     rows = pages.select(pages[key].alias("_key"), pages[url].alias("_url"), pages[source].alias("_source"), host_of(pages[url]).alias("host"))
-    return map_batches(rows.join(noise, "host", "left").drop("host"), kernel, f"`{key}` {kinds[key]}, `{url}` {kinds[url]}, text string")
+    return map_batches(rows.join(noise, "host", "left").join(names, "host", "left").drop("host"), kernel, f"`{key}` {kinds[key]}, `{url}` {kinds[url]}, text string")

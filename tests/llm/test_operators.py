@@ -299,6 +299,16 @@ def test_repeated_branches_go(spark):
     assert tree["#/body/div.text"] > 0.7 > 0.1 > tree["#/body/div.low"]
 
 
+def test_repeated_branches_inside_articles_go(spark):
+    page = "<body><article id=post-{0} class='entry item-{0}'><h1>Title {0}</h1><p>Story number {0} tells something {1}</p><div><p>Read more of our offers here</p></div></article></body>"
+    copied = "<body><article><p>The same story</p><section><p>told again and again</p></section></article></body>"
+    rows = [(k, "https://site.example/x", page.format(k, k * k)) for k in range(30)]
+    rows += [(100 + k, "https://mirror.example/x", copied) for k in range(30)] + [(200 + k, "https://near.example/x", f"<!-- {k} -->{copied}") for k in range(30)]
+    got = {r.page_id: r.text for r in style_tree.extract_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(got[k] == f"Title {k}\nStory number {k} tells something {k * k}" for k in range(30))
+    assert all(text == "The same story\ntold again and again" for k, text in got.items() if k >= 100)
+
+
 # ---- 10 positional index -------------------------------------------------------------------------------------------
 
 @pytest.fixture(scope="module")
