@@ -27,7 +27,7 @@ LONGEST_WORD = 24
 WORD = re.compile(r"[^\W\d_]{1,%d}" % LONGEST_WORD)
 MARK = "▁"
 CACHED_WORDS = 300_000
-#: About so many labelled rows of each language take part in the fit.
+#: About so many distinct labelled texts of each language take part in the fit.
 FIT_ROWS = 3000
 ROUNDS = 3
 
@@ -188,18 +188,18 @@ class Scorer:
 def fit(train: DataFrame, model_file: str, text: str = "text", lang: str = "lang", fit_rows: int = FIT_ROWS, rounds: int = ROUNDS) -> Model:
     """Learns piece probabilities from labelled rows.
 
-    A bounded sample is used: of each language about ``fit_rows`` rows, those with the smallest hashes of their text (all
-    rows of a rarer language). Rows without text or label don't count. Word counts stay in Spark; each round sends back
+    A bounded sample is used: of each language about ``fit_rows`` distinct texts, those with the smallest hashes (all texts
+    of a rarer language); copies count once. Rows without text or label don't count. Word counts stay in Spark; each round sends back
     only the sums for every piece and language. Without labelled rows the model has no language.
     """
-    rows = train.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(text).alias("_text"), F.col(lang).alias("_lang"))
-    sizes = {r._lang: r.n for r in rows.groupBy("_lang").agg(F.count(F.lit(1)).alias("n")).collect()}  # one row per language
+    rows = train.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(text).alias("_text"), F.col(lang).alias("_lang"), F.xxhash64(text).alias("_hash"))
+    sizes = {r._lang: r.n for r in rows.select("_lang", "_hash").distinct().groupBy("_lang").agg(F.count(F.lit(1)).alias("n")).collect()}  # one row per language
     languages, pieces = sorted(sizes), Pieces.load(model_file)
     model = Model(pieces, languages, np.full((pieces.n + 1, len(languages)), 1.0 / (pieces.n + 1)))
     if not languages:
         return model
     share = F.create_map(*[F.lit(x) for k in languages for x in (k, min(1.0, fit_rows / sizes[k]))])[F.col("_lang")]
-    sample = rows.where(F.pmod(F.xxhash64("_text"), F.lit(1 << 30)) < share * (1 << 30))
+    sample = rows.where(F.pmod("_hash", F.lit(1 << 30)) < share * (1 << 30)).groupBy("_lang", "_hash").agg(F.first("_text").alias("_text"))
 
     def count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         counts: dict[str, Counter] = {}

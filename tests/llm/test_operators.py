@@ -222,6 +222,16 @@ def test_held_out_accuracy(spark):
     assert got.select(F.avg((F.col("lang") == F.col("lang_pred")).cast("double"))).first()[0] > 0.97
 
 
+def test_fit_counts_copies_once(spark):
+    rng = random.Random(3)
+    rows = [(" ".join(rng.choice(["the", "house", "people", "water"]) for _ in range(8)) + f" {chr(97 + k % 26)}{chr(97 + k // 26)}", "en") for k in range(200)]
+    copied = [(f"das haus und die leute {chr(97 + k)}", "de") for k in range(3)]
+    fit = lambda rows: language_id.fit(spark.createDataFrame(rows, "text string, lang string"), queries.PIECE_MODEL, fit_rows=20, rounds=1)
+    plain, heavy = fit(rows + copied), fit(rows + copied * 300 + rows[:1] * 3000)
+    assert np.allclose(plain.table, heavy.table)
+    assert plain.table[:, 0].max() > 2 * plain.table[:, 0].min()  # a language of few texts has them all
+
+
 # ---- 7 token files -------------------------------------------------------------------------------------------------
 
 @pytest.mark.parametrize("bits", [1, 7, 8, 13, 16, 17, 31, 32])
