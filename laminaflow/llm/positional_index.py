@@ -2,8 +2,8 @@
 
 The index has a posting (term, document, position) for each training token that the test windows need. A window is
 found by intersecting the posting lists of its rarest terms, each shifted back by the term's place in the window; what
-survives is compared word by word. Proximity matches allow the shifted places to differ a little. Only DataFrame
-functions are used.
+survives is compared word by word. Proximity matches allow the shifted places to differ a little and one word in ten to
+be another; they start from any of the two rarest terms, of which one must be there. Only DataFrame functions are used.
 """
 
 from __future__ import annotations
@@ -20,6 +20,8 @@ WORD_ANY_CASE = "[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+"
 WINDOW_WORDS = 10
 #: So many rarest terms of a window are intersected before words are compared.
 RAREST = 3
+#: In a proximity match each word stands at most SLACK words from its due place; one of every NEAR_WORDS words may be lacking.
+SLACK, NEAR_WORDS = 2, 10
 
 
 def words_of(text: Column) -> Column:
@@ -65,6 +67,30 @@ def rarest_terms(windows: DataFrame, counts: DataFrame, rarest: int = RAREST) ->
     return ranked.where((F.col("found") == F.col("n")) & (F.col("rank") < rarest)).select("window_id", "n", "term", "offset", "rank", F.least("n", F.lit(rarest)).alias("need"))
 
 
+def near_anchors(windows: DataFrame, counts: DataFrame) -> DataFrame:
+    """(window_id, n, term, offset): of each window, one known term more than those that may still be lacking.
+
+    At least one of them stands in each proximity match; a window with more unknown terms than may lack has none.
+    """
+    places = windows.select("window_id", "n", F.floor(F.col("n") / NEAR_WORDS).alias("miss"), F.posexplode("words").alias("offset", "term"))
+    within = Window.partitionBy("window_id")  # at most a window's words
+    ranked = places.join(counts, "term").withColumns({"found": F.count(F.lit(1)).over(within), "rank": F.row_number().over(within.orderBy("uses", "term", "offset")) - 1})
+    return ranked.where(F.col("rank") <= F.col("miss") - (F.col("n") - F.col("found"))).select("window_id", "n", "term", "offset")
+
+
+def near_hits(index: DataFrame, anchors: DataFrame, keyed: DataFrame, windows: DataFrame, slack: int = SLACK) -> DataFrame:
+    """(_key, _hash, window_id): documents and windows with a place where all words but n / NEAR_WORDS stand within ``slack`` of their due places."""
+    seeds = index.join(anchors, "term").select("_key", "_hash", "window_id", "n", (F.col("position") - F.col("offset")).alias("start")).distinct()
+    seeds = stored(seeds, "near-candidates")
+    texts = candidate_texts(seeds, keyed)
+    asked = seeds.join(windows.select("window_id", "words"), "window_id")
+    joined = asked.join(texts, asked["_key"].eqNullSafe(texts["_k"]) & (asked["_hash"] == texts["_h"]))
+    around = lambda first, last: f"slice(_words, greatest({first}, 0) + 1, greatest({last} - greatest({first}, 0) + 1, 0))"
+    some = F.expr(f"size(array_except(words, {around(f'start - {slack}', f'start + n - 1 + {slack}')})) <= n div {NEAR_WORDS}")
+    lacking = F.expr(f"size(filter(sequence(0, n - 1), i -> not array_contains({around(f'start + i - {slack}', f'start + i + {slack}')}, words[i]))) <= n div {NEAR_WORDS}")
+    return joined.where(some).where(lacking).select("_key", "_hash", "window_id").distinct()
+
+
 def phrase_candidates(index: DataFrame, anchors: DataFrame) -> DataFrame:
     """(_key, _hash, window_id, n, start): places where all rarest terms stand as they do in the window.
 
@@ -79,6 +105,17 @@ def phrase_candidates(index: DataFrame, anchors: DataFrame) -> DataFrame:
     return seen.where(F.col("seen") + 1 == F.expr("shiftleft(1, need) - 1")).select(*place).unionByName(seeds.where("need = 1").select(*place).distinct())
 
 
+def candidate_texts(candidates: DataFrame, docs: DataFrame) -> DataFrame:
+    """(_k, _h, _words) of the documents with a candidate; only these are cut into words again.
+
+    (A nullable list of words would be computed for all texts, to filter out nulls before the join.)
+    """
+    needed = candidates.select("_key", "_hash").distinct()
+    wanted = docs["_key"].eqNullSafe(needed["_key"]) & docs["_hash"].eqNullSafe(needed["_hash"])
+    rows = docs.join(needed, wanted, "left_semi").dropDuplicates(["_key", "_hash"])
+    return rows.select(F.col("_key").alias("_k"), F.col("_hash").alias("_h"), F.coalesce(words_of(F.col("_text")), F.array().cast("array<string>")).alias("_words"))
+
+
 def verified(candidates: DataFrame, docs: DataFrame, windows: DataFrame) -> DataFrame:
     """Candidates whose words all equal the window's; only texts with a candidate are cut into words again.
 
@@ -104,34 +141,39 @@ def near_matches(index: DataFrame, anchors: DataFrame, slack: int) -> DataFrame:
     return seen.where(F.col("seen") + 1 == F.expr("shiftleft(1, need) - 1")).drop("seen", "need")
 
 
-def window_hits(keyed: DataFrame, items: DataFrame, item_key: str, item_text: str, size: int = WINDOW_WORDS, rarest: int = RAREST) -> tuple[DataFrame, DataFrame]:
-    """(_key, _hash, window_id, n, start) of all occurrences of windows in the documents, and the windows of each item."""
+def window_hits(keyed: DataFrame, items: DataFrame, item_key: str, item_text: str, size: int = WINDOW_WORDS, rarest: int = RAREST,
+                near: bool = False) -> tuple[DataFrame, DataFrame, DataFrame | None]:
+    """(_key, _hash, window_id, n, start) of all occurrences of windows in the documents, the windows of each item, and the proximity matches if ``near``."""
     windows, owners = windows_of(items, item_key, item_text, size)
     terms = stored(windows.select(F.explode("words").alias("term")).distinct(), "terms")
     counts = stored(term_counts(keyed, terms), "term-counts")
     anchors = stored(rarest_terms(windows, counts, rarest), "anchors")
-    index = stored(postings(keyed, stored(anchors.select("term").distinct(), "anchor-terms")), "postings")
+    close = stored(near_anchors(windows, counts), "near-anchors") if near else anchors
+    index = stored(postings(keyed, stored(anchors.select("term").union(close.select("term")).distinct(), "anchor-terms")), "postings")
     candidates = stored(phrase_candidates(index, anchors), "candidates")
-    return stored(verified(candidates, keyed, windows), "hits"), owners
+    hits = stored(verified(candidates, keyed, windows), "hits")
+    return hits, owners, stored(near_hits(index, close, keyed, windows), "near-hits") if near else None
 
 
 def without_contaminated(docs: DataFrame, items: DataFrame, doc_key: str = "doc_id", doc_text: str = "text", item_key: str = "item_id", item_text: str = "text") -> DataFrame:
     """The rows of ``docs`` in which no window of the benchmark occurs, with all columns."""
-    hits, _ = window_hits(document_key(docs, doc_key, doc_text), items, item_key, item_text)
+    hits, _, _ = window_hits(document_key(docs, doc_key, doc_text), items, item_key, item_text)
     hit = hits.select(F.col("_key").alias("_k"), F.col("_hash").alias("_h")).distinct()
     return docs.join(hit, F.col(doc_key).eqNullSafe(F.col("_k")) & (F.xxhash64(doc_text) == F.col("_h")), "left_anti")
 
 
 def contamination(docs: DataFrame, items: DataFrame, doc_key: str = "doc_id", doc_text: str = "text", item_key: str = "item_id",
-                  item_text: str = "text", size: int = WINDOW_WORDS, rarest: int = RAREST) -> DataFrame:
-    """One row per row of ``docs``: key, n_words, n_hit, n_items, items (ids as sorted strings), contaminated.
+                  item_text: str = "text", size: int = WINDOW_WORDS, rarest: int = RAREST, near: bool = True) -> DataFrame:
+    """One row per row of ``docs``: key, n_words, n_hit, n_items, items (ids as sorted strings), contaminated, and for ``near`` more.
+
+    Those are n_near (distinct windows with a proximity match, exact ones among them), near_items and near.
 
     Null and empty texts have no words and no hits. Rows that repeat a key and text get the same result; rows that share
     a key but not the text are judged apart; a null key is a key. Items without an id can hit, but are neither listed
     nor counted. Other columns are not read. A document's list of items is bounded by the benchmark.
     """
     keyed = document_key(docs, doc_key, doc_text)
-    hits, owners = window_hits(keyed, items, item_key, item_text, size, rarest)
+    hits, owners, close = window_hits(keyed, items, item_key, item_text, size, rarest, near)
 
     in_order = Window.partitionBy("_key", "_hash").orderBy("start", "stop")
     spans = hits.select("_key", "_hash", "start", (F.col("start") + F.col("n")).alias("stop")).distinct()
@@ -144,4 +186,10 @@ def contamination(docs: DataFrame, items: DataFrame, doc_key: str = "doc_id", do
     out = base.join(found, F.col("_key").eqNullSafe(F.col("_k")) & (F.col("_hash") == F.col("_h")), "left")
     items_ = F.coalesce("items", F.array().cast("array<string>"))
     hit = F.coalesce("n_hit", F.lit(0)).cast("long")
-    return out.select(F.col("_key").alias(doc_key), "n_words", hit.alias("n_hit"), F.size(items_).cast("long").alias("n_items"), items_.alias("items"), (hit > 0).alias("contaminated"))
+    exact = [F.col("_key").alias(doc_key), "n_words", hit.alias("n_hit"), F.size(items_).cast("long").alias("n_items"), items_.alias("items"), (hit > 0).alias("contaminated")]
+    if close is None:
+        return out.select(*exact)
+    ids = F.array_sort(F.collect_set(F.col("item").cast("string")))
+    near_found = close.join(owners, "window_id").groupBy(F.col("_key").alias("_nk"), F.col("_hash").alias("_nh")).agg(F.count_distinct("window_id").alias("n_near"), ids.alias("near_items"))
+    out = out.join(near_found, F.col("_key").eqNullSafe(F.col("_nk")) & (F.col("_hash") == F.col("_nh")), "left")
+    return out.select(*exact, F.coalesce("n_near", F.lit(0)).cast("long").alias("n_near"), F.coalesce("near_items", F.array().cast("array<string>")).alias("near_items"), F.col("n_near").isNotNull().alias("near"))

@@ -80,10 +80,16 @@ def op9_style_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_positional_index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    found = contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), near=False)
     return found.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
 
 
+def op10_proximity_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Exact and proximity matches; a query of its own, as the SQL of op10_positional_index fixes the columns there."""
+    found = contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "n_words", "n_hit", "contaminated", "n_near", F.array_join("near_items", ",").alias("near_items"), "near")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
     op1_suffix_array_dedup, op2_compression_bands, op3_ngram_jaccard, op4_sentencepiece, op5_warc, op6_language_id, op7_token_files,
-    op8_contextual_pii, op9_style_tree, op10_positional_index)}
+    op8_contextual_pii, op9_style_tree, op10_positional_index, op10_proximity_matches)}

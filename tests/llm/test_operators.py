@@ -344,6 +344,18 @@ def test_proximity(spark):
     assert [r._key for r in near.collect()] == [1]
 
 
+def test_near_columns(spark):
+    words = [f"w{chr(97 + k // 26)}{chr(97 + k % 26)}" for k in range(40)]
+    inserted = " ".join(w + (" extra" if k % 8 == 4 else "") for k, w in enumerate(words))
+    changed = " ".join("other" if k % 10 == 4 else w for k, w in enumerate(words))
+    rows = [(1, inserted), (2, changed), (3, "before it " + " ".join(words)), (4, " ".join(reversed(words))), (5, " ".join(words[::2])), (6, None), (6, ""), (None, changed), (2, changed)]
+    items = [(7, " ".join(words[:20])), (8, " ".join(words[20:29]) + " unheard"), (9, "wholly unseen words " * 4), (None, " ".join(words[30:]))]
+    got = positional_index.contamination(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    told = sorted((r.doc_id or 0, r.contaminated, r.near, ",".join(r.near_items)) for r in got)
+    assert told == [(0, False, True, "7"), (1, False, True, "7,8"), (2, False, True, "7"), (2, False, True, "7"), (3, True, True, "7,8"),
+                    (4, False, False, ""), (5, False, False, ""), (6, False, False, ""), (6, False, False, "")]
+
+
 # ---- all -----------------------------------------------------------------------------------------------------------
 
 def test_empty_tables(spark, nothing):
