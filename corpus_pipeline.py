@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from laminaflow.llm.jaccard_groups import without_near_duplicates
-from laminaflow.llm.language_id import fit, identify
+from laminaflow.llm.language_id import fit, identify, like_labelled
 from laminaflow.llm.pii_contexts import without_personal_data
 from laminaflow.llm.piece_spans import decode_pieces, encode_pieces
 from laminaflow.llm.positional_index import without_contaminated
@@ -23,11 +23,11 @@ LEAST_SCORE = 0.5
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a language that the labels teach."""
+    """Documents in a language that the labels teach: no text that is far less probable there than the labelled ones."""
     model = fit(docs.where(~held_out(docs)), PIECE_MODEL)
-    rows = docs.select(F.struct("*").alias("_row"), F.col("text").alias("_text"))
-    found = identify(rows, model, "_row", "_text")
-    return found.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE)).select("_row.*")
+    rows = docs.select(F.struct("*").alias("_row"), F.col("text").alias("_text"), F.when(~held_out(docs), F.col("lang")).alias("_label"))
+    found = stored(identify(rows, model, "_row", "_text", ("_label",)), "language-scores")
+    return like_labelled(found, "_label", "_row.text").where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE)).select("_row.*")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

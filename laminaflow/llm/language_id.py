@@ -30,6 +30,9 @@ CACHED_WORDS = 300_000
 #: About so many distinct labelled texts of each language take part in the fit.
 FIT_ROWS = 3000
 ROUNDS = 3
+#: A text is unlike its language if its loglik is below the median of the labelled texts by more than this, or by more than
+#: TAIL times the distance to their lowest twentieth, plus SHORT standard deviations for its number of letters.
+LEAST_DROP, TAIL, SHORT = 1.0, 4, 3
 
 
 @dataclass
@@ -173,16 +176,16 @@ class Scorer:
         self.known.update(zip(words, range(at, at + len(words))))
         return units
 
-    def score(self, texts: list[str]) -> list[tuple[str, float, float | None]]:
-        """Per text: language, posterior, and log probability per letter in that language."""
+    def score(self, texts: list[str]) -> list[tuple[str, float, float | None, int]]:
+        """Per text: language, posterior, log probability per letter in that language, and letters."""
         if not self.model.languages:
-            return [("und", 0.0, None)] * len(texts)
-        return [self._posterior(words) if words else ("und", 0.0, None) for words in self.learn(texts)]
+            return [("und", 0.0, None, 0)] * len(texts)
+        return [self._posterior(words) if words else ("und", 0.0, None, 0) for words in self.learn(texts)]
 
-    def _posterior(self, words: list[str]) -> tuple[str, float, float]:
+    def _posterior(self, words: list[str]) -> tuple[str, float, float, int]:
         total = self.table[np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))].sum(axis=0)
-        best = int(total.argmax())
-        return self.model.languages[best], float(1.0 / np.exp(total - total[best]).sum()), float(total[best] / len("".join(words)))
+        best, letters = int(total.argmax()), sum(map(len, words))
+        return self.model.languages[best], float(1.0 / np.exp(total - total[best]).sum()), float(total[best] / letters), letters
 
 
 def fit(train: DataFrame, model_file: str, text: str = "text", lang: str = "lang", fit_rows: int = FIT_ROWS, rounds: int = ROUNDS) -> Model:
@@ -241,19 +244,36 @@ def fit(train: DataFrame, model_file: str, text: str = "text", lang: str = "lang
 
 
 def identify(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
-    """Per row of ``docs``: key, lang_pred, score (0 to 1), loglik (per character), and the columns named in ``keep``.
+    """Per row of ``docs``: key, lang_pred, score (0 to 1), loglik (per letter), letters, and the columns named in ``keep``.
 
     Texts that are null or have no letter are ``und`` with score 0 and no loglik. Null keys and repeated rows pass through.
     """
     columns = [docs.schema[c] for c in (key, *keep)]
-    schema = T.StructType([*columns, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("loglik", T.DoubleType())])
+    schema = T.StructType([*columns, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("loglik", T.DoubleType()), T.StructField("letters", T.LongType())])
     shared = docs.sparkSession.sparkContext.broadcast(model)  # as large as the vocabulary
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         scorer = Scorer(shared.value)
         for batch in batches:
             rows = scorer.score(texts_of(batch, "_text"))
-            yield {**{f.name: batch.column(f"_k{i}") for i, f in enumerate(columns)}, "lang_pred": [r[0] for r in rows], "score": [r[1] for r in rows], "loglik": [r[2] for r in rows]}
+            yield {**{f.name: batch.column(f"_k{i}") for i, f in enumerate(columns)}, "lang_pred": [r[0] for r in rows], "score": [r[1] for r in rows], "loglik": [r[2] for r in rows], "letters": [r[3] for r in rows]}
 
     rows = docs.select(*[docs[f.name].alias(f"_k{i}") for i, f in enumerate(columns)], docs[text].alias("_text"))
     return map_batches(rows, kernel, schema)
+
+
+def like_labelled(scored: DataFrame, label: str = "lang", text: str = "text") -> DataFrame:
+    """The rows of ``scored`` (what ``identify`` returns, with a label and a text) whose loglik fits their predicted language.
+
+    The distribution is that of all distinct texts whose label is the predicted language. Rows of a language without such
+    texts, and those without a loglik, stay. Of ``scored`` two passes are made, so it should be a stored table.
+    """
+    own = scored.where((F.col(label) == F.col("lang_pred")) & F.col("loglik").isNotNull())
+    own = own.groupBy("lang_pred", F.xxhash64(text).alias("copy")).agg(F.first("loglik").alias("loglik"), F.first("letters").alias("letters"))
+    own = stored(own.drop("copy"), "language-logliks")
+    middle = own.groupBy(F.col("lang_pred").alias("_lang")).agg(F.percentile_approx("loglik", [0.05, 0.5]).alias("_q"))  # a row for each language
+    off = F.abs(F.col("loglik") - F.col("_q")[1]) * F.sqrt("letters")  # in standard deviations of one letter
+    limits = own.join(F.broadcast(middle), F.col("lang_pred") == F.col("_lang")).groupBy("_lang", "_q").agg(F.greatest(F.lit(1.0), 1.4826 * F.percentile_approx(off, 0.5)).alias("_one"))
+    drop = F.greatest(F.lit(LEAST_DROP), TAIL * (F.col("_q")[1] - F.col("_q")[0])) + SHORT * F.col("_one") / F.sqrt("letters")
+    joined = scored.join(F.broadcast(limits), F.col("lang_pred") == F.col("_lang"), "left")
+    return joined.where(F.col("_lang").isNull() | F.col("loglik").isNull() | (F.col("loglik") >= F.col("_q")[1] - drop)).drop("_lang", "_q", "_one")

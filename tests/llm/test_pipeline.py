@@ -5,6 +5,7 @@ import hashlib
 import brute
 import corpus_pipeline
 import pytest
+from pyspark.sql import functions as F
 from laminaflow.llm import pii_contexts, queries
 
 
@@ -22,6 +23,17 @@ def test_stages_return_the_columns(spark, docs, tmp_path_factory):
     assert rows.count() > 0
 
 
+def test_unknown_languages_and_noise_go(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text", "lang")
+    known = docs.where("lang in ('en', 'de')")
+    short = [(-k, "the " + w, None) for k, w in enumerate(("and in", "of thing that", "to her"), 1)]
+    odd = [(-10, "日本語 テキスト です " * 20, None), (-11, "qzxv wkjq xxzq vvkq jqzx " * 20, None), (-12, "zqxj kvwq", None)]
+    given = known.unionByName(docs.where("lang in ('es', 'fr')").withColumn("lang", F.lit(None).cast("string"))).unionByName(spark.createDataFrame(short + odd, known.schema))
+    kept = {r.doc_id for r in corpus_pipeline.language(spark, given, "").collect()}
+    told = {r.doc_id for r in known.collect() if any(c.isalpha() for c in r.text or "")}
+    assert told - kept == set() and kept - told == {r[0] for r in short}
+
+
 def test_pipeline_rows(spark):
     sf_dir = "/root/testdata/sf0.001"
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
