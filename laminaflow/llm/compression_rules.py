@@ -2,7 +2,8 @@
 
 A text is compressed as a whole and in fixed chunks with zstandard. Too high a ratio of raw to compressed bytes means
 repetition, too low a ratio means noise (keys, hashes, encoded data). Short texts compress worse than long ones, so each
-limit belongs to a range of lengths. The check of chunks finds a bad stretch that the whole text would hide.
+limit belongs to a range of lengths. The check of chunks finds a bad stretch that the whole text would hide: by the share
+of bad chunks, and in long texts by the longest run of them. The last chunk ends with the text and overlaps the one before.
 """
 
 from __future__ import annotations
@@ -38,8 +39,8 @@ class Band:
 WHOLE = (Band(0, 0.0, 1e9), Band(64, 0.8, 2.2), Band(256, 1.1, 2.6), Band(1024, 1.35, 3.2), Band(4096, 1.5, 3.8), Band(16384, 1.6, 4.6), Band(65536, 1.7, 5.6))
 #: One chunk of CHUNK_BYTES.
 CHUNK = Band(CHUNK_BYTES, 1.35, 3.4)
-#: Largest share of a text's full chunks outside the band.
-BAD_CHUNKS = 0.25
+#: Largest share of a text's chunks outside the band, and the most of them in a row.
+BAD_CHUNKS, BAD_RUN = 0.25, 2
 
 
 def band_of(bands: Sequence[Band], n_bytes: int) -> Band:
@@ -59,6 +60,14 @@ def repeated_words(words: Sequence[bytes], size: int = 5) -> int:
     return covered
 
 
+def longest_run(bad: Sequence[bool]) -> int:
+    longest = run = 0
+    for x in bad:
+        run = run + 1 if x else 0
+        longest = max(longest, run)
+    return longest
+
+
 def duplicate_lines(raw: bytes) -> int:
     """Lines with at least one word that equal an earlier line."""
     lines = [line for line in raw.split(b"\n") if line.strip(b" \t\v\f\r")]
@@ -68,8 +77,8 @@ def duplicate_lines(raw: bytes) -> int:
 class Rules:
     """Scores one text; holds the compressor of a task."""
 
-    def __init__(self, whole: Sequence[Band] = WHOLE, chunk: Band = CHUNK, bad_chunks: float = BAD_CHUNKS):
-        self.whole, self.chunk, self.bad_chunks = whole, chunk, bad_chunks
+    def __init__(self, whole: Sequence[Band] = WHOLE, chunk: Band = CHUNK, bad_chunks: float = BAD_CHUNKS, bad_run: int = BAD_RUN):
+        self.whole, self.chunk, self.bad_chunks, self.bad_run = whole, chunk, bad_chunks, bad_run
         self.zstd = zstandard.ZstdCompressor(level=LEVEL, write_content_size=False, write_checksum=False)
 
     def ratio(self, raw: bytes) -> float:
@@ -82,10 +91,14 @@ class Rules:
         failed = len(words) < 10 or 100 * repeated > 20 * len(words)
         ratio = self.ratio(raw) if raw else None
         size, view = self.chunk.from_bytes, memoryview(raw)
-        chunks = [self.ratio(view[at:at + size]) for at in range(0, len(raw) - size + 1, size)]
-        bad = sum(not self.chunk.lowest <= x <= self.chunk.highest for x in chunks)
+        starts = [*range(0, len(raw) - size + 1, size)]
+        if starts and len(raw) % size:
+            starts.append(len(raw) - size)
+        chunks = [self.ratio(view[at:at + size]) for at in starts]
+        outside = [not self.chunk.lowest <= x <= self.chunk.highest for x in chunks]
+        bad = sum(outside)
         band = band_of(self.whole, len(raw))
-        good = ratio is not None and band.lowest <= ratio <= band.highest and bad <= self.bad_chunks * len(chunks)
+        good = ratio is not None and band.lowest <= ratio <= band.highest and bad <= self.bad_chunks * len(chunks) and longest_run(outside) <= self.bad_run
         return {
             "n_words": len(words), "word_chars": len(text) - sum(map(text.count, SEPARATORS)), "n_symbols": sum(map(text.count, SYMBOLS)),
             "n_dup_lines": duplicate_lines(raw), "n_repeat_words": repeated, "base_failed": failed, "kept": good and not failed,
@@ -98,7 +111,7 @@ SCHEMA = ("n_words long, word_chars long, n_symbols long, n_dup_lines long, n_re
 
 
 def compression_quality(docs: DataFrame, key: str = "doc_id", text: str = "text", whole: Sequence[Band] = WHOLE,
-                        chunk: Band = CHUNK, bad_chunks: float = BAD_CHUNKS) -> DataFrame:
+                        chunk: Band = CHUNK, bad_chunks: float = BAD_CHUNKS, bad_run: int = BAD_RUN) -> DataFrame:
     """One row per row of ``docs``: key, counts, base verdict and the verdict of the compression bands.
 
     Null and empty texts have no words, so they fail the base rules and are not kept; their ratio is null. Null keys and
@@ -108,7 +121,7 @@ def compression_quality(docs: DataFrame, key: str = "doc_id", text: str = "text"
     kind = docs.schema[key].dataType.simpleString()
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-        rules = Rules(whole, chunk, bad_chunks)
+        rules = Rules(whole, chunk, bad_chunks, bad_run)
         for batch in batches:
             rows = [rules.score(t) for t in texts_of(batch, "_text")]
             yield {key: batch.column("_key"), **{c: [r[c] for r in rows] for c in re.findall(r"(\w+) (?:long|boolean|double)", SCHEMA)}}

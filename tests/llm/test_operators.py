@@ -64,6 +64,20 @@ def test_compression_bands():
     assert inside["n_bad_chunks"] > 0 and not inside["kept"]
 
 
+def test_compression_stretches():
+    rules = compression_rules.Rules()
+    rng = random.Random(1)
+    words = ["".join(rng.choice("etaoinsrhld") for _ in range(rng.randint(2, 9))) for _ in range(3000)]
+    prose = lambda n: " ".join(rng.choice(words) for _ in range(n // 4))[:n]
+    noise = lambda n: "".join(chr(rng.randrange(33, 127)) for _ in range(n))
+    assert all(rules.score(prose(n))["kept"] for n in (2047, 2048, 2049, 4000, 4096, 300_000))
+    end = rules.score(prose(2048) + noise(1900))  # the second half is never a chunk of the grid
+    assert end["n_chunks"] == 2 and end["n_bad_chunks"] == 1 and not end["kept"]
+    long = rules.score(prose(200_000) + noise(12_000) + prose(200_000))
+    assert 2 < long["n_bad_chunks"] < 0.25 * long["n_chunks"] and not long["kept"]
+    assert rules.score(prose(100_000) + noise(3000) + prose(100_000))["kept"]
+
+
 # ---- 3 n-gram Jaccard join -----------------------------------------------------------------------------------------
 
 def test_near_duplicates(docs, texts, same):
