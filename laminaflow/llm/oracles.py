@@ -37,4 +37,39 @@ word AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM hit, unnest(range(k, k +
 item AS (SELECT doc_id, count(*) AS n_items, string_agg(v, ',' ORDER BY v) AS ids FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS v FROM hit WHERE item_id IS NOT NULL) GROUP BY 1)
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256, n_hit IS NOT NULL AS contaminated
 FROM d LEFT JOIN word USING (doc_id) LEFT JOIN item USING (doc_id)""",
+    "op11_line_bitmaps": """WITH l AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS pos FROM documents),
+k AS (SELECT *, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM l),
+h AS (SELECT key, max(doc_id) AS keeper FROM k WHERE length(key) >= 20 GROUP BY key HAVING count(DISTINCT doc_id) >= 3),
+j AS (SELECT k.doc_id, pos, line, keeper IS NOT NULL AND keeper <> k.doc_id AS gone FROM k LEFT JOIN h USING (key))
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped, sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone), '')) AS kept_sha256 FROM j GROUP BY doc_id""",
+    # dp holds, per conversation and number of rows read, the least (cost, audit) that leads to each end of the roles
+    "op12_turn_repair": """WITH RECURSIVE bits AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+  encode(coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ')) AS b FROM conversations),
+crc(n, i, poly) AS (SELECT n, 0, CAST(n AS UBIGINT) FROM range(256) t(n)
+  UNION ALL SELECT n, i + 1, CASE WHEN poly % 2 = 1 THEN xor(poly // 2, CAST(3988292384 AS UBIGINT)) ELSE poly // 2 END FROM crc WHERE i < 8),
+tab AS (SELECT list(poly ORDER BY n) AS t FROM crc WHERE i = 8),
+lot AS (SELECT bits.* EXCLUDE (b), xor(list_reduce(list_concat([CAST(4294967295 AS UBIGINT)], [CAST('0x' || substr(hex(b), CAST(2 * g + 1 AS BIGINT), 2) AS UBIGINT) FOR g IN range(octet_length(b))]),
+  lambda c, v: xor(c // 256, t[CAST(xor(c % 256, v) + 1 AS BIGINT)])), CAST(4294967295 AS UBIGINT)) % 20 AS d FROM bits, tab),
+damaged AS (SELECT conv_id, turn, CASE WHEN d = 4 THEN 'user' ELSE role END AS role, CASE d WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text,
+  unnest(CASE d WHEN 0 THEN [] WHEN 3 THEN [0, 1] ELSE [0] END) AS c FROM lot),
+placed AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, md5(length(role) || ':' || role || text), c) AS n FROM damaged),
+bare AS (SELECT *, rtrim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS body, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY n) > 1 AS again FROM placed),
+fault AS (SELECT *, substr(role, 1, 1) AS ini, CASE WHEN body = '' THEN 'b' WHEN again THEN 'd' WHEN substr(body, -1) NOT IN ('.', '!', '?') THEN 't' ELSE '' END AS f FROM bare),
+ins AS (SELECT * FROM (VALUES ('', '', 0, '', ''), ('', 'u', 2, 'I', 'u'), ('', 'a', 4, 'II', 'ua'), ('s', 's', 0, '', ''), ('s', 'u', 2, 'I', 'u'), ('s', 'a', 4, 'II', 'ua'), ('u', 'u', 0, '', ''), ('u', 'a', 2, 'I', 'a'),
+  ('a', 'a', 0, '', ''), ('a', 'u', 2, 'I', 'u')) t(p, q, cost, l, r)),
+act AS (SELECT * FROM (VALUES ('D', '', ''), ('D', 's', 's'), ('D', 'u', 'u'), ('D', 'a', 'a'), ('K', '', 's'), ('K', '', 'u'), ('K', 's', 'u'), ('K', 'u', 'a'), ('K', 'a', 'u'), ('R', '', 'u'), ('R', 's', 'u'), ('R', 'u', 'a'), ('R', 'a', 'u')) t(e, q, z)),
+dp AS (SELECT conv_id, CAST(0 AS BIGINT) AS n, '' AS q, CAST(0 AS BIGINT) AS cost, '' AS audit, CAST([] AS VARCHAR[]) AS lines FROM (SELECT DISTINCT conv_id FROM conversations)
+  UNION ALL SELECT conv_id, n, q, w.cost, w.audit, w.lines FROM (SELECT dp.conv_id, fault.n, act.z AS q, min({'cost': dp.cost + ins.cost + CASE e WHEN 'D' THEN 3 WHEN 'R' THEN 2 ELSE 0 END + CASE WHEN e <> 'D' AND f = 't' THEN 1 ELSE 0 END,
+    'audit': dp.audit || ins.l || e, 'lines': dp.lines || [CASE x WHEN 'u' THEN 'user:' ELSE 'assistant:' END FOR x IN string_split(ins.r, '') IF x <> ''] || CASE e WHEN 'D' THEN [] WHEN 'K' THEN [role || ':' || text]
+      ELSE [CASE act.z WHEN 'u' THEN 'user:' ELSE 'assistant:' END || text] END}) AS w
+    FROM dp JOIN fault ON fault.conv_id IS NOT DISTINCT FROM dp.conv_id AND fault.n = dp.n + 1 JOIN ins ON ins.p = dp.q JOIN act ON act.q = ins.q
+    WHERE (e <> 'K' OR ini = act.z) AND (e = 'D' OR f NOT IN ('b', 'd')) GROUP BY dp.conv_id, fault.n, act.z)),
+last AS (SELECT conv_id, max(n) AS n FROM dp GROUP BY conv_id),
+done AS (SELECT dp.conv_id, min({'cost': dp.cost + ins.cost, 'audit': dp.audit || ins.l, 'lines': dp.lines || [CASE x WHEN 'u' THEN 'user:' ELSE 'assistant:' END FOR x IN string_split(ins.r, '') IF x <> '']}) AS w
+  FROM dp JOIN last ON last.conv_id IS NOT DISTINCT FROM dp.conv_id AND last.n = dp.n JOIN ins ON ins.p = dp.q WHERE ins.q IN ('', 'a') GROUP BY dp.conv_id),
+pair AS (SELECT conv_id, ini || lead(ini) OVER (PARTITION BY conv_id ORDER BY n) AS p FROM fault),
+num AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (f = 'b') AS blank, count(*) FILTER (f = 'd') AS duplicate, count(*) FILTER (f = 't') AS truncated FROM fault GROUP BY conv_id),
+bad AS (SELECT conv_id, count(*) FILTER (p NOT IN ('su', 'ua', 'au')) AS illegal FROM pair GROUP BY conv_id)
+SELECT done.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, w.cost AS cost, w.audit AS audit,
+  sha256(array_to_string(w.lines, chr(10))) AS repaired_sha256 FROM done LEFT JOIN num ON num.conv_id IS NOT DISTINCT FROM done.conv_id LEFT JOIN bad ON bad.conv_id IS NOT DISTINCT FROM done.conv_id""",
 }

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from laminaflow.llm.compression_rules import compression_quality
 from laminaflow.llm.jaccard_groups import near_duplicates
 from laminaflow.llm.language_id import fit, identify
+from laminaflow.llm.line_bitmaps import kept_lines
 from laminaflow.llm.oracles import SQL  # noqa: F401
 from laminaflow.llm.pii_contexts import KINDS, personal_data, spans_text, with_spans
 from laminaflow.llm.piece_spans import decode_pieces, encode_pieces
@@ -18,7 +19,9 @@ from laminaflow.llm.positional_index import contamination
 from laminaflow.llm.style_tree import extract_text
 from laminaflow.llm.suffix_dedup import dedup_documents
 from laminaflow.llm.tables import table
+from laminaflow.llm.token_links import link_counts
 from laminaflow.llm.token_pack import read_token_files, write_token_files
+from laminaflow.llm.turn_repair import damaged, repair_digests
 from laminaflow.llm.warc_shards import read_warc, write_warc
 
 PIECE_MODEL = public_tokenizers.path("piece_bpe_32k.model")
@@ -90,6 +93,21 @@ def op10_proximity_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", "contaminated", "n_near", F.array_join("near_items", ",").alias("near_items"), "near")
 
 
+def op11_line_bitmaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = kept_lines(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def op12_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations")
+    return repair_digests(damaged(rows), rows)
+
+
+def op13_token_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return link_counts(table(spark, sf_dir, "documents"), BYTE_MODEL, PIECE_MODEL)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
     op1_suffix_array_dedup, op2_compression_bands, op3_ngram_jaccard, op4_sentencepiece, op5_warc, op6_language_id, op7_token_files,
-    op8_contextual_pii, op9_style_tree, op10_positional_index, op10_proximity_matches)}
+    op8_contextual_pii, op9_style_tree, op10_positional_index, op10_proximity_matches,
+    op11_line_bitmaps, op12_turn_repair, op13_token_links)}
