@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from laminaflow.operators.ordered import Series, group_medians
-from laminaflow.operators.robust import position_slope
+from laminaflow.operators.slopes import theil_sen
 
 ORDER = ["start_ts", "session_id"]
 
@@ -29,10 +29,10 @@ def _labels(stats: DataFrame) -> DataFrame:
 
 
 def signal_trends(stats: DataFrame, min_pct: float = 5.0) -> DataFrame:
-    """Signals whose session mean drifts by at least ``min_pct`` of its level per session."""
+    """Signals whose session mean drifts by at least ``min_pct`` of its level per session, by the median of all pairwise slopes."""
     means = _means(stats)
     level = means.groupBy("signal").agg(F.avg("mean").alias("mean_overall"))
-    df = position_slope(means, ["signal"], ORDER, "mean").where("n >= 3").join(level, "signal")
+    df = theil_sen(means, ["signal"], ORDER, "mean").where("n >= 3").join(level, "signal")
     pct = F.abs(F.col("slope") / F.col("mean_overall") * 100)
     df = df.where(F.abs("mean_overall") >= 1e-9).withColumn("slope_pct_of_mean", pct).where(
         F.col("slope_pct_of_mean") >= min_pct)
@@ -190,7 +190,7 @@ def maintenance_forecast(stats: DataFrame, thresholds: DataFrame, min_sessions:
     limits = thresholds.select("signal", "alarm_high", "alarm_low").where("alarm_high is not null or alarm_low is not null")
     level = means.groupBy("signal").agg(F.max_by("mean", F.struct(*ORDER)).alias("current_mean"),
                                         F.avg("mean").alias("_avg"))
-    df = position_slope(means, ["signal"], ORDER, "mean").where(F.col("n") >= min_sessions)
+    df = theil_sen(means, ["signal"], ORDER, "mean").where(F.col("n") >= min_sessions)
     df = df.join(level, "signal").join(limits, "signal")
     size = F.when(F.col("_avg") == 0, 1.0).otherwise(F.abs("_avg"))
     df = df.where(F.abs("slope") >= min_rel_slope * size)

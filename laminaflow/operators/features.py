@@ -10,14 +10,15 @@ from pyspark.sql import functions as F
 from laminaflow.functions.scalars import finite, first_match, seconds_between
 from laminaflow.model import KG_PER_LAYER
 from laminaflow.operators.ordered import Series, group_quantiles, null_safe_join
-from laminaflow.operators.robust import position_slope, robust_z, stride_slope
+from laminaflow.operators.robust import robust_z, stride_slope
+from laminaflow.operators.slopes import theil_sen
 
 
 def signal_stats(readings: DataFrame, dimension: DataFrame, keys: Sequence[str] = ("session_id", "signal"),
                  order: Sequence[str] = ("idx",), min_rows: int = 10, slope: bool = True) -> DataFrame:
     """Full-resolution statistics per key over finite values: moments, exact quantiles, alarms, slope.
 
-    Moments and alarm counts combine map-side, quantiles and slope go through the hot-key kernels.
+    Moments and alarm counts combine map-side, quantiles and the median of all pairwise slopes go through the hot-key kernels.
     """
     keys = list(keys)
     limits = F.broadcast(dimension.select("signal", "group", "alarm_low", "alarm_high"))
@@ -29,7 +30,7 @@ def signal_stats(readings: DataFrame, dimension: DataFrame, keys: Sequence[str]
         "alarm_count": F.count_if(F.col("value") > F.col("alarm_high")) + F.count_if(F.col("value") < F.col("alarm_low"))}
     out = group_quantiles(tagged, keys, "value", {"p05": 0.05, "p95": 0.95, "p99": 0.99}, extra=facts).where(F.col("n") >= min_rows)
     if slope:
-        out = out.join(position_slope(clean, keys, order, "value", "trend_slope").drop("n"), keys)
+        out = out.join(theil_sen(clean, keys, order, "value", "trend_slope").drop("n"), keys)
     return out
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from laminaflow.functions.scalars import clock_seconds
 from laminaflow.operators import cross_session as xs
-from laminaflow.operators import features, robust, sessions
+from laminaflow.operators import features, robust, sessions, slopes
 from laminaflow.operators.ordered import group_quantiles
 from laminaflow.plans import adapters as a
 from laminaflow.plans.catalog import big, num, query, ts
@@ -17,7 +17,7 @@ KEYS = ["session_id", "signal"]
 
 @query(f"""WITH {a.RD}, {a.DIM},
 i AS (SELECT *, row_number() OVER (PARTITION BY session_id, signal ORDER BY idx) - 1 AS p FROM rd),
-sl AS (SELECT session_id, signal, coalesce(regr_slope(value, p), 0) AS s FROM i GROUP BY 1, 2)
+sl AS (SELECT x.session_id, x.signal, median((y.value - x.value) / (y.p - x.p)) AS s FROM i x JOIN i y ON x.session_id = y.session_id AND x.signal = y.signal AND y.p > x.p GROUP BY 1, 2)
 SELECT rd.session_id, rd.signal, any_value(dim.grp) AS "group", count(*) AS n, {num('avg(value)')} AS mean,
   {num('stddev_pop(value)')} AS std, {num('min(value)')} AS min, {num('max(value)')} AS max,
   {big('count(*) FILTER (value > alarm_high) + count(*) FILTER (value < alarm_low)')} AS alarm_count,
@@ -115,6 +115,13 @@ def robust_spike(spark, d):
     return robust.robust_spike(a.readings(spark, d), KEYS, "idx", "value")
 
 
+def _all_pairs_sql(src: str, key: str, order: str, value: str) -> str:
+    """Median of the slopes of all pairs."""
+    return f"""n0 AS (SELECT {key}, {value} AS v, row_number() OVER (PARTITION BY {key} ORDER BY {order}) AS p, count(*) OVER (PARTITION BY {key}) AS n FROM {src}),
+ps AS (SELECT x.{key}, median((y.v - x.v) / (y.p - x.p)) AS s FROM n0 x JOIN n0 y ON x.{key} = y.{key} AND y.p > x.p GROUP BY 1),
+slope AS (SELECT {key}, any_value(n) AS n, coalesce(any_value(s), 0) AS s FROM n0 LEFT JOIN ps USING ({key}) GROUP BY 1)"""
+
+
 def _pairs_sql(src: str, key: str, order: str, value: str, cap: int = 2000) -> str:
     """Theil-Sen by pairs over the evenly thinned series."""
     return f"""n0 AS (SELECT {key}, {value} AS v, row_number() OVER (PARTITION BY {key} ORDER BY {order}) - 1 AS p,
@@ -136,6 +143,11 @@ def _slope_sql(src: str, key: str, order: str, value: str) -> str:
 slope AS (SELECT {key}, count(*) AS n, coalesce(regr_slope(v, p), 0) AS s FROM n0 GROUP BY 1)"""
 
 
+@query(f"""WITH {a.UD}, {_all_pairs_sql('ud', 'signal', 'start_ts, session_id', 'mean')} SELECT signal, n, {num('s')} AS slope FROM slope""")
+def theil_sen_all_pairs(spark, d):
+    return slopes.theil_sen(a.user_day_stats(spark, d), ["signal"], xs.ORDER, "mean")
+
+
 @query(f"""WITH {a.UD}, {_slope_sql('ud', 'signal', 'start_ts, session_id', 'mean')} SELECT signal, n, {num('s')} AS slope FROM slope""")
 def position_slope(spark, d):
     return robust.position_slope(a.user_day_stats(spark, d), ["signal"], xs.ORDER, "mean")
@@ -252,7 +264,7 @@ def rollover(spark, d):
     return logs.midnight_rollover(clock, ["user_id"], ["event_id"])
 
 
-@query(f"""WITH {a.DS}, {_slope_sql('ds', 'signal', 'start_ts, session_id', 'mean')}, m AS (SELECT signal, avg(mean) AS m, any_value(grp) AS grp FROM ds GROUP BY 1),
+@query(f"""WITH {a.DS}, {_all_pairs_sql('ds', 'signal', 'start_ts, session_id', 'mean')}, m AS (SELECT signal, avg(mean) AS m, any_value(grp) AS grp FROM ds GROUP BY 1),
 r AS (SELECT signal, grp, n, s, m, abs(s / m * 100) AS pct FROM slope JOIN m USING (signal) WHERE n >= 3 AND abs(m) >= 1e-9)
 SELECT 'trend' AS type, signal, grp AS "group", CASE WHEN s > 0 THEN 'increasing' ELSE 'decreasing' END AS direction, {num('s')} AS slope_per_session,
   {num('pct')} AS slope_pct_of_mean, n AS n_sessions, {num('m')} AS mean_overall, {num('least(0.95, 0.35 + 0.08 * n + pct / 200)')} AS confidence
@@ -270,7 +282,7 @@ def session_outliers(spark, d):
     return xs.session_outliers(a.day_stats(spark, d))
 
 
-@query(f"""WITH {a.DS}, {_slope_sql('ds', 'signal', 'start_ts, session_id', 'mean')}, c AS (SELECT signal, arg_max(mean, start_ts) AS cur, avg(mean) AS av, any_value(grp) AS grp FROM ds GROUP BY 1),
+@query(f"""WITH {a.DS}, {_all_pairs_sql('ds', 'signal', 'start_ts, session_id', 'mean')}, c AS (SELECT signal, arg_max(mean, start_ts) AS cur, avg(mean) AS av, any_value(grp) AS grp FROM ds GROUP BY 1),
 t AS (SELECT signal, grp, n, s, cur, CASE WHEN s > 0 THEN 100.0 ELSE 20.0 END AS lim FROM slope JOIN c USING (signal)
   WHERE n >= 4 AND abs(s) >= 0.005 * CASE WHEN av = 0 THEN 1 ELSE abs(av) END AND s <> 0),
 h AS (SELECT *, CASE WHEN (s > 0 AND lim - cur <= 0) OR (s < 0 AND lim - cur >= 0) THEN 0 ELSE (lim - cur) / s END AS hz FROM t)
