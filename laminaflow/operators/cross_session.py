@@ -3,13 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from laminaflow.operators.ordered import Series, group_medians
+from laminaflow.operators.ordered import Series, group_medians, null_safe_join
 from laminaflow.operators.slopes import theil_sen
 
 ORDER = ["start_ts", "session_id"]
@@ -102,65 +101,111 @@ def session_outliers(stats: DataFrame, threshold: float = 2.5) -> DataFrame:
         F.least(F.lit(0.90), 0.4 + F.abs("z_score") / 10).alias("confidence")).orderBy(F.desc(F.abs("z_score")), "session_id", "signal")
 
 
-def change_points(values: np.ndarray, min_size: int = 2, jump: int = 5) -> list[int]:
-    """Penalised least-squares segmentation (penalty 3*variance), exact on the ``jump`` grid of positions.
+#: Sessions that one exact search takes at once; longer signals are searched in tiles first.
+TILE = 1 << 14
 
-    best[t] = min over s of best[s] + sse(s, t) + penalty. A start that is already worse than ending a segment
-    at t can be dropped once t itself may start one, i.e. ``min_size`` positions later.
+
+def best_cuts(points: Column, penalty: Column, min_size: int) -> Column:
+    """Cuts of the cheapest segmentation: squared deviations from the segments' means, and ``penalty`` for every segment.
+
+    ``points`` is an ascending array of (t, s, q): the places where a segment may begin or end, the first and the last
+    one being the ends of the series, with the sums and sums of squares of the values before them. Exact over these
+    places: the best cost up to each is the least over all earlier ones that can still pay; of equal costs the earliest
+    place counts.
     """
-    n = len(values)
-    penalty = 3.0 * (float(np.var(values)) or 1e-12)
-    csum = np.concatenate([[0.0], np.cumsum(values)])
-    csq = np.concatenate([[0.0], np.cumsum(values * values)])
-    best = np.full(n + 1, np.inf)
-    best[0] = -penalty
-    came_from = np.zeros(n + 1, dtype=np.int64)
-    starts, expires = np.array([0]), np.array([n + 1])
-    for t in [k for k in range(min_size, n) if k % jump == 0] + [n]:
-        alive = expires > t
-        starts, expires = starts[alive], expires[alive]
-        usable = t - starts >= min_size
-        fit = starts[usable]
-        total = csum[t] - csum[fit]
-        cost = best[fit] + np.maximum(csq[t] - csq[fit] - total * total / (t - fit), 0.0)
-        k = int(np.argmin(cost))
-        best[t], came_from[t] = cost[k] + penalty, fit[k]
-        at = np.flatnonzero(usable)[cost > best[t]]
-        expires[at] = np.minimum(expires[at], t + min_size)
-        starts, expires = np.append(starts, t), np.append(expires, n + 1)
-    cuts, t = [], n
-    while t > 0:
-        t = int(came_from[t])
-        if t > 0:
-            cuts.append(t)
-    return cuts[::-1]
-
-
-def signal_shifts(stats: DataFrame, min_pct: float = 10.0, min_sessions: int = 6, min_size: int = 2,
-                  jump: int = 5) -> DataFrame:
-    """Step changes of the session mean.
-
-    Segmentation is sequential, so a signal is one array; what travels to Python is one number per session (never
-    a reading) and what comes back are the cut positions. Levels and session ids come from running sums on the
-    Spark side. ``jump`` is the grid of candidate positions (the usual library default).
+    def start(p: Column, best: Column) -> Column:
+        return F.struct(p["t"].alias("t"), p["s"].alias("s"), p["q"].alias("q"), best.alias("best"), F.lit(1 << 62).alias("until"))
+
+    def step(state: Column, x: Column) -> Column:
+        """Costs of a segment from every start that is left to ``x``."""
+        def cost(p: Column) -> Column:
+            size, total = x["t"] - p["t"], x["s"] - p["s"]
+            c = F.when(size >= min_size, p["best"] + F.greatest(x["q"] - p["q"] - F.try_divide(total * total, size), F.lit(0.0))).otherwise(float("inf"))
+            return F.struct(p.alias("p"), c.alias("c"))
+
+        return F.struct(state["ways"].alias("ways"), F.transform(F.filter(state["starts"], lambda p: p["until"] > x["t"]), cost).alias("to"))
+
+    def grown(state: Column, x: Column) -> Column:
+        least = F.array_min(F.transform(state["to"], lambda o: o["c"]))
+        came = F.get(F.filter(state["to"], lambda o: o["c"] == least), F.lit(0))["p"]["t"]
+        # a start that is worse than beginning anew here never pays again, once a segment may end that begins here
+        kept = F.transform(state["to"], lambda o: o["p"].withField("until", F.when((o["c"] < float("inf")) & (o["c"] > least + penalty), F.least(o["p"]["until"], x["t"] + min_size)).otherwise(o["p"]["until"])))
+        return F.struct(F.concat(kept, F.array(start(x, least + penalty))).alias("starts"), F.concat(state["ways"], F.array(F.struct(x["t"].alias("t"), came.alias("came")))).alias("ways"))
+
+    origin = F.get(points, F.lit(0))
+    first = F.struct(F.array(start(origin, -penalty)).alias("starts"), F.array(F.struct(origin["t"].alias("t"), origin["t"].alias("came"))).alias("ways"))
+    done = F.aggregate(F.slice(points, 2, F.greatest(F.size(points) - 1, F.lit(0))), first, lambda state, x: _with(step(state, x), lambda st: grown(st, x)))
+    ways = F.reverse(done["ways"])
+    back = F.struct(F.element_at(points, -1)["t"].alias("t"), F.array().cast("array<long>").alias("cuts"))
+
+    def walk(state: Column, x: Column) -> Column:
+        return F.when((x["t"] == state["t"]) & (x["came"] > origin["t"]), F.struct(x["came"].alias("t"), F.concat(F.array(x["came"]), state["cuts"]).alias("cuts"))).otherwise(state)
+
+    return F.aggregate(ways, back, walk)["cuts"]
+
+
+def _with(value: Column, fn) -> Column:
+    """``fn`` of a value that is computed once."""
+    return F.get(F.transform(F.array(value), fn), F.lit(0))
+
+
+def change_points(series: DataFrame, keys: Sequence[str], order: Sequence[str], value: str, label: str, min_size: int = 2, jump: int = 5, penalty: float = 3.0, tile: int = TILE) -> DataFrame:
+    """(keys, pos, label, prev, level_before, level_after, n) of the cuts of every series.
+
+    Least squares with a penalty of ``penalty`` variances per segment. ``pos`` is the 0-based place of the first row
+    behind the cut and ``label`` that row's; ``prev`` the cut before or 0. ``level_before`` is the mean from there to the
+    cut, ``level_after`` the mean of all that follows. Cuts stand at multiples of ``jump``. Up to ``tile`` rows of a key
+    the cuts are those of least cost. Longer series are searched in tiles, twice with the borders moved by half a tile and
+    for a quarter of the penalty, and the cuts found are the places of a last exact search over the whole series. Sums run
+    before the rows are packed, so what is packed are grid points, not rows.
     """
-    s = Series(_means(stats).select("signal", "session_id", "start_ts", "mean"), ["signal"], ORDER)
-    s = s.with_row_number("_rn").with_running_sum("_sum", F.col("mean"))
-    rows = s.frame.select("signal", "session_id", (F.col("_rn") - 1).alias("pos"), "mean", (F.col("_sum") - F.col("mean")).alias("_before"))
-    @F.pandas_udf("array<long>")
-    def cut(series: pd.Series) -> pd.Series:
-        return pd.Series([change_points(np.asarray(v, dtype=float), min_size, jump) for v in series])
-    packed = rows.groupBy("signal").agg(F.array_sort(F.collect_list(F.struct("pos", "mean"))).alias("_p"))
-    packed = packed.where(F.size("_p") >= min_sessions).select("signal", cut(F.transform("_p", lambda p: p["mean"])).alias("_c"))
-    cuts = packed.select("signal", F.posexplode("_c").alias("_i", "pos"), "_c").select(
-        "signal", "pos", F.when(F.col("_i") == 0, F.lit(0).cast("long")).otherwise(F.get("_c", F.col("_i") - 1)).alias("prev"))
-    total = rows.groupBy("signal").agg(F.count(F.lit(1)).alias("n_sessions"), F.sum("mean").alias("_total"))
-    here = rows.select("signal", "pos", F.col("session_id").alias("at_session"), F.col("_before").alias("_s1"))
-    there = rows.select("signal", F.col("pos").alias("prev"), F.col("_before").alias("_s0"))
-    found = cuts.join(here, ["signal", "pos"]).join(there, ["signal", "prev"]).join(total, "signal").select(
-        "signal", "at_session", F.col("pos").alias("session_index"), "n_sessions",
-        ((F.col("_s1") - F.col("_s0")) / (F.col("pos") - F.col("prev"))).alias("level_before"),
-        ((F.col("_total") - F.col("_s1")) / (F.col("n_sessions") - F.col("pos"))).alias("level_after"))
+    keys = list(keys)
+    v = F.col(value).cast("double")
+    clean = series.where(F.col(value).isNotNull()).select(*dict.fromkeys([*keys, *order, label]), v.alias("_v"))
+    facts = clean.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.avg("_v").alias("_m"), F.var_pop("_v").alias("_var"))
+    centred = null_safe_join(clean, facts, keys).withColumn("_d", F.col("_v") - F.col("_m"))
+    s = Series(centred, keys, order).with_running_sums({"_rn": F.lit(1).cast("long"), "_s": F.col("_d"), "_q": F.col("_d") * F.col("_d")})
+    d = F.col("_d")
+    begin = F.struct((F.col("_rn") - 1).alias("t"), (F.col("_s") - d).alias("s"), (F.col("_q") - d * d).alias("q"), F.col(label).alias("label"))
+    end = F.struct(F.col("_rn").alias("t"), F.col("_s").alias("s"), F.col("_q").alias("q"), F.lit(None).cast(series.schema[label].dataType).alias("label"))
+    facts_of = ["_n", "_m", "_var"]
+    points = s.frame.select(*keys, *facts_of, F.explode(F.when(F.col("_rn") == F.col("_n"), F.array(begin, end)).otherwise(F.array(begin))).alias("x"))
+    t, half = F.col("x.t"), tile // 2
+    cool = F.col("_n") <= tile
+    shifts = list(enumerate((0, half)))
+    border = reduce(lambda x, y: x | y, [(t + off) % tile == 0 for _, off in shifts])
+    places = points.where((t == 0) | (t == F.col("_n")) | ((t % jump == 0) & (t >= min_size)) | (~cool & border))
+    of = lambda k, tile_no: F.struct(F.lit(k).alias("kind"), tile_no.cast("long").alias("tile"))
+    tiles = F.when(cool, F.array(of(0, F.lit(0)))).otherwise(F.array_compact(F.array(
+        *[of(k, F.floor((t + off) / tile)) for k, off in shifts],
+        # a tile's first place is the last of the one before
+        *[F.when((t + off) % tile == 0, of(k, F.floor((t + off) / tile) - 1)) for k, off in shifts])))
+    packed = places.withColumn("_in", F.explode(tiles)).groupBy(*keys, *facts_of, "_in.kind", "_in.tile").agg(F.array_sort(F.collect_list("x")).alias("_p"))
+    charge = F.lit(penalty) * F.when(F.col("_var") == 0, 1e-12).otherwise(F.col("_var"))
+
+    def chosen(penalty: Column) -> Column:
+        return _with(best_cuts(F.col("_p"), penalty, min_size), lambda c: F.filter("_p", lambda p: F.array_contains(c, p["t"]) | (p["t"] == 0) | (p["t"] == F.col("_n"))))
+
+    some = packed.select(*keys, *facts_of, chosen(F.when(cool, charge).otherwise(charge / 4)).alias("_p"))
+    again = some.groupBy(*keys, *facts_of).agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("_p")))).alias("_p"))
+    again = again.withColumn("_p", chosen(charge))
+    cuts = again.select(*keys, *facts_of, F.explode(_triples(F.col("_p"))).alias("c"))
+    before = (F.col("c.b.s") - F.col("c.a.s")) / (F.col("c.b.t") - F.col("c.a.t"))
+    after = (F.col("c.z.s") - F.col("c.b.s")) / (F.col("c.z.t") - F.col("c.b.t"))
+    return cuts.select(*keys, F.col("c.b.t").alias("pos"), F.col("c.b.label").alias(label), F.col("c.a.t").alias("prev"), (F.col("_m") + before).alias("level_before"),
+                       (F.col("_m") + after).alias("level_after"), F.col("_n").alias("n"))
+
+
+def _triples(points: Column) -> Column:
+    """(a: the point before, b: the point, z: the last point) of all inner points."""
+    inner = F.when(F.size(points) > 2, F.sequence(F.lit(2), F.size(points) - 1)).otherwise(F.array().cast("array<int>"))
+    return F.transform(inner, lambda i: F.struct(F.element_at(points, i - 1).alias("a"), F.element_at(points, i).alias("b"), F.element_at(points, -1).alias("z")))
+
+
+def signal_shifts(stats: DataFrame, min_pct: float = 10.0, min_sessions: int = 6, min_size: int = 2, jump: int = 5) -> DataFrame:
+    """Step changes of the session mean, at the change points of the signal; ``jump`` is the grid of candidate positions."""
+    found = change_points(_means(stats), ["signal"], ORDER, "mean", "session_id", min_size, jump).where(F.col("n") >= min_sessions)
+    found = found.withColumnsRenamed({"pos": "session_index", "n": "n_sessions", "session_id": "at_session"})
     pct = F.abs((F.col("level_after") - F.col("level_before")) / F.col("level_before") * 100)
     found = found.where(F.abs("level_before") >= 1e-9).withColumn("jump_pct", pct).where(F.col("jump_pct") >= min_pct)
     return found.join(_labels(stats), "signal", "left").select(

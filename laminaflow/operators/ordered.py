@@ -3,28 +3,31 @@
 A window partitioned by session puts one whole session in one task. That is fine for the usual session and
 fatal when one session owns a third of the readings, so every ordered operator goes through ``Series``:
 
-* keys up to ``spark.laminaflow.hotRows`` rows use one ordinary window (a single shuffle on the key);
-* rows of hotter keys are range partitioned on (key, order), each range is a *chunk*, the windows run inside
-  the chunk, and what crosses a chunk border (row count, running total, last row) is carried by a table
-  with one row per chunk.
+* a key of n rows is cut into *chunks* by the value of its first order column, evenly between its least and
+  greatest: one chunk up to ``spark.laminaflow.hotRows`` rows, ``CUTS`` for every further such number of rows;
+* windows run inside (key, chunk), and what crosses a chunk border (row count, running total, last row) is
+  carried by a table with one row per chunk, of keys with several chunks only.
 
-Both ways give the same rows; the tests run every kernel both ways.
+All of this is one lazy plan: nothing is counted, written or collected while it is built. Where no key has more
+than one chunk, the table of keys to cut is empty and adaptive execution drops the branches behind it.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 from functools import reduce
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-
-from laminaflow.session import materialize
+from pyspark.sql import types as T
 
 CHUNK = "_chunk"
+#: Whether the row's key has several chunks.
+CUT = "_cut"
 HOT_ROWS = 4_000_000
-BROADCAST_KEYS = 100_000
+#: Chunks for every HOT_ROWS rows of a key that has more of them, so that a burst in time is cut as well.
+CUTS = 64
 
 
 def hot_limit(spark: SparkSession) -> int:
@@ -39,41 +42,54 @@ def null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how:
     return left.join(renamed, cond, how).drop(*[f"_r_{k}" for k in keys])
 
 
-def _split_hot(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> tuple[DataFrame, bool]:
-    limit = hot_limit(df.sparkSession)
-    hot = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows")).where(F.col("_rows") > limit)
-    size = hot.agg(F.count(F.lit(1)).alias("k"), F.sum("_rows").alias("r")).first()
-    if not size.k:
-        return df, False
-    names = materialize(hot.select(*keys, F.lit(True).alias("_hot")), "hot-keys")
-    if size.k <= BROADCAST_KEYS:
-        names = F.broadcast(names)
-    marked = null_safe_join(df, names, keys)
-    parts = max(2, math.ceil(size.r / limit) * 2)
-    ranged = (
-        marked.where("_hot").drop("_hot")
-        .repartitionByRange(parts, *keys, *order)
-        .withColumn(CHUNK, F.spark_partition_id())
-    )
-    cool = marked.where("_hot is null").drop("_hot").withColumn(CHUNK, F.lit(-1))
-    return materialize(ranged, "hot-rows").unionByName(cool), True
+def ordinal(col: Column, kind: T.DataType) -> Column:
+    """A double that never falls while ``col`` rises; null for types that have no such number."""
+    if isinstance(kind, T.TimestampType | T.TimestampNTZType | T.DateType):
+        return F.unix_micros(col.cast("timestamp")).cast("double")
+    if isinstance(kind, T.StringType):  # the first six bytes as a number
+        return F.conv(F.rpad(F.hex(F.substring(col.cast("binary"), 1, 6)), 12, "0"), 16, 10).cast("double")
+    if isinstance(kind, T.BooleanType):
+        return col.cast("int").cast("double")
+    if isinstance(kind, T.NumericType):
+        return F.nanvl(col.cast("double"), F.lit(float("inf")))
+    return F.lit(None).cast("double")
+
+
+def hot_keys(df: DataFrame, keys: Sequence[str], place: Column | None = None) -> DataFrame:
+    """Keys with more than ``hot_limit`` rows: n, and the least and greatest ``place``.
+
+    There are at most (rows / hot_limit) of them, some hundred thousand for the largest tables, so they may be broadcast.
+    """
+    span = [] if place is None else [F.min(place).alias("_low"), F.max(place).alias("_high")]
+    return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"), *span).where(F.col("_rows") > hot_limit(df.sparkSession))
 
 
 class Series:
-    """Rows of ``df`` in ``order`` (ascending, nulls first) inside each key."""
+    """Rows of ``df`` in ``order`` (ascending, nulls first) inside each key.
+
+    Rows of one key that agree in the first order column stay in one chunk.
+    """
 
     def __init__(self, df: DataFrame, keys: Sequence[str], order: Sequence[str]):
         self.keys, self.order = list(keys), list(order)
-        self.df, self.chunked = _split_hot(df, self.keys, self.order)
-
-    def _with(self, df: DataFrame) -> "Series":
+        place = ordinal(F.col(self.order[0]), df.schema[self.order[0]].dataType)
+        hot = hot_keys(df, self.keys, F.when(F.abs(place) < float("inf"), place))
+        marked = null_safe_join(df, F.broadcast(hot), self.keys)
+        cuts = F.ceil(F.col("_rows") / hot_limit(df.sparkSession)) * CUTS
+        share = F.try_divide(F.least(F.greatest(place, F.col("_low")), F.col("_high")) - F.col("_low"), F.col("_high") - F.col("_low"))
+        chunk = F.when(F.col("_rows").isNull(), 0).when(place.isNull(), -1).otherwise(F.coalesce(F.floor(share * cuts), F.lit(0)))
+        # missing places come first, infinite ones and NaN in the outer chunks
+        marked = marked.withColumn(CHUNK, chunk.cast("long")).withColumn(CUT, F.col("_rows").isNotNull())
+        self.df = self.base = marked.drop("_rows", "_low", "_high")
+
+    def _with(self, df: DataFrame, base: DataFrame | None = None) -> "Series":
         other = object.__new__(Series)
-        other.keys, other.order, other.df, other.chunked = self.keys, self.order, df, self.chunked
+        other.keys, other.order, other.df, other.base = self.keys, self.order, df, self.base if base is None else base
         return other
 
     @property
     def within(self) -> list[str]:
-        return self.keys + ([CHUNK] if self.chunked else [])
+        return [*self.keys, CHUNK]
 
     @property
     def window(self):
@@ -81,13 +97,25 @@ class Series:
 
     @property
     def frame(self) -> DataFrame:
-        return self.df.drop(CHUNK)
+        return self.df.drop(CHUNK, CUT)
 
     def select(self, *cols) -> "Series":
-        return self._with(self.df.select(*cols, *([CHUNK] if self.chunked else [])))
+        out = self.df.select(*cols, CHUNK, CUT)
+        return self._with(out, out)
 
     def with_column(self, name: str, col: Column) -> "Series":
-        return self._with(self.df.withColumn(name, col))
+        try:
+            return self._with(self.df.withColumn(name, col), self.base.withColumn(name, col))
+        except AnalysisException:  # needs what an earlier step added
+            out = self.df.withColumn(name, col)
+            return self._with(out, out)
+
+    def _totals(self, *aggs: Column) -> DataFrame:
+        """One row per chunk of keys with several; from the rows as they came in, if that is enough."""
+        try:
+            return self.base.where(CUT).groupBy(*self.within).agg(*aggs)
+        except AnalysisException:
+            return self.df.where(CUT).groupBy(*self.within).agg(*aggs)
 
     def _carry(self, totals: DataFrame) -> DataFrame:
         return null_safe_join(self.df, totals, self.within)
@@ -95,46 +123,40 @@ class Series:
     def _chunk_window(self):
         return Window.partitionBy(*self.keys).orderBy(CHUNK)
 
-    def with_running_sum(self, name: str, col: Column) -> "Series":
-        """Inclusive running sum of ``col``."""
+    def with_running_sums(self, sums: dict[str, Column]) -> "Series":
+        """Inclusive running sums by name, all in one pass."""
         upto = self.window.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        if not self.chunked:
-            return self._with(self.df.withColumn(name, F.sum(col).over(upto)))
         before = self._chunk_window().rowsBetween(Window.unboundedPreceding, -1)
-        base = self.df.groupBy(*self.within).agg(F.sum(col).alias("_t"))
-        base = base.select(*self.within, F.sum("_t").over(before).alias("_base"))
-        out = self._carry(base).withColumn(
-            name, F.sum(col).over(upto) + F.coalesce(F.col("_base"), F.lit(0)))
-        return self._with(out.drop("_base"))
+        base = self._totals(*[F.sum(c).alias(f"_s_t{i}") for i, c in enumerate(sums.values())])
+        base = base.select(*self.within, *[F.sum(f"_s_t{i}").over(before).alias(f"_s_base{i}") for i in range(len(sums))])
+        out = self._with(self.df.withColumns({n: F.sum(c).over(upto) for n, c in sums.items()}))._carry(base)
+        whole = {n: F.coalesce(F.col(n) + F.col(f"_s_base{i}"), F.col(n), F.col(f"_s_base{i}")) for i, n in enumerate(sums)}
+        return self._with(out.withColumns(whole).drop(*[f"_s_base{i}" for i in range(len(sums))]))
+
+    def with_running_sum(self, name: str, col: Column) -> "Series":
+        """Inclusive running sum of ``col``."""
+        return self.with_running_sums({name: col})
 
     def with_row_number(self, name: str = "rn") -> "Series":
         """1-based position inside the key."""
-        if not self.chunked:
-            return self._with(self.df.withColumn(name, F.row_number().over(self.window).cast("long")))
         return self.with_running_sum(name, F.lit(1).cast("long"))
 
     def with_count(self, name: str = "n") -> "Series":
-        if not self.chunked:
-            return self._with(self.df.withColumn(
-                name, F.count(F.lit(1)).over(Window.partitionBy(*self.keys))))
-        total = self.df.groupBy(*self.within).agg(F.count(F.lit(1)).alias("_t"))
-        total = total.select(*self.within, F.sum("_t").over(Window.partitionBy(*self.keys)).alias(name))
-        return self._with(self._carry(total))
+        total = self._totals(F.count(F.lit(1)).alias("_s_t")).select(*self.within, F.sum("_s_t").over(Window.partitionBy(*self.keys)).alias("_s_all"))
+        local = self.df.withColumn(name, F.count(F.lit(1)).over(Window.partitionBy(*self.within)))
+        out = self._with(local)._carry(total)
+        return self._with(out.withColumn(name, F.coalesce("_s_all", name)).drop("_s_all"))
 
     def _neighbour(self, cols: dict[str, str], forward: bool) -> "Series":
         packed = F.struct(*[F.col(src).alias(dst) for dst, src in cols.items()])
         step = F.lead if forward else F.lag
-        df, near = self.df, step(packed).over(self.window)
-        if self.chunked:
-            place = F.struct(*self.order)
-            edge = (F.min_by if forward else F.max_by)(packed, place).alias("_e")
-            edges = df.groupBy(*self.within).agg(edge)
-            edges = edges.select(*self.within, step("_e").over(self._chunk_window()).alias("_edge"))
-            df = self._carry(edges)
-            near = F.coalesce(near, F.col("_edge"))
-        df = df.withColumn("_near", near)
-        df = df.select(*[c for c in df.columns if c not in ("_near", "_edge")],
-                       *[F.col(f"_near.{dst}").alias(dst) for dst in cols])
+        place = F.struct(*self.order)
+        edges = self._totals((F.min_by if forward else F.max_by)(packed, place).alias("_s_e"))
+        edges = edges.select(*self.within, step("_s_e").over(self._chunk_window()).alias("_s_edge"))
+        df = self._with(self.df.withColumn("_s_near", step(packed).over(self.window)))._carry(edges)
+        df = df.withColumn("_s_near", F.coalesce("_s_near", "_s_edge"))
+        df = df.select(*[c for c in df.columns if c not in ("_s_near", "_s_edge")],
+                       *[F.col(f"_s_near.{dst}").alias(dst) for dst in cols])
         return self._with(df)
 
     def with_prev(self, **cols: str) -> "Series":
@@ -148,35 +170,34 @@ class Series:
     def with_last_before(self, **cols: str) -> "Series":
         """``new=existing``: latest non-null value strictly before the row, all columns in one pass."""
         upto = self.window.rowsBetween(Window.unboundedPreceding, -1)
-        local = {n: F.last(c, ignorenulls=True).over(upto) for n, c in cols.items()}
-        if not self.chunked:
-            return self._with(self.df.withColumns(local))
         place = F.struct(*self.order)
-        tail = self.df.groupBy(*self.within).agg(*[
-            F.max_by(c, F.when(F.col(c).isNotNull(), place)).alias(f"_t_{n}") for n, c in cols.items()])
+        tail = self._totals(*[F.max_by(c, F.when(F.col(c).isNotNull(), place)).alias(f"_t_{n}") for n, c in cols.items()])
         before = self._chunk_window().rowsBetween(Window.unboundedPreceding, -1)
         tail = tail.select(*self.within, *[F.last(f"_t_{n}", ignorenulls=True).over(before).alias(f"_c_{n}") for n in cols])
-        out = self._carry(tail).withColumns({n: F.coalesce(v, F.col(f"_c_{n}")) for n, v in local.items()})
+        local = self.df.withColumns({n: F.last(c, ignorenulls=True).over(upto) for n, c in cols.items()})
+        out = self._with(local)._carry(tail).withColumns({n: F.coalesce(n, f"_c_{n}") for n in cols})
         return self._with(out.drop(*[f"_c_{n}" for n in cols]))
 
     def with_previous_values(self, name: str, col: str, size: int) -> "Series":
-        """Array with the up to ``size`` preceding values.
+        """Array with the up to ``size`` preceding values that are not null among the ``size`` preceding rows.
 
-        A hot key is re-cut into runs of consecutive rows; the last ``size`` rows of a run are copied in front
-        of the next one, so the bounded frame never has to look outside its task.
+        The last ``size`` rows of the chunks before are carried, so the bounded frame never has to look outside its task.
         """
-        if not self.chunked:
-            frame = self.window.rowsBetween(-size, -1)
-            return self._with(self.df.withColumn(name, F.collect_list(col).over(frame)))
-        run = max(size + 1, hot_limit(self.df.sparkSession))
-        df = self.with_row_number("_rn").df
-        own = F.floor((F.col("_rn") - 1) / run)
-        late = (F.col("_rn") - 1) % run >= run - size
-        df = df.withColumn("_run", F.explode(
-            F.when(late, F.array(own, own + 1)).otherwise(F.array(own)))).withColumn("_own", own)
-        frame = Window.partitionBy(*self.keys, "_run").orderBy("_rn").rowsBetween(-size, -1)
-        df = df.withColumn(name, F.collect_list(col).over(frame)).where("_run = _own")
-        return self._with(df.drop("_rn", "_run", "_own"))
+        value = F.struct(F.col(col).alias("v"))
+        back = Window.partitionBy(*self.within).orderBy(*[F.col(c).desc_nulls_last() for c in self.order])
+        source = self.base if col in self.base.columns else self.df
+        ends = source.where(CUT).withColumn("_back", F.row_number().over(back)).where(F.col("_back") <= size)
+        ends = ends.groupBy(*self.within).agg(F.array_sort(F.collect_list(F.struct((-F.col("_back")).alias("b"), value.alias("s")))).alias("_tail"))
+        # every chunk of a key has a row, so the ``size`` chunks before are enough
+        nearby = self._chunk_window().rowsBetween(-size, -1)
+        ends = ends.select(*self.within, F.transform(F.flatten(F.collect_list("_tail").over(nearby)), lambda x: x["s"]).alias("_tail"))
+        local = self.df.withColumn("_own", F.collect_list(value).over(self.window.rowsBetween(-size, -1)))
+        out = self._with(local)._carry(ends)
+        missing = F.greatest(F.lit(0), F.least(F.lit(size) - F.size("_own"), F.size("_tail")))
+        carried = F.when(F.col("_tail").isNotNull() & (missing > 0), F.slice("_tail", F.size("_tail") - missing + 1, missing))
+        rows = F.when(carried.isNotNull(), F.concat(carried, "_own")).otherwise(F.col("_own"))
+        out = out.withColumn(name, F.filter(F.transform(rows, lambda x: x["v"]), lambda v: v.isNotNull()))
+        return self._with(out.drop("_own", "_tail"))
 
 
 def median_of_array(col: Column) -> Column:
@@ -191,23 +212,33 @@ def group_quantiles(df: DataFrame, keys: Sequence[str], value: str, wanted: dict
                     nearest: bool = False, extra: dict[str, Column] | None = None) -> DataFrame:
     """Exact quantiles per key: linear interpolation, or the element at round-half-even(q*(n-1)).
 
-    Cool keys use the built-in ``percentile``. Hot keys are first reduced to (value, count), then ranked by the
-    chunked running sum, and only the one or two rows at each rank are kept. The nearest form ranks always.
-    ``extra`` adds further aggregates of the same rows; without hot keys they share the one shuffle.
+    Keys of up to ``hot_limit`` rows use the built-in ``percentile``. Longer ones are reduced to (value, count), ranked by
+    the chunked running sum, and only the one or two rows at each rank are kept; the nearest form ranks always. Both
+    are one lazy plan. ``extra`` adds further aggregates of the same rows, in the same shuffle.
     """
     keys, extra = list(keys), extra or {}
     rows = df.where(F.col(value).isNotNull())
     more = [c.alias(n) for n, c in extra.items()]
     src = rows.select(*keys, F.col(value).alias("_v"))
-    limit = hot_limit(df.sparkSession)
-    hot = src.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    if not nearest and hot.where(F.col("_n") > limit).isEmpty():
-        qs = list(wanted.values())
-        packed = rows.groupBy(*keys).agg(F.percentile(value, F.array(*[F.lit(q) for q in qs])).alias("_q"), *more)
-        return packed.select(*keys, *[F.col("_q")[i].alias(n) for i, n in enumerate(wanted)], *extra)
+    if nearest:
+        out = _ranked_quantiles(src, src.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")), keys, wanted, True)
+        return null_safe_join(out, rows.groupBy(*keys).agg(*more), keys) if more else out
+    hot = F.broadcast(hot_keys(src, keys).select(*keys, F.col("_rows").alias("_n")))
+    marked = null_safe_join(rows, hot, keys)
+    qs = F.array(*[F.lit(q) for q in wanted.values()])
+    packed = marked.groupBy(*keys).agg(F.percentile(F.when(F.col("_n").isNull(), F.col(value)), qs).alias("_q"), *more)
+    cool = packed.select(*keys, *[F.col("_q")[i].alias(n) for i, n in enumerate(wanted)], *extra)
+    ranked = null_safe_join(src, hot, keys, "inner").drop("_n")
+    ranked = _ranked_quantiles(ranked, hot, keys, wanted, False).withColumnsRenamed({n: f"_h_{n}" for n in wanted})
+    out = null_safe_join(cool, ranked, keys)
+    return out.select(*keys, *[F.coalesce(n, f"_h_{n}").alias(n) for n in wanted], *extra)
+
+
+def _ranked_quantiles(src: DataFrame, hot: DataFrame, keys: list[str], wanted: dict[str, float], nearest: bool) -> DataFrame:
+    """Quantiles of ``_v`` by the running counts of its distinct values; ``hot`` has the rows (_n) of each key."""
     tally = src.groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_c"))
     ranked = Series(tally, keys, ["_v"]).with_running_sum("_upto", F.col("_c")).frame
-    ranked = null_safe_join(ranked, hot, keys)
+    ranked = null_safe_join(ranked, hot, keys, "inner")
     aggs, picked = [], F.lit(False)
     for name, q in wanted.items():
         pos = F.lit(float(q)) * (F.col("_n") - 1)
@@ -221,8 +252,7 @@ def group_quantiles(df: DataFrame, keys: Sequence[str], value: str, wanted: dict
     def value_of(name: str) -> Column:
         lo, hi, f = F.col(f"_lo_{name}"), F.col(f"_hi_{name}"), F.col(f"_f_{name}")
         return (lo if nearest else lo * (1 - f) + hi * f).alias(name)
-    out = out.select(*keys, *[value_of(n) for n in wanted])
-    return null_safe_join(out, rows.groupBy(*keys).agg(*more), keys) if more else out
+    return out.select(*keys, *[value_of(n) for n in wanted])
 
 
 def group_medians(df: DataFrame, keys: Sequence[str], value: str, name: str = "med") -> DataFrame:

@@ -9,7 +9,7 @@ from laminaflow.operators import cross_session as xs
 from laminaflow.operators import features, robust, sessions, slopes
 from laminaflow.operators.ordered import group_quantiles
 from laminaflow.plans import adapters as a
-from laminaflow.plans.catalog import big, num, query, ts
+from laminaflow.plans.catalog import SQL, big, num, query, ts
 from laminaflow.sources import logs
 
 KEYS = ["session_id", "signal"]
@@ -317,12 +317,34 @@ def _machine_days(spark, d):
     return a.day_stats(spark, d).withColumn("machine", F.element_at(F.split("signal", "-"), -1))
 
 
-@query()
+# per signal: values less their mean, running sums, then the least cost up to every fifth place, from all earlier ones
+_SHIFTS = f"""WITH RECURSIVE {a.DS}, f AS (SELECT signal, any_value(grp) AS grp, count(*) AS n, avg(mean) AS m, var_pop(mean) AS va FROM ds GROUP BY 1),
+w AS (SELECT signal, session_id, mean - m AS v, row_number() OVER o - 1 AS p, sum(mean - m) OVER o AS s, sum((mean - m) * (mean - m)) OVER o AS q FROM ds JOIN f USING (signal)
+  WINDOW o AS (PARTITION BY signal ORDER BY start_ts, session_id ROWS UNBOUNDED PRECEDING)),
+pt AS (SELECT signal, p AS t, s - v AS s, q - v * v AS q FROM w WHERE p = 0 OR (p % 5 = 0 AND p >= 2) UNION ALL SELECT signal, p + 1, s, q FROM w JOIN f USING (signal) WHERE p + 1 = n),
+arr AS (SELECT signal, list(t ORDER BY t) AS ts, list(s ORDER BY t) AS ss, list(q ORDER BY t) AS qs FROM pt GROUP BY 1),
+dp AS (SELECT signal, 1 AS i, [-3 * CASE WHEN va = 0 THEN 1e-12 ELSE va END] AS best, [CAST(0 AS BIGINT)] AS came FROM f
+  UNION ALL SELECT signal, i, list_append(best, list_min(c) + pen), list_append(came, list_position(c, list_min(c))) FROM (
+    SELECT dp.signal, i + 1 AS i, best, came, 3 * CASE WHEN va = 0 THEN 1e-12 ELSE va END AS pen,
+      [CASE WHEN ts[i + 1] - ts[j] >= 2 THEN best[j] + greatest(qs[i + 1] - qs[j] - (ss[i + 1] - ss[j]) * (ss[i + 1] - ss[j]) / (ts[i + 1] - ts[j]), 0) ELSE CAST('inf' AS DOUBLE) END FOR j IN range(1, i + 1)] AS c
+    FROM dp JOIN arr USING (signal) JOIN f USING (signal) WHERE i < len(ts))),
+fin AS (SELECT dp.signal, came, i FROM dp JOIN arr USING (signal) WHERE i = len(ts)),
+cut AS (SELECT signal, came, CAST(i AS BIGINT) AS ix FROM fin UNION ALL SELECT signal, came, came[ix] FROM cut WHERE came[ix] > 1),
+pos AS (SELECT cut.signal, ix, ts[ix] AS p, ss[ix] AS s, lead(ts[ix], 1, 0) OVER (PARTITION BY cut.signal ORDER BY ix DESC) AS p0, lead(ss[ix], 1, 0) OVER (PARTITION BY cut.signal ORDER BY ix DESC) AS s0,
+  ss[len(ss)] AS z FROM cut JOIN arr USING (signal)),
+lv AS (SELECT pos.signal, grp, n, p, m + (s - s0) / (p - p0) AS lb, m + (z - s) / (n - p) AS la FROM pos JOIN f USING (signal) WHERE p < n AND n >= 6),
+j AS (SELECT *, abs((la - lb) / lb * 100) AS jp FROM lv WHERE abs(lb) >= 1e-9)
+SELECT 'shift' AS type, j.signal, grp AS "group", CASE WHEN la > lb THEN 'up' ELSE 'down' END AS direction, session_id AS at_session, j.p AS session_index, {num('lb')} AS level_before, {num('la')} AS level_after,
+  {num('jp')} AS jump_pct, n AS n_sessions, {num('least(0.95, 0.35 + 0.08 * n + jp / 200)')} AS confidence FROM j JOIN w ON w.signal = j.signal AND w.p = j.p WHERE jp >= 10"""
+
+
+@query(_SHIFTS)
 def signal_shifts(spark, d):
     return xs.signal_shifts(a.day_stats(spark, d))
 
 
-@query()
+@query("SELECT type, count(*) AS findings, max(confidence) AS best_confidence FROM (" + " UNION ALL ".join(
+    f"SELECT type, confidence FROM ({SQL[k]})" for k in ("signal_trends", "before_after_events", "session_outliers", "signal_shifts")) + ") GROUP BY 1")
 def cross_session_summary(spark, d):
     return xs.findings_summary(xs.cross_session_findings(_machine_days(spark, d), _service(spark, d), ["machine"]))
 

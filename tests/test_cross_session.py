@@ -57,22 +57,43 @@ def brute(values, min_size, jump):
     return best
 
 
-def test_change_points_are_optimal():
+def _steps(rng, n):
+    level, vals = 0.0, []
+    for _ in range(n):
+        if rng.random() < 0.25:
+            level += rng.choice([-4, 3, 8])
+        vals.append(level + rng.gauss(0, 0.4))
+    return vals
+
+
+def _cuts(spark, series, jump, **more):
+    df = spark.createDataFrame([(k, i, float(x)) for k, v in series.items() for i, x in enumerate(v)], "k int, i int, v double")
+    out = {k: [] for k in series}
+    for r in xs.change_points(df, ["k"], ["i"], "v", "i", 2, jump, **more).collect():
+        assert r.i == r.pos
+        out[r.k].append(r.pos)
+    return {k: sorted(v) for k, v in out.items()}
+
+
+def _cost(v, cuts):
+    v, edges = np.array(v), [0, *cuts, len(v)]
+    return sum(float(((v[a:b] - v[a:b].mean()) ** 2).sum()) for a, b in zip(edges, edges[1:])) + 3.0 * (float(np.var(v)) or 1e-12) * len(cuts)
+
+
+@pytest.mark.parametrize("jump", [1, 2, 5])
+def test_change_points_are_optimal(spark, heat, jump):
     rng = random.Random(5)
-    for trial in range(60):
-        n = rng.randint(6, 13)
-        level, vals = 0.0, []
-        for _ in range(n):
-            if rng.random() < 0.25:
-                level += rng.choice([-4, 3, 8])
-            vals.append(level + rng.gauss(0, 0.4))
-        v = np.array(vals)
-        for jump in (1, 2, 5):
-            cost, _ = brute(v, 2, jump)
-            cuts = xs.change_points(v, 2, jump)
-            edges = [0, *cuts, n]
-            got = sum(float(((v[a:b] - v[a:b].mean()) ** 2).sum()) for a, b in zip(edges, edges[1:])) + 3.0 * float(np.var(v)) * len(cuts)
-            assert got == pytest.approx(cost)
+    series = {k: _steps(rng, rng.randint(2, 13)) for k in range(40)}
+    for k, cuts in _cuts(spark, series, jump).items():
+        assert _cost(series[k], cuts) == pytest.approx(brute(np.array(series[k]), 2, jump)[0])
+
+
+def test_change_points_of_tiles(spark):
+    """A series of several tiles has the cuts that one search finds, at borders too."""
+    rng = random.Random(8)
+    series = {0: [10.0 * (i // 40) + rng.gauss(0, 0.2) for i in range(200)], 1: [rng.gauss(0, 1) for _ in range(150)], 2: [0.0] * 64 + [9.0] * 64 + [1.0] * 7, 3: [5.0] * 100}
+    assert _cuts(spark, series, 1, tile=32) == _cuts(spark, series, 1)
+    assert _cuts(spark, series, 1, tile=32)[2] == [64, 128]
 
 
 def test_shift(spark, heat):
