@@ -34,7 +34,8 @@ LOOSE = {
 }
 #: A text without these has no match.
 GATE = {"email": r"@|\(at\)|\[at\]", "ip": "[0-9]", "card": "[0-9]", "phone": "[0-9]"}
-CONTEXT = r"(?:^|\s)(\S{1,24}\s+\S{1,24})\s*$"
+#: The last two words before a match, or the only one since the start of the text; an earlier match counts as one word.
+CONTEXT = r"(?:^|\s)((?:\S{1,24}\s+)?\S{1,24})\s*$"
 ROUNDS, LEAST_SEEDS, TRUST = 3, 5, 0.8
 
 
@@ -63,8 +64,9 @@ def matches(docs: DataFrame) -> DataFrame:
     per_kind = [F.when(F.col("_text").rlike(GATE[k]), found(k, p, strict)) for strict, of in ((True, BASE), (False, LOOSE)) for k, p in of.items()]
     rows = with_any.select("_key", "_hash", F.explode(F.array(*per_kind)).alias("f")).where("f is not null and size(f.parts) > 1")
     rows = rows.select("_key", "_hash", "f.kind", "f.strict", F.posexplode("f.parts").alias("i", "part"))
-    rows = rows.select("_key", "_hash", "kind", "strict", "i", F.char_length("part.gap").alias("gap"), F.col("part.hit").alias("hit"),
-                       F.lower(F.regexp_extract(F.expr("right(part.gap, 60)"), CONTEXT, 1)).alias("context")).where("hit is not null")
+    before = F.concat(F.when(F.col("i") > 0, F.concat(F.lit("<"), "kind", F.lit(">"))).otherwise(""), F.col("part.gap"))
+    context = F.regexp_replace(F.lower(F.regexp_extract(F.right(before, F.lit(60)), CONTEXT, 1)), r"\s+", " ")
+    rows = rows.select("_key", "_hash", "kind", "strict", "i", F.char_length("part.gap").alias("gap"), F.col("part.hit").alias("hit"), context.alias("context")).where("hit is not null")
     rows = stored(rows.dropDuplicates(["_key", "_hash", "kind", "strict", "i"]), "pii-matches")
     in_order = Window.partitionBy("_key", "_hash", "kind", "strict").orderBy("i").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     stop = F.sum(F.col("gap") + F.char_length("hit")).over(in_order)
@@ -121,19 +123,30 @@ def personal_data(docs: DataFrame, key: str = "doc_id", text: str = "text", roun
     return every.groupBy("_key", "_hash").agg(F.array_sort(F.collect_list(F.when(F.col("strict"), span))).alias("base"), F.array_sort(F.collect_list(span)).alias("spans"))
 
 
-def with_spans(docs: DataFrame, spans: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Every row of ``docs`` with its base and spans (empty arrays where there are none)."""
+def with_spans(rows: DataFrame, spans: DataFrame) -> DataFrame:
+    """(_row, base, spans) for every row of ``rows`` (_row, _key, _hash), with empty arrays where there are none.
+
+    What the caller needs of a row travels in the struct ``_row``, so no name can clash, and a text only if it is in there.
+    The join is a merge at every size, so a larger table has the same plan.
+    """
     right = spans.select(F.col("_key").alias("_k"), F.col("_hash").alias("_h"), "base", "spans")
-    joined = docs.join(right, F.col(key).eqNullSafe(F.col("_k")) & (F.xxhash64(text) == F.col("_h")), "left")
+    joined = rows.join(right.hint("merge"), rows["_key"].eqNullSafe(F.col("_k")) & (rows["_hash"] == F.col("_h")), "left")
     empty = F.array().cast(spans.schema["base"].dataType)
-    return joined.withColumns({"base": F.coalesce("base", empty), "spans": F.coalesce("spans", empty)}).drop("_k", "_h")
+    return joined.select("_row", F.coalesce("base", empty).alias("base"), F.coalesce("spans", empty).alias("spans"))
+
+
+def hashed_rows(docs: DataFrame, row: Column, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(_row, _key, _hash) of every row of ``docs``."""
+    return docs.select(row.alias("_row"), docs[key].alias("_key"), F.xxhash64(docs[text]).alias("_hash"))
 
 
 def without_personal_data(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """All rows and columns of ``docs`` with every span of personal data masked in the text."""
-    rows = docs.select(F.struct("*").alias("_row"), F.col(key).alias("_key"), F.col(text).alias("_text"))
-    found = with_spans(rows, personal_data(docs, key, text), "_key", "_text")
-    return found.select(F.col("_row").withField(text, masked(F.col("_text"), F.col("spans"))).alias("_row")).select("_row.*")
+    """All rows and columns of ``docs`` with every span of personal data masked in the text.
+
+    Null texts and keys stay null; repeated rows are masked alike. Columns of any name pass through unread.
+    """
+    found = with_spans(hashed_rows(docs, F.struct("*"), key, text), personal_data(docs, key, text))
+    return found.select(F.col("_row").withField(f"`{text}`", masked(F.col("_row")[text], F.col("spans"))).alias("_row")).select("_row.*")
 
 
 def spans_text(spans: Column) -> Column:

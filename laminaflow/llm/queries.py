@@ -13,7 +13,7 @@ from laminaflow.llm.jaccard_groups import near_duplicates
 from laminaflow.llm.language_id import fit, identify
 from laminaflow.llm.line_bitmaps import kept_lines
 from laminaflow.llm.oracles import SQL  # noqa: F401
-from laminaflow.llm.pii_contexts import KINDS, personal_data, spans_text, with_spans
+from laminaflow.llm.pii_contexts import KINDS, hashed_rows, personal_data, spans_text, with_spans
 from laminaflow.llm.piece_spans import decode_pieces, encode_pieces
 from laminaflow.llm.positional_index import contamination
 from laminaflow.llm.style_tree import extract_text
@@ -72,10 +72,10 @@ def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_contextual_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    found = with_spans(docs, personal_data(docs))
+    docs = table(spark, sf_dir, "documents")
+    found = with_spans(hashed_rows(docs, F.col("doc_id")), personal_data(docs))
     count = [F.size(F.array_remove(F.transform("base", lambda s: s["kind"] == k), False)).cast("long").alias(f"n_{k}") for k in KINDS]
-    return found.select("doc_id", *count, F.sha2(spans_text(F.col("base")), 256).alias("base_sha256"), spans_text(F.col("spans")).alias("spans"))
+    return found.select(F.col("_row").alias("doc_id"), *count, F.sha2(spans_text(F.col("base")), 256).alias("base_sha256"), spans_text(F.col("spans")).alias("spans"))
 
 
 def op9_style_tree(spark: SparkSession, sf_dir: str) -> DataFrame:

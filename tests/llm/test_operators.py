@@ -8,11 +8,20 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from laminaflow.llm import (compression_rules, jaccard_groups, language_id, pii_contexts, piece_spans, positional_index,
+from laminaflow.llm import (blocks, compression_rules, jaccard_groups, language_id, pii_contexts, piece_spans, positional_index,
                             queries, style_tree, suffix_dedup, token_pack, warc_shards)
 from laminaflow.llm.components import components
 
 
+# ---- features of blocks --------------------------------------------------------------------------------------------
+
+def test_buckets_are_even_whatever_the_features():
+    rng = np.random.default_rng(1)
+    low = rng.integers(0, 1 << 40, 200_000, dtype=np.uint64)  # crowd at the low end, as minimisers do
+    sizes = np.bincount(blocks.bucket_of(low, 6).astype(int), minlength=64)
+    assert sizes.max() <= 1.3 * sizes.mean() and len(sizes) == 64
+
+
 # ---- 1 suffix arrays -----------------------------------------------------------------------------------------------
 
 def test_repeats(docs, texts, same):
@@ -280,8 +289,8 @@ PRIVATE = [
 
 def test_base_spans(spark, docs, texts, same):
     rows = [(1000 + k, t) for k, t in enumerate(PRIVATE)] + texts
-    df = spark.createDataFrame([(i, t, 1) for i, t in rows], "doc_id long, text string, base int")
-    found = pii_contexts.with_spans(df.drop("base"), pii_contexts.personal_data(df))
+    df = spark.createDataFrame([(i, t, 1, 2, 3) for i, t in rows], "doc_id long, text string, base int, spans int, _key int")
+    found = pii_contexts.with_spans(pii_contexts.hashed_rows(df, F.struct("*")), pii_contexts.personal_data(df)).select("_row.doc_id", "base")
     got = [(r.doc_id, ",".join(f"{s.kind}:{s.start}:{s.stop}" for s in r.base)) for r in found.collect()]
     same(got, [(i, ",".join(brute.personal_data(t))) for i, t in rows])
 
@@ -297,6 +306,16 @@ def test_contexts_find_unseen(spark):
     assert not any(k >= 200 for k in added)
 
 
+def test_contexts_of_lists_and_first_words(spark):
+    """A member of a list has the earlier member as context; a first word alone is a context; white space is one space."""
+    rows = [(k, f"+1 555 010 {k:04d},\n+1 555 011 {k:04d}") for k in range(40)] + [(100, "+1 555 019 9999, (030) 555-0003"), (101, "see (030) 555-0002, (030) 555-0003")]
+    rows += [(200 + k, f"Telefon: +1 555 012 {k:04d}") for k in range(40)] + [(300, "telefon:\t030 555-1234"), (301, "(030) 555-4444 tons")]
+    found = pii_contexts.personal_data(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    text = dict(rows)
+    added = {r._key: [text[r._key][s.start:s.stop] for s in r.spans if s not in r.base] for r in found}
+    assert added[300] == ["030 555-1234"] and "(030) 555-0003" in added[101] and not added.get(301)
+
+
 def test_masking(spark, docs):
     df = spark.createDataFrame([(1, "é a@b.co and 10.0.0.1.", "keep"), (2, None, "x"), (3, "none", "y"), (4, "4111 1111 1111 1111", "z")], "doc_id long, text string, spans string")
     got = {r.doc_id: r for r in pii_contexts.without_personal_data(df).collect()}
@@ -384,6 +403,6 @@ def test_empty_tables(spark, nothing):
     assert warc_shards.read_warc(spark, base).count() == 0
     base, manifest = token_pack.write_token_files(nothing, queries.BYTE_MODEL, 2)
     assert token_pack.read_token_files(spark, base, manifest).count() == 0
-    assert pii_contexts.with_spans(nothing.select("doc_id", "text"), pii_contexts.personal_data(nothing)).count() == 0
+    assert pii_contexts.with_spans(pii_contexts.hashed_rows(nothing, F.struct("*")), pii_contexts.personal_data(nothing)).count() == 0 and pii_contexts.without_personal_data(nothing).count() == 0
     assert style_tree.extract_text(pages).count() == 0
     assert positional_index.contamination(nothing, items).count() == 0
