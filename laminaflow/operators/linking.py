@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import heapq
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from laminaflow.functions.scalars import first_match, seconds_between
 from laminaflow.model import PRESET_COLUMNS, REQUIRED_PARAMS
@@ -129,15 +132,55 @@ def link_candidates(records: DataFrame, sessions: DataFrame, hours: float = 24.0
                         (F.abs("delta_sec") / 3600).alias("hours_from_record_date"))
 
 
+def _take_places(batches: Iterator[pa.RecordBatch], same: Sequence[str]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by (``same``, lo): each place goes to the earliest record that may have it and has none yet.
+
+    Holds the records that wait at one place.
+    """
+    current, waiting, place = None, [], 0
+    fields = None
+
+    def served(upto: int | None) -> Iterator[tuple]:
+        nonlocal place
+        while waiting and (upto is None or place < upto):
+            _, hi, row = heapq.heappop(waiting)
+            if hi >= place:
+                yield row, place
+                place += 1
+
+    def packed(found: list[tuple]) -> pa.RecordBatch:
+        columns = [pa.array([row[i] for row, _ in found], f.type) for i, f in enumerate(fields)]
+        return pa.RecordBatch.from_arrays([*columns, pa.array([at for _, at in found], pa.int64())], names=[*[f.name for f in fields], "pos"])
+
+    for batch in batches:
+        fields, out = list(batch.schema), []
+        names = [f.name for f in fields]
+        key_at, lo_at, hi_at = [names.index(c) for c in same], names.index("lo"), names.index("hi")
+        turn_at, id_at = names.index("record_no"), names.index("record_id")
+        for row in zip(*(c.to_pylist() for c in batch.columns)):
+            key = [row[i] for i in key_at]
+            if key != current:
+                out += served(None)
+                current, place = key, row[lo_at]
+            out += served(row[lo_at])
+            place = max(place, row[lo_at])
+            heapq.heappush(waiting, ((row[turn_at], row[id_at]), row[hi_at], row))
+        if out:
+            yield packed(out)
+    last = list(served(None))
+    if last:
+        yield packed(last)
+
+
 def link_forward(records: DataFrame, sessions: DataFrame, days: int = 45, on: Sequence[str] = ()) -> DataFrame:
     """In record order each record takes the nearest unused session 0..``days`` days later.
 
     records(record_id, record_no, record_day), sessions(session_id, session_day). The candidates of a record are
-    a run of session positions, asked in ascending order. Taking turns in one common order is the stable matching
-    in which every session prefers the earlier record, so it is found by rounds: every record asks for one
-    position, the earliest asker keeps it, the others move on. Of the askers turned away at p, each one that can
-    still reach its place blocks one more position for those behind it, so the j-th may skip ahead by j: a crowd on
-    one day resolves in a few rounds instead of one round per record. A round touches one row per record.
+    a run of session positions. Taking turns in one common order gives every position to the earliest record that may
+    have it and has no earlier position, so one pass over the positions settles all. Positions in use form runs that
+    no record crosses: a run goes on as long as more records have asked than positions have passed, which is one running
+    maximum over the counts per position. Runs are independent and spread over tasks; inside a run the records that
+    wait stand in a heap. A plan without turns: nothing is written or counted while it is built.
     """
     keys = list(on) or ["_all"]
     r = records.select("record_id", "record_no", F.to_timestamp("record_day").alias("_rd"), *on)
@@ -145,22 +188,16 @@ def link_forward(records: DataFrame, sessions: DataFrame, days: int = 45, on: Se
     if not on:
         r, s = r.withColumn("_all", F.lit(0)), s.withColumn("_all", F.lit(0))
     window, numbered = window_positions(r, s, "record_id", "_rd", "session_id", "_sd", 0.0, days * 86400.0, keys)
-    asks = window.where("hi >= lo").join(r.drop("_rd"), [*keys, "record_id"]).select(
-        *keys, "record_id", "record_no", F.col("lo").alias("pos"), "hi")
-    while True:
-        state = materialize(asks, "forward-round")
-        spot = [*keys, "pos"]
-        kept = state.groupBy(*spot).agg(F.min(F.struct("record_no", "record_id")).alias("_k"))
-        judged = state.join(kept, spot).withColumn("_won", F.struct("record_no", "record_id") == F.col("_k")).drop("_k")
-        held, refused = judged.where("_won").drop("_won"), judged.where("not _won").drop("_won")
-        if refused.isEmpty():
-            break
-        q = Series(refused, spot, ["record_no", "record_id"]).with_row_number("_j")
-        q = q.with_column("_alive", (F.col("hi") >= F.col("pos") + F.col("_j")).cast("long"))
-        q = q.with_running_sum("_ahead", F.col("_alive"))
-        moved = q.frame.withColumn("pos", F.col("pos") + 1 + F.col("_ahead") - F.col("_alive")).where("pos <= hi")
-        asks = held.unionByName(moved.select(*held.columns))
-    linked = held.join(numbered, spot).join(r, [*keys, "record_id"]).join(s, [*keys, "session_id"])
+    asks = window.where("hi >= lo").join(r, [*keys, "record_id"]).select(*keys, "record_id", "record_no", "_rd", "lo", "hi")
+    crowds = asks.groupBy(*keys, "lo").agg(F.count(F.lit(1)).alias("_c"))
+    runs = Series(crowds, keys, ["lo"]).with_running_sum("_asked", F.col("_c"))
+    # a run ends where a place is reached that lies behind all that asked before; until then this maximum stays
+    runs = runs.with_running_max("_run", F.col("lo") - (F.col("_asked") - F.col("_c")))
+    placed = asks.join(runs.frame.select(*keys, "lo", "_run"), [*keys, "lo"])
+    same = [*keys, "_run"]
+    placed = placed.repartition(*same).sortWithinPartitions(*same, "lo", "record_no", "record_id")
+    found = placed.mapInArrow(lambda batches: _take_places(batches, same), T.StructType([*placed.schema, T.StructField("pos", T.LongType())]))
+    linked = found.join(numbered, [*keys, "pos"]).join(s, [*keys, "session_id"])
     return linked.select("record_id", "session_id", seconds_between(F.col("_rd"), F.col("_sd")).alias("delta_sec"))
 
 

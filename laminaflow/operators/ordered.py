@@ -17,7 +17,6 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -104,18 +103,17 @@ class Series:
         return self._with(out, out)
 
     def with_column(self, name: str, col: Column) -> "Series":
-        try:
-            return self._with(self.df.withColumn(name, col), self.base.withColumn(name, col))
-        except AnalysisException:  # needs what an earlier step added
-            out = self.df.withColumn(name, col)
-            return self._with(out, out)
+        out = self.df.withColumn(name, col)
+        return self._with(out, self.base.withColumn(name, col) if self._plain(col) else out)
+
+    def _plain(self, *cols: Column) -> bool:
+        """Whether the rows as they came in are enough for ``cols``: no name that an earlier step added shows up in them."""
+        added = set(self.df.columns).difference(self.base.columns)
+        return not any(name in str(c) for name in added for c in cols)
 
     def _totals(self, *aggs: Column) -> DataFrame:
         """One row per chunk of keys with several; from the rows as they came in, if that is enough."""
-        try:
-            return self.base.where(CUT).groupBy(*self.within).agg(*aggs)
-        except AnalysisException:
-            return self.df.where(CUT).groupBy(*self.within).agg(*aggs)
+        return (self.base if self._plain(*aggs) else self.df).where(CUT).groupBy(*self.within).agg(*aggs)
 
     def _carry(self, totals: DataFrame) -> DataFrame:
         return null_safe_join(self.df, totals, self.within)
@@ -137,6 +135,14 @@ class Series:
         """Inclusive running sum of ``col``."""
         return self.with_running_sums({name: col})
 
+    def with_running_max(self, name: str, col: Column) -> "Series":
+        """Inclusive running maximum of ``col``; nulls don't count."""
+        upto = self.window.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        before = self._chunk_window().rowsBetween(Window.unboundedPreceding, -1)
+        base = self._totals(F.max(col).alias("_s_t")).select(*self.within, F.max("_s_t").over(before).alias("_s_base"))
+        out = self._with(self.df.withColumn(name, F.max(col).over(upto)))._carry(base)
+        return self._with(out.withColumn(name, F.greatest(name, "_s_base")).drop("_s_base"))
+
     def with_row_number(self, name: str = "rn") -> "Series":
         """1-based position inside the key."""
         return self.with_running_sum(name, F.lit(1).cast("long"))

@@ -42,7 +42,14 @@ def auto_link(spark, d):
     return linking.auto_link(rec, a.print_sessions(spark, d), 24.0, ["user_id"])
 
 
-@query()
+# one record of every user at a time, with the list of sessions that are taken
+@query(f"""WITH RECURSIVE {a.PAIRS}, rec AS (SELECT user_id, record_id, date_trunc('day', anchor_ts) AS rd, row_number() OVER (PARTITION BY user_id ORDER BY record_id) AS n FROM r),
+ses AS (SELECT user_id, session_id, date_trunc('day', start_ts) AS sd, row_number() OVER (PARTITION BY user_id ORDER BY date_trunc('day', start_ts), session_id) AS pos FROM s),
+st AS (SELECT user_id, CAST(0 AS BIGINT) AS n, CAST([] AS BIGINT[]) AS used, CAST(NULL AS BIGINT) AS record_id, CAST(NULL AS BIGINT) AS pos FROM (SELECT DISTINCT user_id FROM rec)
+  UNION ALL SELECT user_id, n, CASE WHEN p IS NULL THEN used ELSE list_append(used, p) END, record_id, p FROM (
+    SELECT st.user_id, rec.n, any_value(st.used) AS used, rec.record_id, min(ses.pos) AS p FROM st JOIN rec ON rec.user_id = st.user_id AND rec.n = st.n + 1
+    LEFT JOIN ses ON ses.user_id = st.user_id AND ses.sd BETWEEN rec.rd AND rec.rd + INTERVAL 45 DAY AND NOT list_contains(st.used, ses.pos) GROUP BY 1, 2, 4))
+SELECT record_id, session_id, {num('epoch(sd) - epoch(rd)')} AS delta_sec FROM st JOIN ses USING (user_id, pos) JOIN rec USING (user_id, record_id)""")
 def forward_asof_link(spark, d):
     rec = a.records(spark, d).select("record_id", "user_id", F.col("record_id").alias("record_no"), F.to_date("created_at").alias("record_day"))
     ses = a.print_sessions(spark, d).select("session_id", "user_id", F.to_date("start_ts").alias("session_day"))
