@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from laminaflow.plans import adapters as a
 from laminaflow.plans.catalog import num, query, ts
-from laminaflow.streaming import streams
+from laminaflow.session import shared_dir
+from laminaflow.streaming import streams, tail
 
 
 def _stream(spark, d):
@@ -41,6 +44,17 @@ def live_tail(spark, d):
     return streams.latest_frames(frames, "live-tail").drop("mtime")
 
 
+# the events as growing log files: lines with a clock only, the last one of a user decides
+@query(f"WITH {a.EV}, l AS (SELECT *, user_id % 8 AS f FROM ev) SELECT CAST(f AS VARCHAR) AS machine, strftime(arg_max(ts, event_id), '%H:%M:%S') AS \"Time\", {num('arg_max(value, event_id)')} AS \"SO1\", max(event_id) AS \"ST5\" FROM l GROUP BY 1")
+def tail_files(spark, d):
+    base = f"{shared_dir(spark).rstrip('/')}/tail-{uuid.uuid4().hex}"
+    ev = a.events(spark, d).select((F.col("user_id") % 8).alias("machine"), "event_id", F.concat_ws("|", F.date_format("ts", "HH:mm:ss"), F.col("value").cast("string"), F.col("event_id").cast("string")).alias("value"))
+    ev.repartition("machine").sortWithinPartitions("machine", "event_id").select("machine", "value").write.partitionBy("machine").text(base)
+    frames = streams.sensor_frames(tail.read_tail(spark, base, ".txt"), ["Time", "SO1", "ST5"])
+    found = streams.latest_frames(frames, "tail-files")
+    return found.select(F.regexp_extract("source", "machine=([0-9]+)", 1).alias("machine"), "Time", "SO1", F.col("ST5").cast("long").alias("ST5"))
+
+
 @query(f"WITH {a.RD}, {a.DIM} SELECT idx, session_id, rd.signal, {num('value')} AS value, {num('alarm_low')} AS alarm_low, {num('alarm_high')} AS alarm_high FROM rd JOIN dim USING (signal) WHERE value > alarm_high OR value < alarm_low")
 def stream_alarm(spark, d):
     r = _stream(spark, d).select(F.col("event_id").alias("idx"), F.col("user_id").alias("session_id"), F.col("event_type").alias("signal"), "value")

@@ -25,6 +25,8 @@ from laminaflow.sources import files
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 LIVE_SECONDS = 300
+#: What may say where a frame stands in its source.
+PLACES = ("place", "line_no")
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -39,7 +41,7 @@ def read_line_stream(spark: SparkSession, path: str, glob: str = "*.log", files_
     raw = spark.readStream.option("pathGlobFilter", glob).option("recursiveFileLookup", True).option(
         "maxFilesPerTrigger", files_per_trigger).text(path)
     return raw.select(F.col("_metadata.file_path").alias("source"), F.col("_metadata.file_modification_time").alias("mtime"),
-                      F.col("value").alias("line"))
+                      F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("seq")).alias("place"), F.col("value").alias("line"))
 
 
 def drain(df: DataFrame, name: str, mode: str = "append") -> DataFrame:
@@ -59,11 +61,14 @@ def drain(df: DataFrame, name: str, mode: str = "append") -> DataFrame:
 
 
 def sensor_frames(lines: DataFrame, header: Sequence[str]) -> DataFrame:
-    """Sensor lines of a known header as one typed row each; header repeats and short lines drop out."""
+    """Sensor lines of a known header as one typed row each; header repeats and short lines drop out.
+
+    ``place`` or ``line_no`` of a line, what says where it stands in its source, goes with it.
+    """
     cells = F.split("line", r"\|", -1)
     cols = [F.get(cells, F.lit(i)) for i in range(len(header))]
     typed = [F.trim(c).alias(h) if h == "Time" else to_number(c).alias(h) for h, c in zip(header, cols)]
-    out = lines.where(F.contains("line", F.lit("|"))).select("source", "mtime", *typed)
+    out = lines.where(F.contains("line", F.lit("|"))).select("source", "mtime", *[c for c in PLACES if c in lines.columns], *typed)
     seen = [F.col(f"`{h}`").isNotNull() for h in header if h in ("SO1", "SO2", "ST5")]
     any_seen = seen[0]
     for s in seen[1:]:
@@ -89,21 +94,16 @@ def tail_lines(spark: SparkSession, path: str, seen: DataFrame | None = None, gl
 
 
 def live_tail(frames: DataFrame) -> DataFrame:
-    """Latest frame per source (update mode, a trigger of about two seconds).
+    """Latest frame per source (update mode, a trigger of about two seconds): the one that stands last in its source.
 
-    Frames with a ``line_no`` are ordered by it. Clocks alone are ordered by time of day inside a file version (mtime);
-    if a source's clocks lie in the first and the last quarter of a day, but not between, the early ones are after midnight.
+    Frames need a ``place`` or ``line_no``. Clocks decide nothing, as they start again at midnight.
     """
     rest = [c for c in frames.columns if c != "source"]
+    places = [c for c in PLACES if c in rest]
+    if not places:
+        raise ValueError("frames need a place or line_no")
     frame = F.struct(*[F.col(f"`{c}`") for c in rest])
-    if "line_no" in rest:
-        return frames.groupBy("source").agg(F.max_by(frame, F.struct("mtime", "line_no")).alias("_f")).select("source", "_f.*")
-    hour = F.substring("Time", 1, 2).try_cast("int")
-    latest = lambda low, high: F.max_by(F.struct("mtime", frame.alias("f")), F.when((hour >= low) & (hour < high), F.struct("mtime", "Time")))
-    days = frames.groupBy("source").agg(latest(0, 6).alias("early"), latest(6, 18).alias("middle"), latest(18, 24).alias("late"),
-                                        F.max_by(F.struct("mtime", frame.alias("f")), F.struct("mtime", "Time")).alias("any"))
-    crossed = F.col("early").isNotNull() & F.col("late").isNotNull() & F.col("middle").isNull() & (F.col("early.mtime") >= F.col("late.mtime"))
-    return days.select("source", F.when(crossed, F.col("early.f")).otherwise(F.col("any.f")).alias("_f")).select("source", "_f.*")
+    return frames.groupBy("source").agg(F.max_by(frame, F.struct("mtime", places[0])).alias("_f")).select("source", "_f.*")
 
 
 def latest_frames(frames: DataFrame, name: str) -> DataFrame:

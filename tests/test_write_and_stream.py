@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from laminaflow.operators import features
 from laminaflow.operators.query import QuerySpec, run_query
 from laminaflow.sources import logs, sinks
-from laminaflow.streaming import streams
+from laminaflow.streaming import streams, tail
 
 T0 = dt.datetime(2026, 1, 1)
 
@@ -139,18 +139,64 @@ def test_stream_dedup_equals_batch_on_closed_buckets(spark, tmp_path):
 
 
 def test_live_frames(spark):
-    src = spark.createDataFrame([("f", T0, l) for l in ("Time|SO1|ST5|", "10:00:00|1,5|150|", "10:00:02|2.5|150|", "bad", "10:00:01||210|")], "source string, mtime timestamp, line string")
+    src = spark.createDataFrame([("f", T0, k, l) for k, l in enumerate(("Time|SO1|ST5|", "10:00:00|1,5|150|", "10:00:02|2.5|150|", "bad", "10:00:01||210|"))],
+                                "source string, mtime timestamp, line_no int, line string")
     frames = streams.sensor_frames(src, ["Time", "SO1", "ST5"])
     assert frames.count() == 3
     assert {r.Time: r.alarm for r in streams.live_alarm(frames, 2.0, 200.0).collect()} == {"10:00:00": False, "10:00:02": True, "10:00:01": True}
-    assert streams.live_tail(frames).first().SO1 == 2.5
+    assert streams.live_tail(frames).first().Time == "10:00:01"  # the last line, whatever its clock
 
 
 def test_live_tail_over_midnight(spark):
-    rows = lambda *clocks: spark.createDataFrame([("f", T0, c, float(k)) for k, c in enumerate(clocks)], "source string, mtime timestamp, Time string, SO1 double")
-    assert streams.live_tail(rows("23:59:58", "00:00:02")).first().Time == "00:00:02"
-    assert streams.live_tail(rows("00:00:02", "11:00:00", "23:59:58")).first().Time == "23:59:58"
-    assert streams.live_tail(rows("10:00:00", "09:59:00").withColumn("line_no", F.col("SO1"))).first().Time == "09:59:00"
+    rows = lambda *clocks: spark.createDataFrame([("f", T0, k, c) for k, c in enumerate(clocks)], "source string, mtime timestamp, line_no int, Time string")
+    for clocks in (("23:59:58", "00:00:02"), ("00:00:02", "11:00:00", "23:59:58"), ("10:00:00", "09:59:00"), [f"{h % 24:02d}:00:00" for h in range(20, 38)]):
+        assert streams.live_tail(rows(*clocks)).first().Time == clocks[-1]
+    with pytest.raises(ValueError):
+        streams.live_tail(rows("10:00:00").drop("line_no"))
+
+
+def test_tail_reads_appended_bytes_only(tmp_path, monkeypatch):
+    """Ranges cover each whole line once, whatever their size; a second batch reads what was appended, a shorter file anew."""
+    log = tmp_path / "a.log"
+    lines = [("x" * (7 * k % 23)) for k in range(60)]
+    log.write_text("\n".join(lines) + "\nunfinished")
+    for size in (1, 5, 64, 1 << 20):
+        reader = tail.TailReader({"path": str(tmp_path), "rangeBytes": str(size)})
+        start, end = reader.initialOffset(), reader.latestOffset()
+        got = [r for p in reader.partitions(start, end) for r in reader.read(p)]
+        assert [r[4] for r in got] == lines and [r[3] for r in got] == [sum(len(x) + 1 for x in lines[:k]) for k in range(len(lines))]
+    with log.open("a") as f:
+        f.write(" line\nnext\nopen")
+    (tmp_path / "b.log").write_text("other\n")
+    more = reader.latestOffset()
+    parts = reader.partitions(end, more)
+    assert sum(p.stop - p.start for p in parts) == len("unfinished line\nnext\n") + len("other\n")
+    assert [r[4] for p in parts for r in reader.read(p)] == ["unfinished line", "next", "other"]
+    assert reader.partitions(more, reader.latestOffset()) == []
+    log.write_text("new\n")
+    assert [(r[2], r[4]) for p in reader.partitions(more, reader.latestOffset()) for r in reader.read(p)] == [(1, "new")]
+    fresh = tail.TailReader({"path": str(tmp_path)})  # after a restart
+    assert [r[4] for p in fresh.partitions(more, fresh.latestOffset()) for r in fresh.read(p)] == ["new"]
+
+
+def test_tail_stream_follows_growing_files(spark, tmp_path):
+    folder, state, out = tmp_path / "logs", tmp_path / "state", tmp_path / "out"
+    folder.mkdir()
+    header = ["Time", "SO1", "ST5"]
+
+    def run():
+        frames = streams.sensor_frames(tail.read_tail(spark, str(folder), ".log"), header)
+        query = frames.writeStream.format("parquet").option("path", str(out)).option("checkpointLocation", str(state)).trigger(availableNow=True).start()
+        query.awaitTermination()
+        return spark.read.parquet(str(out))
+
+    log = folder / "night.log"
+    log.write_text("Time|SO1|ST5|\n" + "".join(f"{h:02d}:00:00|{h}|150|\n" for h in range(20, 24)) + "00:00:00|0|1")
+    assert run().count() == 4
+    with log.open("a") as f:
+        f.write("50|\n" + "".join(f"{h:02d}:00:00|{h}|150|\n" for h in range(1, 14)))
+    whole = run()
+    assert whole.count() == 18 and streams.live_tail(whole).first().Time == "13:00:00"
 
 
 def test_tail_follows_a_growing_file(spark, tmp_path):
