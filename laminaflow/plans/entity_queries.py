@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from laminaflow.operators import calibration, health, insights, linking, quality, risk, summaries
@@ -10,8 +12,9 @@ from laminaflow.plans import adapters as a
 from laminaflow.plans.catalog import big, num, query, ts
 from laminaflow.plans.link_queries import _OV, _params
 from laminaflow.plans.session_queries import DRIFT_SQL, READY_SQL, SCORE_SQL, SPIKES_SQL, _issues, _layer_times
+from laminaflow.session import shared_dir
 from laminaflow.sources import files as file_source
-from laminaflow.sources import sinks, tables
+from laminaflow.sources import sinks, snapshots, tables
 
 AS_OF = "2024-01-31 00:00:00"
 
@@ -454,6 +457,18 @@ def upsert_merge(spark, d):
                               ["user_id", "k"], F.col("ts"))
 
 
+@query(f"""WITH {a.EV}, v AS (SELECT *, row_number() OVER (PARTITION BY user_id, k ORDER BY ts DESC, event_id DESC) AS r FROM ev)
+SELECT user_id, {big('k')} AS k, event_id, event_type, {ts('ts')} AS ts, {num('value')} AS value, {big('user_id % 4')} AS part FROM v WHERE r = 1""")
+def snapshot_upsert(spark, d):
+    path = f"{shared_dir(spark).rstrip('/')}/snapshots-{uuid.uuid4().hex}"
+    ev = a.events(spark, d).select("user_id", "k", "event_id", "event_type", "ts", "value", (F.col("user_id") % 4).alias("part"))
+    first = F.col("event_type").isin("view", "purchase")
+    newest = lambda rows: rows.groupBy("user_id", "k", "part").agg(F.max_by(F.struct("event_id", "event_type", "ts", "value"), F.struct("ts", "event_id")).alias("r")).select("user_id", "k", "part", "r.*")
+    for name, rows in (("early", ev.where(first)), ("late", ev.where(~first)), ("early", ev.where(first).withColumn("ts", F.current_timestamp()))):  # the replay changes nothing
+        snapshots.upsert(spark, path, newest(rows), ["user_id", "k"], F.struct("ts", "event_id"), name, "part")
+    return snapshots.read(spark, path)
+
+
 @query(f"""WITH {a.EV}, e AS (SELECT *, user_id || '-' || strftime(ts, '%Y%m%d') AS sid FROM ev), o AS (SELECT sid AS session_id, min(ts) AS a, CAST(NULL AS TIMESTAMP) AS b, 'old' AS p FROM e WHERE event_type = 'view' GROUP BY 1), n AS (SELECT sid AS session_id, min(ts) AS a, max(ts) AS b, 'new' AS p FROM e WHERE event_type = 'click' GROUP BY 1)
 SELECT session_id, {ts('coalesce(o.a, n.a)')} AS start_ts, {ts('coalesce(o.b, n.b)')} AS end_ts, coalesce(n.p, o.p) AS payload FROM o FULL JOIN n USING (session_id)""")
 def merge_sessions(spark, d):
