@@ -1,8 +1,8 @@
 """Distinct texts packed into blocks, and corpus-wide counts of the 64-bit features of each block.
 
 A block is one row with some hundred texts, so that tasks work on whole numpy arrays. Counts are exchanged in two hops:
-each block sends its sorted distinct features, cut by leading bits into buckets; each bucket adds up what all blocks
-sent and answers with the totals in the same order. A feature crosses the network once per block, however often it
+each block sends its sorted distinct features, scattered over buckets (features may crowd anywhere, as
+minimisers do at the low end); each bucket adds up what all blocks sent and answers with the totals in the same order. A feature crosses the network once per block, however often it
 occurs in it, and a frequent feature weighs no more than a rare one.
 """
 
@@ -19,11 +19,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from laminaflow.llm.tables import as_arrow, map_batches, stored
+from laminaflow.llm.tables import as_arrow, map_batches, release, stored
 
 BLOCK_BYTES = 1 << 20
 #: Features that one bucket adds up; the number of buckets follows the input.
-BUCKET_FEATURES = 2 << 20
+BUCKET_FEATURES = 1 << 20
 #: Stands for a missing key; larger than every key.
 NO_KEY = 1 << 62
 BLOCK_SCHEMA = "block long, size long, ids array<long>, digests array<string>, cut array<long>, data binary"
@@ -92,8 +92,13 @@ def _expand(raw: bytes) -> np.ndarray:
     return np.cumsum(np.ascontiguousarray(planes.T).view(np.uint64).ravel(), dtype=np.uint64)
 
 
+def scattered(features: np.ndarray) -> np.ndarray:
+    """Features one to one as evenly spread numbers, by which they are sorted and dealt into buckets."""
+    return mix(features ^ np.uint64(0x9E3779B97F4A7C15))
+
+
 def feature_totals(blocks: DataFrame, features: Callable[[Block], tuple[np.ndarray, np.ndarray]], per_byte: float) -> DataFrame:
-    """(block, bucket, totals): for the sorted distinct features of every block, their counts over all blocks.
+    """(block, bucket, totals) for the sorted distinct features of every block, their counts over all blocks.
 
     ``features`` gives a block's sorted distinct features and how many of its texts have each; ``per_byte`` is about how
     many features a byte of text has.
@@ -105,10 +110,13 @@ def feature_totals(blocks: DataFrame, features: Callable[[Block], tuple[np.ndarr
         for batch in batches:
             for block in blocks_of(batch):
                 found, counts = features(block)
-                edges = np.searchsorted(found >> np.uint64(64 - bits), np.arange((1 << bits) + 1, dtype=np.uint64))
+                spread = scattered(found)
+                order = np.argsort(spread)
+                spread, counts = spread[order], counts[order]
+                edges = np.searchsorted(spread >> np.uint64(64 - bits), np.arange((1 << bits) + 1, dtype=np.uint64))
                 some = np.flatnonzero(np.diff(edges))
                 cuts = [slice(edges[b], edges[b + 1]) for b in some]
-                yield {"bucket": some, "block": [block.number] * len(some), "features": [_squeeze(found[c]) for c in cuts],
+                yield {"bucket": some.astype(np.int32), "block": [block.number] * len(some), "features": [_squeeze(spread[c]) for c in cuts],
                        "counts": [zlib.compress(counts[c].astype("<u4").tobytes(), 1) for c in cuts]}
 
     def add_up(group: pa.Table) -> pa.Table:
@@ -117,17 +125,20 @@ def feature_totals(blocks: DataFrame, features: Callable[[Block], tuple[np.ndarr
         _, place = np.unique(np.concatenate(parts), return_inverse=True)
         totals = np.bincount(place, weights=counts).astype(np.uint32)[place]
         ends = np.cumsum([len(p) for p in parts])[:-1]
+        release()
         return pa.table({"block": group.column("block"), "bucket": group.column("bucket"), "totals": pa.array([zlib.compress(x.astype("<u4").tobytes(), 1) for x in np.split(totals, ends)], pa.binary())})
 
     sent = map_batches(blocks.select("block", "ids", "digests", "cut", "data"), send, "bucket int, block long, features binary, counts binary")
     return stored(sent.groupBy("bucket").applyInArrow(add_up, "block long, bucket int, totals binary"), "feature-totals")
 
 
-def totals_of(answers: pa.Table) -> np.ndarray:
+def totals_of(answers: pa.Table, features: np.ndarray) -> np.ndarray:
     """A block's answers in the order of its features."""
     order = np.argsort(answers.column("bucket").to_numpy())
     raw = answers.column("totals").to_pylist()
-    return np.concatenate([np.frombuffer(zlib.decompress(raw[k]), "<u4") for k in order]) if raw else np.empty(0, np.uint32)
+    out = np.empty(len(features), np.uint32)
+    out[np.argsort(scattered(features))] = np.concatenate([np.frombuffer(zlib.decompress(raw[k]), "<u4") for k in order]) if raw else np.empty(0, np.uint32)
+    return out
 
 
 def with_answers(blocks: DataFrame, answers: DataFrame, kernel: Callable[[Block, pa.Table], dict], schema: str) -> DataFrame:
@@ -153,14 +164,20 @@ class Polynomial:
     def _powers(self, of: int, n: int) -> np.ndarray:
         out = np.full(n, of, np.uint64)
         out[0] = 1
-        return np.multiply.accumulate(out)
+        return np.multiply.accumulate(out, out=out)
 
     def prepare(self, data: np.ndarray) -> None:
         n = len(data) + 1
+        self.shift = self._powers(self.base, n)
         self.sums = np.zeros(n, np.uint64)
-        np.cumsum(self.table[data] * self._powers(self.base, n)[:-1], out=self.sums[1:])
+        np.multiply(self.table[data], self.shift[:-1], out=self.sums[1:])
+        np.cumsum(self.sums, out=self.sums)
         self.shift = self._powers(self.inverse, n)
 
+    def forget(self) -> None:
+        """Frees what ``prepare`` made."""
+        del self.sums, self.shift
+
     def stretch(self, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
         return mix((self.sums[stop] - self.sums[start]) * self.shift[start] + (stop - start).astype(np.uint64))
 

@@ -26,7 +26,7 @@ from laminaflow.llm.tables import map_batches, stored, texts_of
 LONGEST_WORD = 24
 WORD = re.compile(r"[^\W\d_]{1,%d}" % LONGEST_WORD)
 MARK = "▁"
-CACHED_WORDS = 300_000
+CACHED_WORDS = 150_000
 #: About so many distinct labelled texts of each language take part in the fit.
 FIT_ROWS = 3000
 ROUNDS = 3

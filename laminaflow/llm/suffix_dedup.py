@@ -97,8 +97,9 @@ def shared_segments(blocks: DataFrame, length: int, anchor: int) -> DataFrame:
 
     def kernel(block: Block, answers: pa.Table) -> dict:
         first, last, hashes, text = segments(block, length, anchor)
-        count = totals_of(answers)
-        keep = count[np.searchsorted(np.unique(hashes), hashes)] > 1 if len(count) else np.zeros(len(hashes), bool)
+        known = np.unique(hashes)
+        count = totals_of(answers, known)
+        keep = count[np.searchsorted(known, hashes)] > 1 if len(known) else np.zeros(len(hashes), bool)
         first, stop, hashes, text = first[keep], last[keep] + length, hashes[keep], text[keep]
         keys = []
         for polynomial in HASHES:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -53,7 +54,7 @@ def write_once(df: DataFrame, name: str) -> str:
     path, before = folder(spark, name), spark.conf.get(_CLEANUP, "false")
     spark.conf.set(_CLEANUP, "true")
     try:
-        df.write.parquet(path)
+        df.write.option("compression", "zstd").parquet(path)
     finally:
         spark.conf.set(_CLEANUP, before)
     return path
@@ -72,10 +73,19 @@ def map_batches(df: DataFrame, kernel: Callable[[Iterator[pa.RecordBatch]], Iter
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for columns in kernel(batches):
             yield pa.RecordBatch.from_arrays([as_arrow(columns[f.name], f.type) for f in fields], schema=fields)
+        release()
 
     return df.mapInArrow(run, kind)
 
 
+def release() -> None:
+    """Gives what a kernel has freed back to the machine: workers stay, and run other stages later."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def as_arrow(column, kind: pa.DataType) -> pa.Array:
     return column if isinstance(column, pa.Array | pa.ChunkedArray) and column.type == kind else column.cast(kind) if isinstance(column, pa.Array | pa.ChunkedArray) else pa.array(column, kind)
 
