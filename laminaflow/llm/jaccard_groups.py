@@ -7,12 +7,13 @@ prefix shingle and fit in size are candidates; groups are then expanded and memb
 
 The wanted result is what is linked, not the pairs: so a group's members and the groups behind a shingle are first
 verified against one of them, what is linked is united, and only pairs across what is still apart are verified after
-that, all of them. No link between different texts is lost, and a group of n copies costs n verifications.
+that, all whose parity bitmaps don't rule it out. No link between different texts is lost, and a group of n copies costs n verifications.
 """
 
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Callable
 from functools import reduce
 
 import numpy as np
@@ -27,6 +28,10 @@ from laminaflow.llm.tables import stored
 SHINGLE_WORDS = 5
 PERCENT = 75
 WORDS_HASH = Polynomial(20240501)
+#: Words of 64 bits of a set's parity bitmap: bit h is whether an odd number of its shingles hash to h. Two bitmaps differ in
+#: no more bits than the sets differ in shingles, so a pair whose bitmaps differ in too many can't reach the threshold.
+PARITY = 16
+BITS = [f"bits{i}" for i in range(PARITY)]
 #: Rounds of verifying against one partner each go on while they unite at least one in UNITED of those asked, MOST_ROUNDS
 #: at most; whatever they leave apart is verified pair by pair, so these only set the cost.
 UNITED, MOST_ROUNDS = 25, 8
@@ -43,6 +48,7 @@ def shingle_hashes(block: Block, size: int = SHINGLE_WORDS) -> list[np.ndarray]:
     starts, stops = edge[::2], edge[1::2]
     WORDS_HASH.prepare(data)
     words = WORDS_HASH.stretch(starts, stops)
+    WORDS_HASH.forget()
     first = np.searchsorted(starts, block.cut)
     weights = mix(np.arange(1, size + 1, dtype=np.uint64)) | np.uint64(1)
     long = len(words) - size + 1
@@ -67,6 +73,11 @@ def _features(size: int):
     return features
 
 
+def parity_words(own: np.ndarray) -> np.ndarray:
+    odd = np.bincount((mix(own) % np.uint64(64 * PARITY)).astype(np.int64), minlength=64 * PARITY) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
+
+
 def candidate_sets(blocks: DataFrame, size: int, percent: int) -> DataFrame:
     """(id, doc, digest, n, alone, prefix_key, prefix, tokens): set sizes of all texts, and the rest for those with a candidate.
 
@@ -79,7 +90,7 @@ def candidate_sets(blocks: DataFrame, size: int, percent: int) -> DataFrame:
     def kernel(block: Block, answers: pa.Table) -> dict:
         sets = shingle_hashes(block, size)
         known, _ = _features(size)(block)
-        count = totals_of(answers)
+        count = totals_of(answers, known)
         prefixes, tokens, keys, single = [], [], [], []
         for own in sets:
             uses = count[np.searchsorted(known, own)]
@@ -93,9 +104,10 @@ def candidate_sets(blocks: DataFrame, size: int, percent: int) -> DataFrame:
                 continue
             ranked = own[shared].view(np.int64)
             prefixes.append(ranked[:length]), tokens.append(ranked), keys.append(hashlib.md5(ranked[:length].tobytes()).hexdigest())
-        return {"id": block.texts, "doc": block.ids, "digest": block.digests, "n": [len(s) for s in sets], "alone": single, "prefix_key": keys, "prefix": prefixes, "tokens": tokens}
+        bits = np.array([parity_words(own) for own in sets]).reshape(-1, PARITY)
+        return {**{name: bits[:, i] for i, name in enumerate(BITS)}, "id": block.texts, "doc": block.ids, "digest": block.digests, "n": [len(s) for s in sets], "alone": single, "prefix_key": keys, "prefix": prefixes, "tokens": tokens}
 
-    return stored(with_answers(blocks, totals, kernel, "id long, doc long, digest string, n long, alone long, prefix_key string, prefix array<long>, tokens array<long>"), "sets")
+    return stored(with_answers(blocks, totals, kernel, "id long, doc long, digest string, n long, alone long, prefix_key string, prefix array<long>, tokens array<long>, " + ", ".join(f"{b} long" for b in BITS)), "sets")
 
 
 def _reaches(a: Column, size_a: Column, b: Column, size_b: Column, percent: int) -> Column:
@@ -104,6 +116,25 @@ def _reaches(a: Column, size_a: Column, b: Column, size_b: Column, percent: int)
     return 100 * most >= percent * (size_a + size_b - most)
 
 
+def _known_bits() -> list[Column]:
+    """Of several sets: the bits that all have set, and those that none has."""
+    return [f(c).alias(f"{p}{b}") for b in BITS for p, f, c in (("one_", F.bit_and, F.col(b)), ("no_", F.bit_and, F.bitwise_not(b)))]
+
+
+def _same_bits(of: Callable[[str], Column]) -> list[Column]:
+    return [F.bit_and(of(f"{p}{b}")).alias(f"{p}{b}") for b in BITS for p in ("one_", "no_")]
+
+
+def _alike(left: str, right: str, size_a: Column, size_b: Column, percent: int) -> Column:
+    """Whether any two sets of these sizes at most and with these known bits can reach the threshold: a necessary condition."""
+    apart = [F.bit_count(F.col(f"{left}.one_{b}").bitwiseAND(F.col(f"{right}.no_{b}")).bitwiseOR(F.col(f"{left}.no_{b}").bitwiseAND(F.col(f"{right}.one_{b}")))) for b in BITS]
+    return reduce(lambda x, y: x + y, apart) * (100 + percent) <= (size_a + size_b) * (100 - percent)
+
+
+def _bits_struct(name: str) -> Column:
+    return F.struct(*[f"{p}{b}" for b in BITS for p in ("one_", "no_")]).alias(name)
+
+
 def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b, and what else comes with them) whose whole sets reach the threshold."""
     left = sets.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("tokens").alias("ta"))
@@ -127,8 +158,8 @@ def _united(labels: DataFrame, links: DataFrame) -> DataFrame:
 def linked_sets(sets: DataFrame, percent: int = PERCENT) -> DataFrame:
     """(id, label): for sets with candidates, one label for all that reach each other by links."""
     able = sets.where(F.col("tokens").isNotNull())
-    groups = stored(able.groupBy("prefix_key", "n").agg(F.min("id").alias("gid")), "prefix-groups")
-    members = stored(able.select("id", "prefix_key", "n").join(groups, ["prefix_key", "n"]).select("id", "n", "gid"), "group-members")
+    groups = stored(able.groupBy("prefix_key", "n").agg(F.min("id").alias("gid"), *_known_bits()), "prefix-groups")
+    members = stored(able.select("id", "prefix_key", "n").join(groups.select("prefix_key", "n", "gid"), ["prefix_key", "n"]).select("id", "n", "gid"), "group-members")
     heads = able.join(members.where("id = gid").select("id"), "id", "left_semi")
     shared = heads.select(F.posexplode("prefix").alias("at", "token"), F.col("id").alias("gid"), F.col("n").alias("size"), "alone")
     shared = stored(shared.select("token", "gid", "size", (F.col("size") - F.col("alone") - F.col("at")).alias("rest")), "prefix-postings")
@@ -160,23 +191,28 @@ def linked_sets(sets: DataFrame, percent: int = PERCENT) -> DataFrame:
     lists = shared.select("token", "gid", "rest").unionByName(groups.select(F.xxhash64("gid").alias("token"), "gid", F.col("n").alias("rest")))
     named = stored(lists.join(kinds, "gid"), "named-postings")
     apart = named.groupBy("token").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("token")
-    behind = stored(named.join(apart, "token", "left_semi"), "apart")
+    behind = stored(named.join(apart, "token", "left_semi").join(groups.select("gid", _bits_struct("bits")), "gid"), "apart")
     # a pair of sets is found behind its first common shingle, so others may be passed over; of a label the best case counts
-    best = behind.groupBy("token", "label").agg(F.count(F.lit(1)).alias("groups"), F.max("rest").alias("rest"), F.min("size").alias("size"))
-    met = best.toDF("token", "la", "ca", "ra", "na").join(best.toDF("token", "lb", "cb", "rb", "nb"), "token")
+    best = behind.groupBy("token", "label").agg(F.count(F.lit(1)).alias("groups"), F.max("rest").alias("rest"), F.min("size").alias("size"),
+                                              F.max("size").alias("most"), *_same_bits(lambda b: F.col(f"bits.{b}")))
+    best = best.select("token", "label", "groups", "rest", "size", "most", _bits_struct("bits"))
+    met = best.toDF("token", "la", "ca", "ra", "na", "ma", "ba").join(best.toDF("token", "lb", "cb", "rb", "nb", "mb", "bb"), "token")
     # the label with fewer groups comes first and is expanded first
-    met = met.where((F.struct("ca", "la") < F.struct("cb", "lb")) & _reaches(F.col("ra"), F.col("na"), F.col("rb"), F.col("nb"), percent)).select("token", "la", "lb")
+    met = met.where((F.struct("ca", "la") < F.struct("cb", "lb")) & _reaches(F.col("ra"), F.col("na"), F.col("rb"), F.col("nb"), percent)
+                    & _alike("ba", "bb", F.col("ma"), F.col("mb"), percent)).select("token", "la", "lb")
     met = stored(met, "label-pairs")
     asked = met.select("token", F.col("la").alias("label")).unionByName(met.select("token", F.col("lb").alias("label"))).distinct()
     sides = behind.join(asked, ["token", "label"], "left_semi").join(heads.select(F.col("id").alias("gid"), "prefix"), "gid")
-    sides = stored(sides.select("token", "label", "gid", "size", "rest", "prefix"), "pair-sides")
-    one = met.join(sides.toDF("token", "la", "ga", "sa", "ra", "pa"), ["token", "la"])
-    two = one.join(sides.toDF("token", "lb", "gb", "sb", "rb", "pb"), ["token", "lb"])
+    sides = stored(sides.select("token", "label", "gid", "size", "rest", "prefix", "bits"), "pair-sides")
+    one = met.join(sides.toDF("token", "la", "ga", "sa", "ra", "pa", "ba"), ["token", "la"])
+    two = one.join(sides.toDF("token", "lb", "gb", "sb", "rb", "pb", "bb"), ["token", "lb"])
     first = F.get(F.array_intersect("pa", "pb"), F.lit(0)) == F.col("token")  # prefixes are in one order
     fits = _reaches(F.col("ra"), F.col("sa"), F.col("rb"), F.col("sb"), percent)
-    group_pairs = two.where(fits & ((F.col("ga") == F.col("gb")) | first)).select("ga", "la", "gb", "lb").distinct()
-    of = parts.select("gid", "label", "id")
-    rest = group_pairs.join(of.toDF("ga", "la", "a"), ["ga", "la"]).join(of.toDF("gb", "lb", "b"), ["gb", "lb"])
+    group_pairs = two.where(fits & _alike("ba", "bb", F.col("sa"), F.col("sb"), percent) & ((F.col("ga") == F.col("gb")) | first)).select("ga", "la", "gb", "lb").distinct()
+    own = able.select("id", F.struct(*[c.alias(f"{p}{b}") for b in BITS for p, c in (("one_", F.col(b)), ("no_", F.bitwise_not(b)))]).alias("bits"))
+    of = parts.join(own, "id").select("gid", "label", "id", "n", "bits")
+    rest = group_pairs.join(of.toDF("ga", "la", "a", "na", "ba"), ["ga", "la"]).join(of.toDF("gb", "lb", "b", "nb", "bb"), ["gb", "lb"])
+    rest = rest.where(_alike("ba", "bb", F.col("na"), F.col("nb"), percent))
     rest = rest.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     return _united(labels, stored(verify(rest, able, percent), "links")).select("id", "label")
 

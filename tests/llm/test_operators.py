@@ -18,8 +18,16 @@ from laminaflow.llm.components import components
 def test_buckets_are_even_whatever_the_features():
     rng = np.random.default_rng(1)
     low = rng.integers(0, 1 << 40, 200_000, dtype=np.uint64)  # crowd at the low end, as minimisers do
-    sizes = np.bincount(blocks.bucket_of(low, 6).astype(int), minlength=64)
-    assert sizes.max() <= 1.3 * sizes.mean() and len(sizes) == 64
+    sizes = np.bincount((blocks.scattered(low) >> np.uint64(58)).astype(int), minlength=64)
+    assert sizes.max() <= 1.3 * sizes.mean() and len(sizes) == 64 and len(np.unique(blocks.scattered(low))) == len(np.unique(low))
+
+
+def test_parity_bitmaps_differ_no_more_than_the_sets():
+    rng = np.random.default_rng(2)
+    for n, d in ((5, 3), (200, 40), (1000, 700)):
+        both, left, right = (rng.integers(0, 1 << 63, k, dtype=np.uint64) for k in (n, d, d // 2))
+        a, b = (jaccard_groups.parity_words(np.concatenate([both, x])) for x in (left, right))
+        assert sum(int(x).bit_count() for x in (a ^ b).view(np.uint64)) <= d + d // 2
 
 
 # ---- 1 suffix arrays -----------------------------------------------------------------------------------------------
