@@ -102,6 +102,11 @@ class Series:
         out = self.df.select(*cols, CHUNK, CUT)
         return self._with(out, out)
 
+    def where(self, condition: Column) -> "Series":
+        """The rows that are left are what later steps carry."""
+        out = self.df.where(condition)
+        return self._with(out, out)
+
     def with_column(self, name: str, col: Column) -> "Series":
         out = self.df.withColumn(name, col)
         return self._with(out, self.base.withColumn(name, col) if self._plain(col) else out)

@@ -215,7 +215,7 @@ def state_transitions(rows: DataFrame, keys: list[str], order: list[str]) -> Dat
     """
     extra = [c for c in ("source_offset", "raw_excerpt") if c in rows.columns]
     s = Series(rows, keys, order).with_prev(_prev="state", _prev_cols="columns")
-    kept = s._with(s.df.where(F.col("_prev").isNull() | (F.col("_prev") != F.col("state"))))
+    kept = s.where(F.col("_prev").isNull() | (F.col("_prev") != F.col("state")))
     kept = kept.with_prev(ts_start="ts", **{f"_from_{c}": c for c in extra})
     df = kept.frame.where("_prev is not null")
     place = F.filter(F.sequence(F.lit(0), F.size("state") - 1),
