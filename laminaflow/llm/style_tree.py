@@ -4,9 +4,11 @@ The element trees of all pages of a host are merged: elements on one path of tag
 an importance of presentation (entropy of the child sequences that its pages give it) and of content (entropy of the
 texts that they put below it), each relative to the most that so many pages could have. What a site repeats from page to
 page scores low, what it writes anew scores high. Branches of low importance are removed from each page, inside a page's
-article element too. Elements whose tag, role or class names them as furniture (menus, footers, forms, adverts, comments
-and so on) are removed as well. Exact copies of a page count once, and classes and ids that only a few pages of the host
-have are left out of the path, so that numbered elements are one node.
+article element too. Elements whose tag or role names them as furniture (menus, footers, forms and so on) are removed as
+well. Classes and ids are evidence: a name whose last word is furniture (``comments``, ``site-menu``, ``share-bar``) removes an
+element, one that only mentions it (``share-prices``) does so where the element is mostly links, and names of the elements
+around an article only choose between several articles. Exact copies of a page count once, and classes and ids that only
+a few pages of the host have are left out of the path, so that numbered elements are one node.
 """
 
 from __future__ import annotations
@@ -16,6 +18,7 @@ import html
 import re
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -39,6 +42,15 @@ ROLES = frozenset("navigation banner contentinfo complementary search dialog ale
 WORDS = frozenset("""ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent notice gdpr
     sidebar menu nav navbar navigation breadcrumb breadcrumbs footer masthead toolbar share sharing social related recommended comment comments
     disqus respond reply replies newsletter subscribe signup login popup modal overlay widget pagination pager""".split())
+#: A name that begins with one of these tells a state or a subject, not what the element is.
+STATES = frozenset("no not non has have with without is hide hidden category cat tag topic type format".split())
+#: Words after which the one before says what the element is.
+HOLDERS = frozenset("""list bar box container wrapper wrap area section block links link slot unit inner outer panel buttons button icons icon
+    posts articles stories items item group row top bottom left right main body holder content header head heading title text message thread strip""".split())
+#: An element whose name only mentions furniture is removed from this share of linked text on.
+LINKED = 0.5
+#: Longer paths are continued from their hash, so a page of deeply nested elements takes memory in proportion to its size.
+LONGEST_PATH = 300
 #: A node below this importance is removed, if so many pages have text in it; a class or id on fewer pages is no part of a path.
 IMPORTANCE, LEAST_PAGES = 0.3, 8
 #: Weight of presentation in a node's importance; the rest is content.
@@ -46,12 +58,16 @@ PRESENTATION = 0.2
 
 
 class Node:
-    __slots__ = ("tag", "names", "path", "parent", "children", "kind")
+    __slots__ = ("tag", "names", "path", "parent", "children", "kind", "in_article")
 
     def __init__(self, tag: str, names: str, parent: "Node | None", fixed: frozenset[str] = frozenset()):
         self.tag, self.names, self.parent = tag, names, parent
         label = tag + "".join(f".{n}" for n in sorted(fixed.intersection(names.split()))) if names else tag
-        self.path = f"{parent.path}/{label}" if parent else label
+        above = parent.path if parent else ""
+        if len(above) > LONGEST_PATH:
+            above = "~" + hashlib.blake2b(above.encode(), digest_size=8).hexdigest()
+        self.path = f"{above}/{label}" if parent else label
+        self.in_article = parent is not None and (parent.in_article or parent.tag == "article")
         self.children: list = []  # nodes and strings
         self.kind = ""
 
@@ -62,6 +78,14 @@ def parse(source: str, fixed: frozenset[str] = frozenset()) -> Node:
     Of classes and ids only those in ``fixed`` are part of a path.
     """
     root = node = Node("#", "", None)
+    opened: Counter = Counter()  # open elements by tag
+
+    def leave(low: Node, high: Node) -> Node:
+        while low is not high:
+            opened[low.tag] -= 1
+            low = low.parent
+        return high
+
     at = 0
     while True:
         token = TOKEN.search(source, at)
@@ -74,15 +98,16 @@ def parse(source: str, fixed: frozenset[str] = frozenset()) -> Node:
         if not tag:
             continue
         if token[1]:
-            up = node
-            while up is not root and up.tag != tag:
-                up = up.parent
-            node = up.parent if up is not root else node
+            if opened[tag] > 0:
+                up = node
+                while up.tag != tag:
+                    up = up.parent
+                node = leave(node, up.parent)
             continue
-        if tag in CLOSES_P:
-            node = _close(node, {"p"})
-        if tag in SAME_CLOSES:
-            node = _close(node, SAME_CLOSES[tag])
+        if tag in CLOSES_P and opened["p"] > 0:
+            node = leave(node, _close(node, {"p"}))
+        if tag in SAME_CLOSES and any(opened[t] > 0 for t in SAME_CLOSES[tag]):
+            node = leave(node, _close(node, SAME_CLOSES[tag]))
         names, role = _names(token[3])
         new = Node(tag, names, node, fixed)
         new.kind = role
@@ -92,6 +117,7 @@ def parse(source: str, fixed: frozenset[str] = frozenset()) -> Node:
             at = end.end() if end else len(source)
         elif tag not in VOID and not token[0].endswith("/>"):
             node = new
+            opened[tag] += 1
     if at < len(source):
         node.children.append(html.unescape(source[at:]))
     return root
@@ -115,21 +141,32 @@ def _names(attributes: str) -> tuple[str, str]:
 
 
 def furniture(node: Node) -> bool:
-    """Whether tag, role or names say that an element is no main text."""
-    if node.tag in FURNITURE or node.kind in ROLES:
-        return True
-    if node.tag == "header" and not _inside(node, "article"):
-        return True
-    return node.tag not in ("html", "body") and any(w in WORDS for name in node.names.split() for w in re.split(r"[-_\d]+", name))
-
-
-def _inside(node: Node, tag: str) -> bool:
-    up = node.parent
-    while up is not None:
-        if up.tag == tag:
-            return True
-        up = up.parent
-    return False
+    """Whether tag or role say that an element is no main text."""
+    return node.tag in FURNITURE or node.kind in ROLES or node.tag == "header" and not node.in_article
+
+
+@lru_cache(maxsize=10_000)
+def named(names: str) -> int:
+    """Of an element's classes and id: 2 if one says that it is furniture, 1 if one mentions furniture, else 0."""
+    level = 0
+    for name in names.split():
+        parts = [p for p in re.split(r"[-_\d]+", name) if p]
+        if not WORDS.intersection(parts) or parts[0] in STATES:
+            continue
+        while len(parts) > 1 and parts[-1] in HOLDERS:
+            parts.pop()
+        level = max(level, 2 if parts[-1] in WORDS else 1)
+    return level
+
+
+def links_of(root: Node) -> dict[int, float]:
+    """Share of linked text below each element that has text, by the element's ``id``."""
+    sizes: dict[int, tuple[int, int]] = {}
+    for node in reversed(list(walk(root))):
+        below = [sizes[id(c)] for c in node.children if isinstance(c, Node)]
+        total = sum(len(c.strip()) for c in node.children if isinstance(c, str)) + sum(t for t, _ in below)
+        sizes[id(node)] = (total, total if node.tag == "a" else sum(x for _, x in below))
+    return {k: linked / total for k, (total, linked) in sizes.items() if total}
 
 
 def walk(node: Node) -> Iterator[Node]:
@@ -141,8 +178,11 @@ def walk(node: Node) -> Iterator[Node]:
         stack += [c for c in reversed(own.children) if isinstance(c, Node)]
 
 
-def blocks_of(roots: list[Node], dropped: set[str], everywhere: bool) -> list[str]:
-    """Text blocks below ``roots`` without furniture, and without paths in ``dropped`` if ``everywhere``."""
+def blocks_of(roots: list[Node], dropped: set[str], everywhere: bool, links: dict[int, float], spared: set[int]) -> list[str]:
+    """Text blocks below ``roots`` without furniture, and without paths in ``dropped`` if ``everywhere``.
+
+    Names of the roots and of elements in ``spared`` count for nothing.
+    """
     out, held = [], []
 
     def flush() -> None:
@@ -151,6 +191,12 @@ def blocks_of(roots: list[Node], dropped: set[str], everywhere: bool) -> list[st
             out.append(text)
         held.clear()
 
+    def goes(node: Node) -> bool:
+        if furniture(node) or everywhere and node.path in dropped:
+            return True
+        level = named(node.names) if node.names and node.tag not in ("html", "body") and id(node) not in spared else 0
+        return level == 2 or level == 1 and links.get(id(node), 0) >= LINKED
+
     for root in roots:
         stack: list = [root]
         while stack:
@@ -161,7 +207,7 @@ def blocks_of(roots: list[Node], dropped: set[str], everywhere: bool) -> list[st
             if own is None:
                 flush()
                 continue
-            if furniture(own) or everywhere and own.path in dropped:
+            if own is not root and goes(own):
                 if own.tag in BLOCK:
                     flush()
                 continue
@@ -175,53 +221,57 @@ def blocks_of(roots: list[Node], dropped: set[str], everywhere: bool) -> list[st
     return out
 
 
-def main_text(source: str, dropped: set[str], fixed: frozenset[str] = frozenset()) -> str:
-    """Where a whole article element is of low importance, the site repeats its articles, and only names tell furniture inside."""
-    root = parse(source, fixed)
-    marked = [n for n in walk(root) if n.tag == "article" or n.tag == "main" or n.kind == "main"]
-    tops = [n for n in marked if not any(_below(n, m) for m in marked if m is not n)]
-    tops = [n for n in tops if not _in_furniture(n)]
-    articles = [text for n in tops for text in blocks_of([n], dropped, n.path not in dropped)]
-    return "\n".join(articles or blocks_of(tops, dropped, False) or blocks_of([root], dropped, True))
-
+def main_elements(root: Node) -> list[Node]:
+    """Outermost article and main elements outside of furniture; those in an element named as furniture only if there are no others."""
+    found, stack = [], [(root, False)]
+    while stack:
+        node, doubtful = stack.pop()
+        if furniture(node):
+            continue
+        doubtful = doubtful or node.tag not in ("html", "body") and named(node.names) == 2
+        if node.tag == "article" or node.tag == "main" or node.kind == "main":
+            found.append((node, doubtful))
+        else:
+            stack += [(c, doubtful) for c in reversed(node.children) if isinstance(c, Node)]
+    return [n for n, doubtful in found if not doubtful] or [n for n, _ in found]
 
-def _below(node: Node, other: Node) -> bool:
-    up = node.parent
-    while up is not None:
-        if up is other:
-            return True
-        up = up.parent
-    return False
 
+def main_text(source: str, dropped: set[str], fixed: frozenset[str] = frozenset()) -> str:
+    """Where a whole article element is of low importance, the site repeats its articles, and only names tell furniture inside.
 
-def _in_furniture(node: Node) -> bool:
-    up = node
-    while up is not None:
-        if furniture(up):
-            return True
-        up = up.parent
-    return False
+    Names of elements around the only article of a main element count for nothing.
+    """
+    root = parse(source, fixed)
+    links, tops, spared = links_of(root), main_elements(root), set()
+    inner = [n for top in tops for n in walk(top) if n.tag == "article"]
+    if len(inner) == 1:
+        up = inner[0]
+        while up is not None:
+            spared.add(id(up))
+            up = up.parent
+    articles = [text for n in tops for text in blocks_of([n], dropped, n.path not in dropped, links, spared)]
+    return "\n".join(articles or blocks_of(tops, dropped, False, links, spared) or blocks_of([root], dropped, True, links, set()))
 
 
 def node_features(source: str, fixed: frozenset[str] = frozenset()) -> dict[str, tuple[str, str | None]]:
-    """For each path of a page: its child sequences and the text below it (if any), as digests."""
+    """For each path of a page: its child sequences and the text below it (if any), as digests.
+
+    The digest of an element's text is made of its own words and the digests of its children, so each text is read once.
+    """
+    digest = lambda parts: hashlib.blake2b("\n".join(parts).encode(), digest_size=8).hexdigest()
+    content: dict[int, str | None] = {}
     styles: dict[str, list[str]] = {}
     texts: dict[str, list[str]] = {}
-    root = parse(source, fixed)
-    for node in walk(root):
-        if node.tag in RAW or node.tag == "head":
-            continue
+    nodes = [n for n in walk(parse(source, fixed)) if n.tag not in RAW and n.tag != "head"]
+    for node in reversed(nodes):
+        words = " ".join(" ".join(c for c in node.children if isinstance(c, str)).split())
+        below = [d for c in node.children if isinstance(c, Node) and (d := content.get(id(c)))]
+        content[id(node)] = digest([words, *below]) if words or below else None
+    for node in nodes:
         labels = [c.tag for c in node.children if isinstance(c, Node)]
         styles.setdefault(node.path, []).append(",".join(t for k, t in enumerate(labels) if not k or labels[k - 1] != t))
-        words = " ".join(" ".join(c for c in node.children if isinstance(c, str)).split())
-        if words:
-            path = node.path
-            while True:
-                texts.setdefault(path, []).append(words)
-                if "/" not in path:
-                    break
-                path = path.rsplit("/", 1)[0]
-    digest = lambda parts: hashlib.blake2b("\n".join(parts).encode(), digest_size=8).hexdigest()
+        if content[id(node)]:
+            texts.setdefault(node.path, []).append(content[id(node)])
     return {path: (digest(own), digest(texts[path]) if path in texts else None) for path, own in styles.items()}
 
 
@@ -274,7 +324,8 @@ def extract_text(pages: DataFrame, key: str = "page_id", url: str = "url", sourc
     """One row per row of ``pages``: key, url, text.
 
     Null and empty pages have the empty text. Null keys and urls pass through; pages without a host form one site.
-    Repeated rows get equal results. Only the three named columns are read. Character references are decoded, white space
+    Repeated rows get equal results, an empty table an empty one; a page of any size or depth is read in memory proportional to
+    its size. Only the three named columns are read, so others may have any name. Character references are decoded, white space
     inside a block becomes one space, blocks are joined by line ends in page order.
     """
     names = site_names(pages, url, source, least_pages)

@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import tracemalloc
 
 import brute
 import numpy as np
@@ -360,6 +361,29 @@ def test_repeated_branches_inside_articles_go(spark):
     assert all(text == "The same story\ntold again and again" for k, text in got.items() if k >= 100)
 
 
+def test_names_are_evidence():
+    text = lambda html: style_tree.main_text(html, set())
+    for name in ("no-sidebar", "has-sidebar content", "comments-open", "post-12 category-social", "ad-free", "related-work", "widget", "menu"):
+        assert text(f"<body><div class='{name}'><article><p>Story</p></article></div></body>") == "Story", name
+    assert text("<article class='category-social tag-ads'><p>Story</p><section id=share-prices><p>Prices</p></section></article>") == "Story\nPrices"
+    assert text("<main><h1>Head</h1><div class=widget><article>Story</article></div></main>") == "Head\nStory"
+    for name in ("comments", "comment-list", "share-bar", "related-posts", "site-footer", "cookie_banner"):
+        assert text(f"<article><p>Story</p><div class='{name}'><p>Other</p></div></article>") == "Story", name
+    assert text("<article><p>Story</p><div class=related-reading><a href=x>One</a> <a href=y>two</a></div></article>") == "Story"
+    assert text("<article>Story</article><section class=comments><article class=comment>Troll</article></section>") == "Story"
+
+
+def test_deep_pages_take_little():
+    deep = "<div class=box>" * 100_000 + "<p>Deep down" + "</div>" * 100_000 + "</b>" * 100_000
+    tracemalloc.start()
+    try:
+        assert style_tree.main_text(deep, set()) == "Deep down"
+        assert len(style_tree.node_features(deep, frozenset(["box"]))) == 100_002
+        assert tracemalloc.get_traced_memory()[1] < 200 << 20
+    finally:
+        tracemalloc.stop()
+
+
 # ---- 10 positional index -------------------------------------------------------------------------------------------
 
 @pytest.fixture(scope="module")
