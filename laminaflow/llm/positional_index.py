@@ -79,15 +79,19 @@ def near_anchors(windows: DataFrame, counts: DataFrame) -> DataFrame:
 
 
 def near_hits(index: DataFrame, anchors: DataFrame, keyed: DataFrame, windows: DataFrame, slack: int = SLACK) -> DataFrame:
-    """(_key, _hash, window_id): documents and windows with a place where all words but n / NEAR_WORDS stand within ``slack`` of their due places."""
+    """(_key, _hash, window_id): documents and windows with a place where all words but n / NEAR_WORDS stand within ``slack`` of their due places.
+
+    The anchor itself may be ``slack`` off its place, so every start that near to the one it tells is tried.
+    """
     seeds = index.join(anchors, "term").select("_key", "_hash", "window_id", "n", (F.col("position") - F.col("offset")).alias("start")).distinct()
     seeds = stored(seeds, "near-candidates")
     texts = candidate_texts(seeds, keyed)
     asked = seeds.join(windows.select("window_id", "words"), "window_id")
     joined = asked.join(texts, asked["_key"].eqNullSafe(texts["_k"]) & (asked["_hash"] == texts["_h"]))
     around = lambda first, last: f"slice(_words, greatest({first}, 0) + 1, greatest({last} - greatest({first}, 0) + 1, 0))"
-    some = F.expr(f"size(array_except(words, {around(f'start - {slack}', f'start + n - 1 + {slack}')})) <= n div {NEAR_WORDS}")
-    lacking = F.expr(f"size(filter(sequence(0, n - 1), i -> not array_contains({around(f'start + i - {slack}', f'start + i + {slack}')}, words[i]))) <= n div {NEAR_WORDS}")
+    some = F.expr(f"size(array_except(words, {around(f'start - {2 * slack}', f'start + n - 1 + {2 * slack}')})) <= n div {NEAR_WORDS}")
+    lacking = f"size(filter(sequence(0, n - 1), i -> not array_contains({around(f's + i - {slack}', f's + i + {slack}')}, words[i])))"
+    lacking = F.expr(f"exists(sequence(start - {slack}, start + {slack}), s -> {lacking} <= n div {NEAR_WORDS})")
     return joined.where(some).where(lacking).select("_key", "_hash", "window_id").distinct()
 
 
