@@ -8,13 +8,13 @@ place, for all languages. The label is the most probable language, the score its
 
 from __future__ import annotations
 
-import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import regex
 import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -24,7 +24,7 @@ from laminaflow.llm.tables import map_batches, stored, texts_of
 
 #: Words are runs of letters, lower-cased, with a mark in front; longer runs are cut after so many letters.
 LONGEST_WORD = 24
-WORD = re.compile(r"[^\W\d_]{1,%d}" % LONGEST_WORD)
+WORD = regex.compile(r"\p{L}{1,%d}" % LONGEST_WORD)
 MARK = "▁"
 CACHED_WORDS = 150_000
 #: About so many distinct labelled texts of each language take part in the fit.

@@ -248,6 +248,14 @@ def test_language_edges(spark, docs, nothing):
     assert language_id.identify(nothing, language_id.fit(nothing, queries.PIECE_MODEL)).count() == 0
 
 
+def test_numbers_are_no_letters(spark):
+    """Signs like ² and ½ are no letters, so a text of them has no language; clashing columns are not read."""
+    model = language_id.fit(spark.createDataFrame([("the house of the people", "en"), ("das haus und die leute", "de")], "text string, lang string"), queries.PIECE_MODEL)
+    docs = spark.createDataFrame([(1, "² ½ ³ 12 _", "x"), (2, "the house²", "x"), (3, "½" * 100_000, "x")], "doc_id long, text string, score string")
+    got = {r.doc_id: (r.lang_pred, r.score) for r in language_id.identify(docs, model).collect()}
+    assert got[1] == got[3] == ("und", 0) and got[2][0] == "en"
+
+
 def test_held_out_accuracy(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     got = queries.op6_language_id(spark, "/root/testdata/sf0.01").join(docs.select("doc_id", "lang"), "doc_id").where("held_out and lang_pred <> 'und'")
@@ -421,6 +429,40 @@ def test_near_columns(spark):
                     (4, False, False, ""), (5, False, False, ""), (6, False, False, ""), (6, False, False, "")]
 
 
+def _is_near(words, item, slack=2):
+    """Whether some start has all words of a window but one in ten within ``slack`` of their due places."""
+    places = [[k for k, w in enumerate(words) if w == x] for x in item]
+    for start in range(-len(item) - slack, len(words) + slack):
+        if sum(not any(abs(p - start - i) <= slack for p in own) for i, own in enumerate(places)) <= len(item) // 10:
+            return True
+    return False
+
+
+def test_proximity_against_brute_force(spark):
+    rng = random.Random(9)
+    vocabulary = [f"v{chr(97 + k)}" for k in range(26)]
+    item = "rareone ca cb cc cd ce cf cg ch raretwo".split()
+    rows, items = [(0, "pad pad ca cb rareone cc cd ce cf raretwo cg ch end".split())], [(0, item)]
+    items += [(k, [rng.choice(vocabulary) for _ in range(rng.choice([4, 9, 10, 12]))]) for k in range(1, 9)]
+    for k in range(1, 120):
+        own = list(rng.choice(items)[1])
+        for _ in range(rng.randint(0, 4)):
+            at = rng.randrange(len(own))
+            if rng.random() < 0.5:
+                own.insert(at, rng.choice(vocabulary))
+            elif rng.random() < 0.5:
+                own[at] = "other"
+            else:
+                own.append(own.pop(at)) if rng.random() < 0.3 else own.insert(max(0, at - 2), own.pop(at))
+        rows.append((k, [rng.choice(vocabulary) for _ in range(rng.randint(0, 5))] + own))
+    found = positional_index.contamination(spark.createDataFrame([(k, " ".join(w)) for k, w in rows], "doc_id long, text string"),
+                                           spark.createDataFrame([(k, " ".join(w)) for k, w in items], "item_id long, text string"))
+    got = {r.doc_id: r.near_items for r in found.collect()}
+    windows = {str(k): [w[a:a + 10] for a in range(max(1, len(w) - 9))] for k, w in items}
+    wanted = {k: sorted(i for i, own in windows.items() if any(_is_near(w, x) for x in own)) for k, w in rows}
+    assert got == wanted and "0" in got[0] and any(not x for x in got.values())
+
+
 # ---- all -----------------------------------------------------------------------------------------------------------
 
 def test_empty_tables(spark, nothing):
