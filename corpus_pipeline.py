@@ -1,6 +1,7 @@
 """A training-data pipeline over ``documents``: language, near duplicates, decontamination, personal data, tokens.
 
-Every stage gets all that its predecessor kept, as a table that was written and read again.
+Every stage gets all that its predecessor kept, as a table that was written and read again. All stages take empty tables
+(and return empty ones), null keys, texts of any length, repeated rows and columns of any further names, which pass through.
 """
 
 from __future__ import annotations
@@ -23,7 +24,10 @@ LEAST_SCORE = 0.5
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a language that the labels teach: no text that is far less probable there than the labelled ones."""
+    """Documents in a language that the labels teach: no text that is far less probable there than the labelled ones.
+
+    Null texts and texts without a letter go; repeated rows are judged alike.
+    """
     model = fit(docs.where(~held_out(docs)), PIECE_MODEL)
     rows = docs.select(F.struct("*").alias("_row"), F.col("text").alias("_text"), F.when(~held_out(docs), F.col("lang")).alias("_label"))
     found = stored(identify(rows, model, "_row", "_text", ("_label",)), "language-scores")
@@ -31,23 +35,23 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates."""
+    """One document of each group of near duplicates, that of the smallest key; of repeated rows one stays, texts without words all stay."""
     return without_near_duplicates(docs)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no window of the benchmark."""
+    """Documents that hold no window of the benchmark; null and empty texts hold none and stay."""
     return without_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, personal data masked; n_chars follows the text."""
+    """All documents, personal data masked; n_chars follows the text (0 for null), null texts stay null."""
     masked = without_personal_data(docs)
     return masked.withColumn("n_chars", F.coalesce(F.char_length("text"), F.lit(0)).cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else masked
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """(doc_id, n_tokens, ids, decoded_sha256): SentencePiece ids of every text, and a digest of what they decode to."""
+    """(doc_id, n_tokens, ids, decoded_sha256): SentencePiece ids of every text, and a digest of what they decode to; null is the empty text."""
     pieces = encode_pieces(docs, PIECE_MODEL).select("doc_id", "ids")
     return decode_pieces(pieces, PIECE_MODEL).select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
 
