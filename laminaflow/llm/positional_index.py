@@ -160,10 +160,11 @@ def window_hits(keyed: DataFrame, items: DataFrame, item_key: str, item_text: st
 
 
 def without_contaminated(docs: DataFrame, items: DataFrame, doc_key: str = "doc_id", doc_text: str = "text", item_key: str = "item_id", item_text: str = "text") -> DataFrame:
-    """The rows of ``docs`` in which no window of the benchmark occurs, with all columns."""
+    """The rows of ``docs`` in which no window of the benchmark occurs, with all columns, whatever their names; null texts stay."""
     hits, _, _ = window_hits(document_key(docs, doc_key, doc_text), items, item_key, item_text)
     hit = hits.select(F.col("_key").alias("_k"), F.col("_hash").alias("_h")).distinct()
-    return docs.join(hit, F.col(doc_key).eqNullSafe(F.col("_k")) & (F.xxhash64(doc_text) == F.col("_h")), "left_anti")
+    rows = docs.select(F.struct("*").alias("_row"), docs[doc_key].alias("_key"), F.xxhash64(docs[doc_text]).alias("_hash"))
+    return rows.join(hit, F.col("_key").eqNullSafe(F.col("_k")) & (F.col("_hash") == F.col("_h")), "left_anti").select("_row.*")
 
 
 def contamination(docs: DataFrame, items: DataFrame, doc_key: str = "doc_id", doc_text: str = "text", item_key: str = "item_id",

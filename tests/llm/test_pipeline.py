@@ -25,7 +25,7 @@ def test_stages_return_the_columns(spark, docs, tmp_path_factory):
 
 @pytest.mark.parametrize("stage", [s for _, s in corpus_pipeline.STAGES], ids=[n for n, _ in corpus_pipeline.STAGES])
 def test_stages_of_empty_tables(spark, stage):
-    empty = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").where("doc_id < 0").withColumn("_row", F.lit(1)).withColumn("spans", F.lit("x"))
+    empty = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").where("doc_id < 0").withColumns({c: F.lit("x") for c in ("_row", "_k", "_h", "_key", "spans")})
     got = stage(spark, empty, "/root/testdata/sf0.001")
     assert got.count() == 0 and (got.columns == empty.columns or "ids" in got.columns)
 
