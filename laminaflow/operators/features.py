@@ -203,7 +203,9 @@ def phase_segments(events: DataFrame, transitions: DataFrame | None, tie: Sequen
         F.min_by("layer", place).alias("layer_start"),
         F.max_by("layer", F.when(F.col("layer").isNotNull(), place)).alias("layer_end"),
         F.min_by("confidence", place).alias("confidence"))
-    runs = Series(runs, [key], ["segment_no"]).with_next(_next="ts_start").frame
+    # runs are numbered without gaps
+    starts = runs.select(key, (F.col("segment_no") - 1).alias("segment_no"), F.col("ts_start").alias("_next"))
+    runs = null_safe_join(runs, starts, [key, "segment_no"])
     end = F.coalesce("_next", F.when(F.col("event_count") > 1, F.col("_last")))
     segments = runs.select(key, "segment_no", "phase", "ts_start", end.alias("ts_end"), "layer_start", "layer_end",
                            "confidence", "event_count")

@@ -219,50 +219,64 @@ def median_of_array(col: Column) -> Column:
     return F.when(n > 0, (F.get(s, lo) + F.get(s, hi)) / 2)
 
 
+#: Cells for every doubling of a value in the first count of ``group_quantiles``.
+CELLS = 1024
+
+
+def value_cell(col: Column) -> Column:
+    """A whole number that never falls while ``col`` rises; values that agree in about three digits share one.
+
+    The borders are moved a little, so that no common number stands on one.
+    """
+    x = F.nanvl(col.cast("double"), F.lit(float("inf")))
+    size = F.least(F.greatest(F.abs(x), F.lit(1e-300)), F.lit(1e300))
+    return (F.signum(x) * (F.floor(F.log2(size) * CELLS + 0.37) + 1100 * CELLS)).cast("long")
+
+
 def group_quantiles(df: DataFrame, keys: Sequence[str], value: str, wanted: dict[str, float],
                     nearest: bool = False, extra: dict[str, Column] | None = None) -> DataFrame:
     """Exact quantiles per key: linear interpolation, or the element at round-half-even(q*(n-1)).
 
-    Keys of up to ``hot_limit`` rows use the built-in ``percentile``. Longer ones are reduced to (value, count), ranked by
-    the chunked running sum, and only the one or two rows at each rank are kept; the nearest form ranks always. Both
-    are one lazy plan. ``extra`` adds further aggregates of the same rows, in the same shuffle.
+    One lazy plan for keys of any length, which reads ``df`` twice: rows are counted by cells of their value, running
+    counts say which cells hold the wanted ranks, and only the values of those cells are ranked. Counts combine before
+    they travel, so no task sees the rows of a long key; what a task sorts is the distinct values of one cell.
+    ``extra`` adds further aggregates of the same rows.
     """
     keys, extra = list(keys), extra or {}
     rows = df.where(F.col(value).isNotNull())
-    more = [c.alias(n) for n, c in extra.items()]
-    src = rows.select(*keys, F.col(value).alias("_v"))
-    if nearest:
-        out = _ranked_quantiles(src, src.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")), keys, wanted, True)
-        return null_safe_join(out, rows.groupBy(*keys).agg(*more), keys) if more else out
-    hot = F.broadcast(hot_keys(src, keys).select(*keys, F.col("_rows").alias("_n")))
-    marked = null_safe_join(rows, hot, keys)
-    qs = F.array(*[F.lit(q) for q in wanted.values()])
-    packed = marked.groupBy(*keys).agg(F.percentile(F.when(F.col("_n").isNull(), F.col(value)), qs).alias("_q"), *more)
-    cool = packed.select(*keys, *[F.col("_q")[i].alias(n) for i, n in enumerate(wanted)], *extra)
-    ranked = null_safe_join(src, hot, keys, "inner").drop("_n")
-    ranked = _ranked_quantiles(ranked, hot, keys, wanted, False).withColumnsRenamed({n: f"_h_{n}" for n in wanted})
-    out = null_safe_join(cool, ranked, keys)
-    return out.select(*keys, *[F.coalesce(n, f"_h_{n}").alias(n) for n in wanted], *extra)
-
-
-def _ranked_quantiles(src: DataFrame, hot: DataFrame, keys: list[str], wanted: dict[str, float], nearest: bool) -> DataFrame:
-    """Quantiles of ``_v`` by the running counts of its distinct values; ``hot`` has the rows (_n) of each key."""
-    tally = src.groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_c"))
-    ranked = Series(tally, keys, ["_v"]).with_running_sum("_upto", F.col("_c")).frame
-    ranked = null_safe_join(ranked, hot, keys, "inner")
-    aggs, picked = [], F.lit(False)
-    for name, q in wanted.items():
-        pos = F.lit(float(q)) * (F.col("_n") - 1)
-        lo, hi = (F.rint(pos), F.rint(pos)) if nearest else (F.floor(pos), F.ceil(pos))
-        at = lambda i: (F.col("_upto") > i) & (F.col("_upto") - F.col("_c") <= i)
-        picked = picked | at(lo) | at(hi)
-        aggs += [F.max(F.when(at(lo), F.col("_v"))).alias(f"_lo_{name}"),
-                 F.max(F.when(at(hi), F.col("_v"))).alias(f"_hi_{name}"),
-                 F.max(pos - F.floor(pos)).alias(f"_f_{name}")]
-    out = ranked.where(picked).groupBy(*keys).agg(*aggs)
+    src = rows.select(*keys, F.col(value).alias("_v")).withColumn("_cell", value_cell(F.col("_v")))
+    out = _ranked_quantiles(src, keys, wanted, nearest)
+    if not extra:
+        return out
+    facts = rows.groupBy(*keys).agg(*[c.alias(n) for n, c in extra.items()])
+    return null_safe_join(out, facts, keys)
+
+
+def _ranked_quantiles(src: DataFrame, keys: list[str], wanted: dict[str, float], nearest: bool) -> DataFrame:
+    """Quantiles of ``_v`` by the running counts of its cells, and of the distinct values in those that hold a wanted rank."""
+    upto = Window.unboundedPreceding, Window.currentRow
+    places = {n: F.lit(float(q)) * (F.col("_n") - 1) for n, q in wanted.items()}
+    ends = {n: (F.rint(p), F.rint(p)) if nearest else (F.floor(p), F.ceil(p)) for n, p in places.items()}
+    at = lambda i: (F.col("_upto") > i) & (F.col("_upto") - F.col("_c") <= i)
+    picked = reduce(lambda a, b: a | b, [at(i) for pair in ends.values() for i in pair])
+    cells = src.groupBy(*keys, "_cell").agg(F.count(F.lit(1)).alias("_c"))
+    cells = cells.withColumn("_upto", F.sum("_c").over(Window.partitionBy(*keys).orderBy("_cell").rowsBetween(*upto)))
+    cells = cells.withColumn("_n", F.sum("_c").over(Window.partitionBy(*keys))).where(picked)
+    cells = cells.select(*keys, "_cell", (F.col("_upto") - F.col("_c")).alias("_before"), "_n")
+    tally = null_safe_join(src, cells, [*keys, "_cell"], "inner").groupBy(*keys, "_cell", "_before", "_n", "_v").agg(F.count(F.lit(1)).alias("_c"))
+    own = F.sum("_c").over(Window.partitionBy(*keys, "_cell", "_before", "_n").orderBy("_v").rowsBetween(*upto))
+    ranked = tally.withColumn("_upto", F.col("_before") + own).where(picked)
+    aggs = []
+    for name, (lo, hi) in ends.items():
+        aggs += [F.max(F.when(at(lo), F.col("_v"))).alias(f"_lo_{name}"), F.max(F.when(at(hi), F.col("_v"))).alias(f"_hi_{name}")]
+    out = ranked.groupBy(*keys, "_n").agg(*aggs)
+
     def value_of(name: str) -> Column:
-        lo, hi, f = F.col(f"_lo_{name}"), F.col(f"_hi_{name}"), F.col(f"_f_{name}")
-        return (lo if nearest else lo * (1 - f) + hi * f).alias(name)
+        lo, hi, p = F.col(f"_lo_{name}"), F.col(f"_hi_{name}"), places[name]
+        if nearest:
+            return lo.alias(name)
+        lo, hi = lo.cast("double"), hi.cast("double")
+        return F.when(lo == hi, lo).otherwise((F.ceil(p) - p) * lo + (p - F.floor(p)) * hi).alias(name)
     return out.select(*keys, *[value_of(n) for n in wanted])
 
 

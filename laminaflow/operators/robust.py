@@ -19,8 +19,8 @@ def median_and_mad(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     """Per key: med, mad."""
     med = group_medians(df, keys, value, "med")
     spread = df.where(F.col(value).isNotNull()).join(med, list(keys)).select(
-        *keys, F.abs(F.col(value) - F.col("med")).alias("_dev"))
-    return med.join(group_medians(spread, keys, "_dev", "mad"), list(keys))
+        *keys, "med", F.abs(F.col(value) - F.col("med")).alias("_dev"))
+    return group_medians(spread, [*keys, "med"], "_dev", "mad")
 
 
 def robust_z(df: DataFrame, keys: Sequence[str], value: str, name: str = "robust_z") -> DataFrame:
