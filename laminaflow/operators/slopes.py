@@ -43,7 +43,8 @@ class Sizes(NamedTuple):
 
 
 SIZES = Sizes()
-STEPS = (-0.2, -0.05, -0.01, -0.001, 0.001, 0.01, 0.05, 0.2)
+#: Where to try next, as shares of what is left; every trial of a long key sends all its rows.
+STEPS = (-0.03, -0.001, 0.001, 0.03)
 SEED = 17
 
 
@@ -244,6 +245,11 @@ def _map_states(df: DataFrame, fn) -> DataFrame:
     return df.mapInPandas(kernel, ", ".join(f"{c} {kind}" for c, kind in STATE.items()))
 
 
+def _offset_kind(rows: int) -> str:
+    """The fewest bytes that hold a place inside a chunk."""
+    return "<u2" if rows <= 1 << 16 else "<u4"
+
+
 def _pieces(chunk: dict, sizes: Sizes) -> Iterator[dict]:
     """What a chunk sends for every trial of its key: its own inversions, and its rows by range of the residual."""
     y = np.frombuffer(chunk["ys"], "<f8") - chunk["middle"]
@@ -259,22 +265,28 @@ def _pieces(chunk: dict, sizes: Sizes) -> Iterator[dict]:
         for k in range(len(borders) + 1):
             part = order[edges[k]:edges[k + 1]]
             if len(part):
-                yield {"key": chunk["key"], "rank": chunk["rank"], "trial": trial, "t": t, "part": k, "chunk": chunk["chunk"], "m": len(part), "own": own, "r": r[part].tobytes(), "x": x[part].tobytes()}
+                yield {"key": chunk["key"], "rank": chunk["rank"], "trial": trial, "t": t, "part": k, "chunk": chunk["chunk"], "m": len(part), "own": own, "r": r[part].tobytes(), "x": part.astype(_offset_kind(sizes.chunk)).tobytes()}
                 own = 0
 
 
+#: What is left of a range of residuals: the inversions between rows of different chunks, those inside chunks that its pieces
+#: report, and the rows of each chunk.
+COUNTED = "key string, rank long, trial int, t double, part int, across long, own long, chunks array<long>, counts array<long>"
+
+
 def _between_chunks(group: pa.Table, rows: int) -> pa.Table:
-    """Inversions between rows of different chunks within one range."""
+    """The pieces of one range counted, as a row of ``COUNTED``."""
+    group = group.sort_by("chunk")
+    chunks, counts = group.column("chunk").to_pylist(), group.column("m").to_pylist()
     r = np.concatenate([np.frombuffer(b, "<f8") for b in group.column("r").to_pylist()])
-    x = np.concatenate([np.frombuffer(b, "<i8") for b in group.column("x").to_pylist()])
-    order = np.argsort(x)
-    r, x = r[order], x[order]
+    x = np.concatenate([np.frombuffer(b, _offset_kind(rows)).astype(np.int64) + c * rows for b, c in zip(group.column("x").to_pylist(), chunks)])
     chunk = x // rows
     inside = np.empty(len(x), np.int64)
     inside[np.lexsort((-x, r, chunk))] = np.arange(len(x))
     across = inversions(ranks(r, x)) - inversions(inside)
-    first = group.slice(0, 1)
-    return pa.table({**{c: first.column(c) for c in ("key", "rank", "trial", "t", "part")}, "across": pa.array([across], pa.int64())})
+    first, longs = group.slice(0, 1), pa.list_(pa.int64())
+    return pa.table({**{c: first.column(c) for c in ("key", "rank", "trial", "t", "part")}, "across": pa.array([across], pa.int64()),
+                     "own": pa.array([sum(group.column("own").to_pylist())], pa.int64()), "chunks": pa.array([chunks], longs), "counts": pa.array([counts], longs)})
 
 
 def _apart(chunks: list[int], parts: list[int], counts: list[int]) -> int:
@@ -301,13 +313,12 @@ def _counts(chunks: DataFrame, open_states: DataFrame, sizes: Sizes) -> DataFram
                     yield pd.DataFrame([piece])
 
     asked = chunks.join(open_states.select("key", "rank", "n", "trials", "rows_x", "rows_y", "middle"), "key")
-    sent = materialize(asked.mapInPandas(kernel, kind), "slope-pieces")
-    across = sent.groupBy("key", "rank", "trial", "t", "part").applyInArrow(lambda group: _between_chunks(group, sizes.chunk), "key string, rank long, trial int, t double, part int, across long")
+    # every row travels once per trial; what comes back are counts per chunk and range
+    counted = asked.mapInPandas(kernel, kind).groupBy("key", "rank", "trial", "t", "part").applyInArrow(lambda group: _between_chunks(group, sizes.chunk), COUNTED)
     apart = F.udf(_apart, "long")
-    table = sent.groupBy("key", "rank", "t").agg(F.sum("own").alias("own"), F.collect_list(F.struct("chunk", "part", "m")).alias("l"))
-    table = table.select("key", "rank", "t", "own", apart("l.chunk", "l.part", "l.m").alias("apart"))
-    both = across.groupBy("key", "rank", "t").agg(F.sum("across").alias("across")).join(table, ["key", "rank", "t"])
-    return both.select("key", "rank", "t", (F.col("own") + F.col("across") + F.col("apart")).alias("count"))
+    cells = F.transform(F.arrays_zip("chunks", "counts"), lambda z: F.struct(z["chunks"].alias("chunk"), F.col("part").alias("part"), z["counts"].alias("m")))
+    table = counted.groupBy("key", "rank", "t").agg(F.sum(F.col("own") + F.col("across")).alias("near"), F.flatten(F.collect_list(cells)).alias("l"))
+    return table.select("key", "rank", "t", (F.col("near") + apart("l.chunk", "l.part", "l.m")).alias("count"))
 
 
 def _listed(chunks: DataFrame, states: DataFrame, sizes: Sizes) -> DataFrame:
