@@ -13,10 +13,10 @@ from pyspark.sql import functions as F
 
 from laminaflow.llm.tables import ascii_lower, stored
 
-#: What a word is made of: everything but these, after A-Z became a-z.
-WORD = "[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
-#: The same before A-Z became a-z; finds as many words.
-WORD_ANY_CASE = "[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+"
+#: What stands between words, after A-Z became a-z.
+BETWEEN = "[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
+#: The same before A-Z became a-z; leaves as many words.
+BETWEEN_ANY_CASE = "[\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+"
 WINDOW_WORDS = 10
 #: So many rarest terms of a window are intersected before words are compared.
 RAREST = 3
@@ -26,7 +26,12 @@ SLACK, NEAR_WORDS = 2, 10
 
 def words_of(text: Column) -> Column:
     """Words in order; null for a null text."""
-    return F.regexp_extract_all(ascii_lower(text), F.lit(WORD), F.lit(0))
+    return F.array_remove(F.split(ascii_lower(text), BETWEEN), "")
+
+
+def word_count(text: Column) -> Column:
+    """Number of words; 0 for a null text."""
+    return F.when(text.isNull(), 0).otherwise(F.size(F.array_remove(F.split(text, BETWEEN_ANY_CASE), ""))).cast("long")
 
 
 def windows_of(items: DataFrame, key: str, text: str, size: int = WINDOW_WORDS) -> tuple[DataFrame, DataFrame]:
@@ -187,7 +192,7 @@ def contamination(docs: DataFrame, items: DataFrame, doc_key: str = "doc_id", do
     named = hits.select("_key", "_hash", "window_id").distinct().join(owners, "window_id").where(F.col("item").isNotNull())
     named = named.groupBy("_key", "_hash").agg(F.array_sort(F.collect_set(F.col("item").cast("string"))).alias("items"))
     found = covered.join(named.select(F.col("_key").alias("_k"), F.col("_hash").alias("_h"), "items"), F.col("_key").eqNullSafe(F.col("_k")) & (F.col("_hash") == F.col("_h")), "left").select(F.col("_key").alias("_k"), F.col("_hash").alias("_h"), "n_hit", "items")
-    base = keyed.select("_key", "_hash", F.coalesce(F.regexp_count("_text", F.lit(WORD_ANY_CASE)), F.lit(0)).cast("long").alias("n_words"))
+    base = keyed.select("_key", "_hash", word_count(F.col("_text")).alias("n_words"))
     out = base.join(found, F.col("_key").eqNullSafe(F.col("_k")) & (F.col("_hash") == F.col("_h")), "left")
     items_ = F.coalesce("items", F.array().cast("array<string>"))
     hit = F.coalesce("n_hit", F.lit(0)).cast("long")

@@ -221,3 +221,23 @@ def test_aligned_tokens(spark, docs, nothing):
             assert r.a_ends[-1] == r.b_ends[-1]
     assert token_links.align_tokens(nothing, queries.BYTE_MODEL, queries.PIECE_MODEL).collect() == []
     assert token_links.link_counts(nothing, queries.BYTE_MODEL, queries.PIECE_MODEL).collect() == []
+
+
+def test_words_are_cut_between_separators(spark):
+    import re
+
+    from laminaflow.llm.positional_index import word_count, words_of
+
+    texts = [None, "", " ", "--a", "a--", "Ab-cD 9é\u00a0x\U0001f600y", "\x00\x7f", "@A[Z`a{z/0:9", "ß\nÀ\tİ", "word " * 50]
+    rows = spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("i", words_of(F.col("t")).alias("w"), word_count(F.col("t")).alias("n")).collect()
+    for r in rows:
+        t = texts[r.i]
+        want = None if t is None else re.findall("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", re.sub("[A-Z]", lambda m: m.group().lower(), t))
+        assert r.w == want and r.n == len(want or [])
+
+
+def test_words_are_cut_without_a_match_object_each(spark):
+    from laminaflow.llm.positional_index import words_of
+
+    plan = spark.createDataFrame([("a b",)], "t string").repartition(2).select(words_of(F.col("t")).alias("w"))._jdf.queryExecution().optimizedPlan().toString()
+    assert "split(" in plan and "regexp_extract_all" not in plan
