@@ -14,7 +14,7 @@ def scans(df) -> int:
 
 
 def test_markdown_rows_reads_its_table_a_bounded_number_of_times(spark):
-    assert scans(QUERIES["markdown_rows"](spark, "/root/testdata/sf0.001")) < 300  # about 3000 before
+    assert scans(QUERIES["markdown_rows"](spark, "/root/testdata/sf0.001")) < 300  # about 3000 before, by counting the nesting
 
 
 def test_quantiles_and_scores_read_their_rows_few_times(spark):
@@ -43,3 +43,17 @@ def test_quantiles_of_odd_values(spark, nearest):
             else:
                 lo, hi = s[int(np.floor(at))], s[int(np.ceil(at))]
                 assert r[name] == pytest.approx(lo if lo == hi else (np.ceil(at) - at) * lo + (at - np.floor(at)) * hi, rel=1e-12)
+
+
+def test_outliers_of_sessions_read_their_rows_few_times(spark):
+    assert scans(QUERIES["session_outliers"](spark, "/root/testdata/sf0.001")) <= 13  # far over 100 before, by counting the nesting
+
+
+def test_a_trial_sends_ten_bytes_a_row():
+    from laminaflow.operators import slopes
+    sizes = slopes.Sizes(chunk=64, range=16)
+    y = np.random.default_rng(3).standard_normal(64)
+    chunk = {"key": "k", "rank": 5, "chunk": 2, "ys": y.tobytes(), "middle": 0.0, "rows_x": [0.0, 50.0, 150.0], "rows_y": [0.1, -0.2, 0.3], "n": 192, "trials": [0.0, 0.1]}
+    pieces = list(slopes._pieces(chunk, sizes))
+    assert len(slopes.STEPS) <= 4
+    assert sum(len(p["x"]) + len(p["r"]) for p in pieces) == 2 * 64 * 10
