@@ -19,12 +19,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from laminaflow.llm.blocks import NO_KEY, Block, Polynomial, distinct_texts, feature_totals, mix, pack_blocks, totals_of, with_answers
-from laminaflow.llm.tables import map_batches, stored
+from laminaflow.llm.tables import map_batches, stored, stored_alone
 
 LENGTH = 50
 ANCHOR = 19
-#: Window starts worked on at once, whatever a text's length.
-STRIDE = 1 << 20
+#: Window starts worked on at once, whatever a text's length: as many as a core's own cache holds.
+STRIDE = 1 << 16
+#: Base of the polynomial over a stretch of ``ANCHOR`` bytes.
+BASE = 0x9E3779B97F4A7C15
 #: Segments that one bucket sorts; an anchor with more of them is spread over its single windows.
 BUCKET_SEGMENTS = 30_000
 HASHES = Polynomial(7), Polynomial(11)
@@ -35,16 +37,17 @@ LOW = np.uint64((1 << 24) - 1)
 
 def _anchor_hashes(data: np.ndarray, size: int) -> np.ndarray:
     """Hash of the ``size`` bytes at every place, by doubling."""
+    times = lambda x, n: x * np.uint64(pow(BASE, n, 1 << 64))
     powers, out, done = {1: data.astype(np.uint64) + np.uint64(1)}, None, 0
     step = 1
     while step * 2 <= size:
         half = powers[step]
-        powers[step * 2] = mix(half[:-step] * np.uint64(0x9E3779B97F4A7C15) + half[step:])
+        powers[step * 2] = times(half[:-step], step) + half[step:]
         step *= 2
     for step in sorted(powers, reverse=True):
         if size & step:
             part = powers[step][done:]
-            out = part if out is None else out[:len(part)] * np.uint64(0xC2B2AE3D27D4EB4F) + part[:len(out)]
+            out = part if out is None else times(out[:len(part)], step) + part[:len(out)]
             done += step
     return mix(out)
 
@@ -63,7 +66,8 @@ def segments(block: Block, length: int = LENGTH, anchor: int = ANCHOR) -> tuple[
             least = np.minimum(least[:len(least) - step], least[step:])
             done += step
         place = (least[:len(starts)] & LOW).astype(np.int64)
-        text = np.searchsorted(block.cut, starts + at, side="right") - 1
+        ends = np.clip(block.cut[1:] - at, 0, len(starts))
+        text = np.repeat(np.arange(len(ends)), np.diff(ends, prepend=0))
         whole = starts + at + length < block.cut[text + 1]  # the last byte of a text's stretch is the line end
         new = np.ones(len(starts), bool)
         new[1:] = (place[1:] != place[:-1]) | (text[1:] != text[:-1]) | ~whole[:-1]
@@ -93,8 +97,6 @@ def shared_segments(blocks: DataFrame, length: int, anchor: int) -> DataFrame:
 
     (k1, k2) is a hash of the content. In a block, the content stands with the occurrence of the smallest document only.
     """
-    totals = feature_totals(blocks, _features(length, anchor), 2 / (length - anchor + 2))
-
     def kernel(block: Block, answers: pa.Table) -> dict:
         first, last, hashes, text = segments(block, length, anchor)
         known = np.unique(hashes)
@@ -116,7 +118,11 @@ def shared_segments(blocks: DataFrame, length: int, anchor: int) -> DataFrame:
         return {"anchor": hashes.view(np.int64), "k1": keys[0], "k2": keys[1], "block": np.full(len(first), block.number), "text": text, "doc": doc,
                 "start": first - block.cut[text], "windows": stop - length - first + 1, "content": content}
 
-    return stored(with_answers(blocks, totals, kernel, "anchor long, k1 long, k2 long, block long, text long, doc long, start long, windows long, content binary"), "segments")
+    def found() -> DataFrame:
+        totals = feature_totals(blocks, _features(length, anchor), 2 / (length - anchor + 2))
+        return with_answers(blocks, totals, kernel, "anchor long, k1 long, k2 long, block long, text long, doc long, start long, windows long, content binary")
+
+    return stored_alone(found, "segments")
 
 
 # ---- suffix array of a bucket --------------------------------------------------------------------------------------
@@ -129,6 +135,7 @@ class Suffixes:
         sizes = np.array([len(c) for c in contents], np.int64)
         room = sizes + self.pad
         self.begin = np.cumsum(room) - room
+        self.string = np.repeat(np.arange(len(room), dtype=np.int32), room)
         joined = np.frombuffer(b"".join(c + bytes(self.pad) for c in contents), np.uint8)
         inside = np.zeros(len(joined) + 1, np.int8)
         np.add.at(inside, self.begin, 1)
@@ -137,20 +144,17 @@ class Suffixes:
         self.data = joined + np.cumsum(inside[:-1]).astype(np.uint8)
         self.end = self.begin + sizes
         self.order = self._two_stages(windows)
-        wanted = self.order - self.begin[self._owner(self.order)] < windows[self._owner(self.order)]
+        owner = self.string[self.order]
+        wanted = self.order < (self.begin + windows)[owner]
         #: Window starts in sorted order, the string of each, and its place in the string.
-        self.starts = self.order[wanted]
-        self.owner = self._owner(self.starts)
+        self.starts, self.owner = self.order[wanted], owner[wanted]
         self.offset = self.starts - self.begin[self.owner]
 
-    def _owner(self, places: np.ndarray) -> np.ndarray:
-        return np.searchsorted(self.begin, places, side="right") - 1
-
     def _two_stages(self, windows: np.ndarray) -> np.ndarray:
         data, n = self.data, len(self.data)
         # a suffix is smaller than its successor if the next different byte is larger
-        change = np.flatnonzero(data[:-1] != data[1:])
-        turn = np.append(change, n - 1)[np.searchsorted(change, np.arange(n))]
+        change = np.append(np.flatnonzero(data[:-1] != data[1:]), n - 1)
+        turn = np.repeat(change, np.diff(change, prepend=-1))
         small = np.zeros(n, bool)
         small[:-1] = data[turn[:-1]] < data[np.minimum(turn[:-1] + 1, n - 1)]
         small[self.end] = True  # the end of a string is smaller than all
@@ -200,8 +204,8 @@ class Suffixes:
         return out
 
 
-def smallest_documents(contents: list[bytes], windows: np.ndarray, docs: np.ndarray, length: int = LENGTH) -> list[np.ndarray]:
-    """For each string and window of it the smallest document that has the window."""
+def smallest_documents(contents: list[bytes], windows: np.ndarray, docs: np.ndarray, length: int = LENGTH) -> np.ndarray:
+    """For each window of each string, one string after the other, the smallest document that has the window."""
     suffixes = Suffixes(contents, windows, length)
     out = np.zeros(int(windows.sum()), np.int64)
     if len(suffixes.starts):
@@ -210,7 +214,7 @@ def smallest_documents(contents: list[bytes], windows: np.ndarray, docs: np.ndar
         sizes = np.diff(np.append(heads, len(suffixes.starts)))
         base = np.cumsum(windows) - windows
         out[base[suffixes.owner] + suffixes.offset] = np.repeat(least, sizes)
-    return np.split(out, np.cumsum(windows)[:-1])
+    return out
 
 
 def _sorted_buckets(strings: DataFrame, carried: list[str], length: int) -> DataFrame:
@@ -218,9 +222,14 @@ def _sorted_buckets(strings: DataFrame, carried: list[str], length: int) -> Data
     kinds = ", ".join(f"{c} {strings.schema[c].dataType.simpleString()}" for c in carried)
 
     def kernel(group: pa.Table) -> pa.Table:
-        firsts = smallest_documents(group.column("content").to_pylist(), group.column("windows").to_numpy(), group.column("doc").to_numpy(), length)
-        firsts = [x[:1] if (x == x[0]).all() else x for x in firsts]
-        return pa.table({**{c: group.column(c) for c in carried}, "firsts": pa.array([x.tolist() for x in firsts], pa.list_(pa.int64()))})
+        windows = group.column("windows").to_numpy()
+        firsts = smallest_documents(group.column("content").to_pylist(), windows, group.column("doc").to_numpy(), length)
+        base = np.cumsum(windows) - windows
+        one = np.minimum.reduceat(firsts, base) == np.maximum.reduceat(firsts, base)
+        kept = ~np.repeat(one, windows)
+        kept[base] = True
+        edges = np.append(0, np.cumsum(np.where(one, 1, windows))).astype(np.int32)
+        return pa.table({**{c: group.column(c) for c in carried}, "firsts": pa.ListArray.from_arrays(edges, firsts[kept])})
 
     return strings.groupBy("bucket").applyInArrow(kernel, f"{kinds}, firsts array<long>")
 
@@ -306,9 +315,13 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", len
     after all others and not before one another.
     """
     blocks = pack_blocks(distinct_texts(docs, key, text))
-    found = shared_segments(blocks, length, anchor)
-    firsts = first_documents(found, length)
-    return _cut_texts(blocks, stored(_later_windows(found, firsts, length), "late-windows"))
+
+    def late() -> DataFrame:
+        found = shared_segments(blocks, length, anchor)
+        firsts = stored_alone(lambda: first_documents(found, length), "first-documents")
+        return _later_windows(found, firsts, length)
+
+    return _cut_texts(blocks, stored_alone(late, "late-windows"))
 
 
 def dedup_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import ctypes
 import uuid
 from collections.abc import Callable, Iterator
+from contextvars import ContextVar
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -16,6 +17,8 @@ from laminaflow.session import prepare, shared_dir
 
 #: Rows and bytes of one Arrow batch handed to Python, so that long texts cannot pile up in a worker.
 BATCH_ROWS, BATCH_BYTES = 1000, 8 << 20
+#: Folders written inside the innermost ``stored_alone``.
+_passing: ContextVar[list[str] | None] = ContextVar("passing", default=None)
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
@@ -62,7 +65,24 @@ def write_once(df: DataFrame, name: str) -> str:
 
 def stored(df: DataFrame, name: str) -> DataFrame:
     """``df`` written once and read back: lineage is cut and lost executors cannot change its rows."""
-    return df.sparkSession.read.schema(df.schema).parquet(write_once(df, name))
+    path = write_once(df, name)
+    if (passing := _passing.get()) is not None:
+        passing.append(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def stored_alone(build: Callable[[], DataFrame], name: str) -> DataFrame:
+    """What ``build`` returns, stored; the tables that ``build`` stored on its way are deleted after that."""
+    outer, paths = _passing.get(), []
+    _passing.set(paths)
+    try:
+        df = build()
+    finally:
+        _passing.set(outer)
+    out = stored(df, name)
+    for path in paths:
+        discard(df.sparkSession, path)
+    return out
 
 
 def map_batches(df: DataFrame, kernel: Callable[[Iterator[pa.RecordBatch]], Iterator[dict]], schema: str | T.StructType) -> DataFrame:

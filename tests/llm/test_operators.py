@@ -1,6 +1,7 @@
 """Every operator against a plain version, on a fixture with nulls, empties, ties, copies and clashing columns."""
 
 import hashlib
+import os
 import random
 import tracemalloc
 
@@ -12,6 +13,7 @@ from pyspark.sql import functions as F
 from laminaflow.llm import (blocks, compression_rules, jaccard_groups, language_id, pii_contexts, piece_spans, positional_index,
                             queries, style_tree, suffix_dedup, token_pack, warc_shards)
 from laminaflow.llm.components import components
+from laminaflow.session import shared_dir
 
 
 # ---- features of blocks --------------------------------------------------------------------------------------------
@@ -43,6 +45,24 @@ def test_repeats_of_hot_anchors(docs, texts, same, monkeypatch):
     same(suffix_dedup.dedup_documents(docs).collect(), brute.repeats(texts))
 
 
+def _tables_left(spark, before):
+    return sorted({name.rsplit("-", 1)[0] for name in set(os.listdir(shared_dir(spark))) - before})
+
+
+def test_repeats_leave_only_what_is_read_later(spark, docs):
+    before = set(os.listdir(shared_dir(spark)))
+    assert suffix_dedup.dedup_documents(docs).count() == docs.count()
+    assert _tables_left(spark, before) == ["blocks", "late-windows"]
+
+
+def test_smallest_documents_of_windows():
+    rng = random.Random(3)
+    contents = [bytes(rng.choice(b"ab") for _ in range(rng.randint(6, 30))) for _ in range(50)]
+    windows, docs = np.array([len(c) - 5 for c in contents]), np.array([rng.randint(0, 20) for _ in contents])
+    every = [(c[k:k + 6], d) for c, d in zip(contents, docs) for k in range(len(c) - 5)]
+    assert suffix_dedup.smallest_documents(contents, windows, docs, 6).tolist() == [min(d for w, d in every if w == own) for own, _ in every]
+
+
 def test_kept_bytes_are_the_rest(docs):
     for r in suffix_dedup.remove_repeats(docs).collect():
         assert len(r.kept) == r.n_bytes - sum(s.stop - s.start for s in r.spans)
