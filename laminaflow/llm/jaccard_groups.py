@@ -6,8 +6,9 @@ leaves most texts without any candidate. Texts with equal prefixes and set sizes
 prefix shingle and fit in size are candidates; groups are then expanded and members verified on their whole sets.
 
 The wanted result is what is linked, not the pairs: so a group's members and the groups behind a shingle are first
-verified against one of them, what is linked is united, and only pairs across what is still apart are verified after
-that, all whose parity bitmaps don't rule it out. No link between different texts is lost, and a group of n copies costs n verifications.
+verified against one of them, and what is linked is united; then every two labels that meet behind a shingle are verified
+by their closest witnesses. Only pairs across what is still apart are verified after that, all whose parity bitmaps don't
+rule it out. No link between different texts is lost, and a group of n copies costs n verifications.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ from pyspark.sql import functions as F
 
 from laminaflow.llm.blocks import NO_KEY, Block, Polynomial, distinct_texts, feature_totals, mix, pack_blocks, totals_of, with_answers
 from laminaflow.llm.components import components
-from laminaflow.llm.tables import stored
+from laminaflow.llm.tables import stored, stored_alone
 
 SHINGLE_WORDS = 5
 PERCENT = 75
@@ -33,8 +34,9 @@ WORDS_HASH = Polynomial(20240501)
 PARITY = 16
 BITS = [f"bits{i}" for i in range(PARITY)]
 #: Rounds of verifying against one partner each go on while they unite at least one in UNITED of those asked, MOST_ROUNDS
-#: at most; whatever they leave apart is verified pair by pair, so these only set the cost.
-UNITED, MOST_ROUNDS = 25, 8
+#: at most; WITNESS_ROUNDS at most follow, until one finds nothing. Whatever they leave apart is verified pair by pair, so
+#: these only set the cost.
+UNITED, MOST_ROUNDS, WITNESS_ROUNDS = 3, 8, 4
 
 
 def shingle_hashes(block: Block, size: int = SHINGLE_WORDS) -> list[np.ndarray]:
@@ -107,7 +109,7 @@ def candidate_sets(blocks: DataFrame, size: int, percent: int) -> DataFrame:
         bits = np.array([parity_words(own) for own in sets]).reshape(-1, PARITY)
         return {**{name: bits[:, i] for i, name in enumerate(BITS)}, "id": block.texts, "doc": block.ids, "digest": block.digests, "n": [len(s) for s in sets], "alone": single, "prefix_key": keys, "prefix": prefixes, "tokens": tokens}
 
-    return stored(with_answers(blocks, totals, kernel, "id long, doc long, digest string, n long, alone long, prefix_key string, prefix array<long>, tokens array<long>, " + ", ".join(f"{b} long" for b in BITS)), "sets")
+    return with_answers(blocks, totals, kernel, "id long, doc long, digest string, n long, alone long, prefix_key string, prefix array<long>, tokens array<long>, " + ", ".join(f"{b} long" for b in BITS))
 
 
 def _reaches(a: Column, size_a: Column, b: Column, size_b: Column, percent: int) -> Column:
@@ -155,6 +157,29 @@ def _united(labels: DataFrame, links: DataFrame) -> DataFrame:
     return _relabelled(labels, components(edges).select(F.col("node").alias("label"), F.col("component").alias("to")))
 
 
+def _by_turn(name: str, turn: int) -> Column:
+    return F.xxhash64(name, F.lit(turn))
+
+
+def _witnesses(lists: DataFrame, members: DataFrame, labels: DataFrame, sets: DataFrame, turn: int, percent: int) -> DataFrame:
+    """(label, to, a, b): for a label and each label that is the pivot behind some shingle of it, the two sets whose bitmaps
+    differ least, of one set each behind every shingle; another pivot and other sets in every turn.
+
+    There are no more rows than postings, and none whose bitmaps rule out a link.
+    """
+    kinds = members.select("id", "gid").join(labels.select("id", "label"), "id").groupBy("gid", "label").agg(F.min_by("id", _by_turn("id", turn)).alias("id"))
+    named = lists.join(kinds, "gid").withColumn("o", F.xxhash64("id", "token", F.lit(turn)))
+    firsts = named.groupBy("token", "label").agg(F.min(F.struct("o", "id", "size", "rest")).alias("h")).select("token", "label", "h.id", "h.size", "h.rest")
+    pivots = firsts.groupBy("token").agg(F.min(F.struct(_by_turn("label", turn).alias("o"), "label", "id", "size", "rest")).alias("p"), F.count(F.lit(1)).alias("labels")).where("labels > 1")
+    met = firsts.join(pivots, "token").where((F.col("label") != F.col("p.label")) & _reaches(F.col("rest"), F.col("size"), F.col("p.rest"), F.col("p.size"), percent))
+    met = met.select("label", F.col("p.label").alias("to"), F.col("p.id").alias("a"), F.col("id").alias("b")).distinct()
+    own = sets.select("id", F.struct("n", *BITS).alias("bits"))
+    both = met.join(own.toDF("a", "ba"), "a").join(own.toDF("b", "bb"), "b")
+    differ = reduce(lambda x, y: x + y, [F.bit_count(F.col(f"ba.{b}").bitwiseXOR(F.col(f"bb.{b}"))) for b in BITS])
+    both = both.withColumn("d", differ).where(F.col("d") * (100 + percent) <= (F.col("ba.n") + F.col("bb.n")) * (100 - percent))
+    return both.groupBy("label", "to").agg(F.min(F.struct("d", "a", "b")).alias("m")).select("label", "to", "m.a", "m.b")
+
+
 def linked_sets(sets: DataFrame, percent: int = PERCENT) -> DataFrame:
     """(id, label): for sets with candidates, one label for all that reach each other by links."""
     able = sets.where(F.col("tokens").isNotNull())
@@ -171,10 +196,9 @@ def linked_sets(sets: DataFrame, percent: int = PERCENT) -> DataFrame:
     # labels against the label that they meet most: behind every shingle one label, another in every turn, is the pivot;
     # who is linked to it takes its label, which unites chains over several turns and never joins what isn't linked
     for turn in range(MOST_ROUNDS):
-        by_turn = lambda c: F.xxhash64(c, F.lit(turn))
         named = shared.join(labels.select(F.col("id").alias("gid"), "label"), "gid")
-        firsts = named.groupBy("token", "label").agg(F.min(F.struct(by_turn("gid").alias("o"), "gid", "size", "rest")).alias("h")).select("token", "label", "h.gid", "h.size", "h.rest")
-        pivots = firsts.groupBy("token").agg(F.min(F.struct(by_turn("label").alias("o"), "label", "gid", "size", "rest")).alias("p"), F.count(F.lit(1)).alias("labels")).where("labels > 1")
+        firsts = named.groupBy("token", "label").agg(F.min(F.struct(_by_turn("gid", turn).alias("o"), "gid", "size", "rest")).alias("h")).select("token", "label", "h.gid", "h.size", "h.rest")
+        pivots = firsts.groupBy("token").agg(F.min(F.struct(_by_turn("label", turn).alias("o"), "label", "gid", "size", "rest")).alias("p"), F.count(F.lit(1)).alias("labels")).where("labels > 1")
         met = firsts.join(pivots, "token").where((F.col("label") != F.col("p.label")) & _reaches(F.col("rest"), F.col("size"), F.col("p.rest"), F.col("p.size"), percent))
         often = met.groupBy("label", F.col("p.label").alias("to")).agg(F.count(F.lit(1)).alias("times"), F.min(F.struct(F.col("p.gid").alias("a"), F.col("gid").alias("b"))).alias("pair"))
         asked = stored(often.groupBy("label").agg(F.max_by(F.struct("to", "pair"), F.struct("times", -F.col("to"))).alias("m")).select("label", "m.to", "m.pair.a", "m.pair.b"), "asked")
@@ -183,13 +207,20 @@ def linked_sets(sets: DataFrame, percent: int = PERCENT) -> DataFrame:
         labels = _relabelled(labels, found.select("label", "to"))
         if found.count() * UNITED < asked.count():
             break
+    lists = shared.unionByName(groups.select(F.xxhash64("gid").alias("token"), "gid", F.col("n").alias("size"), F.col("n").alias("rest")))
+    for turn in range(WITNESS_ROUNDS):
+        asked = stored(_witnesses(lists, members, labels, able, turn, percent), "asked")
+        found = stored(verify(asked, able, percent), "links")
+        links.append(found.select("a", "b"))
+        labels = _relabelled(labels, found.groupBy("label").agg(F.min_by("to", F.struct(_by_turn("to", turn), "to")).alias("to")))
+        if found.isEmpty():
+            break
     labels = _united(members.select("id", "n", F.col("id").alias("label")), reduce(DataFrame.unionByName, links))
 
     # whatever is still apart: labels behind one shingle (or in one group), then their groups, then the members
     parts = members.join(labels.select("id", "label"), "id").select("gid", "label", "n", "id")
     kinds = parts.select("gid", "label", F.col("n").alias("size")).distinct()
-    lists = shared.select("token", "gid", "rest").unionByName(groups.select(F.xxhash64("gid").alias("token"), "gid", F.col("n").alias("rest")))
-    named = stored(lists.join(kinds, "gid"), "named-postings")
+    named = stored(lists.drop("size").join(kinds, "gid"), "named-postings")
     apart = named.groupBy("token").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("token")
     behind = stored(named.join(apart, "token", "left_semi").join(groups.select("gid", _bits_struct("bits")), "gid"), "apart")
     # a pair of sets is found behind its first common shingle, so others may be passed over; of a label the best case counts
@@ -220,13 +251,15 @@ def linked_sets(sets: DataFrame, percent: int = PERCENT) -> DataFrame:
 def text_groups(docs: DataFrame, key: str, text: str, size: int = SHINGLE_WORDS, percent: int = PERCENT) -> DataFrame:
     """(digest, n, doc, component, stays) of every distinct text: its set size, its smallest key, the smallest key of its
     group, and whether it is the text that stands for the group (of the smallest key, then digest)."""
-    blocks = pack_blocks(distinct_texts(docs, key, text))
-    sets = candidate_sets(blocks, size, percent)
-    linked = stored(linked_sets(sets, percent).join(sets.select("id", "doc", "digest"), "id"), "linked")
-    smallest = linked.groupBy("label").agg(F.min("doc").alias("component"), F.min(F.struct("doc", "digest")).alias("head"))
-    linked = linked.join(smallest, "label").select("id", "component", (F.col("head.digest") == F.col("digest")).alias("stays"))
-    found = sets.select("id", "doc", "digest", "n").join(linked, "id", "left")
-    return stored(found.select("digest", "n", "doc", F.coalesce("component", "doc").alias("component"), F.coalesce("stays", F.lit(True)).alias("stays")), "text-groups")
+    def found() -> DataFrame:
+        sets = stored_alone(lambda: candidate_sets(pack_blocks(distinct_texts(docs, key, text)), size, percent), "sets")
+        linked = stored(linked_sets(sets, percent).join(sets.select("id", "doc", "digest"), "id"), "linked")
+        smallest = linked.groupBy("label").agg(F.min("doc").alias("component"), F.min(F.struct("doc", "digest")).alias("head"))
+        linked = linked.join(smallest, "label").select("id", "component", (F.col("head.digest") == F.col("digest")).alias("stays"))
+        every = sets.select("id", "doc", "digest", "n").join(linked, "id", "left")
+        return every.select("digest", "n", "doc", F.coalesce("component", "doc").alias("component"), F.coalesce("stays", F.lit(True)).alias("stays"))
+
+    return stored_alone(found, "text-groups")
 
 
 def _digest(text: str) -> Column:

@@ -138,6 +138,23 @@ def test_near_duplicates_chains(spark, same, seed):
     same(jaccard_groups.near_duplicates(df).collect(), brute.near_duplicates(rows))
 
 
+def test_near_copies_cost_no_square_of_their_number(spark, same, monkeypatch):
+    """Copies of one text of which about every other pair is linked, and all of them by chains."""
+    rng, rows, words = random.Random(8), [], [f"w{k}" for k in range(400)]
+    base = [rng.choice(words) for _ in range(250)]
+    for i in range(160):
+        own = list(base)
+        for _ in range(rng.randint(2, 6)):
+            own[rng.randrange(len(own))] = rng.choice(words)
+        rows.append((i, " ".join(own)))
+    asked, verify = [], jaccard_groups.verify
+    monkeypatch.setattr(jaccard_groups, "verify", lambda pairs, *more: asked.append(pairs.count()) or verify(pairs, *more))
+    before = set(os.listdir(shared_dir(spark)))
+    same(jaccard_groups.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect(), brute.near_duplicates(rows))
+    assert max(asked) < 4 * len(rows), asked
+    assert _tables_left(spark, before) == ["text-groups"]
+
+
 def test_one_of_each_group_stays(docs, texts):
     kept = jaccard_groups.without_near_duplicates(docs)
     assert kept.columns == docs.columns
