@@ -19,10 +19,13 @@ from pyspark.sql import DataFrame
 from sentencepiece import sentencepiece_model_pb2 as model_pb2
 
 from laminaflow.llm.tables import map_batches, texts_of
+from laminaflow.llm.units import Remembered, distinct_units, gathered
 
 SPACE = "▁"
 SPACE_BYTES = SPACE.encode()
-CACHED_UNITS = 250_000
+CACHED_UNITS = 600_000
+#: Words merged in one call of the library.
+JOINED_WORDS = 1000
 
 
 class CharacterMap:
@@ -80,8 +83,13 @@ class SpanEncoder:
         self.marked = np.array([p.startswith(SPACE_BYTES) for p in self.pieces])
         # with no piece that runs over a word's start, words are merged alike alone and in place
         self.by_word = not self.suffix and not any(SPACE in p.piece.lstrip(SPACE) for p in proto.pieces) and not any(p.type == 4 for p in proto.pieces)
-        #: Ids of what stands between two marks, as bytes.
-        self.known: dict[str, bytes] = {}
+        # texts are cut into words before they are normalised, where that changes spaces only
+        self.cut_first = (self.by_word and not self.map.units and self.spec.escape_whitespaces and self.spec.add_dummy_prefix
+                          and not self.spec.remove_extra_whitespaces and SPACE_BYTES in self.pieces)
+        #: Bytes of the original text that a piece stands for, where its marks are spaces.
+        self.source_sizes = np.array([1 if b else len(p) - 2 * p.count(SPACE_BYTES) for p, b in zip(self.pieces, self.byte_pieces)], np.int32)
+        #: Ids of a word with the spaces before it.
+        self.known = Remembered(self._merge_units, CACHED_UNITS)
 
     def normalize(self, text: str) -> tuple[bytes, np.ndarray]:
         """Normalised bytes and, for each of them and for the end, the offset of the original byte it came from."""
@@ -144,36 +152,44 @@ class SpanEncoder:
         raw, cut = ids.tobytes(), (4 * np.append(np.flatnonzero(self.marked[ids]), len(ids))).tolist()
         return [raw[a:b] for a, b in zip(cut, cut[1:])]
 
-    def ids(self, normal: bytes) -> np.ndarray:
-        """Ids of normalised text."""
-        if not normal:
-            return np.empty(0, np.int32)
-        if not self.by_word:
-            return self._merge(normal.decode())
-        first, *words = normal.decode().split(SPACE)
-        if "" in words:  # several marks in a row stay together
-            words = self._runs_of_marks(words)
-        missing = set(words).difference(self.known)
-        if missing:
-            if len(self.known) > CACHED_UNITS:
-                self.known.clear()
-                missing = set(words)
-            plain = [w for w in missing if w and SPACE not in w]
-            self.known.update(zip(plain, self._merge_joined(plain)))
-            self.known.update((w, self._merge(SPACE + w).tobytes()) for w in missing.difference(plain))
-        known = b"".join(map(self.known.__getitem__, words))
-        return np.frombuffer(self._merge(first).tobytes() + known if first else known, "<i4")
-
-    @staticmethod
-    def _runs_of_marks(words: list[str]) -> list[str]:
-        out, marks = [], ""
-        for k, word in enumerate(words):
-            if word or k == len(words) - 1:
-                out.append(marks + word)
-                marks = ""
+    def _merge_units(self, units: list[bytes]) -> list[bytes]:
+        """Ids of units, each some spaces and then a word, which may be empty."""
+        words = b"\0".join(units).decode().replace(" ", SPACE).split("\0") if b"\0" not in b"".join(units) else [u.decode().replace(" ", SPACE) for u in units]
+        plain = [k for k, w in enumerate(words) if len(w) > 1 and w.count(SPACE) == 1]
+        out: list[bytes] = [b""] * len(words)
+        for at in range(0, len(plain), JOINED_WORDS):
+            some = plain[at:at + JOINED_WORDS]
+            for k, ids in zip(some, self._merge_joined([words[k][1:] for k in some])):
+                out[k] = ids
+        return [found or self._merge(w).tobytes() for found, w in zip(out, words)]
+
+    def encode_many(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """How many ids each text has, and what ``encode`` gives for all of them, one text after the other."""
+        able = [t for t in texts if t and SPACE not in t] if self.cut_first else []
+        rows = [None if t and SPACE not in t and self.cut_first else self.encode(t) for t in texts]
+        if able:
+            raw = [t.encode() for t in able]
+            data = b" " + b" ".join(raw)  # with the leading mark of each text as a space
+            begin = np.cumsum([0, *[len(r) + 1 for r in raw]])
+            blank = np.frombuffer(data, np.uint8) == 32
+            new = blank.copy()
+            new[1:] &= ~blank[:-1]
+            new[begin[:-1]] = True
+            starts = np.flatnonzero(new)
+            units, which = distinct_units(data, starts)
+            ids, n = gathered(self.known.ids(units), which)
+            cut = np.append(0, np.cumsum(n))[np.searchsorted(starts, begin)]
+            if (ids == 0).any():  # unknown without byte pieces
+                done = iter([self.encode(t) for t in able])
             else:
-                marks += SPACE
-        return out
+                sizes = self.source_sizes[ids]
+                ends = np.cumsum(sizes, dtype=np.int32) - np.repeat(begin[:-1].astype(np.int32) + 1, np.diff(cut))
+                first, ends = np.maximum(ends - sizes, 0), np.maximum(ends, 0)
+                if len(able) == len(texts):
+                    return np.diff(cut), ids, first, ends
+                done = iter([(ids[a:b], first[a:b], ends[a:b]) for a, b in zip(cut.tolist(), cut[1:].tolist())])
+            rows = [next(done) if r is None else r for r in rows]
+        return np.array([len(r[0]) for r in rows], np.int64), *[np.concatenate([np.empty(0, np.int32), *[r[k] for r in rows]]) for k in range(3)]
 
     def encode(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Ids, and the first and the end byte of the original text for each.
@@ -185,7 +201,7 @@ class SpanEncoder:
             none = np.empty(0, np.int32)
             return none, none, none
         normal, align = self.normalize(text)
-        ids = self.ids(normal)
+        ids = self._merge(normal.decode())
         sizes = self.sizes[ids]
         if 0 in ids:  # unknown without byte pieces: as long as what its neighbours leave
             sizes = self._sizes_with_unknown(normal, ids)
@@ -216,9 +232,9 @@ def encode_pieces(docs: DataFrame, model_file: str, key: str = "doc_id", text: s
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         encoder = span_encoder(model_file)
         for batch in batches:
-            rows = [encoder.encode(t) for t in texts_of(batch, "_text")]
-            cut = pa.array(np.cumsum([0, *[len(r[0]) for r in rows]]), pa.int32())
-            yield {key: batch.column("_key"), **{name: pa.ListArray.from_arrays(cut, pa.array(np.concatenate([r[k] for r in rows]) if rows else [], pa.int32())) for k, name in enumerate(("ids", "starts", "ends"))}}
+            n, *found = encoder.encode_many(texts_of(batch, "_text"))
+            cut = pa.array(np.append(0, np.cumsum(n)), pa.int32())
+            yield {key: batch.column("_key"), **{name: pa.ListArray.from_arrays(cut, pa.array(x.astype(np.int32, copy=False))) for name, x in zip(("ids", "starts", "ends"), found)}}
 
     return map_batches(docs.select(docs[key].alias("_key"), docs[text].alias("_text")), kernel, f"`{key}` {kind}, ids array<int>, starts array<int>, ends array<int>")
 
@@ -231,7 +247,9 @@ def decode_pieces(rows: DataFrame, model_file: str, ids: str = "ids", into: str
         library = sentencepiece.SentencePieceProcessor(model_file=model_file)
         for batch in batches:
             at = batch.schema.get_field_index(ids)
-            texts = [None if x is None else library.decode(x) if x else "" for x in batch.column(at).to_pylist()]
+            lists = batch.column(at)
+            flat, cut = lists.values.to_numpy(zero_copy_only=False).tolist(), lists.offsets.to_pylist()
+            texts = [None if not there else library.decode(flat[a:b]) if b > a else "" for a, b, there in zip(cut, cut[1:], lists.is_valid().to_pylist())]
             yield {f.name: batch.column(k) for k, f in enumerate(schema.fields)} | {into: texts}
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema.fields)

@@ -23,17 +23,19 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.fs as pafs
-import regex
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from laminaflow.llm.tables import discard, folder, make_folder, map_batches, stored, texts_of
+from laminaflow.llm.units import Remembered, distinct_units, gathered
 
 MAGIC, HEAD = b"LFBP", "<4sHHIQQQ"
 BLOCK_IDS = 4096
 FILE_IDS = 8 << 20
 CACHED_UNITS = 600_000
+#: Units encoded in one call of the library.
+JOINED_UNITS = 1000
 
 
 def bits_for(vocabulary: int) -> int:
@@ -61,14 +63,14 @@ class Encoder:
 
     The byte-level pre-tokenizer always starts a token at a single space between two other characters, so such stretches
     are encoded alike alone and in place; so are a comma or full stop after a letter or number and what precedes it.
-    Texts with special tokens, or with the byte that marks such a place here, go to the library whole.
+    Texts with special tokens go to the library whole.
     """
 
-    INNER = regex.compile(r"(?<=\S) (?=\S)")
-    SPACE = regex.compile(r"\s")
-    #: A mark here may belong to the token before it.
-    JOINED = regex.compile(r"(?<![\p{L}\p{N}])[,.]")
-    ODD = regex.compile(r"\s\s|^\s|\s$")
+    BLANKS = np.isin(np.arange(256), [*range(9, 14), *range(28, 33)])
+    WORDS = np.isin(np.arange(256), [*b"0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"])
+    MARKS = np.isin(np.arange(256), [*b",."])
+    #: First bytes of the characters beyond ASCII that are white space (and of others).
+    WIDE_2, WIDE_3 = np.isin(np.arange(256), [0xC2]), np.isin(np.arange(256), [0xE1, 0xE2, 0xE3])
 
     def __init__(self, path: str):
         self.tokenizer = Tokenizer.from_file(path)
@@ -76,43 +78,58 @@ class Encoder:
         #: Tokens that begin with a space, which the byte alphabet writes so.
         self.spaced = np.zeros(self.tokenizer.get_vocab_size(), bool)
         self.spaced[[k for piece, k in self.tokenizer.get_vocab().items() if piece.startswith("\u0120")]] = True
-        self.known: dict[str, bytes] = {}
-        self.firsts: dict[str, bytes] = {}
+        self.known = Remembered(self._units, CACHED_UNITS)
 
     def _library(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _joined(self, units: list[str]) -> list[bytes]:
-        """Units without white space, encoded in one go; each begins with the token that has its space."""
-        if not units:
-            return []
-        ids = np.frombuffer(self._library(["".join(" " + u for u in units)])[0], "<u4")
-        raw, cut = ids.tobytes(), (4 * np.append(np.flatnonzero(self.spaced[ids]), len(ids))).tolist()
-        return [raw[a:b] for a, b in zip(cut, cut[1:])]
+    def _units(self, units: list[bytes]) -> list[bytes]:
+        """Ids of units. Those of a space and a word are encoded in one go; each begins with the token that has its space."""
+        texts = [u.decode() for u in units]
+        plain = [k for k, t in enumerate(texts) if t[0] == " " and t.split() == [t[1:]]]
+        out: list[bytes] = [b""] * len(texts)
+        for at in range(0, len(plain), JOINED_UNITS):
+            some = plain[at:at + JOINED_UNITS]
+            ids = np.frombuffer(self._library(["".join([texts[k] for k in some])])[0], "<u4")
+            raw, cut = ids.tobytes(), (4 * np.append(np.flatnonzero(self.spaced[ids]), len(ids))).tolist()
+            for k, a, b in zip(some, cut, cut[1:]):
+                out[k] = raw[a:b]
+        odd = [k for k, found in enumerate(out) if not found]
+        for k, ids in zip(odd, self._library([texts[k] for k in odd])):
+            out[k] = ids
+        return out
+
+    def _cuts(self, data: np.ndarray) -> np.ndarray:
+        """Where a new stretch begins at a space or mark; not where the byte before or after might be white space, or the mark's own token."""
+        near = np.concatenate([np.full(3, 32, np.uint8), data, np.full(1, 32, np.uint8)])
+        space = near[3:-1] == 32
+        space &= ~(self.BLANKS | self.WIDE_2 | self.WIDE_3)[near[4:]]
+        space &= ~self.BLANKS[near[2:-2]]
+        space &= ~(self.WIDE_2[near[1:-3]] | self.WIDE_3[near[:-4]])
+        return space | (self.MARKS[data] & self.WORDS[near[2:-2]])
+
+    def encode_many(self, texts: list[str]) -> list[np.ndarray]:
+        """Ids of every text."""
+        out = [np.empty(0, "<u4")] * len(texts)
+        whole = [k for k, t in enumerate(texts) if any(s in t for s in self.special)]
+        for k, ids in zip(whole, self._library([texts[k] for k in whole])):
+            out[k] = np.frombuffer(ids, "<u4")
+        able = sorted({k for k, t in enumerate(texts) if t}.difference(whole))
+        if able:
+            raw = [texts[k].encode() for k in able]
+            data, begin = b"".join(raw), np.cumsum([0, *map(len, raw)])
+            new = self._cuts(np.frombuffer(data, np.uint8))
+            new[begin[:-1]] = True
+            starts = np.flatnonzero(new)
+            units, which = distinct_units(data, starts)
+            ids, n = gathered(self.known.ids(units), which)
+            cut = np.append(0, np.cumsum(n))[np.searchsorted(starts, begin)].tolist()
+            for k, a, b in zip(able, cut, cut[1:]):
+                out[k] = ids[a:b].view("<u4")
+        return out
 
     def encode(self, text: str) -> np.ndarray:
-        if not text:
-            return np.empty(0, "<u4")
-        if any(s in text for s in self.special) or "\x01" in text:
-            return np.frombuffer(self._library([text])[0], "<u4")
-        if self.ODD.search(text) or self.JOINED.search(text):
-            first, *rest = self.INNER.split(text)
-        else:
-            first, *rest = text.replace(",", " \x01,").replace(".", " \x01.").split(" ")
-        missing = set(rest).difference(self.known)
-        if missing:
-            if len(self.known) > CACHED_UNITS:
-                self.known.clear()
-                missing = set(rest)
-            plain = [u for u in missing if not self.SPACE.search(u) and u[:1] != "\x01"] if self.SPACE.search("".join(missing)) else [u for u in missing if u[:1] != "\x01"]
-            self.known.update(zip(plain, self._joined(plain)))
-            odd = list(missing.difference(plain))
-            self.known.update(zip(odd, self._library([u[1:] if u[:1] == "\x01" else " " + u for u in odd])))
-        if first not in self.firsts:
-            if len(self.firsts) > CACHED_UNITS:
-                self.firsts.clear()
-            self.firsts[first] = self._library([first])[0]
-        return np.frombuffer(self.firsts[first] + b"".join(map(self.known.__getitem__, rest)), "<u4")
+        return self.encode_many([text])[0]
 
 
 @functools.lru_cache(maxsize=1)
@@ -220,8 +237,8 @@ def write_token_files(docs: DataFrame, tokenizer: str, end_id: int, key: str = "
             if not batch.num_rows:
                 continue
             shard = batch.column("_shard")[0].as_py()
-            for k, t in zip(batch.column("_key").to_pylist(), texts_of(batch, "_text")):
-                ids.append(np.append(encoder.encode(t), np.uint32(end_id)))
+            for k, found in zip(batch.column("_key").to_pylist(), encoder.encode_many(texts_of(batch, "_text"))):
+                ids.append(np.append(found, np.uint32(end_id)))
                 keys.append(k)
                 held += len(ids[-1])
                 if held >= file_ids:
