@@ -158,7 +158,7 @@ def _united(labels: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def _by_turn(name: str, turn: int) -> Column:
-    return F.xxhash64(name, F.lit(turn))
+    return F.xxhash64(name, F.lit(str(turn)))  # a string is no part of the generated code, so that all turns share it
 
 
 def _witnesses(lists: DataFrame, members: DataFrame, labels: DataFrame, sets: DataFrame, turn: int, percent: int) -> DataFrame:
@@ -168,7 +168,7 @@ def _witnesses(lists: DataFrame, members: DataFrame, labels: DataFrame, sets: Da
     There are no more rows than postings, and none whose bitmaps rule out a link.
     """
     kinds = members.select("id", "gid").join(labels.select("id", "label"), "id").groupBy("gid", "label").agg(F.min_by("id", _by_turn("id", turn)).alias("id"))
-    named = lists.join(kinds, "gid").withColumn("o", F.xxhash64("id", "token", F.lit(turn)))
+    named = lists.join(kinds, "gid").withColumn("o", F.xxhash64("id", "token", F.lit(str(turn))))
     firsts = named.groupBy("token", "label").agg(F.min(F.struct("o", "id", "size", "rest")).alias("h")).select("token", "label", "h.id", "h.size", "h.rest")
     pivots = firsts.groupBy("token").agg(F.min(F.struct(_by_turn("label", turn).alias("o"), "label", "id", "size", "rest")).alias("p"), F.count(F.lit(1)).alias("labels")).where("labels > 1")
     met = firsts.join(pivots, "token").where((F.col("label") != F.col("p.label")) & _reaches(F.col("rest"), F.col("size"), F.col("p.rest"), F.col("p.size"), percent))
@@ -205,7 +205,8 @@ def linked_sets(sets: DataFrame, percent: int = PERCENT) -> DataFrame:
         found = stored(verify(asked, able, percent), "links")
         links.append(found.select("a", "b"))
         labels = _relabelled(labels, found.select("label", "to"))
-        if found.count() * UNITED < asked.count():
+        n_asked = asked.count()
+        if n_asked == 0 or found.count() * UNITED < n_asked:
             break
     lists = shared.unionByName(groups.select(F.xxhash64("gid").alias("token"), "gid", F.col("n").alias("size"), F.col("n").alias("rest")))
     for turn in range(WITNESS_ROUNDS):

@@ -23,7 +23,7 @@ from laminaflow.llm.units import Remembered, distinct_units, gathered
 
 SPACE = "▁"
 SPACE_BYTES = SPACE.encode()
-CACHED_UNITS = 600_000
+CACHED_UNITS = 300_000
 #: Words merged in one call of the library.
 JOINED_WORDS = 1000
 
@@ -248,8 +248,8 @@ def decode_pieces(rows: DataFrame, model_file: str, ids: str = "ids", into: str
         for batch in batches:
             at = batch.schema.get_field_index(ids)
             lists = batch.column(at)
-            flat, cut = lists.values.to_numpy(zero_copy_only=False).tolist(), lists.offsets.to_pylist()
-            texts = [None if not there else library.decode(flat[a:b]) if b > a else "" for a, b, there in zip(cut, cut[1:], lists.is_valid().to_pylist())]
+            flat, cut = lists.values.to_numpy(zero_copy_only=False), lists.offsets.to_pylist()
+            texts = [None if not there else library.decode(flat[a:b].tolist()) if b > a else "" for a, b, there in zip(cut, cut[1:], lists.is_valid().to_pylist())]
             yield {f.name: batch.column(k) for k, f in enumerate(schema.fields)} | {into: texts}
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema.fields)
