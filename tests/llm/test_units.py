@@ -1,4 +1,4 @@
-"""Units of texts and what a worker remembers of them, against the libraries."""
+"""Units of texts and what a worker remembers of them, against the libraries; rounds of verification."""
 
 import random
 
@@ -49,3 +49,14 @@ def test_frequent_units_stay_when_rare_ones_are_forgotten():
     for k in range(500):
         assert known.ids([b"often", b"rare %d" % k]) == [np.array([5], "<i4").tobytes(), np.array([len(b"rare %d" % k)], "<i4").tobytes()]
     assert asked.count(b"often") == 1 and len(known.fresh) + len(known.stale) <= 110
+
+
+def test_rounds_end_when_nothing_is_asked(spark, monkeypatch):
+    """Two near copies are united in the first round, so that no later one has anything to verify."""
+    from laminaflow.llm import jaccard_groups
+    words = [f"w{i}" for i in range(60)]
+    docs = spark.createDataFrame([(1, " ".join(words)), (2, " ".join([*words, "more"])), (3, "another text of some words here")], "doc_id long, text string")
+    calls, verify = [], jaccard_groups.verify
+    monkeypatch.setattr(jaccard_groups, "verify", lambda *args: calls.append(1) or verify(*args))
+    assert sorted((r.doc_id, r.component_id) for r in jaccard_groups.near_duplicates(docs).collect()) == [(1, 1), (2, 1), (3, 3)]
+    assert len(calls) <= 5
