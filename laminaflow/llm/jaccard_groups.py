@@ -6,8 +6,8 @@ leaves most texts without any candidate. Texts with equal prefixes and set sizes
 prefix shingle and fit in size are candidates; groups are then expanded and members verified on their whole sets.
 
 The wanted result is what is linked, not the pairs: so a group's members and the groups behind a shingle are first
-verified against one of them, and what is linked is united; then every two labels that meet behind a shingle are verified
-by their closest witnesses. Only pairs across what is still apart are verified after that, all whose parity bitmaps don't
+verified against one of them, and what is linked is united; then labels are verified against the largest that they meet
+behind a shingle, and against another one, by their closest witnesses. Only pairs across what is still apart are verified after that, all whose parity bitmaps don't
 rule it out. No link between different texts is lost, and a group of n copies costs n verifications.
 """
 
@@ -162,22 +162,28 @@ def _by_turn(name: str, turn: int) -> Column:
 
 
 def _witnesses(lists: DataFrame, members: DataFrame, labels: DataFrame, sets: DataFrame, turn: int, percent: int) -> DataFrame:
-    """(label, to, a, b): for a label and each label that is the pivot behind some shingle of it, the two sets whose bitmaps
-    differ least, of one set each behind every shingle; another pivot and other sets in every turn.
+    """(label, to, weight, a, b): for two labels of which one is a pivot behind some shingle of the other, the two sets whose
+    bitmaps differ least, of one set each behind every shingle: in even turns the set that shares most, which more sets are
+    near to than to others, in odd turns any. ``to`` is the label of more sets.
 
-    There are no more rows than postings, and none whose bitmaps rule out a link.
+    A shingle has two pivots: the label of most sets, as what is apart is mostly linked to that one and would seldom meet it
+    among many small labels, and another label in every turn. So there are no more than twice as many rows as postings, and
+    none whose bitmaps rule out a link.
     """
+    weights = labels.groupBy("label").agg(F.count(F.lit(1)).alias("weight"))
     kinds = members.select("id", "gid").join(labels.select("id", "label"), "id").groupBy("gid", "label").agg(F.min_by("id", _by_turn("id", turn)).alias("id"))
-    named = lists.join(kinds, "gid").withColumn("o", F.xxhash64("id", "token", F.lit(str(turn))))
-    firsts = named.groupBy("token", "label").agg(F.min(F.struct("o", "id", "size", "rest")).alias("h")).select("token", "label", "h.id", "h.size", "h.rest")
-    pivots = firsts.groupBy("token").agg(F.min(F.struct(_by_turn("label", turn).alias("o"), "label", "id", "size", "rest")).alias("p"), F.count(F.lit(1)).alias("labels")).where("labels > 1")
-    met = firsts.join(pivots, "token").where((F.col("label") != F.col("p.label")) & _reaches(F.col("rest"), F.col("size"), F.col("p.rest"), F.col("p.size"), percent))
-    met = met.select("label", F.col("p.label").alias("to"), F.col("p.id").alias("a"), F.col("id").alias("b")).distinct()
+    named = lists.join(kinds.join(weights, "label"), "gid").withColumn("o", F.struct(F.lit(0) if turn % 2 else -F.col("rest") / F.col("size"), F.xxhash64("id", "token", F.lit(str(turn)))))
+    firsts = named.groupBy("token", "weight", "label").agg(F.min(F.struct("o", "id", "size", "rest")).alias("h")).select("token", F.struct("weight", "label", "h.id", "h.size", "h.rest").alias("f"))
+    pivots = firsts.groupBy("token").agg(F.max("f").alias("most"), F.min_by("f", F.struct(_by_turn("f.label", turn), "f.label")).alias("other"), F.count(F.lit(1)).alias("labels"))
+    pivots = pivots.where("labels > 1").select("token", F.explode(F.array_distinct(F.array("most", "other"))).alias("p"))
+    met = firsts.join(pivots, "token").where((F.col("f.label") != F.col("p.label")) & _reaches(F.col("f.rest"), F.col("f.size"), F.col("p.rest"), F.col("p.size"), percent))
+    met = met.select(F.least("f", "p").alias("f"), F.greatest("f", "p").alias("p"))
+    met = met.select(F.col("f.label").alias("label"), F.col("p.label").alias("to"), F.col("p.weight").alias("weight"), F.col("p.id").alias("a"), F.col("f.id").alias("b")).distinct()
     own = sets.select("id", F.struct("n", *BITS).alias("bits"))
     both = met.join(own.toDF("a", "ba"), "a").join(own.toDF("b", "bb"), "b")
     differ = reduce(lambda x, y: x + y, [F.bit_count(F.col(f"ba.{b}").bitwiseXOR(F.col(f"bb.{b}"))) for b in BITS])
     both = both.withColumn("d", differ).where(F.col("d") * (100 + percent) <= (F.col("ba.n") + F.col("bb.n")) * (100 - percent))
-    return both.groupBy("label", "to").agg(F.min(F.struct("d", "a", "b")).alias("m")).select("label", "to", "m.a", "m.b")
+    return both.groupBy("label", "to", "weight").agg(F.min(F.struct("d", "a", "b")).alias("m")).select("label", "to", "weight", "m.a", "m.b")
 
 
 def linked_sets(sets: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -213,7 +219,7 @@ def linked_sets(sets: DataFrame, percent: int = PERCENT) -> DataFrame:
         asked = stored(_witnesses(lists, members, labels, able, turn, percent), "asked")
         found = stored(verify(asked, able, percent), "links")
         links.append(found.select("a", "b"))
-        labels = _relabelled(labels, found.groupBy("label").agg(F.min_by("to", F.struct(_by_turn("to", turn), "to")).alias("to")))
+        labels = _relabelled(labels, found.groupBy("label").agg(F.max_by("to", F.struct("weight", "to")).alias("to")))
         if found.isEmpty():
             break
     labels = _united(members.select("id", "n", F.col("id").alias("label")), reduce(DataFrame.unionByName, links))

@@ -155,6 +155,20 @@ def test_near_copies_cost_no_square_of_their_number(spark, same, monkeypatch):
     assert _tables_left(spark, before) == ["text-groups"]
 
 
+def test_small_labels_meet_the_largest_by_its_central_set(spark):
+    """Behind one shingle stand a label of 40 sets, of which only the one that shares most is near the others, and 20 of one set."""
+    ids = [*range(40), *range(100, 120)]
+    label = lambda i: 0 if i < 40 else i
+    lists = spark.createDataFrame([(5, i, 100, 99 if i == 7 else 90) for i in ids], "token long, gid long, size long, rest long")
+    members = spark.createDataFrame([(i, 100, i) for i in ids], "id long, n long, gid long")
+    labels = spark.createDataFrame([(i, 100, label(i)) for i in ids], "id long, n long, label long")
+    bits = [0 if i == 7 or i >= 100 else -1 for i in ids]
+    sets = spark.createDataFrame([(i, 100, *[x] * jaccard_groups.PARITY) for i, x in zip(ids, bits)], "id long, n long, " + ", ".join(f"{b} long" for b in jaccard_groups.BITS))
+    found = jaccard_groups._witnesses(lists, members, labels, sets, 0, 75).collect()
+    assert {(r.label, r.a, r.b) for r in found if r.to == 0} == {(i, 7, i) for i in ids if i >= 100}
+    assert len(found) < 2 * len(ids)
+
+
 def test_one_of_each_group_stays(docs, texts):
     kept = jaccard_groups.without_near_duplicates(docs)
     assert kept.columns == docs.columns
