@@ -7,8 +7,9 @@ prefix shingle and fit in size are candidates; groups are then expanded and memb
 
 The wanted result is what is linked, not the pairs: so a group's members and the groups behind a shingle are first
 verified against one of them, and what is linked is united; then labels are verified against the largest that they meet
-behind a shingle, and against another one, by their closest witnesses. Only pairs across what is still apart are verified after that, all whose parity bitmaps don't
-rule it out. No link between different texts is lost, and a group of n copies costs n verifications.
+behind a shingle, and against another one, by their closest witnesses. Only pairs across what is still apart are verified
+after that, all whose parity bitmaps don't rule it out. No link between different texts is lost, and a group of n copies
+costs n verifications.
 """
 
 from __future__ import annotations
